@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiolake.llm import quality_rules
+from radiolake.llm import bpe, quality_rules
 
-MODULES = [quality_rules]
+MODULES = [quality_rules, bpe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
