@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiolake.llm import bpe, quality_rules
+from radiolake.llm import bpe, quality_rules, simhash
 
-MODULES = [quality_rules, bpe]
+MODULES = [quality_rules, bpe, simhash]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
