@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiolake.llm import bpe, quality_rules, simhash, token_files
+from radiolake.llm import bpe, mixing, quality_rules, simhash, token_files
 
-MODULES = [quality_rules, bpe, simhash, token_files]
+MODULES = [quality_rules, bpe, mixing, simhash, token_files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
