@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiolake.llm import bpe, mixing, quality_rules, secret_scan, simhash, token_files
+from radiolake.llm import bpe, mixing, quality_rules, secret_scan, simhash, token_files, toxicity
 
-MODULES = [quality_rules, bpe, mixing, secret_scan, simhash, token_files]
+MODULES = [quality_rules, bpe, mixing, secret_scan, simhash, token_files, toxicity]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
