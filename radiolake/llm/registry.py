@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiolake.llm import bpe, media, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_files, toxicity
+from radiolake.llm import bpe, license_scan, media, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_files, toxicity
 
-MODULES = [quality_rules, bpe, mixing, secret_scan, simhash, token_files, toxicity, quality_classifier, media]
+MODULES = [quality_rules, bpe, mixing, secret_scan, simhash, token_files, toxicity, quality_classifier, media, license_scan]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
