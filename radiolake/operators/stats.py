@@ -46,3 +46,108 @@ def operator_report(contacts: DataFrame) -> DataFrame:
         share = rounded(F.col(f"top_{value}_n") * F.lit(100.0) / F.col("total")).alias(f"top_{value}_pct")
         out = out.join(favourite(contacts, "operator", value), "operator").select(*[c for c in out.columns], f"top_{value}", share)
     return out
+
+
+def longest_gap(contacts: DataFrame) -> DataFrame:
+    """The longest time between two consecutive contacts of the whole log, in ms, and its ``XhYm`` label.
+
+    Gaps are taken within each hour, then between the last contact of an hour and the first of the next hour that has
+    any, so only one row for each hour meets in one task. Fewer than two contacts: null and a dash.
+    """
+    ms = F.floor(F.unix_micros(F.col("qso_at").cast("timestamp")) / 1000).cast("long")
+    timed = contacts.where("qso_at IS NOT NULL").select(ms.alias("ms")).withColumn("hour", F.floor(F.col("ms") / 3600000))
+    within = timed.select("hour", (F.col("ms") - F.lag("ms").over(Window.partitionBy("hour").orderBy("ms"))).alias("gap"))
+    hours = timed.groupBy("hour").agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
+    between = hours.select("hour", (F.col("first") - F.lag("last").over(Window.orderBy("hour"))).alias("gap"))
+    gap = within.unionByName(between).agg(F.max("gap").alias("gap_ms"))
+    minutes = rounded(F.col("gap_ms") / 60000)
+    label = F.concat(F.floor(minutes / 60).cast("string"), F.lit("h "), (minutes % 60).cast("string"), F.lit("m"))
+    return gap.select("gap_ms", F.coalesce(label, F.lit("-")).alias("label"))
+
+
+def band_mode_cube(contacts: DataFrame) -> DataFrame:
+    """Counts by band and mode with totals of either and of both, marked ``*``."""
+    counted = contacts.groupBy("band", "mode").agg(F.count("*").alias("n"))
+    cube = counted.cube("band", "mode").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    name = lambda c, bit: F.when(F.col("g").bitwiseAND(F.lit(bit)) > 0, F.lit("*")).otherwise(F.col(c)).alias(c)
+    return cube.select(name("band", 2), name("mode", 1), "n")
+
+
+def band_mode_pivot(contacts: DataFrame, modes: list[str]) -> DataFrame:
+    """One row for each band with a column for each of the given modes; pairs that never occur are 0."""
+    return contacts.groupBy("band").pivot("mode", modes).count().na.fill(0, modes)
+
+
+def histogram(contacts: DataFrame, seconds: int) -> DataFrame:
+    """Contacts and hourly rate in bins of fixed width from the first to the last one, empty bins included.
+
+    Bins start at whole multiples of the width since 1970. The bins come from the counts' ends, not from the contacts.
+    """
+    bins = contacts.where("qso_at IS NOT NULL").select(F.floor(F.unix_seconds(F.col("qso_at").cast("timestamp")) / seconds).alias("bin"))
+    counted = bins.groupBy("bin").agg(F.count("*").alias("n"))
+    every = counted.agg(F.min("bin").alias("a"), F.max("bin").alias("z")).select(F.explode(F.expr("sequence(a, z)")).alias("bin"))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return every.join(counted, "bin", "left").select((F.col("bin") * seconds).alias("bin_start"), n.alias("n"), rounded(n * F.lit(3600.0 / seconds)).alias("rate"))
+
+
+def upper_median(contacts: DataFrame) -> DataFrame:
+    """The time at place floor(n / 2), counted from 0, of the log in order, as ``median_ms``.
+
+    Counts by hour tell in which hour it is; only that hour's contacts are ranked.
+    """
+    ms = F.floor(F.unix_micros(F.col("qso_at").cast("timestamp")) / 1000).cast("long")
+    timed = contacts.where("qso_at IS NOT NULL").select(ms.alias("ms")).withColumn("hour", F.floor(F.col("ms") / 3600000))
+    hours = timed.groupBy("hour").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("hour"))
+    placed = hours.select("hour", upto.alias("upto"), F.col("n").alias("here")).crossJoin(F.broadcast(hours.agg(F.floor(F.sum("n") / 2).alias("k"))))
+    at = placed.where("k < upto AND k >= upto - here").select("hour", (F.col("k") - F.col("upto") + F.col("here")).alias("skip"))
+    inside = timed.join(F.broadcast(at), "hour").withColumn("r", F.row_number().over(Window.partitionBy("hour").orderBy("ms")) - 1)
+    return inside.where("r = skip").select(F.col("ms").alias("median_ms"))
+
+
+def without_outliers(contacts: DataFrame, days: int) -> DataFrame:
+    """The median time, how many contacts are within so many days of it, and the first and last of them."""
+    ms = F.floor(F.unix_micros(F.col("qso_at").cast("timestamp")) / 1000).cast("long")
+    near = contacts.select(ms.alias("ms")).crossJoin(F.broadcast(upper_median(contacts))).where(F.abs(F.col("ms") - F.col("median_ms")) <= days * 86_400_000)
+    return near.groupBy("median_ms").agg(F.count("*").alias("kept"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
+
+
+def tally(contacts: DataFrame, value: str) -> DataFrame:
+    """Counts by value, blank and null as ``Unknown``, with their places: most first, ties by who was seen first."""
+    named = F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit("Unknown"))
+    counted = contacts.groupBy(named.alias("name")).agg(F.count("*").alias("n"), F.min(F.struct("qso_at", "uuid")).alias("seen"))
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "seen"))
+    return counted.select("name", "n", place.cast("long").alias("place"))
+
+
+def kpis(contacts: DataFrame) -> DataFrame:
+    """Totals, distinct operators, last hour, rate of the last quarter, average rate; ``now`` is the last contact."""
+    t = F.col("qso_at")
+    now = contacts.agg(F.max("qso_at").alias("now"))
+    counted = contacts.crossJoin(F.broadcast(now)).groupBy("now").agg(
+        F.count("*").alias("total"),
+        F.countDistinct("operator").alias("operators"),
+        F.count_if(t >= F.col("now") - F.expr("INTERVAL 60 MINUTES")).alias("last_hour"),
+        (F.count_if(t >= F.col("now") - F.expr("INTERVAL 15 MINUTES")) * 4).alias("quarter_rate"),
+        F.min(t).alias("first"),
+    )
+    hours = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / F.lit(3.6e9)
+    average = F.when(hours > 0, rounded(F.col("total") / hours)).otherwise(F.lit(0)).cast("long")
+    return counted.select("total", "operators", "last_hour", "quarter_rate", average.alias("average_rate"))
+
+
+def worked_top(contacts: DataFrame, section: str, limit: int = 10) -> DataFrame:
+    """The most worked sections, upper-cased, blanks left out; a top-k report, ties by name."""
+    name = F.upper(F.trim(section))
+    return contacts.where(name != "").groupBy(name.alias("section")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "section").limit(limit)
+
+
+def breakdown(rows: DataFrame, value: str, blank: str = "(none)") -> DataFrame:
+    """Counts by trimmed value, null and blank under one name."""
+    return rows.groupBy(F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit(blank)).alias("value")).agg(F.count("*").alias("n"))
+
+
+def missing(tracked: DataFrame, worked: DataFrame, key: str) -> DataFrame:
+    """Tracked keys that nothing in ``worked`` has, compared in upper case."""
+    seen = worked.select(F.upper(key).alias("__seen")).distinct()
+    return tracked.join(seen, F.upper(key) == F.col("__seen"), "left_anti")
