@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiolake.plans import activity
+from radiolake.plans import activity, contact_log
 
-MODULES = [activity]
+MODULES = [activity, contact_log]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
