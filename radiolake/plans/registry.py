@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiolake.plans import activity, contact_log
+from radiolake.plans import activity, contact_log, places
 
-MODULES = [activity, contact_log]
+MODULES = [activity, contact_log, places]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
