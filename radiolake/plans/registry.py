@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiolake.plans import activity, contact_log, places
+from radiolake.plans import activity, building, contact_log, enrichment, flows, places
 
-MODULES = [activity, contact_log, places]
+MODULES = [activity, contact_log, places, enrichment, building, flows]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
