@@ -8,12 +8,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Street words and their short forms.
 STREET_WORDS = {"street": "st", "avenue": "ave", "road": "rd", "drive": "dr", "lane": "ln", "north": "n", "south": "s", "east": "e", "west": "w"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents(texts: pd.Series) -> pd.Series:
     """Letters without their combining marks; null stays null. There is no built-in for Unicode decomposition."""
     return texts.map(lambda t: None if t is None else t if t.isascii() else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
@@ -53,4 +54,5 @@ def wkb_rings(value: bytes | None) -> list[list[tuple[float, float]]]:
 
 
 #: The same as a column function.
-rings_of = F.udf(wkb_rings, "array<array<struct<lat:double,lon:double>>>", useArrow=False)
+POINT = T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
+rings_of = F.udf(wkb_rings, T.ArrayType(T.ArrayType(POINT)), useArrow=False)

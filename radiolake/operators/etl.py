@@ -87,7 +87,7 @@ def publish(df: DataFrame, path: str, check=None) -> str:
     """Writes a table beside the others of ``path`` and makes it the current one; returns where it is.
 
     The new version goes to a folder of its own; ``check(version)`` may raise, and then the current one stays. The
-    pointer ``_current`` is written last, in one rename, so a reader has the whole old table or the whole new one.
+    pointer ``CURRENT`` is written last, in one rename, so a reader has the whole old table or the whole new one.
     """
     import uuid
 
@@ -99,7 +99,7 @@ def publish(df: DataFrame, path: str, check=None) -> str:
     jvm = spark._jvm
     base = jvm.org.apache.hadoop.fs.Path(path)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    new, pointer = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"_{version}.new", "_current"))
+    new, pointer = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"_{version}.new", "CURRENT"))
     out = fs.create(new, True)
     out.write(bytearray(version, "ascii"))
     out.close()
@@ -112,5 +112,5 @@ def publish(df: DataFrame, path: str, check=None) -> str:
 
 def current(spark, path: str) -> DataFrame:
     """The table that was published last."""
-    version = spark.read.text(f"{path}/_current").first()[0]
+    version = spark.read.text(f"{path}/CURRENT").first()[0]
     return spark.read.parquet(f"{path}/{version}")

@@ -58,7 +58,7 @@ def prefix_part(call: Column) -> Column:
     parts = F.filter(F.split(call, "/"), lambda p: ~p.isin("", "P", "M", "MM", "QRP", "ANT"))
     first, second = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
     moved = F.concat(F.regexp_extract(first, "^([A-Z]*|[0-9][A-Z]+)[0-9]", 1), second, F.regexp_replace(first, "^([A-Z]*|[0-9][A-Z]+)[0-9]", ""))
-    return F.when(second.isNull(), first).when(second.rlike("^[0-9]$"), moved).when(F.length(second) < F.length(first), second).otherwise(first)
+    return F.when(second.isNull(), first).when(second.rlike("^[0-9]$"), moved).when(F.length(second) <= F.length(first), second).otherwise(first)
 
 
 def resolve(calls: DataFrame, masks: DataFrame, call: str = "call") -> DataFrame:

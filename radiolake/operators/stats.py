@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HOUR = F.expr("INTERVAL 1 HOUR")
-
 
 def rounded(x: Column) -> Column:
     """Half-up rounding to a whole number."""

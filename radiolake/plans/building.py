@@ -77,8 +77,14 @@ _SPELLED = "CASE doc_id % 3 WHEN 0 THEN 'Quebec' WHEN 1 THEN 'Québec' ELSE 'Qu
 QUERIES["best_spelling"] = lambda spark, sf_dir: etl.best_spelling(table(spark, sf_dir, "documents").select("source", F.expr(_SPELLED).alias("town"), "doc_id"), "source", "town", "doc_id")
 SQL["best_spelling"] = f"SELECT source, arg_max(town, (strlen(town) - length(town), -doc_id)) AS town FROM (SELECT source, doc_id, {_SPELLED} AS town FROM documents) GROUP BY source"
 
-_FIELDS = [("CALL", F.concat(F.lit("K"), F.col("operator").cast("string"))), ("QSO_DATE", F.lit("")), ("BAND", F.concat("band", F.lit("m"))), ("MODE", F.upper("mode")), ("COMMENT", F.when(F.col("uuid") % 5 == 0, F.lit("ß é")))]
-QUERIES["adif_text"] = lambda spark, sf_dir: contacts(spark, sf_dir).select("uuid", adif.line(_FIELDS, F.col("qso_at")).alias("record"))
+
+def adif_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comment = F.when(F.col("uuid") % 5 == 0, F.lit("ß é"))
+    fields = [("CALL", F.concat(F.lit("K"), F.col("operator").cast("string"))), ("QSO_DATE", F.lit("")), ("BAND", F.concat("band", F.lit("m"))), ("MODE", F.upper("mode")), ("COMMENT", comment)]
+    return contacts(spark, sf_dir).select("uuid", adif.line(fields, F.col("qso_at")).alias("record"))
+
+
+QUERIES["adif_text"] = adif_text
 SQL["adif_text"] = f"""WITH {CONTACTS} SELECT uuid, '<CALL:' || length('K' || operator) || '>K' || operator || ' <QSO_DATE:8>' || strftime(qso_at, '%Y%m%d') || ' <TIME_ON:6>' || strftime(qso_at, '%H%M%S')
   || ' <BAND:' || length(band || 'm') || '>' || band || 'm <MODE:' || length(mode) || '>' || upper(mode) || CASE WHEN uuid % 5 = 0 THEN ' <COMMENT:5>ß é' ELSE '' END || ' <EOR>' AS record FROM contacts"""
 QUERIES["dupe_sheet"] = lambda spark, sf_dir: adif.dupe_sheet(contacts(spark, sf_dir).select(F.concat("band", F.lit("0m")).alias("band"), "mode", F.concat(F.lit("K"), F.col("operator").cast("string")).alias("call")), ["40m", "20m", "00m"])

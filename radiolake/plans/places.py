@@ -35,11 +35,12 @@ def grid_center(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["grid_center"] = grid_center
 SQL["grid_center"] = f"WITH {POINTS} SELECT c_custkey, floor(lat) + 0.5 AS lat, floor((lon + 180) / 2) * 2 - 180 + 1.0 AS lon FROM pts"
 
-_HOME = (F.lit(45.0), F.lit(-123.0))
-QUERIES["haversine_km"] = lambda spark, sf_dir: points(spark, sf_dir).select("c_custkey", geo.kilometres(*_HOME, F.col("lat"), F.col("lon")).alias("km"))
+#: Where distances start if an event has no location.
+HOME = (45.0, -123.0)
+QUERIES["haversine_km"] = lambda spark, sf_dir: points(spark, sf_dir).select("c_custkey", geo.kilometres(*map(F.lit, HOME), F.col("lat"), F.col("lon")).alias("km"))
 _A = "(pow(sin(radians(lat - 45.0) / 2), 2) + cos(radians(45.0)) * cos(radians(lat)) * pow(sin(radians(lon + 123.0) / 2), 2))"
 SQL["haversine_km"] = f"WITH {POINTS} SELECT c_custkey, CAST(floor(6371.0 * 2 * atan2(sqrt({_A}), sqrt(1 - {_A}))) AS BIGINT) AS km FROM pts"
-QUERIES["bearing"] = lambda spark, sf_dir: points(spark, sf_dir).select("c_custkey", geo.bearing(*_HOME, F.col("lat"), F.col("lon")).alias("degrees"))
+QUERIES["bearing"] = lambda spark, sf_dir: points(spark, sf_dir).select("c_custkey", geo.bearing(*map(F.lit, HOME), F.col("lat"), F.col("lon")).alias("degrees"))
 SQL["bearing"] = f"""WITH {POINTS}, b AS (SELECT c_custkey, degrees(atan2(sin(radians(lon + 123.0)) * cos(radians(lat)),
   cos(radians(45.0)) * sin(radians(lat)) - sin(radians(45.0)) * cos(radians(lat)) * cos(radians(lon + 123.0)))) AS d FROM pts)
 SELECT c_custkey, CAST(floor((d + 360) % 360 + 0.5) AS BIGINT) % 360 AS degrees FROM b"""
