@@ -70,3 +70,22 @@ def in_ring(ring: Column, lat: Column, lon: Column) -> Column:
 def in_polygon(rings: Column, lat: Column, lon: Column) -> Column:
     """Even-odd rule over all rings: holes are rings like any other."""
     return F.aggregate(rings, F.lit(0), lambda n, ring: n + in_ring(ring, lat, lon)) % 2 == 1
+
+
+def ring_distance(ring: Column, lat: Column, lon: Column) -> Column:
+    """Distance in degrees, on the plane, from a point to the nearest edge of a ring."""
+
+    def to_edge(i: Column) -> Column:
+        a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
+        dy, dx = b["lat"] - a["lat"], b["lon"] - a["lon"]
+        along = ((lat - a["lat"]) * dy + (lon - a["lon"]) * dx) / F.nullif(dy * dy + dx * dx, F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
+        y, x = a["lat"] + t * dy - lat, a["lon"] + t * dx - lon
+        return F.sqrt(y * y + x * x)
+
+    return F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1))), to_edge))
+
+
+def distance(rings: Column, lat: Column, lon: Column) -> Column:
+    """0 inside a polygon, else the distance in degrees to its nearest ring."""
+    return F.when(in_polygon(rings, lat, lon), F.lit(0.0)).otherwise(F.array_min(F.transform(rings, lambda r: ring_distance(r, lat, lon))))

@@ -64,3 +64,27 @@ def nearest_key(rows: DataFrame, known: DataFrame, group: str, number: str, iden
     options = F.filter(F.array("below", "above"), lambda e: e.isNotNull())
     best = F.array_min(F.transform(options, lambda e: F.struct(F.abs(e["n"] - F.col(number)).alias("d"), e["p"].alias("p"))))
     return rows.select(ident, group, number).join(near.select(group, number, best["p"].alias(position)), [group, number]).where(F.col(position).isNotNull())
+
+
+def county_of(points: DataFrame, parts: DataFrame, key: str, group: str, name: str, position: str, reach: float | None = 0.5) -> DataFrame:
+    """For each point the part of its own group that holds it, else the nearest one within ``reach`` degrees, else null.
+
+    Of several that hold it the last by position wins; of equally near ones the first. A group's parts are few, its
+    points many: points are the side that may be split, and each meets only its group. ``reach`` None: no limit.
+    """
+    placed = points.where(geo.valid(F.col("lat"), F.col("lon")))
+    met = placed.select(key, group, "lat", "lon").join(parts.select(group, name, position, "rings"), group).withColumn("d", geo.distance(F.col("rings"), F.col("lat"), F.col("lon")))
+    near = met if reach is None else met.where(F.col("d") <= reach)
+    order = F.struct("d", F.when(F.col("d") == 0, -F.col(position)).otherwise(F.col(position)).alias("p"))
+    best = near.groupBy(key).agg(F.min_by(name, order).alias(name))
+    return points.select(key).join(best, key, "left")
+
+
+def overlaps(parts: DataFrame, key: str, cell: float = CELL) -> DataFrame:
+    """Pairs of different features whose parts' boxes share an area, met through the grid cells of both."""
+    gridded = parts.withColumn("cy", F.explode(_cells(F.col("miny"), F.col("maxy"), cell))).withColumn("cx", F.explode(_cells(F.col("minx"), F.col("maxx"), cell)))
+    other = gridded.select("cy", "cx", *[F.col(c).alias(f"{c}2") for c in (key, "minx", "maxx", "miny", "maxy")])
+    wide = F.least("maxx", "maxx2") - F.greatest("minx", "minx2")
+    high = F.least("maxy", "maxy2") - F.greatest("miny", "miny2")
+    met = gridded.join(other, ["cy", "cx"]).where(F.col(key) < F.col(f"{key}2")).withColumns({"wide": wide, "high": high}).where("wide > 0 AND high > 0")
+    return met.groupBy(key, f"{key}2").agg(F.max(F.col("wide") * F.col("high")).alias("area"))
