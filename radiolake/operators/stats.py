@@ -19,14 +19,15 @@ def rounded(x: Column) -> Column:
 def sliding_hour(contacts: DataFrame, key: str = "operator") -> DataFrame:
     """The most contacts of each key in any 60 minutes, both ends included.
 
-    Two contacts exactly an hour apart count together. Null times are left out.
+    Two contacts exactly an hour apart count together. Null times are left out. A window that ends in some hour begins
+    in it or in the hour before, so each contact goes to its own hour and to the next, and windows are counted within
+    an hour of a key: a key with most of the contacts is as many tasks' work as it has hours.
     """
-    contacts.createOrReplaceTempView("__radiolake_contacts")
-    counted = contacts.sparkSession.sql(
-        f"""SELECT `{key}`, count(*) OVER (PARTITION BY `{key}` ORDER BY qso_at
-            RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n
-            FROM __radiolake_contacts WHERE qso_at IS NOT NULL"""
-    )
+    micros = F.unix_micros(F.col("qso_at").cast("timestamp"))
+    timed = contacts.where("qso_at IS NOT NULL").select(key, micros.alias("t")).withColumn("own", F.floor(F.col("t") / 3_600_000_000))
+    dealt = timed.withColumn("hour", F.explode(F.array("own", F.col("own") + 1)))
+    ends = Window.partitionBy(key, "hour").orderBy("t").rangeBetween(-3_600_000_000, 0)
+    counted = dealt.withColumn("n", F.count("*").over(ends)).where("own = hour")
     return counted.groupBy(key).agg(F.max("n").alias("best_hour"))
 
 
