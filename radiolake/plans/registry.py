@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiolake.plans import activity, building, contact_log, enrichment, flows, places, upkeep
+from radiolake.plans import activity, building, contact_log, enrichment, exporting, flows, places, upkeep
 
-MODULES = [activity, contact_log, places, enrichment, building, flows, upkeep]
+MODULES = [activity, contact_log, places, enrichment, building, flows, upkeep, exporting]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
