@@ -264,16 +264,33 @@ def test_licenses_on_odd_rows(spark, odd, none):
 # 8
 
 
-def brute_fingerprint(text, width=4):
+def shingle_hashes(text, width):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = re.findall("[^\x20\x09-\x0d]+", low)
-    if not w:
-        return 0
-    hashes = [xxhash.xxh64_intdigest(" ".join(w[i : i + width]).encode(), 42) for i in range(max(1, len(w) - width + 1))]
+    return [xxhash.xxh64_intdigest(" ".join(w[i : i + width]).encode(), 42) for i in range(max(1, len(w) - width + 1))] if w else []
+
+
+def majority(hashes):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def classes(values, distance):
+def brute_fingerprint(text, width=4):
+    return majority(shingle_hashes(text, width))
+
+
+def brute_words(text):
+    """The three words of the pipeline's stage."""
+    full, out = (1 << 64) - 1, []
+    hashes = shingle_hashes(text, 5)
+    for k in range(3):
+        z = [(h + k * 0x9E3779B97F4A7C15) & full for h in hashes]
+        z = [(x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full for x in z]
+        z = [(x ^ x >> 27) * 0x94D049BB133111EB & full for x in z]
+        out.append(majority([x ^ x >> 31 for x in z] if k else hashes))
+    return out
+
+
+def classes(values, near):
     root = list(range(len(values)))
 
     def find(x):
@@ -283,16 +300,25 @@ def classes(values, distance):
 
     for i, a in enumerate(values):
         for j in range(i):
-            if (a ^ values[j]).bit_count() <= distance:
+            if near(a, values[j]):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return [find(i) for i in range(len(values))]
 
 
+def within_4(a, b):
+    return (a ^ b).bit_count() <= 4
+
+
+def copies(a, b):
+    apart = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
+    return apart[0] == 0 or min(apart) <= 9 and sum(apart) <= 33
+
+
 def test_simhash_query(spark, sf_dir, texts):
     got = {r["doc_id"]: r for r in QUERIES["op8_simhash"](spark, sf_dir).collect()}
     values = [brute_fingerprint(t) for _, t in texts]
-    for (key, _), value, root in zip(texts, values, classes(values, 4), strict=True):
+    for (key, _), value, root in zip(texts, values, classes(values, within_4), strict=True):
         assert got[key]["fingerprint"] == f"{value:016x}" and got[key]["component_id"] == texts[root][0]
 
 
@@ -310,7 +336,7 @@ def test_links_span_all_components(spark, monkeypatch, segments):
     signed = [x - (1 << 64) if x >> 63 else x for x in sorted(values)]
     found = {r["node"]: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, segments)).collect()}
     groups = {}
-    for x, root in zip(signed, classes(sorted(values), 4), strict=True):
+    for x, root in zip(signed, classes(sorted(values), within_4), strict=True):
         groups.setdefault(root, []).append(x)
     assert all(found.get(x, x) == min(g) for g in groups.values() for x in g)
 
@@ -379,7 +405,7 @@ def test_pipeline_by_brute_force(spark, sf_dir, ranks):
     first = {r["doc_id"]: r for r in kept.collect()}
     assert set(first) == {k for k, v in verdict.items() if v} and kept.columns == docs.columns
     ids = sorted(first)
-    roots = classes([brute_fingerprint(first[i]["text"], 5) for i in ids], 8)
+    roots = classes([brute_words(first[i]["text"]) for i in ids], copies)
     unique = corpus_pipeline.drop_near_duplicates(spark, kept, sf_dir)
     assert sorted(r["doc_id"] for r in unique.collect()) == [ids[k] for k, root in enumerate(roots) if root == k]
     clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.redact_secrets(spark, unique, sf_dir).collect()}
