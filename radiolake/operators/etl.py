@@ -55,8 +55,8 @@ def missing_numbers(rows: DataFrame, number: str, most: int) -> DataFrame:
 def orphans(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """How many parents have no child, and children no parent."""
     a = parents.join(children.select(key), key, "left_anti").agg(F.count("*").alias("without_children"))
-    b = children.join(parents.select(key), key, "left_anti").agg(F.count("*").alias("without_parent"))
-    return a.crossJoin(b)
+    b = children.join(parents.select(key), key, "left_anti").agg(F.count("*"))
+    return a.withColumn("without_parent", b.scalar())
 
 
 def quality_counters(rows: DataFrame, reference: str, lat: str, lon: str) -> DataFrame:

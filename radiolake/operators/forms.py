@@ -22,8 +22,8 @@ def cross_fill(section: Column, state: Column, state_of: dict[str, str], section
 
 def band_conflicts(roster: DataFrame, seconds: int = 61) -> DataFrame:
     """Bands that several clients were heard on within so many seconds of the last heartbeat, and how many."""
-    now = roster.agg(F.max("at").alias("now"))
-    live = roster.crossJoin(F.broadcast(now)).where((F.col("band") != "Off-Air") & (F.col("at") >= F.col("now") - F.make_dt_interval(secs=F.lit(seconds))))
+    now = roster.agg(F.max("at")).scalar()
+    live = roster.where((F.col("band") != "Off-Air") & (F.col("at") >= now - F.make_dt_interval(secs=F.lit(seconds))))
     return live.groupBy("band").agg(F.countDistinct("client").alias("clients")).where("clients > 1")
 
 

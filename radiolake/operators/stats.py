@@ -98,7 +98,8 @@ def upper_median(contacts: DataFrame) -> DataFrame:
     timed = contacts.where("qso_at IS NOT NULL").select(ms.alias("ms")).withColumn("hour", F.floor(F.col("ms") / 3600000))
     hours = timed.groupBy("hour").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.orderBy("hour"))
-    placed = hours.select("hour", upto.alias("upto"), F.col("n").alias("here")).crossJoin(F.broadcast(hours.agg(F.floor(F.sum("n") / 2).alias("k"))))
+    middle = hours.agg(F.floor(F.sum("n") / 2)).scalar()
+    placed = hours.select("hour", upto.alias("upto"), F.col("n").alias("here")).withColumn("k", middle)
     at = placed.where("k < upto AND k >= upto - here").select("hour", (F.col("k") - F.col("upto") + F.col("here")).alias("skip"))
     inside = timed.join(F.broadcast(at), "hour").withColumn("r", F.row_number().over(Window.partitionBy("hour").orderBy("ms")) - 1)
     return inside.where("r = skip").select(F.col("ms").alias("median_ms"))
@@ -107,7 +108,7 @@ def upper_median(contacts: DataFrame) -> DataFrame:
 def without_outliers(contacts: DataFrame, days: int) -> DataFrame:
     """The median time, how many contacts are within so many days of it, and the first and last of them."""
     ms = F.floor(F.unix_micros(F.col("qso_at").cast("timestamp")) / 1000).cast("long")
-    near = contacts.select(ms.alias("ms")).crossJoin(F.broadcast(upper_median(contacts))).where(F.abs(F.col("ms") - F.col("median_ms")) <= days * 86_400_000)
+    near = contacts.select(ms.alias("ms")).withColumn("median_ms", upper_median(contacts).scalar()).where(F.abs(F.col("ms") - F.col("median_ms")) <= days * 86_400_000)
     return near.groupBy("median_ms").agg(F.count("*").alias("kept"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
 
 
@@ -122,8 +123,7 @@ def tally(contacts: DataFrame, value: str) -> DataFrame:
 def kpis(contacts: DataFrame) -> DataFrame:
     """Totals, distinct operators, last hour, rate of the last quarter, average rate; ``now`` is the last contact."""
     t = F.col("qso_at")
-    now = contacts.agg(F.max("qso_at").alias("now"))
-    counted = contacts.crossJoin(F.broadcast(now)).groupBy("now").agg(
+    counted = contacts.withColumn("now", contacts.agg(F.max("qso_at")).scalar()).groupBy("now").agg(
         F.count("*").alias("total"),
         F.countDistinct("operator").alias("operators"),
         F.count_if(t >= F.col("now") - F.expr("INTERVAL 60 MINUTES")).alias("last_hour"),

@@ -70,8 +70,8 @@ def presence(heartbeats: DataFrame, path: str, seconds: int = 120) -> DataFrame:
     query, versions = folding(heartbeats, path, lambda rows: rows.groupBy("client").agg(F.max("at").alias("at")))
     query.awaitTermination()
     latest = versions.read()
-    now = latest.agg(F.max("at").alias("now"))
-    return latest.crossJoin(F.broadcast(now)).where(F.col("at") >= F.col("now") - F.make_dt_interval(secs=F.lit(seconds))).drop("now")
+    now = latest.agg(F.max("at")).scalar()
+    return latest.where(F.col("at") >= now - F.make_dt_interval(secs=F.lit(seconds)))
 
 
 def chat(messages: DataFrame, path: str, key: list[str], arrival: str) -> DataFrame:
