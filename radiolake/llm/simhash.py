@@ -31,6 +31,8 @@ from radiolake.llm.common import documents, staged
 BLOCK = 4096
 #: Children of a node of the index, and (query, fingerprint) pairs that may be reached together.
 FANOUT, PAIRS_AT_ONCE = 8, 1 << 20
+#: Share of a level's nodes beyond which pruning doesn't pay.
+DENSE = 0.1
 SEED = 42
 
 
@@ -130,20 +132,24 @@ class GrayIndex:
         """(query number, fingerprint number) of all within ``distance``, for some queries at a time."""
         together = max(1, PAIRS_AT_ONCE // len(self.fps))
         for at in range(0, len(queries), together):
-            q = np.arange(at, min(at + together, len(queries)))
-            node, gone = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+            own = queries[at : at + together]
+            q, node, gone = np.arange(len(own)), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
             for k in range(len(self.levels) - 1, -1, -1):
                 pattern, mask = self.levels[k]
-                gone = gone + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
+                gone = gone + np.bitwise_count((own[q] ^ pattern[node]) & mask[node])
                 near = gone <= distance
                 q, node, gone = q[near], node[near], gone[near]
+                if k and len(q) > len(own) * len(pattern) * DENSE and len(pattern) >= FANOUT:
+                    # few groups can be pruned: all below are compared in rows, which costs less than following them
+                    q, node = np.nonzero(np.bitwise_count(own[:, None] ^ self.fps[None, :]) <= distance)
+                    break
                 if k:
                     below = len(self.levels[k - 1][0])
                     q, gone = np.repeat(q, FANOUT), np.repeat(gone, FANOUT)
                     node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                     there = node < below
                     q, node, gone = q[there], node[there], gone[there]
-            yield q, node
+            yield q + at, node
 
 
 def spanning(n: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
