@@ -25,26 +25,41 @@ from pyspark.sql import functions as F
 from radiolake.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces and token pairs that a worker remembers before it starts anew.
-MEMO = 400_000
+#: Parts, pieces and token pairs that a worker remembers of a generation.
+MEMO = 120_000
 #: Characters of text that go into one batch of results.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
-class Parts(dict):
-    """Ids of a part that follows a space; None if the part must not be cut off there."""
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each id of a rank file."""
+    with open(path, "rb") as lines:
+        pairs = [line.split() for line in lines if line.strip()]
+    return {int(rank): base64.b64decode(token) for token, rank in pairs}
 
-    def __init__(self, bpe: Bpe):
+
+def joined(known: dict[int, bytes], ids: list[int]) -> bytes:
+    return b"".join(map(known.__getitem__, ids))
+
+
+class Memo(dict):
+    """Remembers what ``find`` gives for a key, in two generations of ``MEMO`` entries: what is used stays.
+
+    Long keys aren't kept, so memory has a bound.
+    """
+
+    def __init__(self, find):
         super().__init__()
-        self.bpe = bpe
+        self.find, self.older = find, {}
 
-    def __missing__(self, part: str) -> bytes | None:
-        ids = None if not part or part[0].isspace() or part[-1].isspace() else self.bpe.pieces(" " + part)
-        if len(self) > MEMO:
+    def __missing__(self, key):
+        value = self.older[key] if key in self.older else self.find(key)
+        if len(self) >= MEMO:
+            self.older = self.copy()
             self.clear()
-        if len(part) <= 64:
-            self[part] = ids
-        return ids
+        if len(key) <= 64:
+            self[key] = value
+        return value
 
 
 class Bpe:
@@ -53,9 +68,7 @@ class Bpe:
     loaded: dict[tuple[str, str], Bpe] = {}
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as lines:
-            pairs = [line.split() for line in lines if line.strip()]
-        self.bytes = {int(rank): base64.b64decode(token) for token, rank in pairs}
+        self.bytes = token_bytes(path)
         self.rank = {token.decode("latin-1"): rank for rank, token in self.bytes.items()}
         self.length = {rank: len(token) for rank, token in self.bytes.items()}
         # the pattern's \s is Unicode white space; the regex module's \s has a few control characters more
@@ -65,10 +78,10 @@ class Bpe:
             self.automaton.add_word(token, (len(token) - 1, rank))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.memo = Memo(lambda piece: array("i", self.piece(piece.encode("utf-8").decode("latin-1"))).tobytes())
+        self.parts = Memo(self.part)
         # the longest token that is a proper prefix, None for single bytes
         self.shorter = {rank: next((self.rank[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.rank), None) for t, rank in self.rank.items()}
-        self.memo: dict[str, bytes] = {}
-        self.parts = Parts(self)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
@@ -124,17 +137,11 @@ class Bpe:
 
     def pieces(self, text: str) -> bytes:
         """Ids of a text as int32, piece by piece of the pattern."""
-        out = []
-        for piece in self.split.findall(text):
-            ids = self.memo.get(piece)
-            if ids is None:
-                ids = array("i", self.piece(piece.encode("utf-8").decode("latin-1"))).tobytes()
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-                if len(piece) <= 64:
-                    self.memo[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.memo.__getitem__, self.split.findall(text)))
+
+    def part(self, part: str) -> bytes | None:
+        """Ids of a part that follows a space; None if the part must not be cut off there."""
+        return None if not part or part[0].isspace() or part[-1].isspace() else self.pieces(" " + part)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text.
@@ -154,7 +161,7 @@ class Bpe:
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that the ids stand for."""
-        return b"".join(map(self.bytes.__getitem__, ids))
+        return joined(self.bytes, ids)
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -192,9 +199,9 @@ def decode(encoded: DataFrame, ids: str = "ids", ranks: str | None = None) -> Da
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe.load(path, public_tokenizers.PATTERN)
+        known = token_bytes(path)
         for batch in batches:
-            found = [bpe.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in batch.column(at)]
+            found = [joined(known, x.values.to_numpy().tolist() if x.is_valid else []) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, _schema(encoded) + ", decoded binary")
