@@ -17,12 +17,12 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,8 +34,10 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 1
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1])
 WIDTHS = np.array([60 // n if n else 0 for n in COUNTS])
 ESCAPE, BLOCK_IDS, MAGIC = 15, 4096, b"TID1"
-#: Ids after which a file is closed (at the next document's end), and parts that a worker remembers.
-FILE_IDS, MEMO = 2_000_000, 400_000
+#: Ids after which a file is closed (at the next document's end), and parts of a generation that a worker remembers.
+FILE_IDS, MEMO = 2_000_000, 200_000
+#: Bytes of texts and characters of new parts that are encoded together.
+BATCH_BYTES, TOGETHER = 2_000_000, 5_000
 
 
 # --- Simple-8b ------------------------------------------------------------------------------------------------------
@@ -152,7 +154,8 @@ class Parts(dict):
     """Ids of the parts between blanks, as the tokenizer gives them. A worker fills it once for each vocabulary.
 
     The vocabulary's normalizer turns white space into blanks and no token holds any, so the ids of a text are those
-    of its parts one after the other.
+    of its parts one after the other. New parts of many texts are encoded as one text; a token belongs to the part
+    in which it begins. (The library is fastest on some thousand characters.) Parts are remembered in two generations of ``MEMO``, so that those in use stay.
     """
 
     loaded: dict[str, Parts] = {}
@@ -162,7 +165,7 @@ class Parts(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
 
     @classmethod
     def load(cls, path: str) -> Parts:
@@ -171,18 +174,81 @@ class Parts(dict):
         return cls.loaded[path]
 
     def __missing__(self, part: str) -> bytes:
-        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        if (ids := self.older.get(part)) is None:
+            return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        self[part] = ids
+        return ids
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes the parts together, some thousand characters at a time."""
+        at = 0
+        while at < len(new):
+            some, size = [], 0
+            while at < len(new) and size < TOGETHER:
+                some.append(new[at])
+                size += len(new[at])
+                at += 1
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            begin = np.array([o[0] for o in found.offsets], np.int64)
+            starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in some])])
+            cuts = np.searchsorted(begin, starts).tolist()
+            raw = ids.tobytes()
+            if len(self) + len(some) > MEMO:
+                self.older = self.copy()
+                self.clear()
+            for k, part in enumerate(some):
+                self[part] = raw[4 * cuts[k] : 4 * cuts[k + 1]]
+
+    def encode(self, texts: list[str], end_id: int | None) -> list[np.ndarray]:
+        """Ids of whole texts, each with the end id if there is one."""
+        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        self.learn([p for p in set().union(*cut) if len(p) <= 64 and p not in self and p not in self.older])
+        end = b"" if end_id is None else array("I", [end_id]).tobytes()
+        return [np.frombuffer(b"".join(map(self.__getitem__, parts)) + end, np.uint32) for parts in cut]
+
+
+def shortest(ids: np.ndarray) -> bytes:
+    """Ids as bytes that begin with their width."""
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def longest(raw: bytes) -> np.ndarray:
+    """The ids of :func:`shortest`."""
+    return np.frombuffer(raw, f"<u{raw[0]}", -1, 1).astype(np.uint64)
+
+
+def encoded(docs: DataFrame, vocabulary: str, end_id: int | None, ends: list) -> DataFrame:
+    """``part``, ``key``, ``tie``, and ``ids`` of the rows' ``text``: bytes, two for each id if that is enough, else four.
+
+    ``part`` is the number of ranges that end before the row, found in their sorted ends, one for each partition.
+    """
+    kind = docs.schema["key"].dataType.simpleString()
+    last = [(k is not None, k, tie) for k, tie in ends]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts.load(vocabulary)
+        for batch in batches:
+            begun, size = 0, 0
+            for i in range(batch.num_rows):
+                size += len(batch.column(2)[i].as_buffer() or b"") if batch.column(2)[i].is_valid else 0
+                if size >= BATCH_BYTES or i == batch.num_rows - 1:
+                    texts = [t or "" for t in batch.column(2).slice(begun, i + 1 - begun).to_pylist()]
+                    packed = [shortest(ids) for ids in parts.encode(texts, end_id)]
+                    key, tie = (batch.column(c).slice(begun, len(packed)) for c in range(2))
+                    part = [bisect_left(last, (k is not None, k, t)) for k, t in zip(key.to_pylist(), tie.to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), key, tie, pa.array(packed, pa.binary())], names=["part", "key", "tie", "ids"])
+                    begun, size = i + 1, 0
+
+    return docs.select("key", "tie", "text").mapInArrow(run, f"part int, key {kind}, tie long, ids binary")
 
-    def encode(self, text: str, end_id: int | None) -> np.ndarray:
-        parts = text.replace("\n", " ").replace("\t", " ").split(" ")
-        new = [p for p in dict.fromkeys(parts) if p not in self and len(p) <= 64]
-        if len(self) > MEMO:
-            self.clear()
-            new = [p for p in dict.fromkeys(parts) if len(p) <= 64]
-        for part, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False) if new else [], strict=True):
-            self[part] = array("I", found.ids).tobytes()
-        ids = b"".join(map(self.__getitem__, parts))
-        return np.frombuffer(ids + (array("I", [end_id]).tobytes() if end_id is not None else b""), np.uint32)
+
+def range_ends(keys: DataFrame, n: int) -> list:
+    """Last (key, tie) of each of ``n`` even ranges but the last; only keys are dealt, and ``n`` rows collected."""
+    dealt = keys.repartitionByRange(n, F.col("key").asc_nulls_first(), F.col("tie").asc()).withColumn("part", F.spark_partition_id())
+    ends = dealt.groupBy("part").agg(F.max(F.struct("key", "tie")).alias("end")).orderBy("part").collect()
+    return [r["end"] for r in ends[:-1]]
 
 
 def write_files(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int | None = END_ID) -> DataFrame:
@@ -190,35 +256,40 @@ def write_files(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabu
 
     Each row is a file: ``part`` and ``seq`` (their order is the order of the documents), ``n_ids``, the documents'
     ``keys`` and the file's ``content``. Null keys come first; rows of equal keys are ordered by their text's hash. A
-    null text is empty and has the end id alone. Texts are dealt by range of the key, so no task holds more than its
-    share, and a file is closed after FILE_IDS ids.
+    null text is empty and has the end id alone. Texts are encoded where they are read, and the ids, a fraction of
+    their size, are dealt by range of the key; the ranges come from the keys alone. A file is closed after
+    FILE_IDS ids.
     """
+    spark = docs.sparkSession
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ends = range_ends(rows.select("key", "tie"), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, part, seq = Parts.load(path), TaskContext.get().partitionId(), 0
-        keys, found, size = [], [], 0
+        seq, part, keys, found, size = 0, None, [], [], 0
+        kinds = pa.int64()
 
-        def file(kinds: pa.DataType) -> pa.RecordBatch:
+        def file() -> pa.RecordBatch:
             columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([size], pa.int64()), pa.array([keys], pa.list_(kinds)), pa.array([to_file(found)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_ids", "keys", "content"])
 
-        kinds = pa.int64()
         for batch in batches:
-            kinds = batch.schema.field(0).type
+            kinds = batch.schema.field(1).type
             for i in range(batch.num_rows):
-                keys.append(batch.column(0)[i].as_py())
-                found.append(parts.encode(batch.column(1)[i].as_py() or "", end_id).astype(np.uint64))
-                size += len(found[-1])
-                if size >= FILE_IDS:
-                    yield file(kinds)
+                own = batch.column(0)[i].as_py()
+                if keys and (own != part or size >= FILE_IDS):
+                    yield file()
                     keys, found, size, seq = [], [], 0, seq + 1
+                part = own
+                keys.append(batch.column(1)[i].as_py())
+                found.append(longest(batch.column(2)[i].as_py()))
+                size += len(found[-1])
         if keys:
-            yield file(kinds)
+            yield file()
 
-    order = [F.col("key").asc_nulls_first(), F.xxhash64("text").asc()]
-    dealt = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = encoded(rows, path, end_id, ends).repartitionById(n, "part").sortWithinPartitions("part", F.col("key").asc_nulls_first(), "tie").select("part", "key", "ids")
     return staged(dealt.mapInArrow(run, f"part int, seq long, n_ids long, keys array<{kind}>, content binary"))
 
 

@@ -382,7 +382,7 @@ def test_token_parts_are_the_whole(texts):
 
     whole, parts = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY)), token_files.Parts.load(public_tokenizers.path(token_files.VOCABULARY))
     for text in ["", "  a\x1cb <|endoftext|>x É́ é KK İi ﬁ　漢字", "a\x0bb\x85c d  ", "a\r\nb\tc", "x" * 5000]:
-        assert parts.encode(text, None).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert parts.encode([text], None)[0].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 def test_token_files_on_odd_rows(odd, none):
