@@ -347,21 +347,167 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     return marked.join(named, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-#: For a Jaccard similarity of 0.8 or more over five-word shingles: words, bits of one word to meet, bits of all to link.
-#: Texts of equal length at 0.8 have an angle of 27 degrees, so 15 % of the bits differ: 29 of 192, give or take 5.
-COPY_WORDS, COPY_DISTANCE, COPY_MOST, COPY_SHINGLE = 3, 9, 33, 5
+# --- near copies by exact Jaccard similarity ------------------------------------------------------------------------
+
+#: Near copies are texts whose sets of five-word shingles have a Jaccard similarity of COPY_JACCARD (numerator, denominator).
+COPY_SHINGLE, COPY_JACCARD = 5, (4, 5)
+#: MinHash bands and the minima of each. Texts meet if a band is equal: a pair at exactly 0.8 is missed with a probability
+#: of (1 - 0.8**5)**24, or 7 in 100,000; a pair at 0.3 meets with 6 %.
+BANDS, MINIMA = 24, 5
+#: Sets, and shingles, of a part of a group that is compared with another such part, on average.
+PART_SETS, PART_SHINGLES = 512, 1 << 20
+
+
+def shingle_set(text: str | None, width: int = COPY_SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH64 of a text's word shingles, its words being those of ``fingerprint``."""
+    tokens = (text or "").encode("utf-8").lower().split()
+    width = min(width, len(tokens))
+    digest = xxhash.xxh64_intdigest
+    flat, ends = b" ".join(tokens), np.cumsum([len(w) + 1 for w in tokens], dtype=np.int64) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    pairs = zip(starts[: len(tokens) - width + 1].tolist(), ends[max(0, width - 1) :].tolist(), strict=True) if tokens else ()
+    return np.unique(np.fromiter((digest(flat[s:e], SEED) for s, e in pairs), np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One number for each band of a set's MinHash minima."""
+    rng = np.random.default_rng(SEED)
+    factor, shift = rng.integers(0, 2**64, (2, BANDS * MINIMA), np.uint64)
+    factor |= np.uint64(1)
+    least = np.full(BANDS * MINIMA, ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 12):  # bounded memory, however long the text
+        least = np.minimum(least, (factor[:, None] * hashes[None, at : at + (1 << 12)] + shift[:, None]).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, MINIMA))], np.uint64)
+
+
+def _alike(shared: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sets that share so many of their ``both`` shingles (the sum of the two sizes) are near copies."""
+    over, under = COPY_JACCARD
+    return (over + under) * shared >= over * both
+
+
+def _sets(docs: DataFrame, kind: str) -> DataFrame:
+    """``id`` and ``hashes`` (the shingle set's bytes) of the rows (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "hashes"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, hashes binary")
+
+
+def _marked(docs: DataFrame, kind: str) -> DataFrame:
+    """``id``, ``node`` (a hash of the shingle set) and ``bands`` of the rows (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                keys = np.concatenate([bands(s) for s in sets]).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), lists], names=["id", "node", "bands"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, node long, bands array<long>")
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate links (a, b, two sets) and whether they are near copies."""
+    for batch in batches:
+        ok = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+            ok.append(bool(_alike(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Links among the sets of two parts of a group (or of one with itself) which span the components of near copies.
+
+    Columns: node, piece (nodes known to be connected have the same), hashes. Sets meet over an inverted index of their
+    shingles, so only the counts of one set with all others are held at a time.
+    """
+    node = table["node"].to_numpy()
+    _, label = np.unique(table["piece"].to_numpy(), return_inverse=True)
+    sets = [np.frombuffer(x.as_py(), "<u8") for x in table["hashes"]]
+    size = np.array([len(s) for s in sets])
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), size)[order]
+    first = np.searchsorted(number[order], np.arange(number.max(initial=-1) + 2))
+    a, b, at = [], [], 0
+    for i, n in enumerate(size.tolist()):
+        if (label == label[i]).all():
+            break
+        mine = number[at : at + n]
+        at += n
+        shared = np.zeros(len(sets), np.int64)
+        for lot in range(0, n, 1 << 10):
+            some = mine[lot : lot + (1 << 10)]
+            runs = first[some + 1] - first[some]
+            where = np.repeat(first[some] - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+            shared += np.bincount(owner[where], minlength=len(sets))
+        for j in np.flatnonzero(_alike(shared, n + size) & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                a.append(node[i])
+                b.append(node[j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def copy_links(keyed: DataFrame, marked: DataFrame, least: DataFrame, kind: str) -> DataFrame:
+    """Links (a, b) that span the components of near copies among the nodes.
+
+    All nodes with one band's value are linked to the smallest of them, so there are at most ``BANDS`` candidate links
+    for each node, however many share a value. The links are checked by exact Jaccard similarity; those that pass make
+    pieces. Where a group of candidates is more than one piece, all of its sets in different pieces are compared: the
+    group is cut into parts of bounded size by a hash, and each two parts meet in a task.
+    """
+    shared = staged(marked.select("node", F.explode("bands").alias("band")).distinct())
+    hubs = shared.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("band", "b")
+    tried = staged(shared.join(hubs, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    needed = staged(tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).distinct())
+    wanted = staged(least.join(needed, "node"))
+    once = keyed.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    sets = staged(_sets(once, kind).join(wanted, "id").select("node", "hashes"))
+    pair = tried.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    checked = staged(pair.select("a", "b", "x", "y").mapInArrow(_check, "a long, b long, ok boolean"))
+    passed = checked.where("ok").select("a", "b")
+
+    pieces = staged(components(passed))
+    named = needed.join(pieces, "node", "left").select("node", F.coalesce("root", "node").alias("piece"))
+    named = staged(named)
+    failed = checked.where("not ok").join(named.select(F.col("node").alias("a"), F.col("piece").alias("p")), "a").join(named.select(F.col("node").alias("b"), F.col("piece").alias("q")), "b")
+    groups = staged(components(failed.where("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b"))))
+    members = staged(named.join(groups.select(F.col("node").alias("piece"), F.col("root").alias("grp")), "piece").join(sets, "node"))
+    shingles = F.sum(F.octet_length("hashes") / 8)
+    parts = staged(members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(shingles / PART_SHINGLES), F.lit(1)).cast("int").alias("n")))
+    part = F.pmod(F.xxhash64("node"), "n").cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    dealt = members.join(parts, "grp").select("grp", "node", "piece", "hashes", part.alias("part"), other.alias("other"))
+    dealt = dealt.select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "piece", "hashes")
+    return passed.unionByName(dealt.groupBy("grp", "i", "j").applyInArrow(_compare, "a long, b long"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest doc_id, with all its columns.
 
-    Rows without a doc_id come after all others and go by their text's hash, so a group of such rows keeps one as
-    well. Of rows that repeat the kept id one stays. Texts are shuffled once, by id.
+    Near duplicates have a Jaccard similarity of ``COPY_JACCARD`` or more over their sets of five-word shingles, and a
+    group is a component of such links, each of them checked exactly. Texts without words have equal, empty sets. Rows
+    without a doc_id come after all others and go by their text's hash, so a group of such rows keeps one as
+    well. Of rows that repeat the kept id one stays. Texts are shuffled once, by id, and again those of candidates.
     """
     anonymous, ident = F.col("doc_id").isNull(), F.coalesce("doc_id", F.xxhash64("text"))
     keyed = docs.select(F.struct(anonymous.alias("anonymous"), ident.alias("ident")).alias("id"), "text")
-    near = near_duplicates(keyed, "id", distance=COPY_DISTANCE, shingle=COPY_SHINGLE, words=COPY_WORDS, most=COPY_MOST)
-    kept = near.where(F.col("id") == F.col("component_id")).select("id.*").distinct()
+    kind = keyed.schema["id"].dataType.simpleString()
+    marked = staged(_marked(keyed, kind))
+    least = staged(marked.groupBy("node").agg(F.min("id").alias("id")))
+    roots = staged(components(copy_links(keyed, marked, least, kind)))
+    rooted = least.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("id").alias("id")).select("id.*").distinct()
     rows = docs.select(anonymous.alias("anonymous"), ident.alias("ident"), F.struct(*docs.columns).alias("row"))
     return rows.join(staged(kept), ["anonymous", "ident"], "left_semi").dropDuplicates(["anonymous", "ident"]).select("row.*")
 

@@ -349,6 +349,31 @@ def test_simhash_on_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == simhash.keep_first(none).count() == 0
 
 
+def shingle_sets(texts):
+    return [frozenset(shingle_hashes(t, 5)) for t in texts]
+
+
+def jaccard_80(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def edited(rng, n, similarity):
+    """Two texts of n words whose five-word shingles have just the Jaccard similarity, or the next above it."""
+    a = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    k = int((n - 4) * (1 - similarity) / (1 + similarity))  # so many shingles of each text are its own
+    return " ".join(a), " ".join([*a[: n - k], *(f"v{x}" for x in rng.integers(0, 10**9, k))])
+
+
+def test_near_copies_at_the_limit(spark):
+    rng = np.random.default_rng(5)
+    pairs = [edited(rng, n, s) for n in (60, 204, 1004) for s in (0.8, 0.82, 0.85, 0.9) for _ in range(25)]
+    made = [t for pair in pairs for t in pair]
+    sets = shingle_sets(made)
+    assert all(jaccard_80(x, y) for x, y in zip(sets[::2], sets[1::2], strict=True))
+    kept = simhash.keep_first(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, len(made), 2))
+
+
 # 10
 
 
