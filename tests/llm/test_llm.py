@@ -374,6 +374,28 @@ def test_near_copies_at_the_limit(spark):
     assert sorted(r["doc_id"] for r in kept) == list(range(0, len(made), 2))
 
 
+def test_only_near_copies_go(spark, sf_dir, texts):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    roots = classes(shingle_sets(t for _, t in texts), jaccard_80)
+    kept = sorted(r["doc_id"] for r in simhash.keep_first(docs).collect())
+    assert kept == sorted(texts[k][0] for k, root in enumerate(roots) if root == k)
+
+
+def test_passages_in_common_do_not_join(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_SETS", 8)
+    rng = np.random.default_rng(6)
+    made = [t for s in (0.7, 0.75, 0.78) for _ in range(20) for t in edited(rng, 1004, s)]
+    base = [f"b{x}" for x in range(400)]
+    # all near the base, but not one another: the base comes last and joins them
+    made += [" ".join([*base[:at], *(f"x{i}" for i in range(at, at + 30)), *base[at + 30 :]]) for at in range(10, 370, 30)]
+    made.append(" ".join(base))
+    sets = shingle_sets(made)
+    kept = simhash.keep_first(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()
+    roots = classes(sets, jaccard_80)
+    assert sum(root == k for k, root in enumerate(roots)) == 121
+    assert sorted(r["doc_id"] for r in kept) == [k for k, root in enumerate(roots) if root == k]
+
+
 # 10
 
 
