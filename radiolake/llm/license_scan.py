@@ -1,10 +1,11 @@
 """License scans in built-in expressions: fixed phrases, and an exact set-similarity join with license templates.
 
-A block (a line of a text) and a template are sets of words. A pair counts if the block holds at least ``CONTAINED`` of
-the template's words. Words are ordered by their frequency in the whole corpus, rarest first. A block can only reach
+A template is a set of words. It is met if ``reach`` consecutive words of a text, over any line breaks, hold at least
+``CONTAINED`` of its words. Texts are cut into blocks of words that overlap by the longest reach, so each such window is
+whole in some block; a block is a set of words with their places. Words are ordered by their frequency in the whole corpus, rarest first. A block can only reach
 the threshold if it holds one of the template's few rarest words (prefix filter), holds enough words of any template
 (length filter), and has enough words left behind the first common one on both sides (positional filter). What passes
-is verified, so the join is exact.
+is verified window by window, so the join is exact.
 """
 
 from __future__ import annotations
@@ -54,8 +55,14 @@ def template_words(templates: list[tuple[str, str]]) -> list[tuple[str, list[str
     return [(label, sorted(set(text.lower().translate(cut).split()))) for label, text in templates]
 
 
+def reach(text: str) -> int:
+    """Consecutive words of a text among which a template's are looked for: its own length, half of it and two more."""
+    length = len(text.translate(str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalnum()})).split())
+    return length + length // 2 + 2
+
+
 def needed(words: list[str]) -> int:
-    """Words that a block must share with a template of these."""
+    """Words that a window must share with a template of these."""
     return -(-CONTAINED * len(words) // 100)
 
 
@@ -92,38 +99,44 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
     """``key``, ``n_words``, ``places`` of phrases, ``found`` (label and containment of templates) for each row.
 
     A null text is empty: no words, no places. Repeated rows are scanned each by itself; extra columns are ignored; an
-    empty table gives no rows. Lines of any length are sets of template words at most, so nothing grows with them.
+    empty table gives no rows. Blocks have a fixed number of words, however long a text or its lines are.
     """
-    known = template_words(TEMPLATES if templates is None else templates)
+    templates = TEMPLATES if templates is None else templates
+    known, reaches = template_words(templates), [reach(t) for _, t in templates]
+    stride = max(reaches)
     order = frequency_order(docs, text, sorted({w for _, ws in known for w in ws}))
     index, rows = [], []
     for number, (label, ws) in enumerate(known):
         ws = sorted(ws, key=order.get)
-        rows.append((number, label, ws, len(ws), needed(ws)))
+        rows.append((number, label, ws, len(ws), needed(ws), reaches[number]))
         index += [(w, number, i) for i, w in enumerate(ws[: len(ws) - needed(ws) + 1])]
     prefix, least = sorted({w for w, _, _ in index}), min(r[4] for r in rows)
     value = F.coalesce(F.col(text), F.lit(""))
 
-    def block(line: Column) -> Column:
-        """Words of a line: how many, and which distinct ones are a template's."""
-        return let(F.filter(F.split(line, BETWEEN), lambda w: w != ""), lambda ws: F.struct(F.size(ws).alias("n"), F.array_distinct(F.filter(ws, lambda w: w.isin(list(order)))).alias("words")))
+    def block(ws: Column, k: Column) -> Column:
+        """Template words, and their places, among the words from the k-th stride on."""
+        placed = F.transform(F.slice(ws, k * stride + 1, F.lit(2 * stride)), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+        return F.filter(placed, lambda h: h["word"].isin(list(order)))
 
-    lines = F.transform(F.split(lowered(value), "\n"), block)
-    able = lambda b: (F.size(b["words"]) >= least) & F.exists(b["words"], lambda w: w.isin(prefix))
-    parts = let(lines, lambda bs: F.struct(F.aggregate(bs, F.lit(0).cast("long"), lambda a, b: a + b["n"]).alias("n_words"), F.transform(F.filter(bs, able), lambda b: b["words"]).alias("blocks")))
+    distinct = lambda hits: F.array_distinct(F.transform(hits, lambda h: h["word"]))
+    able = lambda b: F.exists(b, lambda h: h["word"].isin(prefix)) & (F.size(distinct(b)) >= least)
+    every = F.filter(F.split(lowered(value), BETWEEN), lambda w: w != "")
+    starts = lambda ws: F.sequence(F.lit(0), F.floor(F.size(ws) / stride).cast("int"))
+    parts = let(every, lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), F.filter(F.transform(starts(ws), lambda k: block(ws, k)), able).alias("blocks")))
     read = staged(docs.select(F.col(key).alias("key"), phrase_places(value).alias("places"), parts.alias("p")).select("key", "places", "p.*").withColumn("row", F.monotonically_increasing_id()))
 
     spark = docs.sparkSession
     by_word = spark.createDataFrame(index, "word string, template int, i int")
-    by_template = spark.createDataFrame(rows, "template int, label string, of array<string>, size int, need int")
+    by_template = spark.createDataFrame(rows, "template int, label string, of array<string>, size int, need int, reach int")
     # a word's place by frequency, from a map literal of the templates' words
     places = F.create_map(*[x for w, i in order.items() for x in (F.lit(w), F.lit(i))])
-    blocks = read.select("row", F.posexplode("blocks").alias("block", "words"))
+    blocks = read.select("row", F.posexplode("blocks").alias("block", "hits")).withColumn("words", distinct(F.col("hits")))
     ordered = F.array_sort(F.transform("words", lambda w: F.struct(F.element_at(places, w).alias("o"), w.alias("word"))))
     words = blocks.select("row", "block", F.size("words").alias("n"), F.posexplode(ordered).alias("j", "w")).select("row", "block", "n", "j", "w.word")
     met = words.join(F.broadcast(by_word), "word").groupBy("row", "block", "n", "template").agg(F.min(F.struct("i", "j")).alias("first"))
     pairs = met.join(F.broadcast(by_template), "template").where((F.col("n") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("first.i") - 1, F.col("n") - F.col("first.j") - 1) >= F.col("need")))
-    shared = F.size(F.array_intersect("words", "of"))
+    window = lambda h: F.filter("hits", lambda x: (x["at"] >= h["at"]) & (x["at"] < h["at"] + F.col("reach")))
+    shared = F.array_max(F.transform("hits", lambda h: F.size(F.array_intersect(F.transform(window(h), lambda x: x["word"]), F.col("of")))))
     verified = pairs.join(blocks, ["row", "block"]).withColumn("shared", shared).where("shared >= need")
     found = verified.groupBy("row").agg(F.collect_set("label").alias("labels"), F.max(F.col("shared") / F.col("size")).alias("containment"))
     return read.join(staged(found), "row", "left").select(F.col("key").alias(key), "n_words", "places", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.coalesce("containment", F.lit(0.0)).alias("containment"))

@@ -261,6 +261,18 @@ def test_licenses_on_odd_rows(spark, odd, none):
     assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(none).count() == 0
 
 
+def test_wrapped_and_scattered_licenses(spark):
+    made, want = [], []
+    for label, text in license_scan.TEMPLATES:
+        ws = text.split()
+        for lead in (0, 5, 61, 200):
+            made.append("x " * lead + " ".join(ws[: len(ws) // 2]) + "\n# " + " ".join(ws[len(ws) // 2 :]) + " y" * 70)
+            want.append(label)
+    made.append(" ".join(w + " x" * 50 for w in "released under the mit license".split()))
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(made)), "doc_id int, text string")).collect()}
+    assert all(label in got[i] for i, label in enumerate(want)) and got[len(want)] == []
+
+
 # 8
 
 
