@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -98,10 +99,24 @@ def test_bpe_as_tiktoken(ranks, texts):
     rng = np.random.default_rng(1)
     odd = [" a  b ", " ", "  ", "a ", "a\n b", " x y", "a\x1cb", "<|endoftext|>", "aaaa" * 500, "ñ漢字😀👩‍👩‍👧", "x" * 50_000]
     odd += ["".join(chr(c) for c in rng.choice([*range(32, 127), *range(0xA0, 0x250)], 3000)), "".join(rng.choice(list("thein "), 5000))]
-    for text in [*odd, *(t or "" for _, t in texts)]:
-        ids = own.encode(text).tolist()
-        assert ids == ranks.encode_ordinary(text)
-        assert own.decode(ids) == text.encode()
+    odd += ["".join(rng.choice(["a", "É", " ", "  ", "\n", "\xa0", "1", "'s", "!", "漢字", "ing", "\r\n"], rng.integers(0, 30))) for _ in range(2000)]
+    whole = [*odd, None, *(t for _, t in texts)]
+    ids, counts = own.encode(pa.array(whole, pa.string()))
+    for text, got in zip(whole, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == ranks.encode_ordinary(text or "")
+        assert own.decode(got.tolist()) == (text or "").encode()
+    part = pa.array(whole, pa.string()).slice(7, 90)
+    assert np.array_equal(own.encode(part)[0], ids[counts[:7].sum() : counts[:97].sum()])
+
+
+def test_pairs_are_compatible_if_the_merges_give_them_back():
+    own = bpe.Bpe.load(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(3)
+    short = [t for t, b in own.bytes.items() if len(b) <= 6]
+    pairs = [(int(a), int(b)) for a, b in zip(rng.choice(short, 20_000), rng.choice(short, 20_000), strict=True)]
+    want = [own.merged((own.bytes[a] + own.bytes[b]).decode("latin-1")) == [a, b] for a, b in pairs]
+    left, right = np.array(pairs, np.int32).T
+    assert [own.compatible(a, b) for a, b in pairs] == own.compatibles(left, right).tolist() == own.compatibles(left, right).tolist() == want
 
 
 def test_bpe_query(spark, sf_dir, ranks, texts):
