@@ -109,15 +109,16 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", key: str =
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns: the pipeline's form of :func:`judge`.
 
-    Works row by row on ``docs`` itself: the base rules are evaluated where the text is, and only the hosts' verdicts
-    (found in a first pass) are joined in, so texts are never shuffled.
+    The rules are evaluated once: each row's counts are written with the row itself if it passes the base rules, and
+    without it if it fails. The hosts' verdicts, from the counts of all rows, then remove rows of rejected hosts. Texts
+    are never shuffled.
     """
     marked = document_rules(docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__text"), F.col("source").alias("__host")), "__text").drop("__text")
-    first = staged(marked.drop("__row"))
-    hosts = host_rates(first, "__host").where("host_failed").select(F.col("__host").alias("__of"))
+    first = staged(marked.withColumn("__row", F.when(~F.col("base_failed"), F.col("__row"))))
+    hosts = host_rates(first.drop("__row"), "__host").where("host_failed").select(F.col("__host").alias("__of"))
     if hosts.count() <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
-    kept = marked.where(~F.col("base_failed")).join(hosts, F.col("__host").eqNullSafe(F.col("__of")), "left_anti")
+    kept = first.where(~F.col("base_failed")).join(hosts, F.col("__host").eqNullSafe(F.col("__of")), "left_anti")
     return kept.select("__row.*")
 
 

@@ -9,9 +9,9 @@ the way down and drops a whole node when the sum passes the limit. Blocks of one
 the same way, by their top nodes first. Each comparison gives links that span its components rather than all pairs, and
 components of the links are found by large-star and small-star rounds over tables in the shared folder.
 
-One word of 64 bits scatters too much to tell texts of a similarity of 0.8 from others. For that, a text may have
-several words from independent hashes: texts meet if any of their words are near, each word being indexed as above, and
-are linked if all bits together are near as well.
+One word of 64 bits scatters too much to tell texts of a similarity of 0.8 from others, at any limit. For near copies by
+that similarity, :func:`keep_first` gives each set of shingles a longer fingerprint of several words, deals the sets by
+bands of their shingles' minima, searches each group with the same index and verifies what it finds exactly.
 """
 
 from __future__ import annotations
@@ -39,51 +39,39 @@ SEED = 42
 # --- fingerprints ---------------------------------------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED, words: int = 1) -> np.ndarray:
-    """SimHash words (uint64) of a text's word shingles; zeros if it has no words.
+def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED) -> np.uint64:
+    """SimHash of a text's word shingles; zero if it has no words.
 
     Only A-Z are lower-cased and only ASCII white space separates words, as ``bytes`` methods do. A bit is set if it
-    is set in over half the shingles' hashes: XXH64 for the first word, a mix of it (SplitMix64) for the others.
+    is set in over half the shingles' XXH64 hashes.
     """
     tokens = (text or "").encode("utf-8").lower().split()
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return np.uint64(0)
     flat = b" ".join(tokens)
     ends = np.cumsum([len(w) + 1 for w in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(shingle, len(tokens))
     digest = xxhash.xxh64_intdigest
-    total, count = np.zeros((words, 64), np.int64), len(tokens) - width + 1
+    total, count = np.zeros(64, np.int64), len(tokens) - width + 1
     for at in range(0, count, 1 << 16):  # bounded memory, however long the text
         many = slice(at, min(at + (1 << 16), count))
         hashes = np.array([digest(flat[s:e], seed) for s, e in zip(starts[many].tolist(), ends[width - 1 :][many].tolist(), strict=True)], "<u8")
-        for k in range(words):
-            bits = np.unpackbits(mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            total[k] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > count, axis=1, bitorder="little").view("<u8")[:, 0]
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > count, bitorder="little").view("<u8")[0]
 
 
-def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The k-th of independent hashes made from one; the 0-th is itself."""
-    if k == 0:
-        return hashes
-    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
-    """``key``, ``fp`` (the first word as a signed long) and ``words`` (all of them) for each row; wordless texts have 0."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
+    """``key`` and ``fp`` (a signed long) for each row; texts without words have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.concatenate([np.zeros((0, words), np.uint64), *[fingerprint(t.as_py(), shingle, SEED, words)[None] for t in batch.column(1)]]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * words, pa.int32()), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), lists], names=["key", "fp", "words"])
+            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long, words array<long>").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
 # --- the index ------------------------------------------------------------------------------------------------------
@@ -98,53 +86,55 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Fingerprints (uint64, Gray order) under nodes of up to FANOUT children each.
+    """Fingerprints in Gray order under nodes of up to FANOUT children each.
 
-    ``levels`` goes from the leaves to the single root; each level has its nodes' patterns, and the masks of the bits
-    that all below the node share and that the parent doesn't already account for.
+    ``fps`` are uint64, one row for each word of the fingerprints. ``levels`` goes from the leaves to the single root;
+    each level has its nodes' patterns, and the masks of the bits that all below the node share and that the parent
+    doesn't already account for.
     """
 
     def __init__(self, fps: np.ndarray):
         self.fps = fps
-        shared, levels = np.full(len(fps), ~np.uint64(0)), []
+        shared, levels = np.full_like(fps, ~np.uint64(0)), []
         pattern = fps
         while True:
             levels.append((pattern, shared))
-            if len(pattern) == 1:
+            if pattern.shape[1] == 1:
                 break
-            firsts = np.arange(0, len(pattern), FANOUT)
-            all_and = np.bitwise_and.reduceat(pattern, firsts)
-            all_or = np.bitwise_or.reduceat(pattern, firsts)
-            shared = ~(all_and ^ all_or) & np.bitwise_and.reduceat(shared, firsts)
+            firsts = np.arange(0, pattern.shape[1], FANOUT)
+            all_and = np.bitwise_and.reduceat(pattern, firsts, axis=1)
+            all_or = np.bitwise_or.reduceat(pattern, firsts, axis=1)
+            shared = ~(all_and ^ all_or) & np.bitwise_and.reduceat(shared, firsts, axis=1)
             pattern = all_and & shared
         self.levels = []
         for k, (pattern, shared) in enumerate(levels):
-            above = levels[k + 1][1][np.arange(len(pattern)) // FANOUT] if k + 1 < len(levels) else np.uint64(0)
+            above = levels[k + 1][1][:, np.arange(pattern.shape[1]) // FANOUT] if k + 1 < len(levels) else np.uint64(0)
             self.levels.append((pattern, shared & ~above))
 
     @property
-    def root(self) -> tuple[np.uint64, np.uint64]:
-        """Pattern and mask of the bits that all fingerprints share."""
+    def root(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pattern and mask of the bits that all fingerprints share, for each word."""
         pattern, mask = self.levels[-1]
-        return pattern[0], mask[0]
+        return pattern[:, 0], mask[:, 0]
 
     def search(self, queries: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query number, fingerprint number) of all within ``distance``, for some queries at a time."""
-        together = max(1, PAIRS_AT_ONCE // len(self.fps))
-        for at in range(0, len(queries), together):
-            own = queries[at : at + together]
-            q, node, gone = np.arange(len(own)), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        """(query number, fingerprint number) of all within ``distance``, for some queries at a time, in their order."""
+        together = max(1, PAIRS_AT_ONCE // self.fps.size)
+        for at in range(0, queries.shape[1], together):
+            own = queries[:, at : at + together]
+            n = own.shape[1]
+            q, node, gone = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
             for k in range(len(self.levels) - 1, -1, -1):
                 pattern, mask = self.levels[k]
-                gone = gone + np.bitwise_count((own[q] ^ pattern[node]) & mask[node])
+                gone = gone + _bits((own[:, q] ^ pattern[:, node]) & mask[:, node])
                 near = gone <= distance
                 q, node, gone = q[near], node[near], gone[near]
-                if k and len(q) > len(own) * len(pattern) * DENSE and len(pattern) >= FANOUT:
+                if k and len(q) > n * pattern.shape[1] * DENSE and pattern.shape[1] >= FANOUT:
                     # few groups can be pruned: all below are compared in rows, which costs less than following them
-                    q, node = np.nonzero(np.bitwise_count(own[:, None] ^ self.fps[None, :]) <= distance)
+                    q, node = np.nonzero(_bits(own[:, :, None] ^ self.fps[:, None, :]) <= distance)
                     break
                 if k:
-                    below = len(self.levels[k - 1][0])
+                    below = self.levels[k - 1][0].shape[1]
                     q, gone = np.repeat(q, FANOUT), np.repeat(gone, FANOUT)
                     node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                     there = node < below
@@ -152,6 +142,11 @@ class GrayIndex:
             yield q + at, node
 
 
+def _bits(words: np.ndarray) -> np.ndarray:
+    """Bits that are set in all words together; the words are the rows."""
+    return np.bitwise_count(words[0]) if len(words) == 1 else np.bitwise_count(words).sum(axis=0, dtype=np.int32)
+
+
 def spanning(n: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Smallest number in the component of each of ``n`` nodes, from chunks of links; memory stays at one chunk."""
     label = np.arange(n)
@@ -190,35 +185,29 @@ def _gray(word: Column) -> Column:
     return rank.bitwiseXOR(F.lit(-(1 << 63)))  # so that signed order is unsigned order
 
 
-#: Choices of segments of one word; a group's number is the word's times this and the choice's.
-CHOICES = 1000
+def blocks(distinct: DataFrame, distance: int, segments: int) -> DataFrame:
+    """Blocks of the groups: choice of segments, value, top node (pattern, mask), size and the fingerprints.
 
-
-def blocks(distinct: DataFrame, distance: int, segments: int, words: int) -> DataFrame:
-    """Blocks of the groups: group (word and choice), value, top node (pattern, mask), size and the rows' words.
-
-    Rows are dealt by range of (group, value, Gray rank), so a group of any size is spread over many tasks.
+    Rows are dealt by range of (choice, value, Gray rank), so a group of any size is spread over many tasks.
     """
-    masks = segment_masks(segments, distance)
-    word = lambda t: F.element_at("words", t + 1)
-    keys = F.array(*[F.struct(F.lit(t * CHOICES + i).alias("choice"), word(t).bitwiseAND(F.lit(_signed(m))).alias("value"), _gray(word(t)).alias("gray")) for t in range(words) for i, m in enumerate(masks)])
-    keyed = distinct.select("words", F.explode(keys).alias("k")).select("k.*", "words")
+    masks = F.array(*[F.lit(_signed(m)) for m in segment_masks(segments, distance)])
+    keyed = distinct.select("fp", _gray(F.col("fp")).alias("gray"), F.posexplode(masks).alias("choice", "mask"))
+    keyed = keyed.select("choice", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "gray", "fp")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         key, size = None, 0
 
         def block() -> pa.RecordBatch:
-            rows = np.concatenate(held)
-            pattern, mask = GrayIndex(rows[:, key[0] // CHOICES].view(np.uint64)).root
-            row = [[key[0]], [key[1]], [int(pattern.astype(np.int64))], [int(mask.astype(np.int64))], [len(rows)], [rows.astype("<i8").tobytes()]]
+            fps = np.concatenate(held)
+            pattern, mask = GrayIndex(fps.view(np.uint64)[None]).root
+            row = [[key[0]], [key[1]], [int(pattern[0].astype(np.int64))], [int(mask[0].astype(np.int64))], [len(fps)], [fps.astype("<i8").tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["choice", "value", "pattern", "mask", "n", "fps"])
 
         for batch in batches:
-            choice, value = (batch.column(i).to_numpy() for i in range(2))
-            rows = batch.column(2).flatten().to_numpy().reshape(-1, words)
+            choice, value, fps = (batch.column(i).to_numpy() for i in range(3))
             edges = np.flatnonzero((choice[1:] != choice[:-1]) | (value[1:] != value[:-1])) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)], strict=True):
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(fps)], strict=True):
                 if a == b:
                     continue
                 if key != (k := (int(choice[a]), int(value[a]))) and size:
@@ -227,7 +216,7 @@ def blocks(distinct: DataFrame, distance: int, segments: int, words: int) -> Dat
                 key = k
                 while a < b:
                     take = min(b - a, BLOCK - size)
-                    held.append(rows[a : a + take])
+                    held.append(fps[a : a + take])
                     a, size = a + take, size + take
                     if size == BLOCK:
                         yield block()
@@ -235,58 +224,38 @@ def blocks(distinct: DataFrame, distance: int, segments: int, words: int) -> Dat
         if size:
             yield block()
 
-    dealt = keyed.repartitionByRange("choice", "value", "gray").sortWithinPartitions("choice", "value", "gray").select("choice", "value", "words")
+    dealt = keyed.repartitionByRange("choice", "value", "gray").sortWithinPartitions("choice", "value", "gray").select("choice", "value", "fp")
     return dealt.mapInArrow(cut, "choice int, value long, pattern long, mask long, n int, fps binary")
 
 
-def _verified(near: Iterator[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs whose words together differ in at most ``most`` bits."""
-    for q, node in near:
-        ok = np.bitwise_count(left[q] ^ right[node]).sum(axis=1) <= most
-        yield q[ok], node[ok]
-
-
-def _links(left: np.ndarray, right: np.ndarray | None, word: int, distance: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of one block, or of two blocks' rows with each other, as first words.
-
-    Rows are near if they are in the indexed word, and then if all words together differ in at most ``most`` bits.
-    """
-    other = left if right is None else right
-    near = GrayIndex(other[:, word]).search(left[:, word], distance)
-    if left.shape[1] > 1:
-        near = _verified(near, left, other, most)
+def _links(left: np.ndarray, right: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of one block, or of two blocks' fingerprints with each other."""
     if right is None:
-        nodes, label = left, spanning(len(left), near)
+        nodes, label = left, spanning(len(left), GrayIndex(left[None]).search(left[None], distance))
     else:
         nodes = np.concatenate([left, right])
-        label = spanning(len(nodes), ((q, node + len(left)) for q, node in near))
+        label = spanning(len(nodes), ((q, node + len(left)) for q, node in GrayIndex(right[None]).search(left[None], distance)))
     away = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[away, 0], nodes[label[away], 0]
+    return nodes[away], nodes[label[away]]
 
 
-def links(distinct: DataFrame, distance: int = 4, segments: int | None = None, most: int | None = None) -> DataFrame:
-    """Links (a, b) among distinct fingerprints, which span all components of near ones.
+def links(distinct: DataFrame, distance: int = 4, segments: int | None = None) -> DataFrame:
+    """Links (a, b) among distinct fingerprints ``fp``, which span all components of those within ``distance`` bits.
 
-    ``distinct`` has ``fp`` and, for several words, ``words`` (the first is ``fp``); near are those that differ in at
-    most ``distance`` bits of some word and ``most`` of all. ``segments`` is by default the fewest for which an even
-    share of the fingerprints fits a block, counted from the table; every number of segments gives the same components.
+    ``segments`` is by default the fewest for which an even share of the fingerprints fits a block, counted from the
+    table; every number of segments gives the same components.
     """
-    if "words" not in distinct.columns:
-        distinct = distinct.select("fp", F.array("fp").alias("words"))
-    first = distinct.select(F.size("words")).first()
-    words = first[0] if first else 1
     if segments is None:
         n, segments = distinct.count(), distance + 1
         while segments < distance + 4 and n >> ((segments - distance) * (64 // segments)) > BLOCK:
             segments += 1
-    cut = staged(blocks(distinct, distance, segments, words).withColumn("block", F.monotonically_increasing_id()))
-    limit = 64 * words if most is None else most
+    cut = staged(blocks(distinct, distance, segments).withColumn("block", F.monotonically_increasing_id()))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                sides = [np.frombuffer(batch.column(c)[i].as_py(), "<u8").reshape(-1, words) if batch.column(c)[i].is_valid else None for c in (1, 2)]
-                a, b = _links(*sides, batch.column(0)[i].as_py() // CHOICES, distance, limit)
+                sides = [np.frombuffer(batch.column(c)[i].as_py(), "<u8") if batch.column(c)[i].is_valid else None for c in range(2)]
+                a, b = _links(*sides, distance)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     # Blocks of one group: all of its top nodes, some numbers each, and only pairs near enough on the bits both share.
@@ -295,9 +264,9 @@ def links(distinct: DataFrame, distance: int = 4, segments: int | None = None, m
     tops = tops.join(several, ["choice", "value"], "left_semi")
     other = tops.select("choice", "value", *[F.col(c).alias(f"{c}2") for c in ("block", "pattern", "mask")])
     apart = F.bit_count(F.col("pattern").bitwiseXOR(F.col("pattern2")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask2")))
-    pairs = tops.join(other, ["choice", "value"]).where((F.col("block") < F.col("block2")) & (apart <= distance)).select("choice", "block", "block2")
-    within = cut.where("n > 1").select("choice", "fps", F.lit(None).cast("binary").alias("fps2")).repartition(F.xxhash64("fps"))
-    across = pairs.join(cut.select("block", "fps"), "block").join(cut.select(F.col("block").alias("block2"), F.col("fps").alias("fps2")), "block2").select("choice", "fps", "fps2")
+    pairs = tops.join(other, ["choice", "value"]).where((F.col("block") < F.col("block2")) & (apart <= distance)).select("block", "block2")
+    within = cut.where("n > 1").select("fps", F.lit(None).cast("binary").alias("fps2")).repartition(F.xxhash64("fps"))
+    across = pairs.join(cut.select("block", "fps"), "block").join(cut.select(F.col("block").alias("block2"), F.col("fps").alias("fps2")), "block2").select("fps", "fps2")
     return within.unionByName(across).mapInArrow(search, "a long, b long").distinct()
 
 
@@ -328,18 +297,16 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4, words: int = 1, most: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
     """``key``, ``fp`` and ``component_id`` (smallest key reachable over links) for each row of ``docs``.
 
     Texts without words, null ones included, have fingerprint 0, which links like any other. Repeated rows and exact
-    copies share a fingerprint, so they count once in the search and each keeps its row in the result; with several
-    words, texts with an equal first word count as one. Null keys are never the smallest unless a component has no
-    other. Extra columns are ignored; an empty table gives no rows.
+    copies share a fingerprint, so they count once in the search and each keeps its row in the result. Null keys are
+    never the smallest unless a component has no other. Extra columns are ignored; an empty table gives no rows.
     """
-    marked = staged(fingerprints(docs, key, text, shingle, words).select(F.col(key).alias("id"), "fp", *(["words"] if words > 1 else [])))
-    found = [F.min("id").alias("least"), *([F.min("words").alias("words")] if words > 1 else [])]
-    distinct = staged(marked.groupBy("fp").agg(*found))
-    roots = staged(components(links(distinct.drop("least"), distance, most=most)))
+    marked = staged(fingerprints(docs, key, text, shingle).select(F.col(key).alias("id"), "fp"))
+    distinct = staged(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = staged(components(links(distinct.drop("least"), distance)))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -351,11 +318,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
 
 #: Near copies are texts whose sets of five-word shingles have a Jaccard similarity of COPY_JACCARD (numerator, denominator).
 COPY_SHINGLE, COPY_JACCARD = 5, (4, 5)
-#: MinHash bands and the minima of each. Texts meet if a band is equal: a pair at exactly 0.8 is missed with a probability
-#: of (1 - 0.8**5)**24, or 7 in 100,000; a pair at 0.3 meets with 6 %.
+#: Bands of shingle minima, and the minima of each. Sets meet if a band is equal: a pair at exactly 0.8 is missed with a
+#: probability of (1 - 0.8**5)**24, or 7 in 100,000; a pair at 0.3 meets with 6 %.
 BANDS, MINIMA = 24, 5
-#: Sets, and shingles, of a part of a group that is compared with another such part, on average.
-PART_SETS, PART_SHINGLES = 512, 1 << 20
+#: Bands that are searched first. What they join needn't be searched again in the others.
+FIRST_BANDS = 4
+#: Words of a set's SimHash fingerprint, and bits of them in which near copies may differ. At exactly 0.8 that is 57 of
+#: 384 with a deviation of 7 (72 for sets of four and five shingles), so the limit is over four deviations away.
+COPY_WORDS, COPY_BITS = 6, 104
+#: Sets and shingles of a block, on average.
+COPY_BLOCK, COPY_SHINGLES = 256, 1 << 19
 
 
 def shingle_set(text: str | None, width: int = COPY_SHINGLE) -> np.ndarray:
@@ -369,8 +341,28 @@ def shingle_set(text: str | None, width: int = COPY_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(flat[s:e], SEED) for s, e in pairs), np.uint64))
 
 
+def set_words(hashes: np.ndarray) -> np.ndarray:
+    """SimHash words of a set of shingles: XXH64 gives the first, mixes of it (SplitMix64) the others."""
+    total = np.zeros((COPY_WORDS, 64), np.int64)
+    for at in range(0, len(hashes), 1 << 14):  # bounded memory, however long the text
+        for k in range(COPY_WORDS):
+            bits = np.unpackbits(mixed(hashes[at : at + (1 << 14)], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[k] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of independent hashes made from one; the 0-th is itself."""
+    if k == 0:
+        return hashes
+    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def bands(hashes: np.ndarray) -> np.ndarray:
-    """One number for each band of a set's MinHash minima."""
+    """One number for each band of a set's minima."""
     rng = np.random.default_rng(SEED)
     factor, shift = rng.integers(0, 2**64, (2, BANDS * MINIMA), np.uint64)
     factor |= np.uint64(1)
@@ -380,116 +372,178 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, MINIMA))], np.uint64)
 
 
-def _alike(shared: np.ndarray, both: np.ndarray) -> np.ndarray:
-    """Whether sets that share so many of their ``both`` shingles (the sum of the two sizes) are near copies."""
-    over, under = COPY_JACCARD
-    return (over + under) * shared >= over * both
+def node_of(hashes: np.ndarray) -> int:
+    """A hash of a whole set, which stands for it: texts of equal sets are one node."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
-def _sets(docs: DataFrame, kind: str) -> DataFrame:
-    """``id`` and ``hashes`` (the shingle set's bytes) of the rows (id, text)."""
+def _marked(docs: DataFrame, kind: str) -> DataFrame:
+    """``id``, ``node``, ``size`` (shingles) and ``bands`` of the rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "hashes"])
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+                node = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
+                keys = np.concatenate([bands(s) for s in sets]).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), lists], names=["id", "node", "size", "bands"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, hashes binary")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, node long, size long, bands array<long>")
 
 
-def _marked(docs: DataFrame, kind: str) -> DataFrame:
-    """``id``, ``node`` (a hash of the shingle set) and ``bands`` of the rows (id, text)."""
+def _sets(docs: DataFrame) -> DataFrame:
+    """``node``, ``words`` (the fingerprint's bytes) and ``hashes`` (the set's) of the rows' ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                keys = np.concatenate([bands(s) for s in sets]).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), lists], names=["id", "node", "bands"])
+            for at in range(0, whole.num_rows, 256):
+                sets = [shingle_set(t.as_py()) for t in whole.column(0).slice(at, 256)]
+                node = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([set_words(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "words", "hashes"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, node long, bands array<long>")
+    return docs.select("text").mapInArrow(run, "node long, words binary, hashes binary")
 
 
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links (a, b, two sets) and whether they are near copies."""
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-            ok.append(bool(_alike(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+def near_copies(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have the Jaccard similarity of near copies."""
+    over, under = COPY_JACCARD
+    most, both = min(len(a), len(b)), len(a) + len(b)
+    if (over + under) * most < over * both:
+        return False
+    together = np.concatenate([a, b])
+    together.sort(kind="stable")
+    return (over + under) * int((together[1:] == together[:-1]).sum()) >= over * both
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Links among the sets of two parts of a group (or of one with itself) which span the components of near copies.
+def _joined(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Links among a block's rows, or from its strays to its others, that join pieces: columns node, piece, stray, words, hashes.
 
-    Columns: node, piece (nodes known to be connected have the same), hashes. Sets meet over an inverted index of their
-    shingles, so only the counts of one set with all others are held at a time.
+    The index finds sets that are near in all words; those of different pieces are compared exactly, until a set's
+    piece has all that it is near to.
     """
-    node = table["node"].to_numpy()
-    _, label = np.unique(table["piece"].to_numpy(), return_inverse=True)
-    sets = [np.frombuffer(x.as_py(), "<u8") for x in table["hashes"]]
-    size = np.array([len(s) for s in sets])
-    _, number = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(number, kind="stable")
-    owner = np.repeat(np.arange(len(sets)), size)[order]
-    first = np.searchsorted(number[order], np.arange(number.max(initial=-1) + 2))
-    a, b, at = [], [], 0
-    for i, n in enumerate(size.tolist()):
-        if (label == label[i]).all():
-            break
-        mine = number[at : at + n]
-        at += n
-        shared = np.zeros(len(sets), np.int64)
-        for lot in range(0, n, 1 << 10):
-            some = mine[lot : lot + (1 << 10)]
-            runs = first[some + 1] - first[some]
-            where = np.repeat(first[some] - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
-            shared += np.bincount(owner[where], minlength=len(sets))
-        for j in np.flatnonzero(_alike(shared, n + size) & (label != label[i])).tolist():
-            if label[j] != label[i]:
-                label[label == label[j]] = label[i]
-                a.append(node[i])
-                b.append(node[j])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def copy_links(keyed: DataFrame, marked: DataFrame, least: DataFrame, kind: str) -> DataFrame:
+    order = np.argsort(gray_rank(np.array([np.frombuffer(w.as_py(), "<u8", 1)[0] for w in rows["words"]], np.uint64)), kind="stable")
+    rows = rows.take(pa.array(order))
+    node, stray = rows["node"].to_numpy(), rows["stray"].to_numpy()
+    _, label = np.unique(rows["piece"].to_numpy(), return_inverse=True)
+    words = np.ascontiguousarray(np.stack([np.frombuffer(w.as_py(), "<u8") for w in rows["words"]], axis=1))
+    strays = bool(stray.any())
+    left = np.flatnonzero(stray) if strays else np.arange(len(node))
+    right = np.flatnonzero(~stray) if strays else left
+    opened: dict[int, np.ndarray] = {}
+
+    def opened_set(i: int) -> np.ndarray:
+        if i not in opened:
+            opened[i] = np.frombuffer(rows["hashes"][i].as_py(), "<u8")
+        return opened[i]
+
+    a, b = [], []
+    if not len(right) or (label == label[0]).all():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for q, found in GrayIndex(words[:, right]).search(words[:, left], COPY_BITS):
+        q, found = left[q], right[found]
+        if not strays:
+            q, found = q[found > q], found[found > q]
+        near = np.argsort(q, kind="stable")
+        q, found = q[near], found[near]
+        edges = np.flatnonzero(np.diff(q)) + 1
+        for mine in np.split(np.arange(len(q)), edges):
+            if not len(mine):
+                continue
+            i, others = int(q[mine[0]]), found[mine]
+            while len(others := others[label[others] != label[i]]):
+                j, others = int(others[0]), others[1:]
+                if near_copies(opened_set(i), opened_set(j)):
+                    label[label == label[j]] = label[i]
+                    a.append(node[i])
+                    b.append(node[j])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the blocks, whose rows follow one another: columns choice, value, i, j, then those of ``_joined``."""
+    held: list[pa.RecordBatch] = []
+    key = None
+
+    def found() -> pa.RecordBatch:
+        a, b = _joined(pa.Table.from_batches(held)) if sum(map(len, held)) > 1 else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        keys = [batch.column(c).to_numpy() for c in range(4)]
+        edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+            if start == end:
+                continue
+            if key != (k := tuple(int(x[start]) for x in keys)) and held:
+                yield found()
+                held = []
+            key = k
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield found()
+
+
+def _parts(rows: str = "rows", size: str = "shingles") -> Column:
+    """Blocks into which a group of so many sets, with so many shingles, is dealt."""
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / COPY_BLOCK), F.ceil(F.col(size) / COPY_SHINGLES)).cast("int")
+
+
+def _block_links(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the blocks (choice, value, i, j) of rows (node, piece, stray); the sets join them here."""
+    block = ["choice", "value", "i", "j"]
+    rows = dealt.join(sets, "node").select(*block, "node", "piece", "stray", "words", "hashes")
+    return rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(_search, "a long, b long")
+
+
+def copy_links(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) that span the components of near copies among the nodes.
 
-    All nodes with one band's value are linked to the smallest of them, so there are at most ``BANDS`` candidate links
-    for each node, however many share a value. The links are checked by exact Jaccard similarity; those that pass make
-    pieces. Where a group of candidates is more than one piece, all of its sets in different pieces are compared: the
-    group is cut into parts of bounded size by a hash, and each two parts meet in a task.
+    Sets with an equal band form a group. Groups are dealt into blocks of bounded size, and each block is searched by
+    its index. The first bands join most copies to pieces, so of the other bands only groups of several pieces are
+    dealt. Where a group is more than one block and more than one piece, all its sets outside its largest piece (its
+    strays) meet all of its blocks, each two blocks in a task. So a large group of near copies costs as much as its
+    size, and only what differs from it is compared with all of it.
     """
-    shared = staged(marked.select("node", F.explode("bands").alias("band")).distinct())
-    hubs = shared.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("band", "b")
-    tried = staged(shared.join(hubs, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    needed = staged(tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).distinct())
-    wanted = staged(least.join(needed, "node"))
-    once = keyed.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    sets = staged(_sets(once, kind).join(wanted, "id").select("node", "hashes"))
-    pair = tried.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    checked = staged(pair.select("a", "b", "x", "y").mapInArrow(_check, "a long, b long, ok boolean"))
-    passed = checked.where("ok").select("a", "b")
-
-    pieces = staged(components(passed))
-    named = needed.join(pieces, "node", "left").select("node", F.coalesce("root", "node").alias("piece"))
-    named = staged(named)
-    failed = checked.where("not ok").join(named.select(F.col("node").alias("a"), F.col("piece").alias("p")), "a").join(named.select(F.col("node").alias("b"), F.col("piece").alias("q")), "b")
-    groups = staged(components(failed.where("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b"))))
-    members = staged(named.join(groups.select(F.col("node").alias("piece"), F.col("root").alias("grp")), "piece").join(sets, "node"))
-    shingles = F.sum(F.octet_length("hashes") / 8)
-    parts = staged(members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(shingles / PART_SHINGLES), F.lit(1)).cast("int").alias("n")))
-    part = F.pmod(F.xxhash64("node"), "n").cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    dealt = members.join(parts, "grp").select("grp", "node", "piece", "hashes", part.alias("part"), other.alias("other"))
-    dealt = dealt.select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "piece", "hashes")
-    return passed.unionByName(dealt.groupBy("grp", "i", "j").applyInArrow(_compare, "a long, b long"))
+    each = nodes.select("node", "size", F.posexplode("bands").alias("choice", "value"))
+    groups = each.groupBy("choice", "value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("choice", "value")
+    rows = staged(each.join(groups, ["choice", "value"], "left_semi"))
+    wanted = staged(nodes.join(rows.select("node").distinct(), "node", "left_semi").select("id", "node"))
+    texts = keyed.join(wanted.select("id"), "id", "left_semi")
+    sets = staged(_sets(texts).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+
+    group, many = ["choice", "value"], [F.count("*").alias("rows"), F.sum("size").alias("shingles"), F.min("piece").alias("low"), F.max("piece").alias("high")]
+    links = pieces = None
+    for lot in (F.col("choice") < FIRST_BANDS, F.col("choice") >= FIRST_BANDS):
+        mine = _in_pieces(rows.where(lot), pieces)
+        several = mine.groupBy(*group).agg(*many).where("low < high").select(*group, _parts().alias("parts"))
+        part = F.pmod(F.xxhash64("node", "choice"), "parts").cast("int")
+        dealt = mine.join(several, group).select(*group, part.alias("i"), F.lit(0).alias("j"), "node", "piece", F.lit(False).alias("stray"))
+        found = staged(_block_links(dealt, sets))
+        links = found if links is None else links.unionByName(found)
+        pieces = staged(components(links))
+
+    mine = _in_pieces(rows, pieces)
+    large = mine.groupBy(*group).agg(*many).where("low < high").withColumn("parts", _parts()).where("parts > 1").select(*group, "parts")
+    mine = staged(mine.join(large, group))
+    counts = mine.groupBy(*group, "piece").agg(F.count("*").alias("n"))
+    main = counts.groupBy(*group).agg(F.max_by("piece", F.struct("n", "piece")).alias("main"))
+    mine = mine.join(main, group).withColumn("stray", F.col("piece") != F.col("main"))
+    strays = mine.where("stray").groupBy(*group).agg(F.count("*").alias("rows"), F.sum("size").alias("shingles")).select(*group, _parts().alias("lots"))
+    mine = staged(mine.join(strays, group))
+    part, lot = F.pmod(F.xxhash64("node"), "parts").cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), "lots").cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    others = mine.select(*group, part.alias("i"), upto("lots").alias("j"), "node", "piece", F.lit(False).alias("stray"))
+    dealt = others.unionByName(mine.where("stray").select(*group, upto("parts").alias("i"), lot.alias("j"), "node", "piece", "stray"))
+    return links.unionByName(staged(_block_links(dealt, sets)))
+
+
+def _in_pieces(rows: DataFrame, pieces: DataFrame | None) -> DataFrame:
+    """Adds ``piece``, the smallest node that the row's is known to be connected with."""
+    if pieces is None:
+        return rows.withColumn("piece", F.col("node"))
+    return rows.join(pieces, "node", "left").withColumn("piece", F.coalesce("root", "node")).drop("root")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -497,19 +551,21 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Near duplicates have a Jaccard similarity of ``COPY_JACCARD`` or more over their sets of five-word shingles, and a
     group is a component of such links, each of them checked exactly. Texts without words have equal, empty sets. Rows
-    without a doc_id come after all others and go by their text's hash, so a group of such rows keeps one as
-    well. Of rows that repeat the kept id one stays. Texts are shuffled once, by id, and again those of candidates.
+    are told apart by doc_id and text: those that repeat both are one, those that share a doc_id alone are not. Rows
+    without a doc_id come after all others and go by their text's hash, so a group of such rows keeps one as well.
+    Texts are shuffled once, and again those that share a band with another.
     """
-    anonymous, ident = F.col("doc_id").isNull(), F.coalesce("doc_id", F.xxhash64("text"))
-    keyed = docs.select(F.struct(anonymous.alias("anonymous"), ident.alias("ident")).alias("id"), "text")
+    ident = [F.col("doc_id").isNull().alias("anonymous"), F.coalesce("doc_id", F.xxhash64("text")).alias("ident"), F.xxhash64("text").alias("tie")]
+    names = ["anonymous", "ident", "tie"]
+    keyed = docs.select(F.struct(*ident).alias("id"), "text")
     kind = keyed.schema["id"].dataType.simpleString()
     marked = staged(_marked(keyed, kind))
-    least = staged(marked.groupBy("node").agg(F.min("id").alias("id")))
-    roots = staged(components(copy_links(keyed, marked, least, kind)))
-    rooted = least.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("id").alias("id")).select("id.*").distinct()
-    rows = docs.select(anonymous.alias("anonymous"), ident.alias("ident"), F.struct(*docs.columns).alias("row"))
-    return rows.join(staged(kept), ["anonymous", "ident"], "left_semi").dropDuplicates(["anonymous", "ident"]).select("row.*")
+    nodes = staged(marked.groupBy("node").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.min("bands").alias("bands")))
+    roots = staged(components(copy_links(keyed, nodes)))
+    rooted = nodes.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    kept = staged(rooted.groupBy("root").agg(F.min("id").alias("id")).select("id.*"))
+    rows = docs.select(*ident, F.struct(*docs.columns).alias("row")).dropDuplicates(names)
+    return rows.join(kept, names, "left_semi").select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,18 +305,6 @@ def brute_fingerprint(text, width=4):
     return majority(shingle_hashes(text, width))
 
 
-def brute_words(text):
-    """The three words of the pipeline's stage."""
-    full, out = (1 << 64) - 1, []
-    hashes = shingle_hashes(text, 5)
-    for k in range(3):
-        z = [(h + k * 0x9E3779B97F4A7C15) & full for h in hashes]
-        z = [(x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full for x in z]
-        z = [(x ^ x >> 27) * 0x94D049BB133111EB & full for x in z]
-        out.append(majority([x ^ x >> 31 for x in z] if k else hashes))
-    return out
-
-
 def classes(values, near):
     root = list(range(len(values)))
 
@@ -337,11 +325,6 @@ def within_4(a, b):
     return (a ^ b).bit_count() <= 4
 
 
-def copies(a, b):
-    apart = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
-    return apart[0] == 0 or min(apart) <= 9 and sum(apart) <= 33
-
-
 def test_simhash_query(spark, sf_dir, texts):
     got = {r["doc_id"]: r for r in QUERIES["op8_simhash"](spark, sf_dir).collect()}
     values = [brute_fingerprint(t) for _, t in texts]
@@ -409,7 +392,7 @@ def test_only_near_copies_go(spark, sf_dir, texts):
 
 
 def test_passages_in_common_do_not_join(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PART_SETS", 8)
+    monkeypatch.setattr(simhash, "COPY_BLOCK", 8)
     rng = np.random.default_rng(6)
     made = [t for s in (0.7, 0.75, 0.78) for _ in range(20) for t in edited(rng, 1004, s)]
     base = [f"b{x}" for x in range(400)]
@@ -479,7 +462,7 @@ def test_pipeline_by_brute_force(spark, sf_dir, ranks):
     first = {r["doc_id"]: r for r in kept.collect()}
     assert set(first) == {k for k, v in verdict.items() if v} and kept.columns == docs.columns
     ids = sorted(first)
-    roots = classes([brute_words(first[i]["text"]) for i in ids], copies)
+    roots = classes(shingle_sets(first[i]["text"] for i in ids), jaccard_80)
     unique = corpus_pipeline.drop_near_duplicates(spark, kept, sf_dir)
     assert sorted(r["doc_id"] for r in unique.collect()) == [ids[k] for k, root in enumerate(roots) if root == k]
     clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.redact_secrets(spark, unique, sf_dir).collect()}
