@@ -26,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 def repeated_words(ws: Column) -> Column:
     """Words in 3-word windows that occur twice or more in the array, the first occurrence included.
 
-    Windows are compared by the hash of their words' hashes. Only texts with a repeated window pay for the sort that
+    Windows are compared by the 64-bit hash of their words' hashes, and lines by theirs, without a look at the words. Only texts with a repeated window pay for the sort that
     brings equal windows together; positions covered by several windows count once.
     """
     hashes = F.transform(ws, lambda w: F.xxhash64(w))
@@ -44,7 +44,7 @@ def repeated_words(ws: Column) -> Column:
 
 
 def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the base counts and ``base_failed`` to the columns of ``docs``, which must not have those names.
+    """Adds the base counts, ``n_lines`` (with a word) and ``base_failed`` to the columns of ``docs``, which must not have those names.
 
     A null text counts as empty: no words, so it fails. Repeated rows are counted each by itself.
     """
@@ -54,13 +54,14 @@ def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     ws = F.filter(F.split(value, f"{BLANKS}+"), lambda w: w != "")
     lines = F.transform(F.filter(F.split(value, "\n"), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != ""), lambda x: F.xxhash64(x))
     counts = let(ws, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    out = docs.withColumn("__words", counts).withColumn("__lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))))
+    out = docs.withColumn("__words", counts).withColumn("__lines", let(lines, lambda x: F.struct(F.size(x).alias("all"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))))
     out = out.select(
         *docs.columns,
         F.col("__words.n_words").alias("n_words"),
         letters.cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),
-        F.col("__lines").cast("long").alias("n_dup_lines"),
+        F.col("__lines.dup").cast("long").alias("n_dup_lines"),
+        F.col("__lines.all").cast("long").alias("n_lines"),
         F.col("__words.n_repeat_words").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
@@ -77,6 +78,7 @@ def host_rates(rules: DataFrame, host: str = "source") -> DataFrame:
     soft = (
         F.col("base_failed")
         | (F.col("n_symbols") > MAX_SYMBOLS * F.col("word_chars"))
+        | (F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines"))
         | (F.col("word_chars") < MIN_WORD_CHARS * F.col("n_words"))
         | (F.col("word_chars") > MAX_WORD_CHARS * F.col("n_words"))
     )
@@ -138,14 +140,14 @@ win AS (SELECT row_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM p
 rep AS (SELECT row_id, i FROM (SELECT row_id, i, count(*) OVER (PARTITION BY row_id, g) AS n FROM win) WHERE n >= 2),
 cov AS (SELECT row_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY row_id),
 line AS (SELECT row_id, unnest(string_split(text, chr(10))) AS x FROM d),
-dup AS (SELECT row_id, count(*) - count(DISTINCT x) AS n FROM line WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY row_id),
+dup AS (SELECT row_id, count(*) - count(DISTINCT x) AS n, count(*) AS lines FROM line WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY row_id),
 base AS (SELECT d.row_id, doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, coalesce(dup.lines, 0) AS n_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN cov USING (row_id) LEFT JOIN dup USING (row_id)),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM base),
-host AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR n_symbols > {MAX_SYMBOLS} * word_chars
+host AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR n_symbols > {MAX_SYMBOLS} * word_chars OR n_dup_lines > {MAX_DUP_LINES} * n_lines
   OR word_chars < {MIN_WORD_CHARS} * n_words OR word_chars > {MAX_WORD_CHARS} * n_words) AS k FROM f GROUP BY source),
 mom AS (SELECT sum(k) AS k, sum(n) AS n, sum(k * k / n) AS kk, count(*) AS hosts, (sum(k) + 0.5) / (sum(n) + 1) AS m FROM host),
 gap AS (SELECT m, greatest(0.0, (kk - 2 * m * k + m * m * n) / n - m * (1 - m) * hosts / n) AS v FROM mom),

@@ -16,7 +16,7 @@ bands of their shingles' minima, searches each group with the same index and ver
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -326,8 +326,10 @@ FIRST_BANDS = 4
 #: Words of a set's SimHash fingerprint, and bits of them in which near copies may differ. At exactly 0.8 that is 57 of
 #: 384 with a deviation of 7 (72 for sets of four and five shingles), so the limit is over four deviations away.
 COPY_WORDS, COPY_BITS = 6, 104
-#: Sets and shingles of a block, on average.
-COPY_BLOCK, COPY_SHINGLES = 256, 1 << 19
+#: Fingerprints of a block, on average; sets and shingles of a block of sets.
+WORD_BLOCK, COPY_BLOCK, COPY_SHINGLES = 4096, 256, 1 << 19
+#: Rows up to which a side of keys is broadcast, counted before; beyond, the join is shuffled.
+BROADCAST_KEYS = 500_000
 
 
 def shingle_set(text: str | None, width: int = COPY_SHINGLE) -> np.ndarray:
@@ -378,7 +380,7 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def _marked(docs: DataFrame, kind: str) -> DataFrame:
-    """``id``, ``node``, ``size`` (shingles) and ``bands`` of the rows (id, text)."""
+    """``id``, ``node``, ``size`` (shingles), ``words`` (the fingerprint's bytes) and ``bands`` of the rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -388,22 +390,23 @@ def _marked(docs: DataFrame, kind: str) -> DataFrame:
                 node = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
                 keys = np.concatenate([bands(s) for s in sets]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), lists], names=["id", "node", "size", "bands"])
+                words = pa.array([set_words(s).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), words, lists], names=["id", "node", "size", "words", "bands"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, node long, size long, bands array<long>")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, node long, size long, words binary, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """``node``, ``words`` (the fingerprint's bytes) and ``hashes`` (the set's) of the rows' ``text``."""
+    """``node`` and ``hashes`` (the set's bytes) of the rows' ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 sets = [shingle_set(t.as_py()) for t in whole.column(0).slice(at, 256)]
                 node = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([set_words(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "words", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "node long, words binary, hashes binary")
+    return docs.select("text").mapInArrow(run, "node long, hashes binary")
 
 
 def near_copies(a: np.ndarray, b: np.ndarray) -> bool:
@@ -417,125 +420,162 @@ def near_copies(a: np.ndarray, b: np.ndarray) -> bool:
     return (over + under) * int((together[1:] == together[:-1]).sum()) >= over * both
 
 
-def _joined(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Links among a block's rows, or from its strays to its others, that join pieces: columns node, piece, stray, words, hashes.
+def _in_gray_order(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """A block's rows in Gray order of their fingerprints, and the fingerprints, one row for each word."""
+    words = np.stack([np.frombuffer(w.as_py(), "<u8") for w in rows["words"]], axis=1)
+    order = np.argsort(gray_rank(words[0]), kind="stable")
+    return rows.take(pa.array(order)), np.ascontiguousarray(words[:, order])
 
-    The index finds sets that are near in all words; those of different pieces are compared exactly, until a set's
-    piece has all that it is near to.
+
+def _met(rows: pa.Table) -> list[pa.RecordBatch]:
+    """The rows of a block (value, choice, node, size, words) that are near another one's fingerprint."""
+    rows, words = _in_gray_order(rows)
+    near = np.zeros(rows.num_rows, bool)
+    for q, found in GrayIndex(words).search(words, COPY_BITS):
+        apart = q != found
+        near[q[apart]] = near[found[apart]] = True
+    return rows.filter(pa.array(near)).select(["value", "choice", "node", "size"]).to_batches()
+
+
+def _joined(rows: pa.Table) -> list[pa.RecordBatch]:
+    """Links (a, b) among a block's rows, or from its strays to its others, that join pieces.
+
+    Columns: node, piece, stray, words, hashes. The index finds sets that are near in all words; those of different
+    pieces are compared exactly, until a set's piece has all that it is near to.
     """
-    order = np.argsort(gray_rank(np.array([np.frombuffer(w.as_py(), "<u8", 1)[0] for w in rows["words"]], np.uint64)), kind="stable")
-    rows = rows.take(pa.array(order))
+    rows, words = _in_gray_order(rows)
     node, stray = rows["node"].to_numpy(), rows["stray"].to_numpy()
     _, label = np.unique(rows["piece"].to_numpy(), return_inverse=True)
-    words = np.ascontiguousarray(np.stack([np.frombuffer(w.as_py(), "<u8") for w in rows["words"]], axis=1))
     strays = bool(stray.any())
     left = np.flatnonzero(stray) if strays else np.arange(len(node))
     right = np.flatnonzero(~stray) if strays else left
-    opened: dict[int, np.ndarray] = {}
-
-    def opened_set(i: int) -> np.ndarray:
-        if i not in opened:
-            opened[i] = np.frombuffer(rows["hashes"][i].as_py(), "<u8")
-        return opened[i]
-
+    sets = rows["hashes"].combine_chunks()
+    opened = lambda i: np.frombuffer(sets[i].as_buffer(), "<u8")
     a, b = [], []
     if not len(right) or (label == label[0]).all():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return []
     for q, found in GrayIndex(words[:, right]).search(words[:, left], COPY_BITS):
         q, found = left[q], right[found]
         if not strays:
             q, found = q[found > q], found[found > q]
         near = np.argsort(q, kind="stable")
         q, found = q[near], found[near]
-        edges = np.flatnonzero(np.diff(q)) + 1
-        for mine in np.split(np.arange(len(q)), edges):
+        for mine in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1):
             if not len(mine):
                 continue
             i, others = int(q[mine[0]]), found[mine]
             while len(others := others[label[others] != label[i]]):
                 j, others = int(others[0]), others[1:]
-                if near_copies(opened_set(i), opened_set(j)):
+                if near_copies(opened(i), opened(j)):
                     label[label == label[j]] = label[i]
                     a.append(node[i])
                     b.append(node[j])
-    return np.array(a, np.int64), np.array(b, np.int64)
+    return [pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])]
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the blocks, whose rows follow one another: columns choice, value, i, j, then those of ``_joined``."""
-    held: list[pa.RecordBatch] = []
-    key = None
+def in_blocks(rows: DataFrame, block: list[str], use: Callable[[pa.Table], list[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``use`` of each block's rows; blocks are dealt by their columns, which come first, and may be large or many.
 
-    def found() -> pa.RecordBatch:
-        a, b = _joined(pa.Table.from_batches(held)) if sum(map(len, held)) > 1 else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    One sorted pass over each partition, so that small blocks cost no group of their own.
+    """
+    n = len(block)
 
-    for batch in batches:
-        keys = [batch.column(c).to_numpy() for c in range(4)]
-        edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
-        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
-            if start == end:
-                continue
-            if key != (k := tuple(int(x[start]) for x in keys)) and held:
-                yield found()
-                held = []
-            key = k
-            held.append(batch.slice(start, end - start))
-    if held:
-        yield found()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def used() -> list[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            return use(table) if table.num_rows > 1 else []
+
+        for batch in batches:
+            keys = [batch.column(c).to_numpy() for c in range(n)]
+            edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                if start == end:
+                    continue
+                if key != (k := tuple(int(x[start]) for x in keys)) and held:
+                    yield from used()
+                    held = []
+                key = k
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield from used()
+
+    others = [c for c in rows.columns if c not in block]
+    return rows.select(*block, *others).repartition(*block).sortWithinPartitions(*block).mapInArrow(run, schema)
+
+
+def _bounded(keys: DataFrame) -> DataFrame:
+    """A staged table of keys, marked for broadcast if it is counted to be small."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
 def _parts(rows: str = "rows", size: str = "shingles") -> Column:
-    """Blocks into which a group of so many sets, with so many shingles, is dealt."""
+    """Blocks of sets into which a group of so many sets, with so many shingles, is dealt."""
     return F.greatest(F.lit(1), F.ceil(F.col(rows) / COPY_BLOCK), F.ceil(F.col(size) / COPY_SHINGLES)).cast("int")
 
 
 def _block_links(dealt: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of the blocks (choice, value, i, j) of rows (node, piece, stray); the sets join them here."""
-    block = ["choice", "value", "i", "j"]
-    rows = dealt.join(sets, "node").select(*block, "node", "piece", "stray", "words", "hashes")
-    return rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(_search, "a long, b long")
+    """Links of the blocks (value, i, j) of rows (node, piece, stray); the sets join them here."""
+    rows = dealt.join(sets, "node").select("value", "i", "j", "node", "piece", "stray", "words", "hashes")
+    return in_blocks(rows, ["value", "i", "j"], _joined, "a long, b long")
+
+
+def near_rows(nodes: DataFrame) -> DataFrame:
+    """``value``, ``choice``, ``node`` and ``size`` of the nodes in each band's group in which another fingerprint is near.
+
+    A band's value is a hash that holds the band's number, so it names the group. Of groups beyond a block of
+    fingerprints, which are dealt into several, all nodes stay.
+    """
+    each = nodes.select("node", "size", F.posexplode("bands").alias("choice", "value"))
+    groups = staged(each.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = each.join(_bounded(groups), "value")
+    small = shared.where(F.col("n") <= WORD_BLOCK).drop("n").join(nodes.select("node", "words"), "node")
+    met = in_blocks(small.select("value", "choice", "node", "size", "words"), ["value"], _met, "value long, choice int, node long, size long")
+    return met.unionByName(shared.where(F.col("n") > WORD_BLOCK).drop("n").select(*met.columns))
 
 
 def copy_links(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) that span the components of near copies among the nodes.
 
-    Sets with an equal band form a group. Groups are dealt into blocks of bounded size, and each block is searched by
-    its index. The first bands join most copies to pieces, so of the other bands only groups of several pieces are
-    dealt. Where a group is more than one block and more than one piece, all its sets outside its largest piece (its
-    strays) meet all of its blocks, each two blocks in a task. So a large group of near copies costs as much as its
-    size, and only what differs from it is compared with all of it.
+    Sets with an equal band form a group, and those with a near fingerprint in their group are verified. Groups are
+    dealt into blocks of bounded size, and each block is searched by its index. The first bands join most copies to
+    pieces, so of the other bands only groups of several pieces are dealt. Where a group is more than one block and
+    more than one piece, all its sets outside its largest piece (its strays) meet all of its blocks, each two blocks in
+    a task. So a large group of near copies costs as much as its size, and only what differs from it is compared with
+    all of it.
     """
-    each = nodes.select("node", "size", F.posexplode("bands").alias("choice", "value"))
-    groups = each.groupBy("choice", "value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("choice", "value")
-    rows = staged(each.join(groups, ["choice", "value"], "left_semi"))
-    wanted = staged(nodes.join(rows.select("node").distinct(), "node", "left_semi").select("id", "node"))
-    texts = keyed.join(wanted.select("id"), "id", "left_semi")
-    sets = staged(_sets(texts).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    rows = staged(near_rows(nodes))
+    wanted = staged(nodes.join(_bounded(staged(rows.select("node").distinct())), "node", "left_semi").select("id", "node", "words"))
+    texts = keyed.join(_bounded(wanted.select("id")), "id", "left_semi")
+    sets = staged(_sets(texts).join(wanted.select("node", "words"), "node").dropDuplicates(["node"]))
 
-    group, many = ["choice", "value"], [F.count("*").alias("rows"), F.sum("size").alias("shingles"), F.min("piece").alias("low"), F.max("piece").alias("high")]
+    many = [F.count("*").alias("rows"), F.sum("size").alias("shingles"), F.min("piece").alias("low"), F.max("piece").alias("high")]
     links = pieces = None
     for lot in (F.col("choice") < FIRST_BANDS, F.col("choice") >= FIRST_BANDS):
         mine = _in_pieces(rows.where(lot), pieces)
-        several = mine.groupBy(*group).agg(*many).where("low < high").select(*group, _parts().alias("parts"))
+        several = mine.groupBy("value").agg(*many).where("low < high").select("value", _parts().alias("parts"))
         part = F.pmod(F.xxhash64("node", "choice"), "parts").cast("int")
-        dealt = mine.join(several, group).select(*group, part.alias("i"), F.lit(0).alias("j"), "node", "piece", F.lit(False).alias("stray"))
+        dealt = mine.join(several, "value").select("value", part.alias("i"), F.lit(0).alias("j"), "node", "piece", F.lit(False).alias("stray"))
         found = staged(_block_links(dealt, sets))
         links = found if links is None else links.unionByName(found)
         pieces = staged(components(links))
 
     mine = _in_pieces(rows, pieces)
-    large = mine.groupBy(*group).agg(*many).where("low < high").withColumn("parts", _parts()).where("parts > 1").select(*group, "parts")
-    mine = staged(mine.join(large, group))
-    counts = mine.groupBy(*group, "piece").agg(F.count("*").alias("n"))
-    main = counts.groupBy(*group).agg(F.max_by("piece", F.struct("n", "piece")).alias("main"))
-    mine = mine.join(main, group).withColumn("stray", F.col("piece") != F.col("main"))
-    strays = mine.where("stray").groupBy(*group).agg(F.count("*").alias("rows"), F.sum("size").alias("shingles")).select(*group, _parts().alias("lots"))
-    mine = staged(mine.join(strays, group))
+    large = staged(mine.groupBy("value").agg(*many).where("low < high").withColumn("parts", _parts()).where("parts > 1").select("value", "parts"))
+    if large.isEmpty():
+        return links
+    mine = staged(mine.join(large, "value"))
+    counts = mine.groupBy("value", "piece").agg(F.count("*").alias("n"))
+    main = counts.groupBy("value").agg(F.max_by("piece", F.struct("n", "piece")).alias("main"))
+    mine = mine.join(main, "value").withColumn("stray", F.col("piece") != F.col("main"))
+    strays = mine.where("stray").groupBy("value").agg(F.count("*").alias("rows"), F.sum("size").alias("shingles")).select("value", _parts().alias("lots"))
+    mine = staged(mine.join(strays, "value"))
     part, lot = F.pmod(F.xxhash64("node"), "parts").cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), "lots").cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    others = mine.select(*group, part.alias("i"), upto("lots").alias("j"), "node", "piece", F.lit(False).alias("stray"))
-    dealt = others.unionByName(mine.where("stray").select(*group, upto("parts").alias("i"), lot.alias("j"), "node", "piece", "stray"))
+    others = mine.select("value", part.alias("i"), upto("lots").alias("j"), "node", "piece", F.lit(False).alias("stray"))
+    dealt = others.unionByName(mine.where("stray").select("value", upto("parts").alias("i"), lot.alias("j"), "node", "piece", "stray"))
     return links.unionByName(staged(_block_links(dealt, sets)))
 
 
@@ -553,19 +593,24 @@ def keep_first(docs: DataFrame) -> DataFrame:
     group is a component of such links, each of them checked exactly. Texts without words have equal, empty sets. Rows
     are told apart by doc_id and text: those that repeat both are one, those that share a doc_id alone are not. Rows
     without a doc_id come after all others and go by their text's hash, so a group of such rows keeps one as well.
-    Texts are shuffled once, and again those that share a band with another.
+    What is dropped is counted; if it is few rows, no text is shuffled, else all are once.
     """
     ident = [F.col("doc_id").isNull().alias("anonymous"), F.coalesce("doc_id", F.xxhash64("text")).alias("ident"), F.xxhash64("text").alias("tie")]
-    names = ["anonymous", "ident", "tie"]
     keyed = docs.select(F.struct(*ident).alias("id"), "text")
     kind = keyed.schema["id"].dataType.simpleString()
     marked = staged(_marked(keyed, kind))
-    nodes = staged(marked.groupBy("node").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.min("bands").alias("bands")))
+    nodes = staged(marked.groupBy("node").agg(*[F.min(c).alias(c) for c in ("id", "size", "words", "bands")]))
     roots = staged(components(copy_links(keyed, nodes)))
-    rooted = nodes.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    kept = staged(rooted.groupBy("root").agg(F.min("id").alias("id")).select("id.*"))
-    rows = docs.select(*ident, F.struct(*docs.columns).alias("row")).dropDuplicates(names)
-    return rows.join(kept, names, "left_semi").select("row.*")
+    rooted = staged(nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")))
+    kept = staged(rooted.groupBy("root").agg(F.min("id").alias("id")))
+    ids = marked.groupBy("id").agg(F.count("*").alias("n"))
+    dropped = staged(ids.join(kept, "id", "left_anti").select("id"))
+    repeated = staged(ids.where("n > 1").join(kept, "id", "left_semi").select("id"))
+    rows = docs.select(F.struct(*ident).alias("id"), F.struct(*docs.columns).alias("row")).join(_bounded(dropped), "id", "left_anti")
+    if not repeated.isEmpty():
+        again = rows.join(_bounded(repeated), "id", "left_semi").dropDuplicates(["id"])
+        rows = rows.join(_bounded(repeated), "id", "left_anti").unionByName(again)
+    return rows.select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 
@@ -77,7 +78,7 @@ def test_repeated_words_by_brute_force(spark):
 
 def test_small_hosts_are_shrunk(spark):
     rows = [("big", i % 10 == 0) for i in range(200)] + [("tiny", True)] + [("bad", True)] * 300
-    rules = spark.createDataFrame([(h, f, 0, 10, 2) for h, f in rows], "source string, base_failed boolean, n_symbols long, word_chars long, n_words long")
+    rules = spark.createDataFrame([(h, f, 0, 10, 2, 0, 1) for h, f in rows], "source string, base_failed boolean, n_symbols long, word_chars long, n_words long, n_dup_lines long, n_lines long")
     rate = {r["source"]: r["host_rate"] for r in quality_rules.host_rates(rules).collect()}
     assert rate["bad"] > 0.9 and rate["big"] < 0.2 and rate["tiny"] < 1.0
 
@@ -181,6 +182,61 @@ def test_secrets_on_odd_rows(spark, odd, none):
     assert secret_scan.scan(none).count() == secret_scan.redact(none).count() == 0
 
 
+def brute_battery(token):
+    """Encoding and p of a candidate, by the tests' definitions; None if no alphabet fits."""
+    digit, lower, upper = (bool(re.search(c, token)) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) and digit and (lower or upper):
+        alphabet, same = secret_scan.ALPHABETS["hex"], token.lower()
+    elif re.fullmatch("[A-Z2-7]+", token) and digit and upper:
+        alphabet, same = secret_scan.ALPHABETS["base32"], token
+    elif digit and lower and upper:
+        alphabet, same = secret_scan.ALPHABETS["base64"], token.replace("-", "+").replace("_", "/")
+    else:
+        return None
+    x = np.array([alphabet.index(c) for c in same], float)
+    n, k = len(x), len(alphabet)
+    tail = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    chi = sum(same.count(c) ** 2 for c in alphabet) * k / n - n
+    uniform = tail(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+    up = x >= k // 2
+    high, turns = up.sum(), 1 + (up[1:] != up[:-1]).sum()
+    expected = 2 * high * (n - high) / n + 1
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    runs = tail((turns - expected) / math.sqrt(spread)) if spread > 0 else 0.0
+    d = x - x.mean()
+    serial = tail(((d[1:] * d[:-1]).sum() / (d @ d) + 1 / n) * math.sqrt(n)) if d @ d > 0 else 0.0
+    return min(1.0, 3 * min(uniform, runs, serial))
+
+
+def test_randomness_by_brute_force(spark):
+    """Candidates, p and the corpus's thresholds: Spark against the definitions, over random and regular tokens."""
+    rng = np.random.default_rng(8)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    tokens = [pick(secret_scan.ALPHABETS[a], n) for a in secret_scan.ALPHABETS for n in (20, 31, 32, 40, 64, 150) for _ in range(6)]
+    tokens += ["Ab1" * n for n in range(7, 40)] + ["a1" * 12, "HelloWorldHelloWorld1234", "0123456789abcdef" * 3, "A" * 19 + "2", "x" * 30, pick("ab1A", 50)]
+    docs = spark.createDataFrame([(i, f"é {a}, ({b})") for i, (a, b) in enumerate(zip(tokens, reversed(tokens), strict=True))], "doc_id int, text string")
+    found = docs.select("doc_id", "text", secret_scan.candidates(F.col("text")).alias("candidates"))
+    rows, bins = found.collect(), {}
+    for r in rows:
+        want = []
+        for m in re.finditer("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", r["text"]):
+            p = brute_battery(m[0])
+            if p is not None:
+                want.append((m.start(), m.end(), int(math.log2(len(m[0]))), -10 * math.log10(max(p, 10 ** (-secret_scan.FINEST / 10)))))
+        got = [tuple(c) for c in r["candidates"]]
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert all(abs(g[3] + 0.5 - w[3]) < 0.52 + 0.01 * w[3] or w[3] > 60 for g, w in zip(got, want, strict=True))  # erfc's approximation is good to 2e-7
+        for g in got:
+            bins.setdefault(g[2], []).append(g[3])
+    limits = {}
+    for stratum, values in bins.items():
+        ps = sorted(10 ** (-b / 10) for b in values)
+        passed = [p for i, p in enumerate(ps) if p <= secret_scan.FDR * sum(q <= p for q in ps) / len(ps)]
+        if passed:
+            limits[stratum] = min(b for b in values if 10 ** (-b / 10) <= max(passed))
+    assert secret_scan.thresholds(found) == limits and limits
+
+
 # 5 and 9
 
 
@@ -221,6 +277,52 @@ def test_quality_model(spark, odd, none):
     assert {r["score"] for r in quality_classifier.score(odd, empty).collect()} == {0.5}
 
 
+def test_toxicity_score_by_brute_force(spark, sf_dir):
+    """Every score of the query from the learned lexicon, by looking at each word and phrase of the folded text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.learn(labels.sample(docs, marks, "toxic", toxicity.FOLDS, toxicity.HELD_OUT, toxicity.MOST_DOCUMENTS))
+    inside = lambda c: c.isalnum() or c == "_"
+
+    def places(flat, term):
+        return [(i, i + len(term)) for i in range(len(flat) - len(term) + 1) if flat.startswith(term, i) and (i == 0 or not inside(flat[i - 1])) and (i + len(term) == len(flat) or not inside(flat[i + len(term)]))]
+
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op5_toxicity"](spark, sf_dir).collect()}
+    for r in docs.collect():
+        flat = toxicity.folded(r["text"] or "")
+        free = [p for e in model["exceptions"] for p in places(flat, e)]
+        total = sum(w for term, w in model["weights"].items() for a, b in places(flat, term) if not any(x <= a and b <= y for x, y in free))
+        margin = total / (1 + math.log1p((flat.count(" ") + 1) / 100)) if flat else 0.0
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-(model["slope"] * margin + model["intercept"]))), abs=1e-9)
+
+
+def test_hinge_solver_against_the_dual_optimum():
+    """Coordinate descent reaches the optimum that projected gradient steps on the whole dual reach."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(1, 9))).astype(np.int32) for _ in range(60)]
+    scale, y = rng.normal(size=30), np.where(rng.random(60) < 0.5, 1.0, -1.0)
+    dense = np.zeros((60, 31))
+    for x, r in zip(dense, rows, strict=True):
+        x[r], x[-1] = scale[r], 1.0
+        x /= np.sqrt(x @ x)
+    gram = (dense * y[:, None]) @ (dense * y[:, None]).T
+    a = np.zeros(60)
+    for _ in range(200_000):
+        a = np.clip(a + (1 - gram @ a) / np.linalg.norm(gram, 2), 0, quality_classifier.COST)
+    primal = lambda w: w @ w / 2 + quality_classifier.COST * np.maximum(0, 1 - y * (dense @ w)).sum()
+    best, found = primal((a * y) @ dense), primal(quality_classifier.dual_descent(rows, scale, y))
+    assert found <= best * 1.01 + 1e-9
+
+
+def test_class_log_count_ratios():
+    rows, y = [np.array([0, 1], np.int32), np.array([1], np.int32), np.array([2], np.int32)], np.array([1.0, 1.0, 0.0])
+    model = quality_classifier.fit(rows, y)
+    n, alpha = 1 << quality_classifier.BITS, quality_classifier.ALPHA
+    one, zero = np.array([1, 2, 0]) + alpha, np.array([0, 0, 1]) + alpha
+    want = np.log(one / (3 + n * alpha)) - np.log(zero / (1 + n * alpha))
+    assert np.allclose(model["scale"][:3], want) and not model["scale"][3:].any()
+
+
 def test_samples_are_bounded_and_outside_the_fold(spark, odd):
     marks = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(1, 1), (None, 1)], "doc_id long, toxic int")
     docs = odd.select("doc_id", "text").unionByName(spark.range(100).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")))
@@ -259,9 +361,51 @@ def test_media_reads_runs_and_rejects_other_files():
     want = np.zeros(64, int)
     want[[0, 3, 20]] = 3, -1, 2
     assert found.tolist() == [want.tolist()] and media.thumbnail(image, found).tolist() == [[131]]
-    for wrong in (b"PNG", head.replace(b"\xff\xc0", b"\xff\xc2") + body + b"\xff\xd9"):
-        with pytest.raises(ValueError):
-            media.parse(wrong)
+    broken = head.replace(b"\xff\xc0", b"\xff\xc2") + body + b"\xff\xd9"
+    for wrong in (b"PNG", broken, head + body[:1] + b"\xff\xd9"):
+        assert media.read([wrong]) == [None]
+    with pytest.raises(ValueError):
+        media.parse(broken)
+    good = media.store([bytes(576)])[0]
+    assert media.read([good, b"PNG", good]) == [media.read([good])[0], None, media.read([good])[0]]
+
+
+def test_media_colour_thumbnails():
+    """Three components, the first with two by two blocks in a unit, of a size that fills no whole units; DC terms only."""
+    rng, size = np.random.default_rng(7), (37, 43)
+    rows, columns = -(-size[0] // 16), -(-size[1] // 16)
+    dc = rng.integers(-60, 60, (rows * 2, columns * 2))
+    code = media.codes(media.DC_LENGTHS)
+    end = media.codes({0: 1, 1: 2})[0]
+    bits, before = "", [0, 0, 0]
+    for y in range(rows):
+        for x in range(columns):
+            for c, value in [(0, dc[2 * y + v, 2 * x + h]) for v in (0, 1) for h in (0, 1)] + [(1, x), (2, -y)]:
+                step = int(value) - before[c]
+                before[c] = int(value)
+                n = abs(step).bit_length()
+                word, length = code[n]
+                bits += f"{word:0{length}b}" + (f"{step if step > 0 else step + (1 << n) - 1:0{n}b}" if n else "") + f"{end[0]:0{end[1]}b}"
+    bits += "1" * (-len(bits) % 8)
+    body = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    head = b"\xff\xd8" + media._segment("DQT", bytes([0] + [8] * 64)) + media._segment("SOF0", bytes([8, 0, size[0], 0, size[1], 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    head += media._segment("DHT", media._huffman_segment(0, media.DC_LENGTHS) + media._huffman_segment(0x10, {0: 1, 1: 2})) + media._segment("SOS", bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0]))
+    whole = head + body + b"\xff\xd9"
+    (image,) = media.parse(whole)
+    (found,) = media.decode([image])
+    assert media.thumbnail(image, found).tolist() == (dc + 128)[:5, :6].tolist()
+    payload, feature = media.read([whole])[0]
+    assert payload == b"" and feature.startswith("43x37:")
+
+
+def test_media_feature_by_brute_force():
+    """The feature from the payload alone: a coefficient of a block's first byte is eight times the block's mean."""
+    rng = np.random.default_rng(9)
+    raw = rng.integers(0, 256, 576 * 5, dtype=np.uint8)
+    first = raw.reshape(5, 9, 64)[:, :, 0].astype(int)
+    small = np.clip(np.where(first < 128, first - 128, first - 127) + 128, 0, 255).astype(np.uint8)
+    steps = "".join("1" if b > a else "0" for a, b in zip(small.mean(axis=0), small.mean(axis=0)[1:], strict=False))
+    assert media.read(media.store([raw.tobytes()]))[0] == (raw.tobytes(), f"72x40:{hashlib.sha256(small.tobytes()).hexdigest()[:32]}:{steps}")
 
 
 # 7
@@ -439,17 +583,21 @@ def test_token_parts_are_the_whole(texts):
 
     whole, parts = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY)), token_files.Parts.load(public_tokenizers.path(token_files.VOCABULARY))
     for text in ["", "  a\x1cb <|endoftext|>x É́ é KK İi ﬁ　漢字", "a\x0bb\x85c d  ", "a\r\nb\tc", "x" * 5000]:
-        assert parts.encode([text], None)[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert parts.encode(pa.array([text]), None)[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+    ids, counts = parts.encode(pa.array([t for _, t in texts], pa.string()), 1)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for _, t in texts]
 
 
 def test_token_files_on_odd_rows(odd, none):
-    got = token_files.crc(token_files.read_files(token_files.write_files(odd))).collect()
+    got = token_files.digest_files(token_files.write_files(odd)).collect()
     assert len(got) == len(ODD)
     ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in got)
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
     ordered = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
     assert ordered == [None, None, 1, 1, 2, 3, 4, 5]
-    assert token_files.crc(token_files.read_files(token_files.write_files(none))).count() == 0
+    whole = {(r["doc_id"], r["start"]): r["ids"] for r in token_files.read_files(token_files.write_files(odd)).collect()}
+    assert {(r["doc_id"], r["start"]): r["ids_crc32"] for r in got} == {k: zlib.crc32(np.array(v, "<u4").tobytes()) for k, v in whole.items()}
+    assert token_files.digest_files(token_files.write_files(none)).count() == token_files.read_files(token_files.write_files(none)).count() == 0
 
 
 # pipeline
@@ -476,8 +624,72 @@ def test_pipeline_by_brute_force(spark, sf_dir, ranks):
 
 
 def test_pipeline_on_odd_rows(spark, odd, none, sf_dir):
-    for docs in (odd, none):
-        rows = docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.lit(1).cast("long").alias("n_chars"), "ids")
-        for _, stage in corpus_pipeline.STAGES:
-            rows = stage(spark, rows, sf_dir)
-        assert rows.count() >= 0
+    body = " ".join(f"w{i}" for i in range(60))
+    token = "token=abcdefghijklmnop"
+    whole = [(10, f"{body} {token}", "s1"), (11, f"{body} {token}", "s1"), (None, f"{body} other {token}", None), (12, " ".join(f"v{i}" for i in range(80)), None), (12, " ".join(f"v{i}" for i in range(80)), None), (13, " ".join(f"u{i}" for i in range(90)), "s2")]
+    rows = odd.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.lit(1).cast("long").alias("n_chars"), "ids")
+    rows = rows.unionByName(spark.createDataFrame(whole, "doc_id long, text string, source string").withColumns({"lang": F.lit("en"), "n_chars": F.lit(1).cast("long"), "ids": F.lit(7)}))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality rules"](spark, rows, sf_dir)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["10", "11", "12", "12", "13", "None"]  # the others are short or repeat themselves
+    unique = stages["simhash near-dedup"](spark, kept, sf_dir)
+    assert sorted(str(r["doc_id"]) for r in unique.collect()) == ["10", "12", "13"] and unique.columns == rows.columns
+    clean = stages["secret scan"](spark, unique, sf_dir)
+    assert {r["doc_id"]: r["text"] for r in clean.collect()}[10] == f"{body} {secret_scan.MASK}" and clean.columns == rows.columns
+    mixed = stages["source mixing"](spark, clean, sf_dir)
+    assert {r["doc_id"] for r in mixed.collect()} <= {10, 12, 13} and mixed.columns == rows.columns
+    counts = stages["byte-level bpe"](spark, mixed, sf_dir).collect()
+    assert len(counts) == mixed.count() and all(r["n_tokens"] > 60 for r in counts)
+    empty = rows.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf_dir)
+    assert empty.count() == 0
+
+
+def test_hosts_are_rejected_and_tiny_ones_spared(spark, tmp_path):
+    """A host whose documents mostly fail loses its good ones too; of a tiny one, the good one stays: as in SQL."""
+    good = lambda i: " ".join(f"word{i}x{j}" for j in range(60))
+    marked = lambda i: good(i) + " " + "#" * 200
+    rows = [(i, marked(i) if i % 10 else good(i), "bad") for i in range(200)] + [(1000 + i, good(i), f"fine{i % 4}") for i in range(1200)] + [(3000, marked(1), "tiny"), (3001, good(2), "tiny"), (3002, "short", "fine0")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op1_quality_rules"](spark, str(tmp_path)).collect()}
+    lost = {k for k, r in got.items() if not r["base_failed"] and not r["kept"]}
+    assert lost == {i for i in range(200)} and got[3001]["kept"] and got[3000]["kept"] and not got[3002]["kept"]
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {k: (r["base_failed"], r["kept"]) for k, r in got.items()} == {k: (b, v) for k, b, v in con.sql(f"select doc_id, base_failed, kept from ({SQL['op1_quality_rules']})").fetchall()}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in quality_rules.keep_documents(docs).collect()} == {k for k, r in got.items() if r["kept"]}
+
+
+def test_recall_by_similarity(spark):
+    """Of pairs at and above the limit, by class of Jaccard similarity, the share whose copies are joined."""
+    rng = np.random.default_rng(11)
+    pairs = [edited(rng, int(n), s) for s in (0.80, 0.82, 0.84, 0.86, 0.88, 0.90, 0.95) for n in rng.integers(50, 400, 60)]
+    sets = shingle_sets(t for p in pairs for t in p)
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(list(enumerate(t for p in pairs for t in p)), "doc_id long, text string")).collect()}
+    classes_of, joined = {}, {}
+    for k, (a, b) in enumerate(zip(sets[::2], sets[1::2], strict=True)):
+        similarity = math.floor(50 * len(a & b) / len(a | b)) / 50
+        classes_of[similarity] = classes_of.get(similarity, 0) + 1
+        joined[similarity] = joined.get(similarity, 0) + (2 * k + 1 not in kept)
+    assert all(joined[c] >= 0.98 * n for c, n in classes_of.items() if c >= 0.8), (classes_of, joined)
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Groups of several blocks, whose stragglers must meet all blocks: the classes are those of brute force."""
+    monkeypatch.setattr(simhash, "COPY_BLOCK", 6)
+    monkeypatch.setattr(simhash, "WORD_BLOCK", 16)
+    rng = np.random.default_rng(12)
+    base = [f"b{x}" for x in range(150)]
+    made = []
+    for k in range(90):
+        words = list(base)
+        for at in rng.choice(150, 1 + k % 7, replace=False):
+            words[at] = f"x{k}y{at}"
+        made.append(" ".join(words))
+    made += made[:20] + [" ".join(f"z{k}w{i}" for i in range(100)) for k in range(10)]
+    kept = simhash.keep_first(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()
+    roots = classes(shingle_sets(made), jaccard_80)
+    assert 11 < len(set(roots)) < 60
+    assert sorted(r["doc_id"] for r in kept) == [k for k, root in enumerate(roots) if root == k]
