@@ -16,17 +16,18 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from radiolake.llm.bpe import slices, spread
 from radiolake.llm.common import documents, staged
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
@@ -34,53 +35,61 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 1
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1])
 WIDTHS = np.array([60 // n if n else 0 for n in COUNTS])
 ESCAPE, BLOCK_IDS, MAGIC = 15, 4096, b"TID1"
-#: Ids after which a file is closed (at the next document's end), and parts of a generation that a worker remembers.
-FILE_IDS, MEMO = 2_000_000, 200_000
-#: Bytes of texts and characters of new parts that are encoded together.
-BATCH_BYTES, TOGETHER = 2_000_000, 5_000
+#: Ids after which a file is closed (at the next document's end), and ids that are packed at a time (whole blocks).
+FILE_IDS, PACK_IDS = 1_000_000, 64 * BLOCK_IDS
+#: Bytes of texts that are encoded together, and characters of their different parts.
+BATCH_BYTES, TOGETHER = 6_000_000, 5_000
+#: Bytes of texts of a range of keys, and files up to which their first places are broadcast (three numbers each).
+RANGE_BYTES, BROADCAST_FILES = 32_000_000, 100_000
 
 
 # --- Simple-8b ------------------------------------------------------------------------------------------------------
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, raw words and block table (first word, words, first raw word, ids) of uint64 ids.
+    """Words, raw words and block table (first word, words, first raw word, ids) of unsigned ids.
 
-    Each word takes as many ids as fit. For every width, the ids that follow without a wider one are counted for all
-    places at once; only the step from word to word is a loop.
+    Each word takes as many ids as fit. The narrowest selector for each place comes from the widest id of each length
+    of window, and the words of all blocks are found step by step together, as no word goes on into the next block.
     """
-    ids = np.ascontiguousarray(ids, np.uint64)
     if not len(ids):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)
-    place = np.arange(len(ids))
-    left = np.minimum(BLOCK_IDS - place % BLOCK_IDS, len(ids) - place)  # a word doesn't go on into the next block
-    best = np.full(len(ids), ESCAPE, np.int64)
-    bits = int(ids.max()).bit_length()
-    for selector in range(13, -1, -1):
-        if WIDTHS[selector] >= bits:
-            best[:] = selector
-            continue
-        wide = np.concatenate([[0], np.cumsum(ids >> np.uint64(WIDTHS[selector]) != 0, dtype=np.int32)])
-        fit = wide[place + np.minimum(left, COUNTS[selector])] == wide[:-1]
-        if not fit.any():
-            break  # narrower selectors take more ids of which each is smaller
-        best[fit] = selector
-    step = np.minimum(COUNTS[best], left).tolist()
-    starts, at = [], 0
-    while at < len(step):
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts)
-    chosen, taken = best[starts], np.minimum(COUNTS[best[starts]], left[starts])
+    n_blocks = -(-len(ids) // BLOCK_IDS)
+    # for each id the first selector that is wide enough; zeros behind each block
+    need = np.zeros((n_blocks, BLOCK_IDS + int(COUNTS[0])), np.uint8)
+    own = np.zeros(n_blocks * BLOCK_IDS, np.uint8)
+    own[: len(ids)] = narrowest(ids)
+    need[:, :BLOCK_IDS] = own.reshape(n_blocks, BLOCK_IDS)
+    widest, best = {1: need}, np.where(need < ESCAPE, 13, ESCAPE).astype(np.uint8)[:, :BLOCK_IDS]
+    for selector in range(12, -1, -1):
+        n = int(COUNTS[selector])
+        half = max(k for k in widest if k >= (n + 1) // 2)
+        window = need.copy()
+        window[:, : need.shape[1] - n + half] = np.maximum(widest[half][:, : need.shape[1] - n + half], widest[half][:, n - half :])
+        widest = {k: w for k, w in widest.items() if 2 * k > n} | {n: window}
+        best[window[:, :BLOCK_IDS] <= selector] = selector
+    best = best.reshape(-1)
+    at = np.arange(n_blocks, dtype=np.int64) * BLOCK_IDS
+    stop = np.minimum(at + BLOCK_IDS, len(ids))
+    is_start = np.zeros(len(ids), bool)
+    while len(at):
+        is_start[at] = True
+        at = at + COUNTS[best[at]]
+        at, stop = at[at < stop], stop[at < stop]
+    starts = np.flatnonzero(is_start)
+    chosen = best[starts].astype(np.int64)
+    left = np.minimum(BLOCK_IDS - starts % BLOCK_IDS, len(ids) - starts)
+    taken = np.minimum(COUNTS[chosen], left)
     words = chosen.astype(np.uint64)
-    raw = ids[starts[chosen == ESCAPE]]
+    raw = ids[starts[chosen == ESCAPE]].astype(np.uint64)
     for selector in np.unique(chosen):
         which = np.flatnonzero(chosen == selector)
         if selector == ESCAPE:
             continue
+        full = which[taken[which] == COUNTS[selector]]
         for k in range(COUNTS[selector]):
-            some = which[taken[which] > k]
-            words[some] |= ids[starts[some] + k] << np.uint64(4 + k * WIDTHS[selector])
+            some = full if len(full) == len(which) else which[taken[which] > k]
+            words[some] |= ids[starts[some] + k].astype(np.uint64) << np.uint64(4 + k * WIDTHS[selector])
     first = np.searchsorted(starts, np.arange(0, len(ids), BLOCK_IDS))
     last = np.append(first[1:], len(starts))
     raws = np.concatenate([[0], np.cumsum(chosen == ESCAPE)])
@@ -91,6 +100,16 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, raw, np.stack([first, last - first, raws[first], counts], axis=1).astype(np.int64)
 
 
+def narrowest(ids: np.ndarray) -> np.ndarray:
+    """For each id the first selector whose width holds it, or the escape."""
+    limits = np.array([1 << int(w) for w in WIDTHS[:14]], np.uint64)
+    find = lambda x: np.searchsorted(limits, x, "right").astype(np.uint8)
+    if ids.max() < 1 << 16:
+        return find(np.arange(1 << 16, dtype=np.uint64))[ids.astype(np.uint16)]
+    need = find(ids.astype(np.uint64))
+    return np.where(need > 13, ESCAPE, need).astype(np.uint8)
+
+
 def unpack(words: np.ndarray, raw: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     """The ids of some blocks one after the other; all words of a selector at a time."""
     if not len(blocks):
@@ -122,10 +141,15 @@ def unpack(words: np.ndarray, raw: np.ndarray, blocks: np.ndarray) -> np.ndarray
 
 def to_file(documents_ids: list[np.ndarray]) -> bytes:
     """The bytes of a file that holds the ids of some documents."""
-    ids = np.concatenate([np.zeros(0, np.uint64), *documents_ids])
-    words, raw, blocks = pack(ids)
-    head = np.array([len(documents_ids), len(ids), len(blocks), len(raw)], "<i8").tobytes()
+    ids = np.concatenate([np.zeros(0, np.uint16), *documents_ids])
     counts = np.array([len(x) for x in documents_ids], "<i8").tobytes()
+    packed, n_words, n_raw = [], 0, 0
+    for at in range(0, len(ids), PACK_IDS):  # whole blocks, for bounded memory
+        words, raw, blocks = pack(ids[at : at + PACK_IDS])
+        packed.append((words, raw, blocks + np.array([n_words, 0, n_raw, 0])))
+        n_words, n_raw = n_words + len(words), n_raw + len(raw)
+    words, raw, blocks = (np.concatenate(x) for x in zip(*(packed or [pack(ids)]), strict=True))
+    head = np.array([len(documents_ids), len(ids), len(blocks), len(raw)], "<i8").tobytes()
     return b"".join([MAGIC, head, counts, blocks.astype("<i8").tobytes(), words.astype("<u8").tobytes(), raw.astype("<u8").tobytes()])
 
 
@@ -150,22 +174,20 @@ def from_file(content: bytes) -> tuple[np.ndarray, np.ndarray]:
 # --- encoding -------------------------------------------------------------------------------------------------------
 
 
-class Parts(dict):
-    """Ids of the parts between blanks, as the tokenizer gives them. A worker fills it once for each vocabulary.
+class Parts:
+    """The vocabulary's ids of the parts of texts between blanks. A worker loads each vocabulary once.
 
     The vocabulary's normalizer turns white space into blanks and no token holds any, so the ids of a text are those
-    of its parts one after the other. New parts of many texts are encoded as one text; a token belongs to the part
-    in which it begins. (The library is fastest on some thousand characters.) Parts are remembered in two generations of ``MEMO``, so that those in use stay.
+    of its parts one after the other, and each part of a batch of texts is encoded once.
     """
 
     loaded: dict[str, Parts] = {}
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
 
     @classmethod
     def load(cls, path: str) -> Parts:
@@ -173,54 +195,73 @@ class Parts(dict):
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def __missing__(self, part: str) -> bytes:
-        if (ids := self.older.get(part)) is None:
-            return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
-        self[part] = ids
-        return ids
+    def encode_joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts one after the other, and how many each has.
 
-    def learn(self, new: list[str]) -> None:
-        """Encodes the parts together, some thousand characters at a time."""
-        at = 0
-        while at < len(new):
+        Some thousand characters are encoded as one text, on which the library is fastest; a token belongs to the part
+        in which it begins.
+        """
+        ids, counts, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        while at < len(parts):
             some, size = [], 0
-            while at < len(new) and size < TOGETHER:
-                some.append(new[at])
-                size += len(new[at])
+            while at < len(parts) and size < TOGETHER:
+                some.append(parts[at])
+                size += len(parts[at])
                 at += 1
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
             begin = np.array([o[0] for o in found.offsets], np.int64)
             starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in some])])
-            cuts = np.searchsorted(begin, starts).tolist()
-            raw = ids.tobytes()
-            if len(self) + len(some) > MEMO:
-                self.older = self.copy()
-                self.clear()
-            for k, part in enumerate(some):
-                self[part] = raw[4 * cuts[k] : 4 * cuts[k + 1]]
-
-    def encode(self, texts: list[str], end_id: int | None) -> list[np.ndarray]:
-        """Ids of whole texts, each with the end id if there is one."""
-        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        self.learn([p for p in set().union(*cut) if len(p) <= 64 and p not in self and p not in self.older])
-        end = b"" if end_id is None else array("I", [end_id]).tobytes()
-        return [np.frombuffer(b"".join(map(self.__getitem__, parts)) + end, np.uint32) for parts in cut]
-
-
-def shortest(ids: np.ndarray) -> bytes:
-    """Ids as bytes that begin with their width."""
-    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
-
-
-def longest(raw: bytes) -> np.ndarray:
-    """The ids of :func:`shortest`."""
-    return np.frombuffer(raw, f"<u{raw[0]}", -1, 1).astype(np.uint64)
+            ids.append(np.array(found.ids, np.uint32))
+            counts.append(np.diff(np.searchsorted(begin, starts)))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces one after the other, and how many each has.
+
+        What the normalizer and the pre-tokenizer leave as it is, small ASCII letters, goes to the vocabulary's model
+        itself; anything else takes the whole way.
+        """
+        letters = pc.match_substring_regex(pieces, "^[a-z]+$")
+        tokens = list(map(self.tokenizer.model.tokenize, pieces.filter(letters).to_pylist()))
+        rest, n_rest = self.encode_joined(pieces.filter(pc.invert(letters)).to_pylist())
+        letters = letters.to_numpy(zero_copy_only=False)
+        size, start = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        flat = np.array([t.id for found in tokens for t in found], np.uint32)
+        size[letters], size[~letters] = list(map(len, tokens)), n_rest
+        for of, n, base in ((letters, size[letters], 0), (~letters, n_rest, len(flat))):
+            start[of] = base + np.cumsum(n) - n
+        return spread(np.concatenate([flat, rest]), start, size), size
+
+    def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after the other, each with the end id if there is one, and how many each has.
+
+        Parts in ASCII are lower-cased before they are compared, as the normalizer would, and a mark that follows a
+        letter is cut off, as the pre-tokenizer would.
+        """
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " "), " ")
+        ends = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        words = cut.flatten().dictionary_encode()
+        known = words.dictionary
+        known = pc.if_else(pc.string_is_ascii(known), pc.ascii_lower(known), known)
+        parts = pc.split_pattern(pc.replace_substring_regex(known, "([a-z])([.,;:!?])", "\\1 \\2"), " ")
+        pieces = parts.flatten().dictionary_encode()
+        ids, size = self.encode_pieces(pieces.dictionary)
+        order = pieces.indices.to_numpy()
+        flat = spread(ids, (np.cumsum(size) - size)[order], size[order])
+        upto = np.concatenate([[0], np.cumsum(size[order])])[parts.offsets.to_numpy()]
+        start, size, index = upto[:-1], np.diff(upto), words.indices.to_numpy()
+        if end_id is not None:
+            index = np.insert(index, ends[1:], len(size))
+            flat, start, size = np.append(flat, np.uint32(end_id)), np.append(start, len(flat)), np.append(size, 1)
+            ends = ends + np.arange(len(ends))
+        counts = size[index]
+        sums = np.concatenate([[0], np.cumsum(counts)])
+        return spread(flat, start[index], counts), np.diff(sums[ends])
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int | None, ends: list) -> DataFrame:
-    """``part``, ``key``, ``tie``, and ``ids`` of the rows' ``text``: bytes, two for each id if that is enough, else four.
+    """``part``, ``key``, ``tie``, and ``ids`` of the rows' ``text``: their width in bytes, 2 or 4, and then the ids.
 
     ``part`` is the number of ranges that end before the row, found in their sorted ends, one for each partition.
     """
@@ -230,20 +271,24 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int | None, ends: list) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts.load(vocabulary)
         for batch in batches:
-            begun, size = 0, 0
-            for i in range(batch.num_rows):
-                size += len(batch.column(2)[i].as_buffer() or b"") if batch.column(2)[i].is_valid else 0
-                if size >= BATCH_BYTES or i == batch.num_rows - 1:
-                    texts = [t or "" for t in batch.column(2).slice(begun, i + 1 - begun).to_pylist()]
-                    packed = [shortest(ids) for ids in parts.encode(texts, end_id)]
-                    key, tie = (batch.column(c).slice(begun, len(packed)) for c in range(2))
-                    part = [bisect_left(last, (k is not None, k, t)) for k, t in zip(key.to_pylist(), tie.to_pylist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), key, tie, pa.array(packed, pa.binary())], names=["part", "key", "tie", "ids"])
-                    begun, size = i + 1, 0
+            for some in slices(batch.column(2), BATCH_BYTES):
+                key, tie, texts = (batch.column(c)[some] for c in range(3))
+                ids, counts = parts.encode(texts, end_id)
+                width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+                raw, head = ids.astype(f"<u{width}").tobytes(), bytes([width])
+                upto = (width * np.concatenate([[0], np.cumsum(counts)])).tolist()
+                packed = [head + raw[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+                part = [bisect_left(last, (k is not None, k, t)) for k, t in zip(key.to_pylist(), tie.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), key, tie, pa.array(packed, pa.binary())], names=["part", "key", "tie", "ids"])
 
     return docs.select("key", "tie", "text").mapInArrow(run, f"part int, key {kind}, tie long, ids binary")
 
 
+def unwrapped(raw: bytes) -> np.ndarray:
+    """The ids of one row of :func:`encoded`."""
+    return np.frombuffer(raw, f"<u{raw[0]}", -1, 1)
+
+
 def range_ends(keys: DataFrame, n: int) -> list:
     """Last (key, tie) of each of ``n`` even ranges but the last; only keys are dealt, and ``n`` rows collected."""
     dealt = keys.repartitionByRange(n, F.col("key").asc_nulls_first(), F.col("tie").asc()).withColumn("part", F.spark_partition_id())
@@ -257,15 +302,15 @@ def write_files(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     Each row is a file: ``part`` and ``seq`` (their order is the order of the documents), ``n_ids``, the documents'
     ``keys`` and the file's ``content``. Null keys come first; rows of equal keys are ordered by their text's hash. A
     null text is empty and has the end id alone. Texts are encoded where they are read, and the ids, a fraction of
-    their size, are dealt by range of the key; the ranges come from the keys alone. A file is closed after
-    FILE_IDS ids.
+    their size, are dealt by range of the key; the ranges come from the keys alone, as many as the texts' size asks
+    for. A file is closed after FILE_IDS ids.
     """
-    spark = docs.sparkSession
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = range_ends(rows.select("key", "tie"), n)
+    keys = staged(rows.select("key", "tie", F.octet_length("text").cast("long").alias("bytes")))
+    n = max(1, -(-(keys.agg(F.sum("bytes")).first()[0] or 0) // RANGE_BYTES))
+    ends = range_ends(keys, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, part, keys, found, size = 0, None, [], [], 0
@@ -284,7 +329,7 @@ def write_files(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabu
                     keys, found, size, seq = [], [], 0, seq + 1
                 part = own
                 keys.append(batch.column(1)[i].as_py())
-                found.append(longest(batch.column(2)[i].as_py()))
+                found.append(unwrapped(batch.column(2)[i].as_py()))
                 size += len(found[-1])
         if keys:
             yield file()
@@ -293,17 +338,25 @@ def write_files(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     return staged(dealt.mapInArrow(run, f"part int, seq long, n_ids long, keys array<{kind}>, content binary"))
 
 
-def read_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key``, ``start`` (ids of all documents before it) and ``ids`` of each document, from the files' contents.
+def _contents(files: DataFrame) -> DataFrame:
+    """``first`` (ids of all files before it), ``keys`` and ``content`` of each file.
 
-    Only the files' sizes are added up: those of one part in that part, and the parts' totals, one row each.
+    Only the files' sizes are added up: those of one part in that part, and the parts' totals, one row each. The sums
+    go to the files by broadcast up to a counted number of files; beyond, the join is shuffled.
     """
-    kind = files.schema["keys"].dataType.elementType.simpleString()
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     seqs = files.select("part", "seq", "n_ids")
     inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = seqs.withColumn("inside", inside).join(totals.select("part", before.alias("before")), "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("first"))
+    if files.count() <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
+    return files.join(starts, ["part", "seq"]).select("first", "keys", "content")
+
+
+def read_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key``, ``start`` (ids of all documents before it) and ``ids`` of each document, from the files' contents."""
+    kind = files.schema["keys"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,27 +367,30 @@ def read_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
                 starts = pa.array(ends - counts + batch.column(0)[i].as_py())
                 yield pa.RecordBatch.from_arrays([batch.column(1)[i].values, starts, lists], names=["key", "start", "ids"])
 
-    opened = files.join(starts, ["part", "seq"]).select("first", "keys", "content")
-    return opened.mapInArrow(run, f"key {kind}, start long, ids array<long>").withColumnRenamed("key", key)
+    return _contents(files).mapInArrow(run, f"key {kind}, start long, ids array<long>").withColumnRenamed("key", key)
+
 
+def digest_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key``, ``start``, ``n_tokens`` and ``ids_crc32`` of each document, from the files' contents.
 
-def crc(documents_ids: DataFrame) -> DataFrame:
-    """Replaces ``ids`` by their number and the CRC-32 of their bytes as little-endian unsigned 32-bit integers."""
+    The CRC-32 is that of the ids as little-endian unsigned 32-bit integers. The ids stay in the task that reads them.
+    """
+    kind = files.schema["keys"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            cut = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in cut]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in cut], pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            for i in range(batch.num_rows):
+                counts, ids = from_file(batch.column(2)[i].as_py())
+                ends, raw = np.cumsum(counts), memoryview(ids.astype("<u4").tobytes())
+                sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                columns = [batch.column(1)[i].values, pa.array(ends - counts + batch.column(0)[i].as_py()), pa.array(counts), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "n_tokens", "ids_crc32"])
 
-    kind = documents_ids.schema["doc_id"].dataType.simpleString()
-    return documents_ids.select("doc_id", "start", "ids").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return _contents(files).mapInArrow(run, f"key {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crc(read_files(write_files(documents(spark, sf_dir))))
+    return digest_files(write_files(documents(spark, sf_dir)))
 
 
 QUERIES = {"op10_token_files": op10_token_files}
