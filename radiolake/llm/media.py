@@ -145,32 +145,52 @@ def store(payloads: list[bytes]) -> list[bytes]:
 
 
 class Image:
-    """One parsed baseline image of one component: size, tables, and the scan's intervals."""
+    """One parsed baseline image: size, components, tables, and its scan's intervals."""
 
     def __init__(self) -> None:
         self.width = self.height = self.interval = 0
-        self.quantum = np.ones(64, np.int64)
+        #: Of each component: number, blocks across and down in a unit of the scan, quantum of DC, tables of DC and AC.
+        self.numbers: list[int] = []
+        self.samples: list[tuple[int, int]] = []
+        self.quanta: list[int] = []
+        self.used: list[tuple[int, int]] = []
         self.tables: dict[int, bytes] = {}
-        self.used = (0, 0x10)
         self.scan: list[bytes] = []
 
     @property
-    def blocks(self) -> int:
-        return -(-self.width // 8) * -(-self.height // 8)
+    def units(self) -> tuple[int, int]:
+        """Units of the scan down and across: blocks of a lone component, else the blocks of all components."""
+        across, down = (max(x) for x in zip(*self.samples, strict=True)) if len(self.samples) > 1 else (1, 1)
+        return -(-self.height // (8 * down)), -(-self.width // (8 * across))
+
+    @property
+    def pattern(self) -> list[int]:
+        """The component of each block of a unit."""
+        return [c for c, (h, v) in enumerate(self.samples) for _ in range(h * v)] if len(self.samples) > 1 else [0]
+
+    def luminance(self, coefficients: np.ndarray) -> np.ndarray:
+        """DC coefficients of the first component, by block rows and columns."""
+        rows, columns = self.units
+        h, v = self.samples[0] if len(self.samples) > 1 else (1, 1)
+        across, down = (max(x) for x in zip(*self.samples, strict=True)) if len(self.samples) > 1 else (1, 1)
+        dc = coefficients[:, 0].reshape(rows, columns, len(self.pattern))[:, :, : h * v]
+        whole = dc.reshape(rows, columns, v, h).transpose(0, 2, 1, 3).reshape(rows * v, columns * h)
+        return whole[: -(-self.height * v // (8 * down)), : -(-self.width * h // (8 * across))]
 
 
 def parse(media: bytes) -> list[Image]:
     """The images of a sequence of baseline JPEGs, by their markers.
 
-    Other processes, sizes of sample or numbers of components raise; unknown segments are skipped.
+    Images have one component or several in one scan, of which the first is the luminance. Other processes and sizes of
+    sample raise; unknown segments are skipped.
     """
     images, at = [], 0
     while at < len(media):
         if media[at : at + 2] != b"\xff\xd8":
             raise ValueError("no start of an image")
         image, at = Image(), at + 2
-        quanta: dict[int, np.ndarray] = {}
-        table = 0
+        quanta: dict[int, int] = {}
+        wanted: list[int] = []
         while True:
             if media[at] != 0xFF:
                 raise ValueError("no marker")
@@ -183,13 +203,16 @@ def parse(media: bytes) -> list[Image]:
             if marker == MARKERS["DQT"]:
                 while body:
                     wide = body[0] >> 4
-                    quanta[body[0] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.int64)
+                    quanta[body[0] & 15] = int(np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1)[0])
                     body = body[1 + 64 * (1 + wide) :]
             elif marker == MARKERS["SOF0"]:
                 bits, image.height, image.width, components = struct.unpack_from(">BHHB", body)
-                if bits != 8 or components != 1:
-                    raise ValueError("only one component of 8 bits is read")
-                table = body[8]
+                if bits != 8 or not 1 <= components <= 4:
+                    raise ValueError("only components of 8 bits are read")
+                for number, sample, table in zip(*[iter(body[6 : 6 + 3 * components])] * 3, strict=True):
+                    image.numbers.append(number)
+                    image.samples.append((sample >> 4, sample & 15))
+                    wanted.append(table)
             elif 0xC1 <= marker <= 0xCF and marker != MARKERS["DHT"]:
                 raise ValueError("not a baseline image")
             elif marker == MARKERS["DHT"]:
@@ -200,7 +223,10 @@ def parse(media: bytes) -> list[Image]:
             elif marker == MARKERS["DRI"]:
                 (image.interval,) = struct.unpack(">H", body)
             elif marker == MARKERS["SOS"]:
-                image.used = (body[2] >> 4, 0x10 | (body[2] & 15))
+                chosen = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
+                if image.scan or set(chosen) != set(image.numbers):
+                    raise ValueError("only one scan of all components is read")
+                image.used = [(chosen[n] >> 4, 0x10 | (chosen[n] & 15)) for n in image.numbers]
                 end = at
                 while True:  # a marker ends the interval unless it is a stuffed byte
                     end = media.index(b"\xff", end)
@@ -212,7 +238,9 @@ def parse(media: bytes) -> list[Image]:
                         at = end
                         break
                     at = end = end + 2
-        image.quantum = quanta.get(table, image.quantum)
+        image.quanta = [quanta.get(t, 1) for t in wanted]
+        if not image.scan or not image.width or not image.height:
+            raise ValueError("an image without a scan")
         images.append(image)
     return images
 
@@ -223,27 +251,36 @@ def _lengths(table: bytes) -> dict[int, int]:
 
 
 def decode(images: list[Image]) -> list[np.ndarray]:
-    """Quantised coefficients (blocks, 64), in zigzag order, of each image; all with equal tables at a time."""
+    """Quantised coefficients (blocks of the scan, 64), in zigzag order, of each image; all with equal tables at a time."""
     out: list[np.ndarray | None] = [None] * len(images)
     groups: dict[tuple, list[int]] = {}
     for i, image in enumerate(images):
-        groups.setdefault((image.tables[image.used[0]], image.tables[image.used[1]]), []).append(i)
-    for (dc, ac), members in groups.items():
+        tables = tuple((image.tables[dc], image.tables[ac]) for dc, ac in image.used)
+        groups.setdefault((tables, tuple(image.pattern)), []).append(i)
+    for (tables, pattern), members in groups.items():
         scans = [s for i in members for s in images[i].scan]
         blocks = []
         for i in members:
-            per = images[i].interval or images[i].blocks
-            blocks += [min(per, images[i].blocks - per * k) for k in range(len(images[i].scan))]
-        found = _decode(scans, np.array(blocks), lookup(_lengths(dc)), lookup(_lengths(ac)))
+            rows, columns = images[i].units
+            per = images[i].interval or rows * columns
+            blocks += [len(pattern) * max(0, min(per, rows * columns - per * k)) for k in range(len(images[i].scan))]
+        dc, ac = (np.stack([lookup(_lengths(t[k])) for t in tables]) for k in (0, 1))
+        found = _decode(scans, np.array(blocks), dc, ac, np.array(pattern))
         at = 0
         for i in members:
-            out[i] = found[at : at + images[i].blocks]
-            at += images[i].blocks
+            n = images[i].units[0] * images[i].units[1] * len(pattern)
+            out[i] = found[at : at + n]
+            if len(out[i]) != n:
+                raise ValueError("an image has too few intervals")
+            at += n
     return out
 
 
-def _decode(scans: list[bytes], blocks: np.ndarray, dc: np.ndarray, ac: np.ndarray) -> np.ndarray:
-    """Coefficients of all intervals; in each step every unfinished interval reads one symbol and its extra bits."""
+def _decode(scans: list[bytes], blocks: np.ndarray, dc: np.ndarray, ac: np.ndarray, pattern: np.ndarray) -> np.ndarray:
+    """Coefficients of all intervals; in each step every unfinished interval reads one symbol and its extra bits.
+
+    ``pattern`` has the component of each block of a unit, ``dc`` and ``ac`` the tables of each component.
+    """
     plain = [s.replace(b"\xff\x00", b"\xff") for s in scans]
     data = np.frombuffer(b"".join(plain) + bytes(8), np.uint8).astype(np.uint64)
     # the 48 bits from each byte on: a symbol of up to 16 bits with up to 16 more, at any bit of the byte
@@ -254,12 +291,13 @@ def _decode(scans: list[bytes], blocks: np.ndarray, dc: np.ndarray, ac: np.ndarr
     first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
     out = np.zeros(int(blocks.sum()) * BLOCK, np.int64)
     place, end = first * BLOCK, (first + blocks) * BLOCK
-    open_, previous = np.flatnonzero(place < end), np.zeros(len(scans), np.int64)
+    open_, previous, begun = np.flatnonzero(place < end), np.zeros((len(scans), len(dc)), np.int64), place.copy()
     while len(open_):
         at, b = place[open_], bit[open_]
         next32 = (window[b >> 3] >> (16 - (b & 7)).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
         is_dc = at % BLOCK == 0
-        entry = np.where(is_dc, dc[next32 >> np.uint64(16)], ac[next32 >> np.uint64(16)]).astype(np.int64)
+        of = pattern[(at - begun[open_]) // BLOCK % len(pattern)] if len(pattern) > 1 else 0
+        entry = np.where(is_dc, dc[of, next32 >> np.uint64(16)], ac[of, next32 >> np.uint64(16)]).astype(np.int64)
         length, symbol = entry & 31, entry >> 5
         if (length == 0).any():
             raise ValueError("a code that isn't in the table")
@@ -267,8 +305,8 @@ def _decode(scans: list[bytes], blocks: np.ndarray, dc: np.ndarray, ac: np.ndarr
         extra = ((next32 >> (32 - length - size).astype(np.uint64)) & ((np.uint64(1) << size.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
         value = np.where(extra < (1 << size) >> 1, extra - (1 << size) + 1, extra)
         bit[open_] = b + length + size
-        value = np.where(is_dc, value + previous[open_], value)
-        previous[open_] = np.where(is_dc, value, previous[open_])
+        value = np.where(is_dc, value + previous[open_, of], value)
+        previous[open_, of] = np.where(is_dc, value, previous[open_, of])
         stop = ~is_dc & (size == 0) & (run == 0)  # the rest of the block is zero
         target = at + run
         has = is_dc | (size > 0)
@@ -282,30 +320,37 @@ def _decode(scans: list[bytes], blocks: np.ndarray, dc: np.ndarray, ac: np.ndarr
 
 def thumbnail(image: Image, coefficients: np.ndarray) -> np.ndarray:
     """One luminance sample for each block, from the DC coefficients alone: an eighth of the size both ways."""
-    mean = np.floor(coefficients[:, 0] * image.quantum[0] / 8 + 128 + 0.5)
-    return np.clip(mean, 0, 255).astype(np.uint8).reshape(-(-image.height // 8), -(-image.width // 8))
+    mean = np.floor(image.luminance(coefficients) * image.quanta[0] / 8 + 128 + 0.5)
+    return np.clip(mean, 0, 255).astype(np.uint8)
 
 
-def read(medias: list[bytes]) -> list[tuple[bytes, str]]:
-    """Payload and feature of each stored media.
+def described(images: list[Image], coefficients: list[np.ndarray]) -> tuple[bytes, str]:
+    """Payload (that of images of one component) and feature of a media's images.
 
     The feature has each image's width and height, the SHA-256 (first half) of its thumbnail and a difference hash of
-    the thumbnail's columns' means, eight bits.
+    the thumbnail's columns' means.
     """
-    parsed = [parse(m) for m in medias]
-    images = [i for p in parsed for i in p]
-    found, out, at = decode(images), [], 0
-    for own in parsed:
-        payload, feature = [], []
-        for image, c in zip(own, found[at : at + len(own)], strict=True):
+    payload, feature = [], []
+    for image, c in zip(images, coefficients, strict=True):
+        if len(image.samples) == 1:
             payload.append(np.where(c < 0, c + 128, c + 127).astype(np.uint8).tobytes())
-            small = thumbnail(image, c)
-            means = small.mean(axis=0)
-            steps = "".join("1" if d > 0 else "0" for d in np.diff(means))
-            feature.append(f"{image.width}x{image.height}:{hashlib.sha256(small.tobytes()).hexdigest()[:32]}:{steps}")
-        at += len(own)
-        out.append((b"".join(payload), ",".join(feature)))
-    return out
+        small = thumbnail(image, c)
+        steps = "".join("1" if d > 0 else "0" for d in np.diff(small.mean(axis=0)))
+        feature.append(f"{image.width}x{image.height}:{hashlib.sha256(small.tobytes()).hexdigest()[:32]}:{steps}")
+    return b"".join(payload), ",".join(feature)
+
+
+def read(medias: list[bytes]) -> list[tuple[bytes, str] | None]:
+    """Payload and feature of each stored media, all decoded together; None for media that can't be read."""
+    try:
+        parsed = [parse(m) for m in medias]
+        found, at, out = decode([i for p in parsed for i in p]), 0, []
+        for own in parsed:
+            out.append(described(own, found[at : at + len(own)]))
+            at += len(own)
+        return out
+    except (ValueError, KeyError, IndexError, struct.error):
+        return [None] if len(medias) == 1 else [x for m in medias for x in read([m])]
 
 
 # --- columns --------------------------------------------------------------------------------------------------------
@@ -341,18 +386,22 @@ def store_column(df: DataFrame, key: str, payload: str) -> DataFrame:
 
 
 def read_column(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Reads the ``media`` column back: digests of the payload and of the media, sizes, and the features."""
+    """Reads the ``media`` column back: digests of the payload and of the media, sizes, and the features.
+
+    Media that are null or can't be read have null for all that is read from them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _chunks([len(x.as_buffer()) for x in batch.column(2)]):
-                medias = [x.as_py() for x in batch.column(2).slice(a, b - a)]
-                found = read(medias)
+            for a, b in _chunks([len(x.as_buffer() or b"") for x in batch.column(2)]):
+                medias = [x.as_py() or b"" for x in batch.column(2).slice(a, b - a)]
+                found = [(None, None) if x is None or not m else x for x, m in zip(read(medias), medias, strict=True)]
+                each = lambda use: [None if p is None else use(p) for p, _ in found]  # noqa: B023, E731
                 columns = [
                     batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                    pa.array([len(p) for p, _ in found], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p, _ in found]),
-                    pa.array([zlib.crc32(p[-32:]) for p, _ in found], pa.int64()), pa.array([len(m) for m in medias], pa.int64()),
-                    pa.array([hashlib.sha256(m).hexdigest() for m in medias]), pa.array([f for _, f in found]),
+                    pa.array(each(len), pa.int64()), pa.array(each(lambda p: hashlib.sha256(p).hexdigest()), pa.string()),
+                    pa.array(each(lambda p: zlib.crc32(p[-32:])), pa.int64()), pa.array([len(m) for m in medias], pa.int64()),
+                    pa.array([hashlib.sha256(m).hexdigest() for m in medias]), pa.array([f for _, f in found], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
