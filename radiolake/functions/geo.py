@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EARTH_KM = 6371.0
+# The earth's radius in kilometres and in miles, the letters of grid fields, units of a degree in a prefix list.
+EARTH_KM, EARTH_MILES = 6371.0, 3958.8
 FIELD = "ABCDEFGHIJKLMNOPQR"
+PREFIX_UNITS = 180
 
 
 def valid(lat: Column, lon: Column) -> Column:
@@ -20,11 +22,12 @@ def west(lon: Column) -> Column:
 
 
 def maidenhead(lat: Column, lon: Column) -> Column:
-    """Four-character grid square; the far edges belong to the last square."""
+    """Four-character grid square; the far edges belong to the last square. Null without a position."""
     y, x = F.least(lat + 90, F.lit(179.999999)), F.least(lon + 180, F.lit(359.999999))
     letter = lambda v: F.substring(F.lit(FIELD), (F.floor(v) + 1).cast("int"), F.lit(1))
     digit = lambda v: F.floor(v).cast("int").cast("string")
-    return F.concat(letter(x / 20), letter(y / 10), digit((x % 20) / 2), digit(y % 10))
+    square = F.concat(letter(x / 20), letter(y / 10), digit((x % 20) / 2), digit(y % 10))
+    return F.when(lat.isNotNull() & lon.isNotNull(), square)
 
 
 def grid_center(grid: Column) -> tuple[Column, Column]:
@@ -34,11 +37,33 @@ def grid_center(grid: Column) -> tuple[Column, Column]:
     return (place(2) * 10 + digit(4) - 90 + F.lit(0.5)), (place(1) * 20 + digit(3) * 2 - 180 + F.lit(1.0))
 
 
-def kilometres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in whole kilometres, rounded down."""
+def central_angle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Angle between two points as seen from the earth's middle, in radians."""
     dy, dx = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.sin(dy / 2) * F.sin(dy / 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dx / 2) * F.sin(dx / 2)
-    return F.floor(EARTH_KM * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))).cast("long")
+    return 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
+
+
+def kilometres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Great-circle distance in whole kilometres, rounded down."""
+    return F.floor(EARTH_KM * central_angle(lat1, lon1, lat2, lon2)).cast("long")
+
+
+def miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Great-circle distance in whole miles, rounded half up, as a double: not a number stays so."""
+    far = EARTH_MILES * central_angle(lat1, lon1, lat2, lon2)
+    return F.when(F.isnan(far), far).otherwise(F.floor(far + 0.5).cast("double"))
+
+
+def prefix_degrees(units: Column) -> Column:
+    """A prefix list's whole-number coordinate in degrees."""
+    return units / F.lit(float(PREFIX_UNITS))
+
+
+def coordinates(pair: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of a text ``lat,lon``; null where they can't be read."""
+    part = lambda i: F.trim(F.try_element_at(F.split(pair, ",", 2), F.lit(i))).try_cast("double")
+    return part(1), part(2)
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -10,8 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Street words and their short forms.
-STREET_WORDS = {"street": "st", "avenue": "ave", "road": "rd", "drive": "dr", "lane": "ln", "north": "n", "south": "s", "east": "e", "west": "w"}
+# Words for kinds of streets and for directions, markers of units and of rural routes, abbreviations.
+STREET_TYPES = (
+    "STREET ST STR AVENUE AVE AV ROAD RD DRIVE DR COURT CRT CT CRESCENT CRES CRESC CR BOULEVARD BLVD BOUL BLV PARKWAY PKY PKWY PWY PLACE PL LANE LN "
+    "TRAIL TR TRL HIGHWAY HWY ROUTE RTE TERRACE TERR CIRCLE CIR CIRCUIT SQUARE SQ WAY CLOSE CL GATE GROVE GRV HEIGHTS HTS GARDENS GARDEN GDNS GDN MEWS "
+    "RIDGE POINT PT BAY PARK PK GREEN GRN LINK LOOP ROW RISE VIEW VILLAS COMMON COMMONS LANDING MANOR HILL HOLLOW PATH WALK WYND CONCESSION CONC "
+    "SIDEROAD SIDERD LINE RUE CHEMIN CH MONTEE RANG IMPASSE ALLEE COTE PROMENADE SENTIER CARRE CROISSANT TERRASSE"
+)
+DIRECTIONS = "N S E W NE NW SE SW NORTH SOUTH EAST WEST NORTHEAST NORTHWEST SOUTHEAST SOUTHWEST NORD SUD EST OUEST"
+UNITS = "APT APP APPT SUITE UNIT BUREAU PH PENTHOUSE FLOOR FL RM ROOM LOT BOX CP PO CO"
+ROUTES = "RR R S C SITE COMP STN STATION GD"
+ABBREVIATED = {"LK": "LAKE", "MT": "MOUNT", "FT": "FORT", "PTE": "POINTE"}
 
 
 @F.pandas_udf(T.StringType())
@@ -27,12 +36,36 @@ def place_key(name: Column) -> Column:
 
 
 def street_variants(street: Column) -> Column:
-    """The ways in which a street may be written: as it is, with short words, and without its last word."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(street), "[^a-z0-9 ]", ""), " +"), lambda w: w != "")
-    known = F.create_map(*[F.lit(x) for pair in STREET_WORDS.items() for x in pair])
-    short = F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w))
-    join = lambda ws: F.array_join(ws, " ")
-    return F.array_distinct(F.filter(F.array(join(words), join(short), join(F.slice(short, 1, F.greatest(F.size(short) - 1, F.lit(1))))), lambda v: v != ""))
+    """The keys under which a street may be known; two names may be the same street if they share one.
+
+    The plain words of the name, without unit and rural-route marks, are read in each of these ways: ``SAINT`` as it is
+    or as ``ST``; with all numbers, or without the first or the first two of those it begins with; with or without
+    kinds of streets and directions. Numbers at the end of several words don't count, nor does a long word's last S.
+    """
+    any_of = lambda words: "(?:" + "|".join(words.split()) + ")"
+    number = "[0-9]+[A-Z]?"
+    plain = F.regexp_replace(F.upper(strip_accents(F.coalesce(street, F.lit("")))), "[.'’`]", "")
+    plain = F.trim(F.regexp_replace(plain, "[^A-Z0-9]+", " "))
+    plain = F.regexp_replace(plain, "\\b([0-9]+)(?:ST|ND|RD|TH|E|ER|RE)\\b", "$1")
+    for short, full in ABBREVIATED.items():
+        plain = F.regexp_replace(plain, f"\\b{short}\\b", full)
+    tidy = lambda c: F.trim(F.regexp_replace(c, " +", " "))
+    plain = tidy(F.regexp_replace(plain, f"\\b(?:{any_of(UNITS)}|STE(?= {number}\\b))\\b(?: {number}\\b)?", ""))
+    plain = F.trim(F.regexp_replace(plain, f"(?:(?:^| ){any_of(ROUTES)}[0-9]*)+$", ""))
+    saint = F.regexp_replace(F.regexp_replace(plain, "\\bSAINTE\\b", "STE"), "\\bSAINT\\b", "ST")
+    keys = []
+    for base in (plain, saint):
+        for leading in (0, 1, 2):
+            named = F.trim(F.regexp_replace(base, f"^(?:{number}(?: |$)){{0,{leading}}}", "")) if leading else base
+            for kept in (named, tidy(F.regexp_replace(named, f"\\b(?:{any_of(STREET_TYPES)}|{any_of(DIRECTIONS)})\\b", ""))):
+                short = F.regexp_replace(kept, f"^([^ ]+(?: [^ ]+)*?)(?: {number})+$", "$1")
+                keys.append(F.replace(F.regexp_replace(short, "\\b([A-Z0-9]{4,})S\\b", "$1"), F.lit(" "), F.lit("")))
+    return F.array_sort(F.array_distinct(F.filter(F.array(*keys), lambda k: k != "")))
+
+
+def same_street(a: Column, b: Column) -> Column:
+    """Whether two names may be the same street."""
+    return F.arrays_overlap(street_variants(a), street_variants(b))
 
 
 def wkb_rings(value: bytes | None) -> list[list[tuple[float, float]]]:
@@ -53,6 +86,10 @@ def wkb_rings(value: bytes | None) -> list[list[tuple[float, float]]]:
         return []
 
 
-#: The same as a column function.
 POINT = T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
-rings_of = F.udf(wkb_rings, T.ArrayType(T.ArrayType(POINT)), useArrow=False)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(POINT)))
+def rings_of(values: pd.Series) -> pd.Series:
+    """The same for a column of values, to be run once when a layer is taken in."""
+    return values.map(lambda v: [[{"lat": y, "lon": x} for y, x in ring] for ring in wkb_rings(v)])

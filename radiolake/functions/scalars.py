@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The placeholder words and the shifted digits that typed logs have instead of a callsign.
+# How typed logs write a digit and a slashed zero, what they have instead of a callsign, what one looks
+# like, and the portable endings in the order in which they are tried.
 SHIFTED, UNSHIFTED = ")!@#$%^&*(", "0123456789"
+ZEROS = ("Ã\u02dc", "Ø", "∅")
+PLACEHOLDERS = ("(NONE)", "NONE", "N/A", "CALL")
+CALL_FORM = "^[A-Z0-9]+(?:[/-][A-Z0-9]+)*$"
 PORTABLE = ("/P", "/M", "/MM", "/QRP", "/ANT")
-PLACEHOLDERS = ("NONE", "TEST", "NOCALL", "UNKNOWN")
+
+# States by name, provinces, classes and kinds of licensees.
+STATES = {
+    "ALABAMA": "AL", "ALASKA": "AK", "ARIZONA": "AZ", "ARKANSAS": "AR", "CALIFORNIA": "CA", "COLORADO": "CO", "CONNECTICUT": "CT",
+    "DELAWARE": "DE", "DISTRICT OF COLUMBIA": "DC", "FLORIDA": "FL", "GEORGIA": "GA", "HAWAII": "HI", "IDAHO": "ID", "ILLINOIS": "IL",
+    "INDIANA": "IN", "IOWA": "IA", "KANSAS": "KS", "KENTUCKY": "KY", "LOUISIANA": "LA", "MAINE": "ME", "MARYLAND": "MD",
+    "MASSACHUSETTS": "MA", "MICHIGAN": "MI", "MINNESOTA": "MN", "MISSISSIPPI": "MS", "MISSOURI": "MO", "MONTANA": "MT", "NEBRASKA": "NE",
+    "NEVADA": "NV", "NEW HAMPSHIRE": "NH", "NEW JERSEY": "NJ", "NEW MEXICO": "NM", "NEW YORK": "NY", "NORTH CAROLINA": "NC",
+    "NORTH DAKOTA": "ND", "OHIO": "OH", "OKLAHOMA": "OK", "OREGON": "OR", "PENNSYLVANIA": "PA", "RHODE ISLAND": "RI",
+    "SOUTH CAROLINA": "SC", "SOUTH DAKOTA": "SD", "TENNESSEE": "TN", "TEXAS": "TX", "UTAH": "UT", "VERMONT": "VT", "VIRGINIA": "VA",
+    "WASHINGTON": "WA", "WEST VIRGINIA": "WV", "WISCONSIN": "WI", "WYOMING": "WY",
+}
+PROVINCES = ("AB", "BC", "MB", "NB", "NL", "NS", "NT", "NU", "ON", "PE", "QC", "SK", "YT")
+CONTINENTS = ("AF", "AN", "AS", "EU", "NA", "OC", "SA")
+CLASSES = {"A": "advanced", "E": "extra", "G": "general", "N": "novice", "P": "technician plus", "T": "technician"}
+KINDS = {"Individual": "person", "Amateur Club": "club", "Military Recreation": "military", "Government Entity": "races"}
+QUALIFICATIONS = {"A": "Basic", "B": "5 WPM", "C": "12 WPM", "D": "Advanced", "E": "Basic with Honours"}
+SERVICES = {"HA": "Amateur", "HV": "Amateur Vanity"}
+# Words at the start of an address without a street, and the form of a postal code.
+NO_STREET = (
+    "(?i)^\\s*(P\\.?\\s?O\\.?\\s*BOX|BOX|C\\.?P\\.?|CASE POSTALE|R\\.?\\s?R\\.?\\s*#?\\s*\\d|RURAL ROUTE|ROUTE RURALE|"
+    "GENERAL DELIVERY|POSTE RESTANTE|GD|SITE|COMP)\\b"
+)
+POSTAL_FORM, POSTAL_START = "^[A-Z]\\d[A-Z]\\d[A-Z]\\d$", "^[A-Za-z][0-9][A-Za-z]"
 
 
 def text(c: Column) -> Column:
@@ -17,9 +44,14 @@ def text(c: Column) -> Column:
 
 
 def iso_ms(c: Column) -> Column:
-    """A time as ISO text in UTC, cut to milliseconds; null if it can't be read."""
-    t = F.try_to_timestamp(c)
-    return F.date_format(F.timestamp_millis(F.floor(F.unix_micros(t) / 1000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
+    """A time as ISO text in UTC, cut to milliseconds, in whatever zone the session is; null if it can't be read.
+
+    A time without a zone is taken as UTC.
+    """
+    zoned = F.when(F.trim(c).rlike("(Z|[+-][0-9]{2}(:?[0-9]{2})?)$") & F.contains(c, F.lit(":")), F.trim(c)).otherwise(F.concat(F.trim(c), F.lit("Z")))
+    micros = F.unix_micros(F.try_to_timestamp(zoned))
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.floor(micros / 1000) / 1000).cast("decimal(18,6)"))
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
 
 
 def normalize_call(c: Column) -> Column:
@@ -31,9 +63,12 @@ def normalize_call(c: Column) -> Column:
 
 
 def clean_call(c: Column) -> Column:
-    """A callsign as typed, made plain (quotes, slashed zero, shifted digits), or null if it can't be one."""
-    plain = F.translate(F.replace(F.btrim(F.upper(F.trim(c)), F.lit("\"'")), F.lit("Ø"), F.lit("0")), SHIFTED, UNSHIFTED)
-    return F.when((F.length(plain) >= 3) & ~plain.isin(*PLACEHOLDERS) & plain.rlike("^[A-Z0-9]+(?:[/-][A-Z0-9]+)*$"), plain)
+    """A callsign as typed, made plain (quotes, slashed zeros, shifted digits), or null if it can't be one."""
+    plain = F.btrim(F.upper(F.trim(c)), F.lit("\"'` \t"))
+    for zero in ZEROS:
+        plain = F.replace(plain, F.lit(zero), F.lit("0"))
+    plain = F.translate(plain, SHIFTED, UNSHIFTED)
+    return F.when((F.length(plain) >= 3) & ~plain.isin(*PLACEHOLDERS) & plain.rlike(CALL_FORM), plain)
 
 
 def suffixes(c: Column) -> Column:
@@ -61,16 +96,116 @@ def iso_date(c: Column) -> Column:
     return F.date_format(F.coalesce(iso, us), "yyyy-MM-dd")
 
 
+def us_date(c: Column) -> Column:
+    """``MM/DD/YYYY`` as ``YYYY-MM-DD``; any other text stays as it is, a blank one is null."""
+    return F.regexp_replace(F.nullif(c, F.lit("")), "^(\\d{2})/(\\d{2})/(\\d{4})$", "$3-$1-$2")
+
+
+def number(c: Column) -> Column:
+    """A number however it is written; null if it can't be read."""
+    return F.trim(c.cast("string")).try_cast("double")
+
+
+def lookup(known: dict[str, str], key: Column) -> Column:
+    """The value of a small fixed map; null for other keys."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), key)
+
+
+def state(c: Column) -> Column:
+    """The code of a state or province, from its code in any case or a state's name; null for anything else."""
+    plain = F.upper(F.trim(c))
+    named = lookup(STATES, F.regexp_replace(plain, "\\s+", " "))
+    return F.when(F.length(plain) == 2, F.when(plain.isin(*STATES.values(), *PROVINCES), plain)).otherwise(named)
+
+
+def upper(c: Column) -> Column:
+    """Trimmed text in upper case, null if nothing is left."""
+    return F.upper(text(c))
+
+
+def lower(c: Column) -> Column:
+    """Trimmed text in lower case, null if nothing is left."""
+    return F.lower(text(c))
+
+
+#: How each field of a licensee's record is read from raw text.
+RECORD = {
+    **{f: text for f in ("callsign", "source", "fetched_at", "name", "previous_callsign", "trustee_callsign", "trustee_name", "address_line1", "address_line2", "address_attn", "county", "country", "continent", "frn")},
+    **{f: lower for f in ("license_type", "license_class", "previous_license_class")},
+    "state": state, "section": upper, "latitude": number, "longitude": number, "gridsquare": gridsquare,
+    "itu_zone": lambda c: zone(c, 90), "cq_zone": lambda c: zone(c, 40), "dxcc": lambda c: zone(c, 999), "grant_date": iso_date, "expiry_date": iso_date,
+}
+
+
+def record(raw: dict[str, Column]) -> tuple[list[Column], Column]:
+    """All 27 fields of a record from those that a source has, and the names of those that can't be read.
+
+    A field that the source hasn't, and a blank one, is null without being an error.
+    """
+    kinds = {"latitude": "double", "longitude": "double", "itu_zone": "int", "cq_zone": "int", "dxcc": "int"}
+    missing = [f for f in RECORD if f not in raw]
+    columns, bad = coerced(**{f: (c, RECORD[f](c)) for f, c in raw.items() if f in RECORD})
+    return [*columns, *[F.lit(None).cast(kinds.get(f, "string")).alias(f) for f in missing]], bad
+
+
+def blanked(df: DataFrame, fields: list[str]) -> DataFrame:
+    """The rows with the named fields set to null."""
+    return df.withColumns({f: F.lit(None).cast(df.schema[f].dataType) for f in fields})
+
+
 def coerced(**pairs: tuple[Column, Column]) -> tuple[list[Column], Column]:
     """Named columns of (raw, coerced) pairs, and the names whose raw value is there but can't be coerced."""
     columns = [value.alias(name) for name, (_, value) in pairs.items()]
-    bad = [F.when(text(raw).isNotNull() & value.isNull(), F.lit(name)) for name, (raw, value) in pairs.items()]
+    bad = [F.when(text(raw.cast("string")).isNotNull() & value.isNull(), F.lit(name)) for name, (raw, value) in pairs.items()]
     return columns, F.concat_ws(",", *bad)
 
 
 def license_class(letters: Column) -> Column:
-    """The class that qualification letters stand for: digital over code over advanced, else blank."""
-    return F.when(F.contains(letters, F.lit("D")), "advanced").when(F.contains(letters, F.lit("E")), "basic with honours").when(F.contains(letters, F.lit("A")), "advanced").otherwise("")
+    """The highest privilege that qualification letters stand for; blank if they only stand for code speeds."""
+    held = F.upper(F.trim(F.coalesce(letters, F.lit(""))))
+    return F.when(F.contains(held, F.lit("D")), "advanced").when(F.contains(held, F.lit("E")), "basic with honours").when(F.contains(held, F.lit("A")), "basic").otherwise("")
+
+
+def qualifications(flags: list[Column]) -> tuple[Column, Column]:
+    """Letters and descriptions of the qualifications A to E whose flags aren't blank; null if there are none."""
+    held = [(letter, F.coalesce(F.trim(flag), F.lit("")) != "") for letter, flag in zip(QUALIFICATIONS, flags, strict=True)]
+    letters = F.concat_ws("", *[F.when(has, F.lit(letter)) for letter, has in held])
+    words = F.concat_ws("; ", *[F.when(has, F.lit(QUALIFICATIONS[letter])) for letter, has in held])
+    return F.nullif(letters, F.lit("")), F.nullif(words, F.lit(""))
+
+
+def postal(c: Column) -> Column:
+    """A postal code in upper case, with its space if it has the usual form; null if it is blank."""
+    plain = F.upper(text(c))
+    compact = F.replace(plain, F.lit(" "), F.lit(""))
+    return F.when(compact.rlike(POSTAL_FORM), F.concat(F.substring(compact, 1, 3), F.lit(" "), F.substring(compact, 4, 3))).otherwise(plain)
+
+
+def has_street(address: Column) -> Column:
+    """Whether an address names a street, and not a post-office box or a rural route."""
+    return F.coalesce(text(address).isNotNull() & ~address.rlike(NO_STREET), F.lit(False))
+
+
+def postal_area(c: Column) -> Column:
+    """The first three characters, in upper case, of what begins like a postal code; else null."""
+    return F.when(c.rlike(POSTAL_START), F.upper(F.substring(c, 1, 3)))
+
+
+def plausible_call(c: Column) -> Column:
+    """Whether a text is long enough to be looked up as a callsign."""
+    return F.coalesce(F.length(F.trim(c)) >= 2, F.lit(False))
+
+
+def short_name(c: Column) -> Column:
+    """The part of a bilingual name before its slash, with single spaces."""
+    return F.trim(F.regexp_replace(F.split_part(c, F.lit(" / "), F.lit(1)), "\\s+", " "))
+
+
+def address_lines(street: Column, box: Column, city: Column, region: Column, code: Column) -> tuple[Column, Column]:
+    """The street or else the box, and ``CITY, ST ZIP`` as far as it is known from the city and state on."""
+    first = F.coalesce(text(street), F.concat(F.lit("PO BOX "), text(box)), F.lit(""))
+    town = F.concat(text(city), F.lit(", "), text(region))
+    return first, F.coalesce(F.concat(town, F.lit(" "), text(code)), town, F.lit(""))
 
 
 def full_name(first: Column, middle: Column, last: Column, suffix: Column) -> Column:
@@ -78,6 +213,11 @@ def full_name(first: Column, middle: Column, last: Column, suffix: Column) -> Co
     return F.concat_ws(" ", *[F.upper(text(c)) for c in (first, middle, last, suffix)])
 
 
+def licensee_name(kind: Column, first: Column, middle: Column, last: Column, suffix: Column, entity: Column) -> Column:
+    """An individual's names that aren't blank, with single spaces; the entity's name for anyone else."""
+    return F.when(F.trim(F.coalesce(kind, F.lit(""))) == "Individual", F.concat_ws(" ", *[text(c) for c in (first, middle, last, suffix)])).otherwise(F.coalesce(entity, F.lit("")))
+
+
 def slug(c: Column) -> Column:
     """Lower-case letters and digits with single dashes between them."""
     return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
@@ -93,6 +233,11 @@ def without_controls(c: Column) -> Column:
     return F.regexp_replace(c, "[\\p{Cc}\\p{Cf}]+", " ")
 
 
+def without_prefix(c: Column, prefix: str) -> Column:
+    """A value that is only the prefix which the form writes by itself is blank; others stay as they are."""
+    return F.when(F.trim(c) == prefix, F.lit("")).otherwise(c)
+
+
 def shifted(t: Column, days: int, hours: int, minutes: int) -> Column:
     """A time moved by signed days, hours and minutes."""
     return F.timestamp_micros(F.unix_micros(t.cast("timestamp")) + ((days * 24 + hours) * 60 + minutes) * 60_000_000)
@@ -105,5 +250,4 @@ def expires(fetched_ms: Column, status: Column) -> Column:
 
 def mapped(value: Column, mapping: dict[str, str], fallback: str) -> Column:
     """The mapping's value for a key in any case, else the fallback."""
-    known = F.create_map(*[F.lit(x) for k, v in mapping.items() for x in (k.lower(), v)])
-    return F.coalesce(F.try_element_at(known, F.lower(F.trim(value))), F.lit(fallback))
+    return F.coalesce(lookup({k.lower(): v for k, v in mapping.items()}, F.lower(F.trim(value))), F.lit(fallback))

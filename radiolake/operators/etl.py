@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,9 +27,9 @@ def address_key(*parts: Column) -> Column:
 
 
 def with_coordinates(rows: DataFrame, cache: DataFrame, key: str) -> DataFrame:
-    """Rows with the coordinates that the cache has for their address."""
-    hits = cache.where("matched").select(key, "coordinates")
-    return rows.join(hits, key, "left")
+    """Rows with the coordinates that the cache has for their address; of repeated answers the last one fetched."""
+    last = F.max_by("coordinates", F.struct("fetched_at", "coordinates")).alias("coordinates")
+    return rows.join(cache.where("matched").groupBy(key).agg(last), key, "left")
 
 
 def to_geocode(rows: DataFrame, cache: DataFrame, key: str, cutoff) -> DataFrame:
@@ -35,6 +38,20 @@ def to_geocode(rows: DataFrame, cache: DataFrame, key: str, cutoff) -> DataFrame
     return rows.select(key).distinct().join(fresh, key, "left_anti")
 
 
+def cache_counts(rows: DataFrame, cache: DataFrame, key: str, cutoff) -> DataFrame:
+    """How many distinct addresses the cache answers, how many are known misses that are still fresh, how many are to do."""
+    last = cache.groupBy(key).agg(F.max("matched").alias("hit"), F.max(F.col("fetched_at") >= F.lit(cutoff)).alias("fresh"))
+    state = rows.select(key).distinct().join(last, key, "left").select(F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("fresh", F.lit(False)).alias("fresh"))
+    return state.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit") & F.col("fresh")).alias("fresh_misses"), F.count_if(~F.col("hit") & ~F.col("fresh")).alias("to_do"))
+
+
+def suspect_coordinates(rows: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Rows whose coordinates are a placeholder or impossible, with the ``problem``."""
+    y, x = F.col(lat), F.col(lon)
+    problem = F.when((y == 0) & (x == 0), "placeholder").when(~y.between(-90, 90) | ~x.between(-180, 180), "impossible")
+    return rows.withColumn("problem", problem).where("problem IS NOT NULL")
+
+
 def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, with how often."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
@@ -86,31 +103,37 @@ def pick(candidates: Column, acceptable, preferred) -> Column:
 def publish(df: DataFrame, path: str, check=None) -> str:
     """Writes a table beside the others of ``path`` and makes it the current one; returns where it is.
 
-    The new version goes to a folder of its own; ``check(version)`` may raise, and then the current one stays. The
-    pointer ``CURRENT`` is written last, in one rename, so a reader has the whole old table or the whole new one.
+    The new version goes to a folder of its own; ``check(version)`` may raise, and then the current one stays. A pointer
+    row with the next number is appended last, as one file that Spark's committer moves into place. Pointers are never
+    removed, so a reader always finds one, and it has the whole old table or the whole new one.
     """
-    import uuid
-
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
     if check is not None:
         check(spark.read.parquet(f"{path}/{version}"))
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(path)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    new, pointer = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"_{version}.new", "CURRENT"))
-    out = fs.create(new, True)
-    out.write(bytearray(version, "ascii"))
-    out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    if not fs.rename(new, pointer):
-        raise OSError("the pointer could not be moved")
+    last = pointers(spark, path)
+    number = 1 if last is None else last.agg(F.max("number")).first()[0] + 1
+    spark.createDataFrame([(number, version)], POINTER).coalesce(1).write.mode("append").parquet(f"{path}/current")
     return f"{path}/{version}"
 
 
-def current(spark, path: str) -> DataFrame:
+POINTER = "number long, version string"
+
+
+def pointers(spark: SparkSession, path: str) -> DataFrame | None:
+    """The pointer rows of a published table; None before the first."""
+    try:
+        return spark.read.schema(POINTER).parquet(f"{path}/current")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
     """The table that was published last."""
-    version = spark.read.text(f"{path}/CURRENT").first()[0]
-    return spark.read.parquet(f"{path}/{version}")
+    rows = pointers(spark, path)
+    if rows is None:
+        raise ValueError(f"nothing has been published at {path}")
+    return spark.read.parquet(f"{path}/{rows.agg(F.max_by('version', F.struct('number', 'version'))).first()[0]}")

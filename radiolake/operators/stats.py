@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from radiolake.operators.log import matched
+from radiolake.shared import ranked
+
 
 def rounded(x: Column) -> Column:
     """Half-up rounding to a whole number."""
@@ -39,11 +42,18 @@ def favourite(contacts: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def operator_report(contacts: DataFrame) -> DataFrame:
-    """Total, best sliding hour, favourite band and mode with their share in per cent, for each operator."""
-    out = contacts.groupBy("operator").agg(F.count("*").alias("total")).join(sliding_hour(contacts), "operator")
-    for value in ("band", "mode"):
-        share = rounded(F.col(f"top_{value}_n") * F.lit(100.0) / F.col("total")).alias(f"top_{value}_pct")
-        out = out.join(favourite(contacts, "operator", value), "operator").select(*[c for c in out.columns], f"top_{value}", share)
+    """Total, best sliding hour, favourite band and mode with their share in per cent, for each operator.
+
+    Contacts without an operator are one operator's; an operator whose contacts have no time has a best hour of 0.
+    """
+    out = contacts.groupBy("operator").agg(F.count("*").alias("total"))
+    for value, more in (("hour", sliding_hour(contacts)), *((v, favourite(contacts, "operator", v)) for v in ("band", "mode"))):
+        joined = matched(out, more, ["operator"], "left")
+        if value == "hour":
+            out = joined.select("operator", "total", F.coalesce("best_hour", F.lit(0)).cast("long").alias("best_hour"))
+        else:
+            share = rounded(F.col(f"top_{value}_n") * F.lit(100.0) / F.col("total")).alias(f"top_{value}_pct")
+            out = joined.select(*out.columns, f"top_{value}", share)
     return out
 
 
@@ -112,12 +122,42 @@ def without_outliers(contacts: DataFrame, days: int) -> DataFrame:
     return near.groupBy("median_ms").agg(F.count("*").alias("kept"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
 
 
+#: Fixed values of the rate graph: widths of bins in minutes, bins that a graph may have, days around the median.
+BIN_MINUTES, MOST_BINS, OUTLIER_DAYS = (5, 10, 15, 30, 60, 120, 240, 360, 720, 1440), 50, 30
+
+
+def rate_graph(contacts: DataFrame) -> DataFrame:
+    """Contacts by bin and mode with the bin's rate for an hour: the rows of a rate graph, empty bins included.
+
+    Times far from the median are typing errors and are left out, so the number of bins has a bound. The width is the
+    narrowest for which the graph has few enough bins. Bins start at whole multiples of it since 1970. Null modes are
+    ``Unknown``; a bin without contacts has one row with a null mode. ``top`` is the graph's end: the largest rate,
+    rounded up to 1, 2 or 5 times a power of ten.
+    """
+    ms = F.floor(F.unix_micros(F.col("qso_at").cast("timestamp")) / 1000).cast("long")
+    timed = contacts.where("qso_at IS NOT NULL").select(ms.alias("ms"), F.coalesce(F.nullif("mode", F.lit("")), F.lit("Unknown")).alias("mode"))
+    kept = timed.where(F.abs(F.col("ms") - upper_median(contacts).scalar()) <= OUTLIER_DAYS * 86_400_000)
+    ends = kept.agg(F.min("ms").alias("a"), F.max("ms").alias("z"))
+    fits = [F.when(F.ceil((F.col("z") - F.col("a")) / (m * 60_000)) <= MOST_BINS, F.lit(m)) for m in BIN_MINUTES]
+    width = ends.select(F.coalesce(*fits, F.lit(BIN_MINUTES[-1])).alias("w")).scalar()
+    binned = kept.withColumn("minutes", width).withColumn("bin", F.floor(F.col("ms") / (F.col("minutes") * 60_000)))
+    counted = binned.groupBy("minutes", "bin", "mode").agg(F.count("*").alias("n"))
+    bins = counted.groupBy("minutes", "bin").agg(F.sum("n").alias("all"))
+    every = bins.groupBy("minutes").agg(F.min("bin").alias("a"), F.max("bin").alias("z")).select("minutes", F.explode(F.sequence("a", "z")).alias("bin"))
+    full = every.join(bins, ["minutes", "bin"], "left").join(counted, ["minutes", "bin"], "left")
+    rate = (F.coalesce("all", F.lit(0)) * 60 / F.col("minutes")).alias("rate")
+    top = F.greatest(F.lit(1.0), bins.agg(F.max(F.col("all") * 60 / F.col("minutes"))).scalar())
+    power = F.pow(F.lit(10.0), F.floor(F.log10("__top")))
+    step = F.when(F.col("__top") <= power, power).when(F.col("__top") <= 2 * power, 2 * power).when(F.col("__top") <= 5 * power, 5 * power).otherwise(10 * power)
+    out = full.select((F.col("bin") * F.col("minutes") * 60).alias("bin_start"), "minutes", "mode", F.coalesce("n", F.lit(0)).cast("long").alias("n"), rate)
+    return out.withColumn("__top", top).withColumn("top", step).drop("__top")
+
+
 def tally(contacts: DataFrame, value: str) -> DataFrame:
     """Counts by value, blank and null as ``Unknown``, with their places: most first, ties by who was seen first."""
     named = F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit("Unknown"))
     counted = contacts.groupBy(named.alias("name")).agg(F.count("*").alias("n"), F.min(F.struct("qso_at", "uuid")).alias("seen"))
-    place = F.row_number().over(Window.orderBy(F.desc("n"), "seen"))
-    return counted.select("name", "n", place.cast("long").alias("place"))
+    return ranked(counted, F.desc("n"), F.col("seen.qso_at"), F.col("seen.uuid"), name="place").select("name", "n", (F.col("place") + 1).alias("place"))
 
 
 def kpis(contacts: DataFrame) -> DataFrame:

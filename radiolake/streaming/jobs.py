@@ -1,46 +1,80 @@
-"""Streaming jobs over change logs. Each keeps its result as versions of a table in a folder given by the caller.
+"""Streaming jobs over change logs. Each keeps its result as a table in a folder given by the caller.
 
-A micro-batch folds its rows into the last version and writes the next one. Folding is idempotent, so a batch that runs
-again after a failure gives the same version; versions are named by the batch.
+The table is cut into buckets by its key. A micro-batch reads the buckets that its rows fall into, folds its rows in and
+writes these buckets anew; a row for each of them, written last, says which batch wrote the bucket that counts. So the
+state outlives the query: a query that starts again on the same folder, or a batch that runs again after a failure,
+goes on from the newest buckets of earlier batches, and folding is idempotent, so it gives the same table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from radiolake.operators import log
 
+#: Buckets of a table. A batch collects at most so many numbers.
+BUCKETS = 32
 
-class Versions:
-    """The versions of one table; the newest is the one that counts."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.newest = spark, path, None
+def existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at a path; an empty one if nothing has been written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
-    def read(self) -> DataFrame | None:
-        return None if self.newest is None else self.spark.read.parquet(self.newest)
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        target = f"{self.path}/batch-{batch:08d}"
-        df.write.mode("overwrite").parquet(target)
-        self.newest = target
+class Table:
+    """A table in buckets by its keys, each as the last batch left it."""
 
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str]):
+        self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
 
-def folding(stream: DataFrame, path: str, fold: Callable[[DataFrame], DataFrame]) -> tuple[StreamingQuery, Versions]:
-    """Runs a stream to the end of what is there; after each batch the table is ``fold(old rows and new rows)``."""
-    spark = stream.sparkSession
-    versions = Versions(spark, f"{path}/versions")
+    def bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int")
 
-    def each(batch: DataFrame, number: int) -> None:
-        old = versions.read()
-        versions.write(fold(batch if old is None else old.unionByName(batch)), number)
+    def paths(self, before: int | None = None, buckets: list[int] | None = None) -> list[str]:
+        """Where the newest of the buckets (all by default) are, from batches before a number."""
+        rows = existing(self.spark, f"{self.path}/written", "batch long, bucket int")
+        rows = rows if before is None else rows.where(F.col("batch") < before)
+        rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+        newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()
+        return [f"{self.path}/batch-{r['batch']:08d}/bucket={r['bucket']}" for r in newest]
 
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    return query, versions
+    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        found = self.paths(before, buckets)
+        return self.spark.read.schema(self.schema).parquet(*found) if found else self.spark.createDataFrame([], self.schema)
+
+    def fold_in(self, rows: DataFrame, batch: int, fold: Callable[[DataFrame], DataFrame]) -> None:
+        """Writes anew the buckets that the rows fall into: ``fold`` of what they had and the rows."""
+        rows = rows.persist()  # a batch is read for its buckets and for its rows
+        buckets = [r[0] for r in rows.select(self.bucket()).distinct().collect()]
+        if not buckets:
+            return
+        new = fold(self.read(batch, buckets).unionByName(rows)).withColumn("bucket", self.bucket())
+        new.repartition(len(buckets), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch-{batch:08d}")
+        written = self.spark.createDataFrame([(batch, b) for b in buckets], "batch long, bucket int")
+        written.coalesce(1).write.mode("append").parquet(f"{self.path}/written")
+        rows.unpersist()
+
+
+def folding(stream: DataFrame, path: str, keys: list[str], fold: Callable[[DataFrame], DataFrame], mode: str = "append") -> tuple[StreamingQuery, Table]:
+    """Runs a stream to the end of what is there; after each batch the table is ``fold(old rows and new rows)``.
+
+    ``fold`` must give one row for each key, from that key's rows only.
+    """
+    table = Table(stream.sparkSession, f"{path}/table", stream.schema, keys)
+    write = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, number: table.fold_in(batch, number, fold))
+    query = write.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    return query, table
 
 
 def upserts(changes: DataFrame, path: str) -> DataFrame:
@@ -60,25 +94,31 @@ def upserts(changes: DataFrame, path: str) -> DataFrame:
         )
         return folded.select("uuid", "b.created_at", "b.born_seq", "s.*").select(*rows.columns)
 
-    query, versions = folding(marked, path, fold)
+    query, table = folding(marked, path, ["uuid"], fold)
     query.awaitTermination()
-    return versions.read().drop("born_seq")
+    return table.read().drop("born_seq")
 
 
 def presence(heartbeats: DataFrame, path: str, seconds: int = 120) -> DataFrame:
     """Clients heard within so many seconds of the last heartbeat of all; a timer's eviction instead of a message's."""
-    query, versions = folding(heartbeats, path, lambda rows: rows.groupBy("client").agg(F.max("at").alias("at")))
+    query, table = folding(heartbeats, path, ["client"], lambda rows: rows.groupBy("client").agg(F.max("at").alias("at")))
     query.awaitTermination()
-    latest = versions.read()
+    latest = table.read()
     now = latest.agg(F.max("at")).scalar()
     return latest.where(F.col("at") >= now - F.make_dt_interval(secs=F.lit(seconds)))
 
 
 def chat(messages: DataFrame, path: str, key: list[str], arrival: str) -> DataFrame:
-    """The history: of messages with one key the first to arrive, for good."""
-    query, versions = folding(messages, path, lambda rows: log.first_arrivals(rows, key, arrival).select(*rows.columns))
+    """The history: of messages with one key the first to arrive. What was cleared at some arrival stays away."""
+    query, table = folding(messages, path, key, lambda rows: log.first_arrivals(rows, key, arrival).select(*rows.columns))
     query.awaitTermination()
-    return versions.read()
+    cleared = existing(messages.sparkSession, f"{path}/cleared", "upto long").agg(F.max("upto")).first()[0]
+    return table.read() if cleared is None else table.read().where(F.col(arrival) > cleared)
+
+
+def clear_chat(spark: SparkSession, path: str, upto: int) -> None:
+    """Clears the history up to an arrival, itself included: a marker, so that messages read again don't come back."""
+    spark.createDataFrame([(upto,)], "upto long").coalesce(1).write.mode("append").parquet(f"{path}/cleared")
 
 
 def tumbling(contacts: DataFrame, path: str, width: str, lateness: str = "1 hour") -> DataFrame:
@@ -88,23 +128,19 @@ def tumbling(contacts: DataFrame, path: str, width: str, lateness: str = "1 hour
     """
     counted = contacts.withWatermark("at", lateness).groupBy(F.window("at", width)).agg(F.count("*").alias("n"))
     rows = counted.select(F.col("window.start").alias("start"), "n")
-    query = None
-    versions = Versions(contacts.sparkSession, f"{path}/versions")
-
-    def each(batch: DataFrame, number: int) -> None:
-        old = versions.read()
-        both = batch if old is None else old.unionByName(batch)
-        versions.write(both.groupBy("start").agg(F.max("n").alias("n")), number)
-
-    query = rows.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query, table = folding(rows, path, ["start"], lambda both: both.groupBy("start").agg(F.max("n").alias("n")), "update")
     query.awaitTermination()
-    return versions.read()
+    return table.read()
 
 
-def change_gated(marker: list, latest, write: Callable[[], None]) -> bool:
-    """Calls ``write`` only if the latest change differs from the one that was written last; tells if it did."""
-    if marker and marker[0] == latest:
+def change_gated(spark: SparkSession, path: str, latest: int, write: Callable[[], None]) -> bool:
+    """Calls ``write`` only if the latest change differs from the one that was written last; tells if it did.
+
+    What was written last is kept at the path, so the gate holds over restarts.
+    """
+    last = existing(spark, f"{path}/marker", "number long, latest long").agg(F.max(F.struct("number", "latest")).alias("m")).select("m.*").first()
+    if last["number"] is not None and last["latest"] == latest:
         return False
     write()
-    marker[:] = [latest]
+    spark.createDataFrame([((last["number"] or 0) + 1, latest)], "number long, latest long").coalesce(1).write.mode("append").parquet(f"{path}/marker")
     return True
