@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from radiolake.functions import scalars
+
 
 def merged_entry(fields: dict[str, list[Column]]) -> list[Column]:
     """For each field the first of its sources that isn't blank: typed, cross-filled, remembered, looked up, default."""
@@ -39,6 +41,29 @@ def status_counts(cache: DataFrame) -> DataFrame:
     return known.join(counted, "status", "left").select("status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def cache_put(cache: DataFrame, answers: DataFrame, key: str = "call") -> DataFrame:
+    """The cache after new answers: of each key the last one fetched, the new one on a tie, with its end."""
+    both = cache.select(*answers.columns).withColumn("__new", F.lit(0)).unionByName(answers.withColumn("__new", F.lit(1)))
+    others = [c for c in answers.columns if c != key]
+    kept = both.groupBy(key).agg(F.max_by(F.struct(*others), F.struct("fetched_ms", "__new")).alias("s")).select(key, "s.*")
+    return kept.withColumn("expires_ms", scalars.expires(F.col("fetched_ms"), F.col("status")))
+
+
+def cache_live(cache: DataFrame, now_ms: int) -> DataFrame:
+    """Answers that haven't ended; the others are what a purge removes."""
+    return cache.where(F.col("expires_ms") > now_ms)
+
+
+def one_event(rows: DataFrame, cached: str, column: str = "event") -> DataFrame:
+    """Rows of another event than the one a replica holds: if there are any, the logs must not be mixed."""
+    return rows.where(~F.col(column).eqNullSafe(F.lit(cached))).groupBy(column).agg(F.count("*").alias("n"))
+
+
+def unanswered(prompts: list[dict], answers: dict[str, str]) -> list[str]:
+    """Required prompts of an export that are left blank. A prompt isn't required unless it says so."""
+    return [p["name"] for p in prompts if p.get("required", False) and not answers.get(p["name"], "").strip()]
+
+
 def corrected(rows: DataFrame, key: str, column: str, corrections: list[tuple]) -> DataFrame:
     """Applies (key, old, new) corrections: ``state`` tells applied, already or stale; other rows have null."""
     value, state = F.col(column), F.lit(None).cast("string")

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 #: A search term's first characters by which terms and suffixes meet.
 STEM = 2
+# How many matches each source gives to a search, and what it is ordered by after the exact match.
+SOURCE_LIMITS = {"fd": 6, "wfd": 6, "pota_hunter": 8, "pota_activator": 8, "lotw": 8, "clublog": 8, "scp": 8}
+SOURCE_VALUES = {"fd": "fd_last_year", "wfd": "wfd_last_year", "pota_hunter": "pota_hunter_qsos", "pota_activator": "pota_activations", "lotw": "lotw_last_upload", "clublog": "clublog_last_qso"}
 
 
 def matches(calls: DataFrame, terms: DataFrame, call: str = "call", term: str = "term") -> DataFrame:
@@ -30,6 +33,34 @@ def top_matches(found: DataFrame, order: list[Column], k: int, call: str = "call
     return ranked.withColumn("truncated", more).where(F.col("place") <= k)
 
 
+def by_source(found: DataFrame, call: str = "call", term: str = "term") -> DataFrame:
+    """The best matches of each term in each of the seven sources: ``place``, ``value``, and if the source has more.
+
+    Each pair of a term and a callsign goes to the sources that know the callsign, in one pass: the exact match comes
+    first, then the newest year, the largest count or the latest date, a missing date last; the list of contest calls,
+    which has no value, goes by the shortest call and then the number of sources. Ranks are cut off before the shuffle,
+    so a term that most callsigns contain sends a few rows from each partition.
+    """
+
+    def source(name: str) -> Column:
+        dated = name in ("lotw", "clublog")
+        value = F.col(SOURCE_VALUES[name]) if name in SOURCE_VALUES else F.lit(None).cast("string")
+        member = F.coalesce(F.col(name) == 1, F.lit(False)) if name in ("clublog", "scp") else value.isNotNull()
+        plain = name == "scp"
+        return F.struct(
+            F.lit(name).alias("source"), F.lit(SOURCE_LIMITS[name]).alias("most"), member.alias("member"), value.cast("string").alias("value"),
+            (F.lit(None) if dated or plain else value).cast("long").alias("number"), (value if dated else F.lit(None)).cast("string").alias("date"),
+            (F.length(call) if plain else F.lit(0)).alias("length"), (F.col("source_count") if plain else F.lit(0)).cast("int").alias("known"),
+        )
+
+    each = found.select(term, F.col(call).alias("call"), F.explode(F.array(*map(source, SOURCE_LIMITS))).alias("s")).where("s.member").select(term, "call", "s.*")
+    order = [F.col("call") != F.col(term), F.col("number").desc_nulls_last(), F.col("date").desc_nulls_last(), F.col("length"), F.desc("known"), F.col("call")]
+    most = max(SOURCE_LIMITS.values())
+    placed = each.withColumn("place", F.row_number().over(Window.partitionBy(term, "source").orderBy(*order))).where(F.col("place") <= most + 1)
+    more = F.max("place").over(Window.partitionBy(term, "source")) > F.col("most")
+    return placed.withColumn("truncated", more).where("place <= most").select(term, "source", "place", "call", "value", "truncated")
+
+
 def ranked_search(calls: DataFrame, query: str, k: int, call: str = "call") -> DataFrame:
     """The best ``k`` callsigns that contain ``query``: exact, then those that begin with it, then shorter ones."""
     rank = F.when(F.col(call) == query, 0).when(F.startswith(call, F.lit(query)), 1).otherwise(2)

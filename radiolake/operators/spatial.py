@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from radiolake.functions import geo
 
@@ -15,19 +16,23 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def region_of(points: DataFrame, parts: DataFrame, order: list[Column], key: str, attributes: list[str], cell: float = CELL) -> DataFrame:
+def region_of(points: DataFrame, parts: DataFrame, order: list[Column], key: str, attributes: list[str], cell: float = CELL, part: str = "part") -> DataFrame:
     """The region of each point: of the parts that hold it, the first by ``order``; points outside all are left out.
 
-    Each part is put into the grid cells that its box touches, each point into its one cell, so the join is an
-    equality; the box and then the exact test follow. A point outside the range of coordinates has no cell. A crowded
-    cell has no group that must meet in a task: the join may be split, and the choice is a partial aggregation.
+    Each part's box is put into the grid cells that it touches, each point into its one cell, so the join is an
+    equality; only what passes the box meets the part's rings, by the part's number, and the exact test. So rings are
+    not copied into cells. A point outside the range of coordinates has no cell. A crowded cell has no group that must
+    meet in a task: the joins may be split, and the choice is a partial aggregation.
     """
     here = points.where(geo.valid(F.col("lat"), F.col("lon"))).withColumn("lon", geo.west(F.col("lon")))
-    here = here.withColumns({"cy": F.floor(F.col("lat") / cell), "cx": F.floor(F.col("lon") / cell)})
-    gridded = parts.withColumn("cy", F.explode(_cells(F.col("miny"), F.col("maxy"), cell))).withColumn("cx", F.explode(_cells(F.col("minx"), F.col("maxx"), cell)))
+    here = here.select(F.col(key).alias("__key"), "lat", "lon", F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx"))
+    boxes = parts.select(F.col(part).alias("__part"), "minx", "maxx", "miny", "maxy")
+    gridded = boxes.withColumn("cy", F.explode(_cells(F.col("miny"), F.col("maxy"), cell))).withColumn("cx", F.explode(_cells(F.col("minx"), F.col("maxx"), cell)))
     boxed = here.join(gridded, ["cy", "cx"]).where(F.col("lon").between(F.col("minx"), F.col("maxx")) & F.col("lat").between(F.col("miny"), F.col("maxy")))
-    inside = boxed.where(geo.in_polygon(F.col("rings"), F.col("lat"), F.col("lon")))
-    return inside.groupBy(key).agg(F.min_by(F.struct(*attributes), F.struct(*order)).alias("r")).select(key, "r.*")
+    rings = parts.select(F.col(part).alias("__of"), F.struct(*attributes).alias("__attributes"), F.struct(*order).alias("__order"), "rings")
+    met = boxed.select("__key", "lat", "lon", "__part").join(rings, F.col("__part") == F.col("__of"))
+    inside = met.where(geo.in_polygon(F.col("rings"), F.col("lat"), F.col("lon")))
+    return inside.groupBy(F.col("__key").alias(key)).agg(F.min_by("__attributes", "__order").alias("r")).select(key, "r.*")
 
 
 def anchors(members: DataFrame, key: str, ident: str) -> DataFrame:
@@ -43,25 +48,37 @@ def anchors(members: DataFrame, key: str, ident: str) -> DataFrame:
     return placed.join(means, key).groupBy(key, "members").agg(F.min_by(F.struct(ident, "lat", "lon"), F.struct(apart.alias("d"), F.col(ident).alias("i"))).alias("m")).select(key, "members", "m.*")
 
 
+#: Numbers that are looked at together by :func:`nearest_key`.
+NUMBERS = 10_000
+
+
 def nearest_key(rows: DataFrame, known: DataFrame, group: str, number: str, ident: str, position: str) -> DataFrame:
     """For each row the known entry of its group whose number is nearest; of two as near, the earlier by position.
 
-    Rows with equal group and number share their answer, so each is looked up once. Both sides are ordered by number in
-    one window of the group: the nearest below and the nearest above are the last and the next known entries.
+    Rows with equal group and number share their answer, so each is looked up once. Numbers are dealt by range: within
+    a range the last known entry below and the next one above come from a window; where a range has none, they come
+    from a table with one row for each group and range. So a group of any size is as many tasks' work as it has ranges.
     """
-    from pyspark.sql.window import Window
-
+    lot = F.floor(F.col(number) / NUMBERS)
     wanted = rows.select(group, number).distinct()
-    entries = known.groupBy(group, number).agg(F.min(position).alias("p"))
-    marked = wanted.select(group, number, F.lit(None).cast("long").alias("p")).unionByName(entries.select(group, number, F.col("p").cast("long")))
+    entries = known.groupBy(group, number).agg(F.min(position).cast("long").alias("p"))
+    marked = wanted.select(group, number, F.lit(None).cast("long").alias("p")).unionByName(entries).withColumn("__lot", lot)
     entry = F.when(F.col("p").isNotNull(), F.struct(F.col(number).alias("n"), "p"))
-    order = Window.partitionBy(group).orderBy(number)
-    near = marked.select(
-        group, number, "p",
+    order = Window.partitionBy(group, "__lot").orderBy(number)
+    inside = marked.select(
+        group, number, "p", "__lot",
         F.last(entry, True).over(order.rangeBetween(Window.unboundedPreceding, 0)).alias("below"),
         F.first(entry, True).over(order.rangeBetween(0, Window.unboundedFollowing)).alias("above"),
-    ).where("p IS NULL")
-    options = F.filter(F.array("below", "above"), lambda e: e.isNotNull())
+    )
+    lots = marked.groupBy(group, "__lot").agg(F.max(entry).alias("last"), F.min(entry).alias("first"))
+    by_lot = Window.partitionBy(group).orderBy("__lot")
+    around = lots.select(
+        group, "__lot",
+        F.last("last", True).over(by_lot.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("first", True).over(by_lot.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+    )
+    near = inside.where("p IS NULL").join(around, [group, "__lot"])
+    options = F.filter(F.array(F.coalesce("below", "before"), F.coalesce("above", "after")), lambda e: e.isNotNull())
     best = F.array_min(F.transform(options, lambda e: F.struct(F.abs(e["n"] - F.col(number)).alias("d"), e["p"].alias("p"))))
     return rows.select(ident, group, number).join(near.select(group, number, best["p"].alias(position)), [group, number]).where(F.col(position).isNotNull())
 

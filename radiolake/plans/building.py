@@ -28,19 +28,22 @@ a AS (SELECT l_orderkey, arg_max(class, l_linenumber) AS class FROM x GROUP BY l
 SELECT o_orderkey AS usi, o_custkey AS owner, o_orderpriority AS service, class FROM orders LEFT JOIN a ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'"""
 
 _ROWS = "o_custkey AS licensee, concat_ws('|', 'STREET ' || CAST(o_custkey % 700 AS {s}), CASE WHEN o_custkey % 4 = 0 THEN '' ELSE 'TOWN' END) AS address"
-_CACHE = "concat_ws('|', 'STREET ' || CAST(p_partkey AS {s}), CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'TOWN' END) AS address, p_size > 20 AS matched, p_size AS fetched_at, CAST(p_partkey AS {s}) AS coordinates"
+_CACHE = "concat_ws('|', 'STREET ' || CAST(p_partkey % 800 AS {s}), CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'TOWN' END) AS address, p_size > 20 AS matched, p_size AS fetched_at, CAST(p_partkey AS {s}) AS coordinates"
 
 
 def _addresses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     town = lambda k: F.when(F.col(k) % 4 != 0, F.lit(" town"))
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("licensee"), etl.address_key(F.concat(F.lit("Street "), (F.col("o_custkey") % 700).cast("string")), town("o_custkey")).alias("address"))
-    cache = table(spark, sf_dir, "part").select(etl.address_key(F.concat(F.lit("street "), F.col("p_partkey").cast("string")), town("p_partkey")).alias("address"), (F.col("p_size") > 20).alias("matched"), F.col("p_size").alias("fetched_at"), F.col("p_partkey").cast("string").alias("coordinates"))
+    cache = table(spark, sf_dir, "part").select(etl.address_key(F.concat(F.lit("street "), (F.col("p_partkey") % 800).cast("string")), town("p_partkey")).alias("address"), (F.col("p_size") > 20).alias("matched"), F.col("p_size").alias("fetched_at"), F.col("p_partkey").cast("string").alias("coordinates"))
     return rows, cache
 
 
 QUERIES["geocode_join"] = lambda spark, sf_dir: etl.with_coordinates(*_addresses(spark, sf_dir), "address")
 SQL["geocode_join"] = f"""WITH r AS (SELECT {_ROWS.format(s="VARCHAR")} FROM orders), c AS (SELECT {_CACHE.format(s="VARCHAR")} FROM part)
-SELECT address, licensee, coordinates FROM r LEFT JOIN (SELECT address, coordinates FROM c WHERE matched) USING (address)"""
+SELECT address, licensee, coordinates FROM r LEFT JOIN (SELECT address, arg_max(coordinates, (fetched_at, coordinates)) AS coordinates FROM c WHERE matched GROUP BY address) USING (address)"""
+QUERIES["cache_counts"] = lambda spark, sf_dir: etl.cache_counts(*_addresses(spark, sf_dir), "address", 10)
+SQL["cache_counts"] = f"""WITH r AS (SELECT DISTINCT address FROM (SELECT {_ROWS.format(s="VARCHAR")} FROM orders)), c AS (SELECT address, bool_or(matched) AS hit, bool_or(fetched_at >= 10) AS fresh FROM (SELECT {_CACHE.format(s="VARCHAR")} FROM part) GROUP BY address)
+SELECT count(*) FILTER (WHERE coalesce(hit, false)) AS hits, count(*) FILTER (WHERE NOT coalesce(hit, false) AND coalesce(fresh, false)) AS fresh_misses, count(*) FILTER (WHERE NOT coalesce(hit, false) AND NOT coalesce(fresh, false)) AS to_do FROM r LEFT JOIN c USING (address)"""
 QUERIES["cache_diff"] = lambda spark, sf_dir: etl.to_geocode(*_addresses(spark, sf_dir), "address", 10)
 SQL["cache_diff"] = f"""WITH r AS (SELECT {_ROWS.format(s="VARCHAR")} FROM orders), c AS (SELECT {_CACHE.format(s="VARCHAR")} FROM part)
 SELECT DISTINCT address FROM r WHERE address NOT IN (SELECT address FROM c WHERE matched OR fetched_at >= 10)"""
@@ -53,8 +56,8 @@ SQL["drift_report"] = """WITH a AS (SELECT DISTINCT s_suppkey % 130 AS name FROM
 SELECT name, 'left' AS only_in FROM a WHERE name NOT IN (SELECT name FROM b) UNION ALL SELECT name, 'right' FROM b WHERE name NOT IN (SELECT name FROM a)"""
 QUERIES["missing_numbers"] = lambda spark, sf_dir: etl.missing_numbers(table(spark, sf_dir, "nation").where("n_regionkey <> 2"), "n_nationkey", 40)
 SQL["missing_numbers"] = "SELECT n_nationkey FROM (SELECT unnest(range(1, 41)) AS n_nationkey) WHERE n_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)"
-QUERIES["integrity_check"] = lambda spark, sf_dir: etl.orphans(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select((F.col("o_custkey") + 20).alias("k")), "k")
-SQL["integrity_check"] = """WITH o AS (SELECT o_custkey + 20 AS k FROM orders WHERE o_orderkey % 3 = 0)
+QUERIES["integrity_check"] = lambda spark, sf_dir: etl.orphans(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select((F.col("o_custkey") * 2 + 20).alias("k")), "k")
+SQL["integrity_check"] = """WITH o AS (SELECT o_custkey * 2 + 20 AS k FROM orders)
 SELECT (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT k FROM o)) AS without_children, (SELECT count(*) FROM o WHERE k NOT IN (SELECT c_custkey FROM customer)) AS without_parent"""
 
 
@@ -93,9 +96,10 @@ SELECT CAST(CASE band WHEN '4' THEN 1 WHEN '2' THEN 2 WHEN '0' THEN 3 ELSE 4 END
 
 
 def adif_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records written and parsed back: one text of each operator's records."""
-    lines = QUERIES["adif_text"](spark, sf_dir).join(contacts(spark, sf_dir).select("uuid", "operator"), "uuid")
-    texts = lines.select(F.concat(F.lit("log <EOH>"), F.regexp_replace("record", "<COMMENT:5>", "<COMMENT:3>")).alias("value"))
+    """Records written and parsed back: one text of each operator's records of a day."""
+    lines = QUERIES["adif_text"](spark, sf_dir).join(contacts(spark, sf_dir).select("uuid", "operator", F.to_date("qso_at").alias("day")), "uuid")
+    joined = F.array_join(F.array_sort(F.collect_list("record")), "\n")
+    texts = lines.groupBy("operator", "day").agg(F.concat(F.lit("log <EOH>"), F.regexp_replace(joined, "<COMMENT:5>", "<COMMENT:3>")).alias("value"))
     parsed = adif.parse(texts)
     return parsed.select(F.col("fields")["CALL"].alias("call"), F.unix_millis(adif.timestamp(F.col("fields"))).alias("at_ms"), F.col("fields")["MODE"].alias("mode"), F.col("fields")["COMMENT"].alias("comment"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.operators import log
+from radiolake.operators import log, stats
 from radiolake.plans.activity import CONTACTS, contacts
 from radiolake.plans.tables import table
 
@@ -76,7 +76,7 @@ def accumulate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min(F.to_date("ts").cast("string")).alias("first_seen"),
         F.max(F.to_date("ts").cast("string")).alias("last_seen"),
     )
-    merged = log.accumulate(side("event_id % 3 = 0"), side("event_id % 3 <> 0 AND user_id % 2 = 0"), "call")
+    merged = log.accumulate(side("event_id % 3 = 0"), side("event_id % 3 <> 0"), "call")
     return log.source_count(merged, ["fd_last_year", "hunter", "scp"])
 
 
@@ -84,28 +84,46 @@ QUERIES["accumulate_merge"] = accumulate_merge
 SQL["accumulate_merge"] = """WITH m AS (SELECT user_id AS call, CAST(max(year(ts)) FILTER (WHERE event_type = 'view') AS INTEGER) AS fd_last_year,
   max(CAST(trunc(value) AS BIGINT)) FILTER (WHERE event_type = 'purchase') AS hunter, CAST(max(1) FILTER (WHERE event_type = 'signup') AS INTEGER) AS scp,
   min(CAST(CAST(ts AS DATE) AS VARCHAR)) AS first_seen, max(CAST(CAST(ts AS DATE) AS VARCHAR)) AS last_seen
-  FROM events WHERE event_id % 3 = 0 OR user_id % 2 = 0 GROUP BY user_id)
+  FROM events GROUP BY user_id)
 SELECT *, CAST((fd_last_year IS NOT NULL)::INT + (hunter IS NOT NULL)::INT + (scp IS NOT NULL)::INT AS INTEGER) AS source_count FROM m"""
 
 
-def _called(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contacts(spark, sf_dir).withColumn("remote_callsign", F.concat(F.lit("K"), (F.col("operator") % 40).cast("string")))
+#: Contacts as a log that was typed in has them: some without a call, band, mode or time.
+_TYPED_COLUMNS = {
+    "uuid": "uuid", "remote_callsign": "CASE WHEN uuid % 31 <> 0 THEN concat('K', operator % 40) END", "band": "CASE WHEN uuid % 17 <> 0 THEN band END",
+    "mode": "CASE WHEN uuid % 19 <> 0 THEN mode END", "qso_at": "CASE WHEN uuid % 23 <> 0 THEN qso_at END", "operator": "CASE WHEN operator % 29 <> 3 THEN operator END",
+}
+_TYPED = ", ".join(f"{e} AS {n}" for n, e in _TYPED_COLUMNS.items())
+
+
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contacts(spark, sf_dir).select(*[F.expr(e).alias(n) for n, e in _TYPED_COLUMNS.items()])
 
 
 for _kind, _name, _keys in (("any", "dupe_any", ""), ("band-mode", "dupe_band_mode", ", band, mode"), ("band-mode-day", "dupe_band_mode_day", ", band, mode, CAST(qso_at AS DATE)")):
-    QUERIES[_name] = lambda spark, sf_dir, kind=_kind: log.duplicates(_called(spark, sf_dir), kind).select("uuid", "remote_callsign", "previous")
-    SQL[_name] = f"WITH {CONTACTS} SELECT uuid, 'K' || (operator % 40) AS remote_callsign, lag(uuid) OVER (PARTITION BY operator % 40{_keys} ORDER BY qso_at, uuid) AS previous FROM contacts"
+    QUERIES[_name] = lambda spark, sf_dir, kind=_kind: log.duplicates(typed(spark, sf_dir), kind).select("uuid", "remote_callsign", "previous")
+    SQL[_name] = f"WITH {CONTACTS}, t AS (SELECT {_TYPED} FROM contacts) SELECT uuid, remote_callsign, lag(uuid) OVER (PARTITION BY remote_callsign{_keys} ORDER BY qso_at NULLS LAST, uuid) AS previous FROM t"
+
+QUERIES["typed_operator_report"] = lambda spark, sf_dir: stats.operator_report(typed(spark, sf_dir))
+SQL["typed_operator_report"] = f"""WITH {CONTACTS}, t AS (SELECT {_TYPED} FROM contacts),
+hours AS (SELECT operator, count(*) OVER (PARTITION BY operator ORDER BY qso_at RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM t WHERE qso_at IS NOT NULL),
+peak AS (SELECT operator, max(n) AS best FROM hours GROUP BY operator), total AS (SELECT operator, count(*) AS total FROM t GROUP BY operator),
+bands AS (SELECT operator, band, count(*) AS n, row_number() OVER (PARTITION BY operator ORDER BY count(*) DESC, bool_or(qso_at IS NULL) DESC, min(CASE WHEN qso_at IS NULL THEN uuid END), min(qso_at), arg_min(uuid, (qso_at, uuid))) AS r FROM t GROUP BY operator, band),
+modes AS (SELECT operator, mode, count(*) AS n, row_number() OVER (PARTITION BY operator ORDER BY count(*) DESC, bool_or(qso_at IS NULL) DESC, min(CASE WHEN qso_at IS NULL THEN uuid END), min(qso_at), arg_min(uuid, (qso_at, uuid))) AS r FROM t GROUP BY operator, mode)
+SELECT p.operator, p.total, coalesce(k.best, 0) AS best_hour, b.band AS top_band, CAST(floor(b.n * 100.0 / p.total + 0.5) AS BIGINT) AS top_band_pct, m.mode AS top_mode, CAST(floor(m.n * 100.0 / p.total + 0.5) AS BIGINT) AS top_mode_pct
+FROM total p LEFT JOIN peak k ON p.operator IS NOT DISTINCT FROM k.operator JOIN bands b ON p.operator IS NOT DISTINCT FROM b.operator AND b.r = 1 JOIN modes m ON p.operator IS NOT DISTINCT FROM m.operator AND m.r = 1"""
 
 
 def import_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hourly = _called(spark, sf_dir).withColumn("qso_at", F.date_trunc("hour", "qso_at"))
+    hourly = typed(spark, sf_dir).withColumn("qso_at", F.date_trunc("hour", "qso_at"))
     return log.import_new(hourly.where("uuid % 4 <> 0"), hourly.where("uuid % 4 = 0"), "uuid").select("uuid", "remote_callsign", "band", "mode")
 
 
 QUERIES["import_dedupe"] = import_dedupe
-SQL["import_dedupe"] = f"""WITH {CONTACTS}, h AS (SELECT uuid, 'K' || (operator % 40) AS remote_callsign, band, mode, date_trunc('hour', qso_at) AS t FROM contacts),
+SQL["import_dedupe"] = f"""WITH {CONTACTS}, t AS (SELECT {_TYPED} FROM contacts), h AS (SELECT uuid, remote_callsign, band, mode, date_trunc('hour', qso_at) AS t FROM t),
 i AS (SELECT *, row_number() OVER (PARTITION BY remote_callsign, band, mode, t ORDER BY uuid) AS r FROM h WHERE uuid % 4 <> 0)
-SELECT uuid, remote_callsign, band, mode FROM i WHERE r = 1 AND (remote_callsign, band, mode, t) NOT IN (SELECT (remote_callsign, band, mode, t) FROM h WHERE uuid % 4 = 0)"""
+SELECT uuid, remote_callsign, band, mode FROM i WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM h WHERE h.uuid % 4 = 0 AND h.remote_callsign IS NOT DISTINCT FROM i.remote_callsign
+  AND h.band IS NOT DISTINCT FROM i.band AND h.mode IS NOT DISTINCT FROM i.mode AND h.t IS NOT DISTINCT FROM i.t)"""
 
 
 def contact_errors(spark: SparkSession, sf_dir: str) -> DataFrame:

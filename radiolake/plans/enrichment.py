@@ -23,10 +23,11 @@ for _s in scalars.PORTABLE:
     _N = f"regexp_replace({_N}, '{_s}$', '')"
 SQL["normalize_call"] = f"SELECT c_custkey, rtrim(trim({_N}), '/') AS call FROM customer"
 
-_RAW = """CASE s_suppkey % 6 WHEN 0 THEN '"k' || s_suppkey || 'aa"' WHEN 1 THEN 'wØ' || s_suppkey WHEN 2 THEN 'n)' || s_suppkey || '!' WHEN 3 THEN 'no call' WHEN 4 THEN 'TEST' ELSE 've' || s_suppkey || '/w-1' END"""
+_RAW = """CASE s_suppkey % 10 WHEN 0 THEN '"k' || s_suppkey || 'aa"' WHEN 1 THEN 'wØ' || s_suppkey WHEN 2 THEN 'n)' || s_suppkey || '!' WHEN 3 THEN 'no call' WHEN 4 THEN 'TEST' WHEN 5 THEN 'call'
+  WHEN 6 THEN ' n/a' WHEN 7 THEN '`kÃ˜' || s_suppkey WHEN 8 THEN '(none)' ELSE 'va∅' || s_suppkey || '/w-1' END"""
 QUERIES["clean_call"] = lambda spark, sf_dir: table(spark, sf_dir, "supplier").select("s_suppkey", scalars.clean_call(F.expr(_RAW)).alias("call"))
-SQL["clean_call"] = f"""WITH p AS (SELECT s_suppkey, translate(replace(trim(upper(trim({_RAW})), '"'''), 'Ø', '0'), ')!@#$%^&*(', '0123456789') AS c FROM supplier)
-SELECT s_suppkey, CASE WHEN length(c) >= 3 AND c NOT IN ('NONE', 'TEST', 'NOCALL', 'UNKNOWN') AND regexp_full_match(c, '[A-Z0-9]+(?:[/-][A-Z0-9]+)*') THEN c END AS call FROM p"""
+SQL["clean_call"] = """WITH n AS (SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS n, s_suppkey % 10 AS k FROM supplier)
+SELECT s_suppkey, CASE k WHEN 0 THEN 'K' || n || 'AA' WHEN 1 THEN 'W0' || n WHEN 2 THEN 'N0' || n || '1' WHEN 4 THEN 'TEST' WHEN 7 THEN 'K0' || n WHEN 8 THEN '9NONE0' WHEN 9 THEN 'VA0' || n || '/W-1' END AS call FROM n"""
 
 QUERIES["suffixes"] = lambda spark, sf_dir: table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(scalars.suffixes(F.col("s_name"))).alias("suffix"))
 SQL["suffixes"] = "SELECT s_suppkey, substr(s_name, i, length(s_name)) AS suffix FROM (SELECT *, unnest(range(1, length(s_name) + 1)) AS i FROM supplier)"
@@ -69,7 +70,7 @@ QUERIES["license_names"] = lambda spark, sf_dir: table(spark, sf_dir, "customer"
     scalars.slug(F.concat("c_name", F.lit(" & "), "c_mktsegment")).alias("slug"),
 )
 SQL["license_names"] = """WITH c AS (SELECT *, substr(c_mktsegment, 1, 4) AS l FROM customer) SELECT c_custkey,
-  CASE WHEN contains(l, 'D') THEN 'advanced' WHEN contains(l, 'E') THEN 'basic with honours' WHEN contains(l, 'A') THEN 'advanced' ELSE '' END AS license_class,
+  CASE WHEN contains(l, 'D') THEN 'advanced' WHEN contains(l, 'E') THEN 'basic with honours' WHEN contains(l, 'A') THEN 'basic' ELSE '' END AS license_class,
   'PAT ' || CASE WHEN c_custkey % 2 = 0 THEN 'Q ' ELSE '' END || upper(c_mktsegment) AS full_name,
   trim(regexp_replace(lower(c_name || ' & ' || c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM c"""
 
@@ -88,29 +89,43 @@ SQL["clock_shift"] = "SELECT event_id, epoch_us(ts - INTERVAL 1 DAY + INTERVAL 3
 
 # --- searching ------------------------------------------------------------------------------------------------------
 
-_TERMS = ["00", "red", "9", "steel", "a", "zzz"]
+_TERMS = ["00", "red", "9", "steel", "a", "zzz", "almond antique"]
+#: What the seven sources know of each callsign; null where they don't know it.
+_KNOWN = {
+    "fd_last_year": "max(CASE WHEN p_partkey % 3 <> 0 THEN 2000 + p_size % 20 END)",
+    "wfd_last_year": "max(CASE WHEN p_partkey % 4 = 0 THEN 2015 + p_size % 9 END)",
+    "pota_hunter_qsos": "max(CASE WHEN p_size > 10 THEN p_partkey END)",
+    "pota_activations": "max(CASE WHEN p_size < 20 THEN p_partkey % 500 END)",
+    "lotw_last_upload": "max(CASE WHEN p_partkey % 5 < 3 THEN concat('2024-01-', lpad(concat(1 + p_size % 28, ''), 2, '0')) END)",
+    "clublog": "max(CASE WHEN p_partkey % 6 <> 1 THEN 1 ELSE 0 END)",
+    "clublog_last_qso": "max(CASE WHEN p_partkey % 6 > 3 THEN concat('2023-12-', lpad(concat(1 + p_size % 28, ''), 2, '0')) END)",
+    "scp": "max(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END)",
+}
+_DATED = ("fd_last_year", "wfd_last_year", "pota_hunter_qsos", "pota_activations", "lotw_last_upload")
 
 
 def partial_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three sources, each with its own order and limit, for several terms at once."""
-    part = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("call")).agg(F.max("p_size").alias("year"), F.max("p_partkey").alias("count"))
+    """Seven sources, each with its own order and limit, for several terms at once."""
+    calls = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("call")).agg(*[F.expr(e).alias(n) for n, e in _KNOWN.items()])
+    counted = sum((F.col(c).isNotNull().cast("int") for c in _DATED), F.col("clublog") + F.col("scp"))
     terms = spark.createDataFrame([(t,) for t in _TERMS], "term string")
-    found = search.matches(part, terms)
-    orders = {"year": ([F.desc("year")], 6), "count": ([F.desc("count")], 8), "short": ([F.length("call")], 8)}
-    out = None
-    for source, (order, k) in orders.items():
-        top = search.top_matches(found, order, k).select("term", F.lit(source).alias("source"), "place", "call", "truncated")
-        out = top if out is None else out.unionByName(top)
-    return out
+    return search.by_source(search.matches(calls.withColumn("source_count", counted), terms))
 
 
 QUERIES["partial_search_topk"] = partial_search
+_ORDERS = {
+    "fd": ("fd_last_year", "fd_last_year IS NOT NULL", "fd_last_year DESC"), "wfd": ("wfd_last_year", "wfd_last_year IS NOT NULL", "wfd_last_year DESC"),
+    "pota_hunter": ("pota_hunter_qsos", "pota_hunter_qsos IS NOT NULL", "pota_hunter_qsos DESC"), "pota_activator": ("pota_activations", "pota_activations IS NOT NULL", "pota_activations DESC"),
+    "lotw": ("lotw_last_upload", "lotw_last_upload IS NOT NULL", "lotw_last_upload DESC"), "clublog": ("clublog_last_qso", "clublog = 1", "clublog_last_qso IS NULL, clublog_last_qso DESC"),
+    "scp": ("NULL", "scp = 1", "length(call), source_count DESC"),
+}
 _SEARCH = " UNION ALL ".join(
-    f"""SELECT term, '{source}' AS source, CAST(place AS INTEGER) AS place, call, n > {k} AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY call <> term, {order}, call) AS place,
-  count(*) OVER (PARTITION BY term) AS n FROM f) WHERE place <= {k}"""
-    for source, order, k in (("year", "year DESC", 6), ("count", "cnt DESC", 8), ("short", "length(call)", 8))
+    f"""SELECT term, '{name}' AS source, CAST(place AS INTEGER) AS place, call, CAST(value AS VARCHAR) AS value, n > {search.SOURCE_LIMITS[name]} AS truncated FROM (SELECT term, call, {value} AS value,
+  row_number() OVER (PARTITION BY term ORDER BY call <> term, {order}, call) AS place, count(*) OVER (PARTITION BY term) AS n FROM f WHERE {where}) WHERE place <= {search.SOURCE_LIMITS[name]}"""
+    for name, (value, where, order) in _ORDERS.items()
 )
-SQL["partial_search_topk"] = f"""WITH p AS (SELECT lower(p_name) AS call, max(p_size) AS year, max(p_partkey) AS cnt FROM part GROUP BY 1),
+SQL["partial_search_topk"] = f"""WITH k AS (SELECT lower(p_name) AS call, {", ".join(f"{e} AS {n}" for n, e in _KNOWN.items())} FROM part GROUP BY 1),
+p AS (SELECT *, {" + ".join(f"({c} IS NOT NULL)::INT" for c in _DATED)} + clublog + scp AS source_count FROM k),
 f AS (SELECT * FROM p, (SELECT unnest({_TERMS}) AS term) WHERE contains(call, term)) {_SEARCH}"""
 
 QUERIES["match_rank_search"] = lambda spark, sf_dir: search.ranked_search(table(spark, sf_dir, "customer").select(F.col("c_name").alias("call")), "11", 20)
@@ -131,17 +146,18 @@ WHERE contains(lower(concat_ws('|', 'K' || operator, band, mode)), 'view') AND c
 
 
 def chain_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = table(spark, sf_dir, "lineitem").select(((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 4000).alias("call"))
-    first = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("call"), F.col("c_name").alias("name"))
-    second = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("call"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 10 == 0, F.lit("unavailable")).alias("error"))
-    third = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("call"), F.col("s_name").alias("name"))
+    """Three sources over disjoint and shared keys: all customers (odd numbers), all parts, all suppliers (moved up)."""
+    calls = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + F.col("l_suppkey")).alias("call")).unionByName(table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 7).alias("call")))
+    first = table(spark, sf_dir, "customer").select((2 * F.col("c_custkey") + 1).alias("call"), F.col("c_name").alias("name"))
+    second = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("call"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 10 == 0, F.lit("unavailable")).alias("error"))
+    third = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 11).alias("call"), F.col("s_name").alias("name"))
     return lookup.chain(calls, [("first", first), ("second", second), ("third", third)], "call")
 
 
 QUERIES["chain_lookup"] = chain_lookup
-SQL["chain_lookup"] = """WITH k AS (SELECT DISTINCT (l_partkey * 7 + l_suppkey) % 4000 AS call FROM lineitem),
+SQL["chain_lookup"] = """WITH k AS (SELECT l_partkey + l_suppkey AS call FROM lineitem UNION SELECT o_orderkey + 7 FROM orders),
 j AS (SELECT k.call, c.c_name, CASE WHEN p_partkey % 10 <> 0 THEN p.p_name END AS p_name, s.s_name, p_partkey % 10 = 0 AS bad FROM k
-  LEFT JOIN customer c ON c.c_custkey = k.call AND c.c_custkey % 3 = 0 LEFT JOIN part p ON p.p_partkey = k.call AND p.p_partkey % 2 = 0 LEFT JOIN supplier s ON s.s_suppkey = k.call)
+  LEFT JOIN customer c ON 2 * c.c_custkey + 1 = k.call LEFT JOIN part p ON p.p_partkey = k.call LEFT JOIN supplier s ON s.s_suppkey * 11 = k.call)
 SELECT call, coalesce(c_name, p_name, s_name) AS name, CASE WHEN c_name IS NOT NULL THEN 'first' WHEN p_name IS NOT NULL THEN 'second' WHEN s_name IS NOT NULL THEN 'third' END AS source,
   CASE WHEN coalesce(c_name, p_name, s_name) IS NULL AND bad THEN 'unavailable' END AS error FROM j"""
 

@@ -78,11 +78,18 @@ def call_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["call_parser"] = call_parser
+#: The same list as patterns: entry, depth, width, pattern; and each entry's attributes with those of its parents.
+_MASKS = [
+    (1, 1, 1, "^K"), (1, 1, 1, "^W"), (1, 1, 2, "^A[A-L]"), (2, 2, 3, "^K[0-9]6"), (2, 2, 2, "^[KW]6"), (2, 2, 3, "^K[A-Z]6"), (3, 2, 3, "^KH6([0-9]|$)"), (3, 2, 3, "^KH7"),
+    (4, 1, 2, "^EA"), (4, 1, 2, "^E[B-H]"), (5, 2, 3, "^EA8"), (5, 2, 3, "^E[A-Z0-9]8"), (6, 1, 2, "^2[A-Z]"), (6, 1, 1, "^G"),
+]
+_ATTRIBUTES = [(1, "Northland", "NA", 4, 8, 901), (2, "Northland West", "NA", 3, 6, 901), (3, "Far Isles", "OC", 31, 61, 910), (4, "Southland", "EU", 14, 37, 930), (5, "South Isles", "AF", 33, 36, 931), (6, "Midland", "EU", 14, 27, 940)]
+_OWN_DIGIT = "'^([A-Z]*|[0-9][A-Z]+)[0-9]'"
+SQL["call_parser"] = f"""WITH c AS (SELECT DISTINCT {_CALL} AS call FROM customer), p AS (SELECT call, list_filter(string_split(upper(call), '/'), lambda x: x NOT IN ('', 'P', 'M', 'MM', 'QRP', 'ANT')) AS l FROM c),
+d AS (SELECT call, CASE WHEN l[2] IS NULL THEN l[1] WHEN regexp_full_match(l[2], '[0-9]') THEN regexp_extract(l[1], {_OWN_DIGIT}, 1) || l[2] || regexp_replace(l[1], {_OWN_DIGIT}, '') WHEN length(l[2]) <= length(l[1]) THEN l[2] ELSE l[1] END AS part FROM p),
+m(entry, depth, width, pattern) AS (VALUES {", ".join(map(str, _MASKS))}), a(entry, territory, continent, cq, itu, dxcc) AS (VALUES {", ".join(map(str, _ATTRIBUTES))}),
+h AS (SELECT call, arg_max(m.entry, (depth, width, m.entry)) AS entry FROM d JOIN m ON regexp_matches(part, pattern) GROUP BY call)
+SELECT call, CAST(entry AS INTEGER) AS entry, territory, continent, CAST(cq AS VARCHAR) AS cq, CAST(itu AS VARCHAR) AS itu, CAST(dxcc AS VARCHAR) AS dxcc FROM h JOIN a USING (entry)"""
 
 QUERIES["accent_fold"] = lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.md5(names.strip_accents(F.coalesce("text", F.lit(""))).cast("binary")).alias("plain_md5"))
 SQL["accent_fold"] = "SELECT doc_id, md5(strip_accents(coalesce(text, ''))) AS plain_md5 FROM documents"
-
-_STREET = "concat(CAST(o_custkey % 90 AS {s}), CASE o_orderkey % 3 WHEN 0 THEN ' North Main Street' WHEN 1 THEN ' Oak Ave.' ELSE ' Elm Lane' END)"
-QUERIES["street_variants"] = lambda spark, sf_dir: table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(names.street_variants(F.expr(_STREET.format(s="STRING"))), ";").alias("variants"))
-SQL["street_variants"] = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN n || ' north main street;' || n || ' n main st;' || n || ' n main' WHEN 1 THEN n || ' oak ave;' || n || ' oak' ELSE n || ' elm lane;' || n || ' elm ln;' || n || ' elm' END AS variants
-FROM (SELECT o_orderkey, CAST(o_custkey % 90 AS VARCHAR) AS n FROM orders)"""

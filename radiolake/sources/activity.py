@@ -21,9 +21,15 @@ def call_columns(names: list[str]) -> list[str]:
     return [n for n in names if ("CALL" in n.upper() or "GOTA" in n.upper()) and "CLUB" not in n.upper()]
 
 
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 if all lines of a text file are, else Latin-1, in which callsigns read as in the older sheets' code page."""
+    return "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
+
+
 def field_day(spark: SparkSession, path: str, year: int) -> DataFrame:
     """One year's results sheet; a cell may name several stations, ``?`` stands for a slashed zero."""
-    sheet = spark.read.option("header", True).csv(path)
+    sheet = spark.read.option("header", True).option("encoding", encoding_of(spark, path)).csv(path)
+    sheet = sheet.withColumnsRenamed({c: c.lstrip("\ufeff") for c in sheet.columns})
     cells = F.explode(F.array(*[F.col(f"`{c}`") for c in call_columns(sheet.columns)]))
     stations = F.explode(F.split(F.replace("cell", F.lit("?"), F.lit("0")), BETWEEN_STATIONS))
     return folded(sheet.select(cells.alias("cell")).select(stations.alias("station")), F.col("station"), F.lit(year))

@@ -6,29 +6,57 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Kinds of a prefix list's entries that are prefixes, and the fewest rows of a whole park list.
+PREFIX_KINDS, LEAST_PARKS = (1, 2, 3, 6, 9), 50_000
 
-def pipe_records(text: DataFrame, tag: str, names: list[str], value: str = "value") -> DataFrame:
-    """Rows of a pipe-delimited dump given as whole texts, with their ``position``.
 
-    A line that doesn't begin with the tag goes on the row before it. Short rows are padded, blank fields are null, a
-    row with too many fields raises when it is read.
+def pipe_records(spark: SparkSession, path: str, tag: str, names: list[str], encoding: str = "ISO-8859-1") -> DataFrame:
+    """Rows of a pipe-delimited dump, with their ``position`` (file, block, place in the block: the order of the file).
+
+    A record ends where the next line begins with the tag, so a line that doesn't begin with it belongs to the record
+    before. Spark's reader splits files at that separator, so a dump of any size is read by many tasks. Short rows are
+    padded, blank fields are null, a row with too many fields raises when it is read.
     """
-    parts = F.split(F.regexp_replace(F.col(value), "\\r?\\n(?!" + tag + "\\|)", " "), "\\r?\\n")
-    rows = text.select(F.posexplode(parts).alias("position", "line")).where(F.startswith("line", F.lit(f"{tag}|")))
-    fields = F.split("line", "\\|")
-    checked = F.when(F.size(fields) <= len(names), fields).otherwise(F.raise_error(F.concat(F.lit(f"{tag}: too many fields in row "), F.col("position").cast("string"))))
+    raw = spark.read.option("lineSep", f"\n{tag}|").text(path).withColumn("at", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")))
+    text = F.decode(F.col("value").cast("binary"), encoding)
+    body = F.rtrim(F.regexp_replace(F.regexp_replace(text, f"^(\\xEF\\xBB\\xBF)?{tag}\\|", ""), "[\\r\\n]+$", ""), F.lit("\r"))
+    rows = raw.select(F.col("at").alias("position"), F.regexp_replace(body, "\r?\n", " ").alias("line")).where("trim(line) <> ''")
+    fields = F.concat(F.array(F.lit(tag)), F.split("line", "\\|"))
+    checked = F.when(F.size(fields) <= len(names), fields).otherwise(F.raise_error(F.concat(F.lit(f"{tag}: too many fields in "), F.substring("line", 1, 60))))
     return rows.select("position", checked.alias("f")).select("position", *[F.nullif(F.trim(F.try_element_at("f", F.lit(i + 1))), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
+def prefix_list(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a prefix list: ``id`` in the order of the file, ``kind``, ``level``, ``parent`` and the attributes.
+
+    Three header lines are skipped, a flag before the kind is dropped, kind and level are hexadecimal, and only the
+    kinds that are callsign prefixes stay; ids count those that stay. One file of some thousand lines.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where("n >= 3")
+    cells = lines.select("n", F.transform(F.split("line", "\\|"), lambda c: F.trim(c)).alias("c"))
+    code = F.regexp_replace(F.element_at("c", 1), "^[LM-]", "")
+    hexadecimal = lambda at: F.conv(F.substring(code, at, 2), 16, 10).cast("int")
+    cell = lambda i: F.nullif(F.try_element_at("c", F.lit(i)), F.lit(""))
+    places = {"lon": 2, "lat": 3, "territory": 4, "prefix": 5, "cq": 6, "itu": 7, "continent": 8, "tz": 9, "dxcc": 10, "province": 11, "mask": 14}
+    entries = cells.where(F.size("c") > 1).select("n", hexadecimal(1).alias("kind"), hexadecimal(3).alias("level"), *[cell(i).alias(n) for n, i in places.items()])
+    kept = entries.where(F.col("kind").isin(*PREFIX_KINDS)).withColumn("id", F.row_number().over(Window.orderBy("n"))).drop("n")
+    return parents(kept, 15)
+
+
 def semicolon_dump(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """A dump whose header must be exactly these names; a row with another number of fields raises."""
     schema = ", ".join(f"`{n}` string" for n in names)
     return spark.read.option("sep", ";").option("quote", "").option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(schema).csv(path)
 
 
-def parks(spark: SparkSession, path: str) -> DataFrame:
-    """A park list by its header: needed columns must be there, others are ignored, rows without reference are skipped."""
+def parks(spark: SparkSession, path: str, least: int = LEAST_PARKS) -> DataFrame:
+    """A park list by its header: needed columns must be there, others are ignored, rows without reference are skipped.
+
+    A list of fewer than ``least`` rows was cut off on its way and raises.
+    """
     raw = spark.read.option("header", True).csv(path)
+    if (n := raw.count()) < least:
+        raise ValueError(f"the park list has {n} rows, fewer than {least}")
     return park_columns(raw)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.sources.adif import tag
+from radiolake.sources.adif import dupe_sheet, sheet_lines, tag
 
 
 def submission_value(name: str, prompts: dict[str, str], meta: dict[str, str], columns: list[str], fields: Column) -> Column:
@@ -42,3 +42,32 @@ def display_line(km: Column, degrees: Column, place: Column) -> Column:
     """Miles, bearing and place, those that are known, with spaces between."""
     miles = F.floor(km * F.lit(0.621371) + F.lit(0.5)).cast("long")
     return F.concat_ws(" ", F.concat(miles.cast("string"), F.lit(" mi")), F.concat(degrees.cast("string"), F.lit("°")), F.nullif(F.trim(place), F.lit("")))
+
+
+def backup(df: DataFrame, base: str, slug: str, stamp: str) -> str:
+    """A dated copy of a table; the one of the same name and stamp stays as it is and raises. Returns where it is."""
+    path = f"{base}/{slug}-{stamp}"
+    df.write.mode("error").parquet(path)
+    return path
+
+
+def pota_line(contacts: DataFrame, order: list[str], prompts: dict[str, str], meta: dict[str, str]) -> Column:
+    """A record of the parks' programme: the template's fields in order, and three tags for each given park."""
+    value = lambda n: submission_value(n, prompts, meta, contacts.columns, F.col("fields"))
+    tags = []
+    for name in order:
+        if name == "my_park":
+            tags += park_tags(value(name), F.lit(None).cast("string"))
+        elif name == "their_park":
+            tags += park_tags(F.lit(None).cast("string"), value(name))
+        else:
+            tags.append(tag(name.upper(), value(name)))
+    return F.concat(F.array_join(F.filter(F.array(*tags), lambda t: t != ""), " "), F.lit(" <EOR>"))
+
+
+#: Formats of a submission: their names, the ends of their file names, and what makes a record or the sheet's lines.
+FORMATS = {
+    "adif": {"label": "ADIF", "ending": "adi", "build": pota_line},
+    "pota": {"label": "Parks", "ending": "adi", "build": pota_line},
+    "dupe-sheet": {"label": "Dupe sheet", "ending": "txt", "build": lambda contacts, bands: sheet_lines(dupe_sheet(contacts, bands))},
+}

@@ -35,7 +35,7 @@ def test_places(spark, tmp_path):
 
 def test_semicolon_dump_and_parks(spark, tmp_path):
     assert rows(dumps.semicolon_dump(spark, put(tmp_path / "a.txt", "callsign;name\nVE1A;Pat\n"), ["callsign", "name"])) == [("VE1A", "Pat")]
-    parks = dumps.parks(spark, put(tmp_path / "p.csv", "reference,name,active,entityId,locationDesc,latitude,longitude,grid,more\nUS-1,One,1,291,US-OR,45.5,x,CN85ab,z\n,None,,,,,,,\n"))
+    parks = dumps.parks(spark, put(tmp_path / "p.csv", "reference,name,active,entityId,locationDesc,latitude,longitude,grid,more\nUS-1,One,1,291,US-OR,45.5,x,CN85ab,z\n,None,,,,,,,\n"), 1)
     assert rows(parks) == [("US-1", "One", 1, 291, "US-OR", 45.5, None, "CN85")]
 
 

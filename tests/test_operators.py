@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from radiolake.functions import geo, places, scalars
-from radiolake.operators import etl, log, lookup, prefixes, search, spatial, stats
-from radiolake.sources import adif, dumps
+from radiolake.operators import etl, forms, log, lookup, prefixes, search, spatial, stats
+from radiolake.sources import activity, adif, dumps, exports
 from radiolake.streaming import jobs
 
 T = [datetime(2024, 6, 1, 12), datetime(2024, 6, 1, 12, 30), datetime(2024, 6, 1, 13), datetime(2024, 6, 1, 13, 0, 1)]
@@ -58,7 +58,7 @@ def test_callsigns(spark):
     df = spark.createDataFrame([(" k1aw/p/ ",), ("X/M/P",), ("X/P/M",), ("k2x/qrp",)], "c string")
     assert [r[0] for r in df.select(scalars.normalize_call(F.col("c"))).collect()] == ["K1AW", "X", "X/P", "K2X"]
     df = spark.createDataFrame([('"w1aw"',), ("kØab",), ("n!ab",), ("ab",), ("test",), ("a b c",), (None,)], "c string")
-    assert [r[0] for r in df.select(scalars.clean_call(F.col("c"))).collect()] == ["W1AW", "K0AB", "N1AB", None, None, None, None]
+    assert [r[0] for r in df.select(scalars.clean_call(F.col("c"))).collect()] == ["W1AW", "K0AB", "N1AB", None, "TEST", None, None]
 
 
 def test_coercers(spark):
@@ -79,8 +79,8 @@ def test_region_with_hole_and_enclave(spark):
     square = lambda a, b: [(a, a), (a, b), (b, b), (b, a), (a, a)]
     parts = spark.createDataFrame([(1, 0.0, 10.0, 0.0, 10.0, [square(0.0, 10.0), square(4.0, 6.0)]), (2, 1.0, 3.0, 1.0, 3.0, [square(1.0, 3.0)])], "feature int, minx double, maxx double, miny double, maxy double, rings array<array<struct<lat:double,lon:double>>>")
     points = spark.createDataFrame([(1, 2.0, 2.0), (2, 5.0, 5.0), (3, 8.0, 8.0), (4, 20.0, 20.0), (5, None, 1.0)], "id int, lat double, lon double")
-    assert rows(spatial.region_of(points, parts, [F.col("feature")], "id", ["feature"])) == [(1, 1), (3, 1)]
-    assert rows(spatial.region_of(points, parts, [-F.col("feature")], "id", ["feature"])) == [(1, 2), (3, 1)]
+    assert rows(spatial.region_of(points, parts, [F.col("feature")], "id", ["feature"], part="feature")) == [(1, 1), (3, 1)]
+    assert rows(spatial.region_of(points, parts, [-F.col("feature")], "id", ["feature"], part="feature")) == [(1, 2), (3, 1)]
 
 
 def test_search_puts_the_exact_call_first(spark):
@@ -108,14 +108,39 @@ def test_adif_reads_odd_files(spark):
     text = "note <EOH><CALL:4>W1AW<call:4>K1AB <QSO_DATE:8>20240601<TIME_ON:4>1230<EOR>\n<CALL:2>É1 <EOR><CALL:3>N0B"
     out = adif.parse(spark.createDataFrame([(text,), ("",), (None,)], "value string")).orderBy("position").collect()
     assert [r["fields"]["CALL"] for r in out] == ["K1AB", "É1", "N0B"]
-    assert adif.records("<CALL:4>K1AB<EOR>") == [{"CALL": "K1AB"}]
+    text = "<NAME:4>😀é<<CALL:4>K1AB<X><EOR><EOR><a:3:S>1<2<eor>"
+    out = adif.parse(spark.createDataFrame([(text,), ("<CALL:2>K1<EOH>",), ("<CALL:9>K",)], "value string")).collect()
+    assert sorted((r["position"], r["fields"]) for r in out if "CALL" not in r["fields"]) == [(1, {"A": "1<2"})]
+    assert sorted((r["fields"] for r in out if "CALL" in r["fields"]), key=len) == [{"CALL": "K"}, {"NAME": "😀é<", "CALL": "K1AB", "X": ""}]
+
+
+def test_written_logs_are_one_file_in_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"K{i}", T[i % 4]) for i in range(200)], "n int, call string, at timestamp")
+    adif.write(rows, adif.line([("CALL", F.col("call")), ("QSO_DATE", F.lit(""))], F.col("at")), ["n"], str(tmp_path / "log"))
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "log").glob("part-*")))
+    assert text.count("<EOH>") == 1 and text.index("<EOH>") < text.index("<EOR>")
+    out = adif.parse(spark.createDataFrame([(text,)], "value string")).orderBy("position").collect()
+    assert [r["fields"]["CALL"] for r in out] == [f"K{i}" for i in range(200)]
 
 
 def test_dump_readers(spark, tmp_path):
-    text = spark.createDataFrame([("EN|1|a\nmore|x\nEN|2|\nEN|3",)], "value string")
-    assert rows(dumps.pipe_records(text, "EN", ["tag", "id", "name", "rest"]).select("id", "name", "rest")) == [("1", "a more", "x"), ("2", None, None), ("3", None, None)]
+    (tmp_path / "EN.dat").write_bytes("EN|1|a\r\nmore|é\r\nEN|2|\nEN|3\n".encode("latin-1"))
+    out = dumps.pipe_records(spark, str(tmp_path / "EN.dat"), "EN", ["tag", "id", "name", "rest"])
+    assert [tuple(r) for r in out.orderBy("position").select("tag", "id", "name", "rest").collect()] == [("EN", "1", "a more", "é"), ("EN", "2", None, None), ("EN", "3", None, None)]
     with pytest.raises(Exception, match="too many"):
-        dumps.pipe_records(text, "EN", ["tag", "id"]).collect()
+        dumps.pipe_records(spark, str(tmp_path / "EN.dat"), "EN", ["tag", "id"]).collect()
+    big = "".join(f"EN|{i}|name {i}\nwrapped {i}|x\n" for i in range(20_000))
+    (tmp_path / "big.dat").write_text(big)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        out = dumps.pipe_records(spark, str(tmp_path / "big.dat"), "EN", ["tag", "id", "name", "rest"])
+        assert out.rdd.getNumPartitions() > 5
+        assert [tuple(r) for r in out.orderBy("position").select("id", "name", "rest").collect()] == [(str(i), f"name {i} wrapped {i}", "x") for i in range(20_000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    prefix = "h1\nh2\nh3\n-0100|100|-200|Land|K|4|8|NA|5|901||2000|2001|K\nL0401|1|2|skip|||||||||X|\n0301|360|540|Isle|KH6|||||||||KH6.\n"
+    (tmp_path / "Prefix.lst").write_text(prefix)
+    assert [(r["id"], r["kind"], r["level"], r["territory"], r["cq"], r["mask"], r["parent"]) for r in dumps.prefix_list(spark, str(tmp_path / "Prefix.lst")).orderBy("id").collect()] == [(1, 1, 0, "Land", "4", "K", None), (2, 3, 1, "Isle", None, "KH6.", 1)]
     (tmp_path / "z.json").write_text('{"features":[{"geometry":{"type":"Polygon","coordinates":[[[0,1],[2,1],[2,3],[0,1]]]},"properties":{"name":"p"}},{"geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]},"properties":{"name":"m"}}]}')
     out = dumps.geojson(spark, str(tmp_path / "z.json"), ["name"])
     assert rows(out.select("feature", "part", "name", "minx", "maxy")) == [(0, 0, "p", 0.0, 3.0), (1, 0, "m", 0.0, 1.0), (1, 1, "m", 5.0, 6.0)]
@@ -149,7 +174,85 @@ def test_stream_of_several_batches(spark, tmp_path):
     assert rows(out.select("uuid", "created_at", "mode")) == [("a", 1, "tie"), ("b", 1, "new")]
 
 
-def test_change_gate():
-    marker, done = [], []
-    assert jobs.change_gated(marker, 1, lambda: done.append(1)) and not jobs.change_gated(marker, 1, lambda: done.append(2))
-    assert jobs.change_gated(marker, 2, lambda: done.append(3)) and done == [1, 3]
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    schema = "uuid string, created_at long, last_edited long, arrival_seq long, mode string"
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+    put = lambda i, batch: spark.createDataFrame(batch, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    changes = [[("a", 1, 5, 1, "first"), ("b", 1, 1, 2, "x")], [("c", 4, 9, 3, "new"), ("b", 2, 0, 4, "late")]]
+    out = f"file://{tmp_path}/out"
+    put(0, changes[0])
+    assert jobs.upserts(stream(), out).count() == 2
+    put(1, changes[1])
+    want = rows(log.fold(spark.createDataFrame(sum(changes, []), schema)).select("uuid", "created_at", "mode"))
+    assert rows(jobs.upserts(stream(), out).select("uuid", "created_at", "mode")) == want == [("a", 1, "first"), ("b", 1, "x"), ("c", 4, "new")]
+    assert rows(jobs.upserts(stream(), out).select("uuid", "created_at", "mode")) == want  # nothing new
+
+
+def test_chat_stays_cleared(spark, tmp_path):
+    spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "key string, turn long").write.parquet(str(tmp_path / "in/0"))
+    stream = lambda: spark.readStream.schema("key string, turn long").parquet(str(tmp_path / "in/*"))
+    out = f"file://{tmp_path}/out"
+    assert rows(jobs.chat(stream(), out, ["key"], "turn")) == [("a", 1), ("b", 2)]
+    jobs.clear_chat(spark, out, 1)
+    assert rows(jobs.chat(stream(), out, ["key"], "turn")) == [("b", 2)]
+
+
+def test_change_gate_holds_over_restarts(spark, tmp_path):
+    done, path = [], f"file://{tmp_path}/gate"
+    assert jobs.change_gated(spark, path, 1, lambda: done.append(1)) and not jobs.change_gated(spark, path, 1, lambda: done.append(2))
+    assert jobs.change_gated(spark, path, 2, lambda: done.append(3)) and done == [1, 3]
+    assert jobs.change_gated(spark, path, 1, lambda: done.append(4))
+
+
+def test_log_operators_keep_nulls(spark):
+    df = spark.createDataFrame([(1, "K1", None, "CW", T[0], "o"), (2, None, "20m", "CW", T[1], None), (3, "K1", None, "CW", None, None), (4, "K1", None, "CW", T[2], "o")], "uuid int, remote_callsign string, band string, mode string, qso_at timestamp, operator string")
+    assert rows(log.duplicates(df, "band-mode").select("uuid", "previous")) == [(1, None), (2, None), (3, 4), (4, 1)]
+    assert log.duplicates(df, "any").count() == log.duplicates(df, "band-mode-day").count() == 4
+    assert rows(stats.operator_report(df).select("operator", "total", "best_hour")) == [("o", 2, 2), (None, 2, 1)]
+    assert rows(log.import_new(df.where("uuid > 2"), df.where("uuid = 1"), "uuid").select("uuid")) == [(3,), (4,)]
+    assert rows(log.import_new(df.where("uuid = 1"), df.where("uuid = 1"), "uuid").select("uuid")) == []
+    cache = spark.createDataFrame([("a", True, 1, "old"), ("a", True, 2, "new"), ("b", False, 3, None)], "address string, matched boolean, fetched_at int, coordinates string")
+    assert rows(etl.with_coordinates(spark.createDataFrame([("a",), ("b",)], "address string"), cache, "address")) == [("a", "new"), ("b", None)]
+
+
+def test_times_in_another_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2024-06-01T12:00:00.123456Z",), ("2024-06-01 12:00:00",), ("2024-06-01T08:00:00-04:00",), ("soon",), (None,)], "t string")
+        got = [r[0] for r in df.select(scalars.iso_ms(F.col("t"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == ["2024-06-01T12:00:00.123+00:00", "2024-06-01T12:00:00.000+00:00", "2024-06-01T12:00:00.000+00:00", None, None]
+
+
+def test_sources_in_their_orders(spark):
+    columns = "call string, fd_last_year int, wfd_last_year int, pota_hunter_qsos int, pota_activations int, lotw_last_upload string, clublog int, clublog_last_qso string, scp int, source_count int"
+    known = [
+        ("W1AW", 2010, 2024, 1, 1, "2010-01-01", 1, "2010-01-01", 1, 7), ("W1AWX", 2026, 2026, 999, 999, "2026-01-01", 1, "2026-01-01", 1, 6), ("KW1AW", 2025, 2025, 500, 500, "2025-01-01", 1, "2025-01-01", 1, 7),
+        ("W1AWZZ", 2024, 2024, 250, 250, "2024-01-01", 1, "2024-01-01", 1, 7), ("W1AWQ", None, None, None, None, None, 1, None, 0, 1), ("K9XYZ", 2026, 2026, 9999, 9999, "2026-01-01", 1, "2026-01-01", 1, 7),
+    ]
+    terms = spark.createDataFrame([("W1AW",), ("1AW",)], "term string")
+    got = search.by_source(search.matches(spark.createDataFrame(known, columns), terms)).orderBy("place").collect()
+    order = lambda term, source: [r["call"] for r in got if (r["term"], r["source"]) == (term, source)]
+    for source in ("fd", "wfd", "pota_hunter", "pota_activator", "lotw"):
+        assert order("W1AW", source) == ["W1AW", "W1AWX", "KW1AW", "W1AWZZ"]
+    assert order("W1AW", "clublog") == ["W1AW", "W1AWX", "KW1AW", "W1AWZZ", "W1AWQ"]
+    assert order("W1AW", "scp") == ["W1AW", "KW1AW", "W1AWX", "W1AWZZ"]
+    assert order("1AW", "fd") == ["W1AWX", "KW1AW", "W1AWZZ", "W1AW"] and order("1AW", "scp") == ["W1AW", "KW1AW", "W1AWX", "W1AWZZ"]
+    assert [r["value"] for r in got if (r["term"], r["source"]) == ("W1AW", "pota_hunter")] == ["1", "999", "500", "250"] and {r["value"] for r in got if r["source"] == "scp"} == {None}
+
+
+def test_small_drivers_rules(spark, tmp_path):
+    assert forms.unanswered([{"name": "power", "required": True}, {"name": "note"}], {"power": " "}) == ["power"]
+    assert exports.backup(spark.range(3), f"file://{tmp_path}", "log", "20240601").endswith("log-20240601")
+    with pytest.raises(Exception, match="already exists"):
+        exports.backup(spark.range(3), f"file://{tmp_path}", "log", "20240601")
+    exports.snapshot({"a": spark.range(2)}, f"file://{tmp_path}/snap")
+    assert spark.read.json(f"file://{tmp_path}/snap/a").count() == 2
+    with pytest.raises(ValueError, match="fewer"):
+        (tmp_path / "parks.csv").write_text("reference,name,active,entityId,locationDesc,latitude,longitude,grid\nUS-1,a,1,1,x,1,2,CN87uo\n")
+        dumps.parks(spark, str(tmp_path / "parks.csv"))
+    assert dumps.parks(spark, str(tmp_path / "parks.csv"), 1).first()["grid"] == "CN87"
+    (tmp_path / "fd.csv").write_bytes("Call used,Club\nk1ab;w\u00d82x,Caf\u00e9\n".replace(";", " ").encode("cp1252"))
+    assert rows(activity.field_day(spark, str(tmp_path / "fd.csv"), 2024)) == [("K1AB", 2024), ("W02X", 2024)]
