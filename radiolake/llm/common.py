@@ -1,13 +1,13 @@
-"""What the operators share: shared-folder tables, ranks without a single task, native word splitting."""
+"""What the operators share: reading documents, native word splitting, and the library's shared-folder tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from radiolake.shared import ranked, shared_dir, staged
+
+__all__ = ["BLANKS", "documents", "let", "n_words", "ranked", "shared_dir", "staged", "words"]
 
 #: ASCII white space, the separator of words in most contracts, as a Java character class.
 BLANKS = "[\\x20\\x09-\\x0D]"
@@ -18,29 +18,6 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, a
-    temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='radiolake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/radiolake-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back.
-
-    This cuts the lineage: what follows reads files that outlive any executor and never repeats the work above.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Array of the maximal runs without ASCII white space; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{BLANKS}+"), lambda w: w != "")
@@ -56,21 +33,3 @@ def n_words(text: Column) -> Column:
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
     return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def ranked(df: DataFrame, *order: Column, name: str) -> DataFrame:
-    """Adds the 0-based rank in the order given, with no task that holds all rows.
-
-    The rows are dealt by range; each partition numbers its own and adds the size of those before it. Only one row
-    for each partition meets in one task. Ties take any order among themselves.
-    """
-    dealt = staged(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    inside = Window.partitionBy("__part").orderBy(*order)
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (
-        dealt.withColumn("__i", F.row_number().over(inside) - 1)
-        .join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
-        .withColumn(name, (F.col("__i") + F.col("__before")).cast("long"))
-        .drop("__part", "__i", "__before")
-    )
