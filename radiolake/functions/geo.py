@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 EARTH_KM, EARTH_MILES = 6371.0, 3958.8
 FIELD = "ABCDEFGHIJKLMNOPQR"
 PREFIX_UNITS = 180
+#: Kilometres of a degree along a great circle.
+KM_A_DEGREE = 111.19
 
 
 def valid(lat: Column, lon: Column) -> Column:

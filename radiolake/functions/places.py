@@ -30,9 +30,25 @@ def strip_accents(texts: pd.Series) -> pd.Series:
 
 
 def place_key(name: Column) -> Column:
-    """A town's name for comparing: no accents, upper case, Saint and Sainte as ST and STE, letters and digits only."""
-    plain = F.upper(strip_accents(name))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "\\bSAINTE\\b", "STE"), "\\bSAINT\\b", "ST"), "[^A-Z0-9]+", "")
+    """A town's name for comparing: no accents or apostrophes, upper case, single spaces, Saint and Sainte as ST and STE."""
+    plain = F.regexp_replace(F.upper(strip_accents(F.coalesce(name, F.lit("")))), "[.'’`]", "")
+    plain = F.regexp_replace(plain, "[^A-Z0-9]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, "\\bSAINTE\\b", "STE"), "\\bSAINT\\b", "ST"))
+
+
+# Kinds of populated places, and kinds that are too large to stand for a town.
+POPULATED = (
+    "CITY", "TOWN", "VILLAGE", "HAMLET", "MUNICIPALITY", "TOWNSHIP", "COMMUNITY", "LOCALITY", "SETTLEMENT", "BOROUGH", "PARISH", "UNINCORPORATED AREA", "INDIAN RESERVE", "INDIAN SETTLEMENT",
+    "RURAL COMMUNITY", "NORTHERN HAMLET", "NORTHERN VILLAGE", "NORTHERN COMMUNITY", "RESORT VILLAGE", "SUMMER VILLAGE", "DISTRICT MUNICIPALITY", "REGIONAL MUNICIPALITY", "RURAL MUNICIPALITY", "CHARTERED COMMUNITY",
+)
+TOO_LARGE = ("PROVINCE", "TERRITORY", "COUNTRY")
+
+
+def title_parts(title: Column) -> tuple[Column, Column, Column]:
+    """Name, province and kind of a geocoder's title ``Name, ..., Province (Kind)``; blank where it has none."""
+    kind = F.upper(F.trim(F.regexp_extract(title, "\\(([^)]*)\\)\\s*$", 1)))
+    province = F.trim(F.regexp_replace(F.regexp_extract(title, "([^,]*)$", 1), "\\s*\\(.*\\)\\s*$", ""))
+    return F.trim(F.split_part(title, F.lit(","), F.lit(1))), province, kind
 
 
 def street_variants(street: Column) -> Column:

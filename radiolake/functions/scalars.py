@@ -30,6 +30,16 @@ CLASSES = {"A": "advanced", "E": "extra", "G": "general", "N": "novice", "P": "t
 KINDS = {"Individual": "person", "Amateur Club": "club", "Military Recreation": "military", "Government Entity": "races"}
 QUALIFICATIONS = {"A": "Basic", "B": "5 WPM", "C": "12 WPM", "D": "Advanced", "E": "Basic with Honours"}
 SERVICES = {"HA": "Amateur", "HV": "Amateur Vanity"}
+# Entities of the states that aren't in the main one, with their continents; provinces by postal letter.
+ENTITIES = {
+    "AK": ("Alaska", 6, "NA"), "HI": ("Hawaii", 110, "OC"), "PR": ("Puerto Rico", 202, "NA"), "VI": ("US Virgin Islands", 285, "NA"), "GU": ("Guam", 103, "OC"),
+    "MP": ("Northern Mariana Islands", 166, "OC"), "AS": ("American Samoa", 9, "OC"),
+}
+MAINLAND, MILITARY, MILITARY_NAME = ("United States of America", 291, "NA"), ("AA", "AE", "AP"), "Military (APO/FPO)"
+POSTAL_PROVINCES = {
+    "A": ["NL"], "B": ["NS"], "C": ["PE"], "E": ["NB"], "G": ["QC"], "H": ["QC"], "J": ["QC"], "K": ["ON"], "L": ["ON"], "M": ["ON"], "N": ["ON"], "P": ["ON"],
+    "R": ["MB"], "S": ["SK"], "T": ["AB"], "V": ["BC"], "X": ["NT", "NU"], "Y": ["YT"],
+}
 # Words at the start of an address without a street, and the form of a postal code.
 NO_STREET = (
     "(?i)^\\s*(P\\.?\\s?O\\.?\\s*BOX|BOX|C\\.?P\\.?|CASE POSTALE|R\\.?\\s?R\\.?\\s*#?\\s*\\d|RURAL ROUTE|ROUTE RURALE|"
@@ -174,6 +184,27 @@ def qualifications(flags: list[Column]) -> tuple[Column, Column]:
     return F.nullif(letters, F.lit("")), F.nullif(words, F.lit(""))
 
 
+def entity(code: Column) -> tuple[Column, Column, Column]:
+    """Name, number and continent of a state's entity; a military state has the name alone, an unknown one nothing."""
+    plain = F.upper(F.trim(code))
+    own = plain.isin(*[s for s in STATES.values() if s not in ENTITIES])
+    known = lambda i: lookup({k: str(v[i]) for k, v in ENTITIES.items()}, plain)
+    name = F.when(own, MAINLAND[0]).when(plain.isin(*MILITARY), MILITARY_NAME).otherwise(known(0))
+    return name, F.when(own, F.lit(MAINLAND[1])).otherwise(known(1).cast("int")), F.when(own, MAINLAND[2]).otherwise(known(2))
+
+
+def postal_agrees(code: Column, province: Column) -> Column:
+    """Whether a postal code's letter allows the province; a missing province is allowed everywhere."""
+    pairs = [F.lit(f"{letter}{p}") for letter, ps in POSTAL_PROVINCES.items() for p in ps]
+    return text(province).isNull() | F.array_contains(F.array(*pairs), F.concat(F.upper(F.substring(code, 1, 1)), F.trim(province)))
+
+
+def address_parts(street: Column, city: Column, region: Column, code: Column) -> list[Column]:
+    """The four parts by which addresses meet: trimmed, in upper case, blank if missing; five characters of the code."""
+    plain = [F.coalesce(F.upper(F.trim(c)), F.lit("")) for c in (street, city, region)]
+    return [*plain, F.substring(F.coalesce(F.upper(F.trim(code)), F.lit("")), 1, 5)]
+
+
 def postal(c: Column) -> Column:
     """A postal code in upper case, with its space if it has the usual form; null if it is blank."""
     plain = F.upper(text(c))
@@ -223,6 +254,11 @@ def slug(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
+def template_id(c: Column) -> Column:
+    """Like :func:`slug`, but underscores and dashes of the name stay."""
+    return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9_-]+", "-"), F.lit("-"))
+
+
 def plain_text(c: Column) -> Column:
     """Only letters, digits and ``,_./-``."""
     return F.regexp_replace(c, "[^a-zA-Z0-9,_./-]", "")
@@ -248,6 +284,11 @@ def expires(fetched_ms: Column, status: Column) -> Column:
     return fetched_ms + F.when(status == "ok", F.lit(365 * 86_400_000)).when(status == "not_found", F.lit(30 * 86_400_000)).otherwise(F.lit(15 * 60_000))
 
 
+def initial_mapping(value: Column, options: list[str]) -> Column:
+    """The option that a file's value names in any case, else ``Other`` if that is an option, else blank."""
+    return F.coalesce(lookup({o.lower(): o for o in options}, F.lower(value)), F.lit("Other" if "Other" in options else ""))
+
+
 def mapped(value: Column, mapping: dict[str, str], fallback: str) -> Column:
     """The mapping's value for a key in any case, else the fallback."""
     return F.coalesce(lookup({k.lower(): v for k, v in mapping.items()}, F.lower(F.trim(value))), F.lit(fallback))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from radiolake.functions import geo, places, scalars
+
 
 def merge_dumps(entities: DataFrame, headers: DataFrame, extras: DataFrame, key: str, position: str) -> DataFrame:
     """Entities with an active header, the header's columns, and the last extra row of the key where there is any.
@@ -100,6 +103,49 @@ def pick(candidates: Column, acceptable, preferred) -> Column:
     return F.coalesce(F.try_element_at(F.filter(ok, preferred), F.lit(1)), F.try_element_at(ok, F.lit(1)))
 
 
+def pick_places(candidates: DataFrame, key: str) -> DataFrame:
+    """For each key the place of its first candidate that is the street asked for, and of the one that is its town.
+
+    ``candidates`` has ``position``, ``type``, ``title``, ``qualifier``, ``lat`` and ``lon`` of the answers, and what was
+    asked for: ``street``, ``city``, ``province`` (null: any). A street answer must be of the province and share a
+    variant of the name; its town isn't looked at, as large cities answer for their parts. A town must have the same
+    name and not be a province or country; populated kinds come first. Answers without a place don't count. The choice
+    is one aggregation over the candidates, so a key may have any number.
+    """
+    name, province, kind = places.title_parts(F.col("title"))
+    rows = candidates.withColumns({"__name": name, "__province": province, "__kind": kind, "__wanted": places.street_variants(F.col("street")), "__found": places.street_variants(name), "__town": places.place_key(F.col("city"))})
+    usable = F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.col("province").isNull() | (F.lower("province") == F.lower("__province")))
+    is_street = usable & F.col("type").rlike("(Street|Address)$") & F.arrays_overlap("__wanted", "__found")
+    is_town = usable & F.endswith("type", F.lit("Geoname")) & ~F.col("__kind").isin(*places.TOO_LARGE) & (F.col("__town") != "") & (places.place_key(F.col("__name")) == F.col("__town"))
+    precise = F.when(F.col("qualifier") == "INTERPOLATED_POSITION", "Street").otherwise("Street_Approx")
+    street = F.min(F.when(is_street, F.struct("position", "lat", "lon", precise.alias("how"))))
+    town = F.min(F.when(is_town, F.struct(~F.col("__kind").isin(*places.POPULATED), "position", "lat", "lon")))
+    found = rows.groupBy(key).agg(street.alias("s"), town.alias("t"))
+    return found.select(key, F.coalesce("s.lat", "t.lat").alias("lat"), F.coalesce("s.lon", "t.lon").alias("lon"), F.coalesce("s.how", F.when(F.col("t").isNotNull(), F.lit("City_Centroid"))).alias("how"))
+
+
+#: Fixed value: kilometres that a place may be outside its postal area, whatever the area's size.
+POSTAL_FLOOR_KM = 5.0
+
+
+def postal_checked(rows: DataFrame, areas: DataFrame) -> DataFrame:
+    """Rows placed by their postal area where they have no place or one too far outside it: ``lat``, ``lon`` and ``how``.
+
+    ``rows`` has ``postal``, ``province``, ``lat``, ``lon``, ``how``; ``areas`` has ``area``, ``rings``, ``km2`` and an inner point
+    (``mid_lat``, ``mid_lon``). Too far is farther than the radius of a circle of the area's size, but at least
+    POSTAL_FLOOR_KM; distances to a border are taken in degrees and turned into kilometres at the row's latitude. A row
+    whose postal letter contradicts its province stays as it is, and so does one of an unknown area.
+    """
+    joined = rows.withColumn("__area", scalars.postal_area(F.trim("postal"))).join(areas.withColumnRenamed("area", "__of"), F.col("__area") == F.col("__of"), "left")
+    agrees = F.col("__of").isNotNull() & scalars.postal_agrees(F.col("__area"), F.col("province"))
+    degrees = geo.distance(F.col("rings"), F.col("lat"), F.col("lon"))
+    far = degrees * geo.KM_A_DEGREE > F.greatest(F.lit(POSTAL_FLOOR_KM), F.sqrt(F.col("km2") / F.lit(math.pi)))
+    moved = agrees & (F.col("lat").isNull() | F.coalesce(far, F.lit(False)))
+    new = {"lat": F.col("mid_lat"), "lon": F.col("mid_lon"), "how": F.lit("FSA_Centroid")}
+    marked = joined.withColumn("__moved", moved)
+    return marked.select(*[F.when(F.col("__moved"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns])
+
+
 def publish(df: DataFrame, path: str, check=None) -> str:
     """Writes a table beside the others of ``path`` and makes it the current one; returns where it is.
 

@@ -29,6 +29,12 @@ def band_conflicts(roster: DataFrame, seconds: int = 61) -> DataFrame:
     return live.groupBy("band").agg(F.countDistinct("client").alias("clients")).where("clients > 1")
 
 
+def in_band_order(roster: DataFrame, bands: list[str], name: str = "place") -> DataFrame:
+    """Stations with their rank in the event's order of bands; off the air and unknown bands come last, alike."""
+    at = F.array_position(F.array(*map(F.lit, bands)), F.col("band"))
+    return roster.withColumn(name, F.when(F.coalesce(at, F.lit(0)) == 0, F.lit(len(bands))).otherwise(at - 1).cast("int"))
+
+
 def age_bucket(seconds: Column) -> Column:
     """How long ago a station was heard: fresh under 15 s, stale up to 60 s, else old."""
     return F.when(seconds < 15, "fresh").when(seconds <= 60, "stale").otherwise("old")

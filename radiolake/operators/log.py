@@ -141,6 +141,17 @@ def validate(contacts: DataFrame, required: list[str], patterns: dict[str, str])
     return contacts.withColumn("errors", F.concat_ws("; ", *missing, *wrong))
 
 
+def missing_required(contacts: DataFrame, template: list[dict], fields: str = "fields") -> DataFrame:
+    """Adds ``missing``: required fields of the entry form that a contact leaves blank, comma-joined; none for tombstones.
+
+    A built-in field is a column of its own, any other is in the map.
+    """
+    names = [f["name"] for f in template if f.get("entry") and f.get("required")]
+    value = lambda n: F.col(n) if n in BUILTINS else F.try_element_at(fields, F.lit(n))
+    missing = F.concat_ws(",", *[F.when(blank(value(n)), F.lit(n)) for n in names])
+    return contacts.withColumn("missing", F.when(F.col("deleted"), F.lit("")).otherwise(missing))
+
+
 def per_park(contacts: DataFrame, parks: str) -> DataFrame:
     """One contact for each park of a comma-separated list; a contact without parks stays as it is."""
     each = F.filter(F.transform(F.split(F.coalesce(F.col(parks), F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")

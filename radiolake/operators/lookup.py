@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from radiolake.functions import scalars
+
 
 def chain(calls: DataFrame, sources: list[tuple[str, DataFrame]], key: str) -> DataFrame:
     """Each call's record from the first source that has it, with ``source``; calls that none has keep null.
@@ -48,7 +50,21 @@ def single_valued(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(value).alias(value), F.max(value).alias("__most")).where(F.col(value) == F.col("__most")).drop("__most")
 
 
-def autofill(record_type: Column, name: Column, state: Column, states: list[str]) -> list[Column]:
-    """What a record gives to an entry form: a person's first name in title case, a state of the known ones."""
-    first = F.when(record_type == "person", F.initcap(F.split_part(F.trim(name), F.lit(" "), F.lit(1))))
-    return [F.coalesce(first, F.lit("")).alias("name"), F.when(state.isin(*states), state).otherwise("").alias("state")]
+def by_key(calls: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Each call's row of a table, as often as it is asked for; calls that the table hasn't keep null."""
+    return calls.join(table, key, "left")
+
+
+def autofill(record: dict[str, Column]) -> list[Column]:
+    """What a record gives to an entry form, null for what it doesn't give.
+
+    A person's first name in title case (nobody else's); state and continent only if the form would accept them; zones
+    and distance as text, a distance of nothing included.
+    """
+    first = F.split_part(F.trim(record["name"]), F.lit(" "), F.lit(1))
+    name = F.when(record["license_type"] == "person", F.nullif(F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substring(first, 2, 1000))), F.lit("")))
+    accepted = [*scalars.STATES.values(), *scalars.PROVINCES, "DX"]
+    continent = F.upper(record["continent"])
+    given = {f: F.nullif(record[f], F.lit("")) for f in ("country", "gridsquare", "county")} | {f: record[f].cast("string") for f in ("distance", "itu_zone", "cq_zone")}
+    given |= {"name": name, "state": F.when(record["state"].isin(*accepted), record["state"]), "continent": F.when(continent.isin(*scalars.CONTINENTS), continent)}
+    return [value.alias(f) for f, value in given.items()]

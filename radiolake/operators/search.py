@@ -61,10 +61,11 @@ def by_source(found: DataFrame, call: str = "call", term: str = "term") -> DataF
     return placed.withColumn("truncated", more).where("place <= most").select(term, "source", "place", "call", "value", "truncated")
 
 
-def ranked_search(calls: DataFrame, query: str, k: int, call: str = "call") -> DataFrame:
-    """The best ``k`` callsigns that contain ``query``: exact, then those that begin with it, then shorter ones."""
+def ranked_search(calls: DataFrame, query: str, k: int, call: str = "call", known: str = "source_count") -> DataFrame:
+    """The best ``k`` callsigns that contain ``query``: exact, then those that begin with it, then shorter ones, then those
+    that more sources know."""
     rank = F.when(F.col(call) == query, 0).when(F.startswith(call, F.lit(query)), 1).otherwise(2)
-    return calls.where(F.contains(call, F.lit(query))).withColumn("match_rank", rank).orderBy("match_rank", F.length(call), call).limit(k)
+    return calls.where(F.contains(call, F.lit(query))).withColumn("match_rank", rank).orderBy("match_rank", F.length(call), F.desc(known), call).limit(k)
 
 
 def with_tokens(rows: DataFrame, query: str, values: Column) -> DataFrame:

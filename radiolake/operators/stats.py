@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from radiolake.functions.scalars import lookup
 from radiolake.operators.log import matched
 from radiolake.shared import ranked
 
@@ -186,6 +187,12 @@ def breakdown(rows: DataFrame, value: str, blank: str = "(none)") -> DataFrame:
     return rows.groupBy(F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit(blank)).alias("value")).agg(F.count("*").alias("n"))
 
 
+def unmapped(contacts: DataFrame, maps: dict[str, dict[str, str]]) -> DataFrame:
+    """``key``, ``value`` and ``n`` of the trimmed values of mapped columns for which their map has nothing."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.trim(c).alias("value"), lookup(m, F.trim(c)).alias("to")) for c, m in maps.items()])).alias("p")
+    return contacts.select(pairs).select("p.*").where((F.col("value") != "") & (F.coalesce("to", F.lit("")) == "")).groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
 def missing(tracked: DataFrame, worked: DataFrame, key: str) -> DataFrame:
     """Tracked keys that nothing in ``worked`` has, compared in upper case."""
     seen = worked.select(F.upper(key).alias("__seen")).distinct()

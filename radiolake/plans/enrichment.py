@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolake.functions import geo, scalars
-from radiolake.operators import lookup, search
+from radiolake.operators import lookup, search, stats
 from radiolake.plans.activity import CONTACTS, contacts
 from radiolake.plans.places import POINTS, points
 from radiolake.plans.tables import table
@@ -78,8 +78,8 @@ _CLEAN = "regexp_replace({}, '[^a-zA-Z0-9,_./-]', ''{})"
 QUERIES["plain_text"] = lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.md5(scalars.plain_text(F.coalesce("text", F.lit(""))).cast("binary")).alias("plain_md5"))
 SQL["plain_text"] = f"SELECT doc_id, md5({_CLEAN.format("coalesce(text, '')", ", 'g'")}) AS plain_md5 FROM documents"
 
-QUERIES["unmapped_values"] = lambda spark, sf_dir: contacts(spark, sf_dir).where(~F.col("mode").isin("click", "view")).groupBy("mode").agg(F.count("*").alias("n"))
-SQL["unmapped_values"] = f"WITH {CONTACTS} SELECT mode, count(*) AS n FROM contacts WHERE mode NOT IN ('click', 'view') GROUP BY mode"
+QUERIES["unmapped_values"] = lambda spark, sf_dir: stats.unmapped(contacts(spark, sf_dir), {"mode": {"click": "CW", "view": "SSB", "error": ""}, "band": {"1": "160m"}})
+SQL["unmapped_values"] = f"WITH {CONTACTS} SELECT 'mode' AS key, mode AS value, count(*) AS n FROM contacts WHERE mode NOT IN ('click', 'view') GROUP BY mode UNION ALL SELECT 'band', band, count(*) FROM contacts WHERE band <> '1' GROUP BY band"
 _MODE_MAP = {"CLICK": "CW", "view": "SSB", "Error": "RTTY"}
 QUERIES["mapped_values"] = lambda spark, sf_dir: contacts(spark, sf_dir).groupBy(scalars.mapped(F.col("mode"), _MODE_MAP, "Other").alias("mapped")).agg(F.count("*").alias("n"))
 SQL["mapped_values"] = f"WITH {CONTACTS} SELECT CASE mode WHEN 'click' THEN 'CW' WHEN 'view' THEN 'SSB' WHEN 'error' THEN 'RTTY' ELSE 'Other' END AS mapped, count(*) AS n FROM contacts GROUP BY 1"
@@ -128,9 +128,9 @@ SQL["partial_search_topk"] = f"""WITH k AS (SELECT lower(p_name) AS call, {", ".
 p AS (SELECT *, {" + ".join(f"({c} IS NOT NULL)::INT" for c in _DATED)} + clublog + scp AS source_count FROM k),
 f AS (SELECT * FROM p, (SELECT unnest({_TERMS}) AS term) WHERE contains(call, term)) {_SEARCH}"""
 
-QUERIES["match_rank_search"] = lambda spark, sf_dir: search.ranked_search(table(spark, sf_dir, "customer").select(F.col("c_name").alias("call")), "11", 20)
-SQL["match_rank_search"] = """SELECT c_name AS call, CAST(CASE WHEN c_name = '11' THEN 0 WHEN starts_with(c_name, '11') THEN 1 ELSE 2 END AS INTEGER) AS match_rank
-FROM customer WHERE contains(c_name, '11') ORDER BY match_rank, length(c_name), c_name LIMIT 20"""
+QUERIES["match_rank_search"] = lambda spark, sf_dir: search.ranked_search(table(spark, sf_dir, "customer").select(F.col("c_name").alias("call"), (F.col("c_custkey") % 7).alias("source_count")), "11", 20)
+SQL["match_rank_search"] = """SELECT c_name AS call, c_custkey % 7 AS source_count, CAST(CASE WHEN c_name = '11' THEN 0 WHEN starts_with(c_name, '11') THEN 1 ELSE 2 END AS INTEGER) AS match_rank
+FROM customer WHERE contains(c_name, '11') ORDER BY match_rank, length(c_name), source_count DESC, c_name LIMIT 20"""
 
 
 def token_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolake.functions import geo
-from radiolake.operators import log, lookup
+from radiolake.operators import etl, log, lookup
 from radiolake.plans.activity import CONTACTS, contacts
 from radiolake.plans.places import HOME, POINTS, points
 from radiolake.plans.tables import table
@@ -32,23 +32,32 @@ SQL["export_name"] = f"WITH {CONTACTS} SELECT 'log-' || strftime(min(qso_at), '%
 def display_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     here = [F.lit(x) for x in HOME]
     km, degrees = geo.kilometres(*here, F.col("lat"), F.col("lon")), geo.bearing(*here, F.col("lat"), F.col("lon"))
-    return points(spark, sf_dir).select("c_custkey", exports.display_line(km, degrees, F.when(F.col("c_custkey") % 2 == 0, F.lit("Here"))).alias("line"))
+    known = lambda every, c: F.when(F.col("c_custkey") % every != 0, c)
+    line = exports.location_line(known(2, F.lit("Here")), known(3, km), known(5, degrees))
+    return points(spark, sf_dir).select("c_custkey", line.alias("line"), exports.operator_line(known(4, F.lit("PAT")), known(7, F.lit("basic with honours"))).alias("operator"))
 
 
 QUERIES["display_lines"] = display_lines
 _A = "(pow(sin(radians(lat - 45.0) / 2), 2) + cos(radians(45.0)) * cos(radians(lat)) * pow(sin(radians(lon + 123.0) / 2), 2))"
 SQL["display_lines"] = f"""WITH {POINTS}, k AS (SELECT c_custkey, CAST(floor(floor(6371.0 * 2 * atan2(sqrt({_A}), sqrt(1 - {_A}))) * 0.621371::DOUBLE + 0.5) AS BIGINT) AS mi,
-  CAST(floor((degrees(atan2(sin(radians(lon + 123.0)) * cos(radians(lat)), cos(radians(45.0)) * sin(radians(lat)) - sin(radians(45.0)) * cos(radians(lat)) * cos(radians(lon + 123.0)))) + 360) % 360 + 0.5) AS BIGINT) % 360 AS deg FROM pts)
-SELECT c_custkey, mi || ' mi ' || deg || '°' || CASE WHEN c_custkey % 2 = 0 THEN ' Here' ELSE '' END AS line FROM k"""
+  CAST(floor((degrees(atan2(sin(radians(lon + 123.0)) * cos(radians(lat)), cos(radians(45.0)) * sin(radians(lat)) - sin(radians(45.0)) * cos(radians(lat)) * cos(radians(lon + 123.0)))) + 360) % 360 + 0.5) AS BIGINT) % 360 AS deg FROM pts),
+l AS (SELECT c_custkey, concat_ws(' / ', CASE WHEN c_custkey % 3 <> 0 THEN format('{{:,}}', mi) || 'mi' END, CASE WHEN c_custkey % 5 <> 0 THEN deg || '°' END) AS inside FROM k)
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '' WHEN inside = '' THEN 'Here' ELSE 'Here (' || inside || ')' END AS line,
+  CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 7 <> 0 THEN 'PAT (Basic With Honours)' WHEN c_custkey % 4 <> 0 THEN 'PAT' WHEN c_custkey % 7 <> 0 THEN 'Basic With Honours' ELSE '' END AS operator FROM l"""
 
 
 def autofill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "club").otherwise("person").alias("type"), F.concat(F.lit(" "), F.upper("c_mktsegment"), F.lit(" smith")).alias("name"), F.when(F.col("c_custkey") % 2 == 0, "OR").otherwise("ZZ").alias("state"))
-    return rows.select("c_custkey", *lookup.autofill(F.col("type"), F.col("name"), F.col("state"), ["OR", "WA"]))
+    key = F.col("c_custkey")
+    record = {
+        "license_type": F.when(key % 3 == 0, "club").otherwise("person"), "name": F.concat(F.lit(" "), F.upper("c_mktsegment"), F.lit(" smith")), "state": F.when(key % 2 == 0, "OR").otherwise("ZZ"), "continent": F.when(key % 4 == 0, "na").otherwise("XX"),
+        "country": F.when(key % 5 != 0, "Land").otherwise(""), "gridsquare": F.lit("CN87"), "county": F.lit(None).cast("string"), "distance": (key % 3).cast("int"), "itu_zone": F.when(key % 2 == 0, 6), "cq_zone": F.lit(None).cast("int"),
+    }
+    return table(spark, sf_dir, "customer").select("c_custkey", *lookup.autofill(record))
 
 
 QUERIES["autofill"] = autofill
-SQL["autofill"] = """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) END AS name, CASE WHEN c_custkey % 2 = 0 THEN 'OR' ELSE '' END AS state FROM customer"""
+SQL["autofill"] = """SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) END AS name, CASE WHEN c_custkey % 2 = 0 THEN 'OR' END AS state, CASE WHEN c_custkey % 4 = 0 THEN 'NA' END AS continent,
+  CASE WHEN c_custkey % 5 <> 0 THEN 'Land' END AS country, 'CN87' AS gridsquare, CAST(NULL AS VARCHAR) AS county, CAST(c_custkey % 3 AS VARCHAR) AS distance, CASE WHEN c_custkey % 2 = 0 THEN '6' END AS itu_zone, CAST(NULL AS VARCHAR) AS cq_zone FROM customer"""
 
 
 def latest_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,25 +82,36 @@ SQL["province_fallback"] = f"""WITH {POINTS}, f AS (SELECT s_nationkey, arg_max(
 SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN CAST(floor(lat) AS BIGINT) || ',' || CAST(floor(lon) AS BIGINT) ELSE fallback END AS place FROM pts LEFT JOIN f ON s_nationkey = c_nationkey"""
 
 
+_WIDE, _HIGH = 6.0, 4.0
+_AREA = "concat(substr('ABCEGHJKLMNPRSTVXY', n_nationkey % 18 + 1, 1), n_nationkey % 10, 'A')"
+
+
 def postal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points farther from their postal area's middle than it is wide, but at least 5 km: the middle replaces them."""
-    areas = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), (F.col("n_nationkey") * 3.0 - 30).alias("mid_lat"), (F.col("n_nationkey") * 10.0 - 120).alias("mid_lon"), (F.col("n_regionkey") * 4_000_000.0).alias("km2"))
-    far = geo.kilometres(F.col("lat"), F.col("lon"), F.col("mid_lat"), F.col("mid_lon")) > F.greatest(F.lit(5.0), F.sqrt(F.col("km2") / F.lit(3.141592653589793)))
-    return points(spark, sf_dir).join(areas, "c_nationkey").select("c_custkey", far.alias("replaced"), F.when(far, F.col("mid_lat")).otherwise(F.col("lat")).cast("double").alias("lat"), F.when(far, F.col("mid_lon")).otherwise(F.col("lon")).cast("double").alias("lon"))
+    """Customers' points against boxes of their postal areas, which are named by nation."""
+    y, x = F.col("n_nationkey") * 3.0 - 30, F.col("n_nationkey") * 10.0 - 120
+    corner = lambda v, h: F.struct((y + v * _HIGH / 2).alias("lat"), (x + h * _WIDE / 2).alias("lon"))
+    box = F.array(F.array(*[corner(v, h) for v, h in ((-1, -1), (-1, 1), (1, 1), (1, -1), (-1, -1))]))
+    areas = table(spark, sf_dir, "nation").where("n_nationkey < 18").select(F.expr(_AREA).alias("area"), box.alias("rings"), y.alias("mid_lat"), x.alias("mid_lon"), (F.col("n_regionkey") * 4_000_000.0).alias("km2"))
+    rows = points(spark, sf_dir).withColumn("n_nationkey", F.col("c_nationkey")).select(
+        "c_custkey", F.concat(F.lower(F.expr(_AREA)), F.lit(" 1a1")).alias("postal"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'ON' WHEN c_custkey % 3 = 1 THEN ' ' END").alias("province"),
+        *[F.when(F.col("c_custkey") % 5 != 0, F.col(c)).alias(c) for c in ("lat", "lon")], F.lit("Street").alias("how"),
+    )
+    return etl.postal_checked(rows, areas).select("c_custkey", "lat", "lon", "how")
 
 
 QUERIES["postal_check"] = postal_check
-_B = "(pow(sin(radians(my - lat) / 2), 2) + cos(radians(lat)) * cos(radians(my)) * pow(sin(radians(mx - lon) / 2), 2))"
-SQL["postal_check"] = f"""WITH {POINTS}, a AS (SELECT c_custkey, lat, lon, CAST(n_nationkey * 3 - 30 AS DOUBLE) AS my, CAST(n_nationkey * 10 - 120 AS DOUBLE) AS mx, n_regionkey * 4000000.0 AS km2 FROM pts JOIN nation ON n_nationkey = c_nationkey),
-f AS (SELECT *, floor(6371.0 * 2 * atan2(sqrt({_B}), sqrt(1 - {_B}))) > greatest(5.0, sqrt(km2 / 3.141592653589793)) AS far FROM a)
-SELECT c_custkey, far AS replaced, CASE WHEN far THEN my ELSE lat END AS lat, CASE WHEN far THEN mx ELSE lon END AS lon FROM f"""
+SQL["postal_check"] = f"""WITH {POINTS}, r AS (SELECT c_custkey, {_AREA} AS area, c_custkey % 3 = 0 AS on_only, CASE WHEN c_custkey % 5 <> 0 THEN lat END AS lat, CASE WHEN c_custkey % 5 <> 0 THEN lon END AS lon FROM (SELECT *, c_nationkey AS n_nationkey FROM pts)),
+a AS (SELECT {_AREA} AS area, n_nationkey * 3.0::DOUBLE - 30 AS my, n_nationkey * 10.0::DOUBLE - 120 AS mx, n_regionkey * 4000000.0::DOUBLE AS km2 FROM nation WHERE n_nationkey < 18),
+d AS (SELECT r.*, my, mx, km2, sqrt(pow(greatest(0, abs(lat - my) - {_HIGH / 2}), 2) + pow(greatest(0, abs(lon - mx) - {_WIDE / 2}), 2)) * 111.19::DOUBLE AS km FROM r LEFT JOIN a USING (area)),
+m AS (SELECT *, my IS NOT NULL AND (NOT on_only OR substr(area, 1, 1) IN ('K', 'L', 'M', 'N', 'P')) AND (lat IS NULL OR km > greatest(5.0, sqrt(km2 / pi()))) AS moved FROM d)
+SELECT c_custkey, CASE WHEN moved THEN my ELSE lat END AS lat, CASE WHEN moved THEN mx ELSE lon END AS lon, CASE WHEN moved THEN 'FSA_Centroid' ELSE 'Street' END AS how FROM m"""
 
 
 def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Required fields of a template that a contact leaves blank, in its columns or its map; tombstones are exempt."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE o_orderstatus END").alias("section"), F.create_map(F.lit("class"), F.expr("CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE '3A' END")).alias("fields"), (F.col("o_orderkey") % 5 == 0).alias("deleted"))
-    missing = F.concat_ws(",", F.when(log.blank(F.col("section")), "section"), F.when(log.blank(F.try_element_at("fields", F.lit("class"))), "class"))
-    return rows.select("o_orderkey", F.when(F.col("deleted"), F.lit("")).otherwise(missing).alias("missing"))
+    template = [{"name": "section", "entry": True, "required": True}, {"name": "class", "entry": True, "required": True}, {"name": "power", "entry": True}, {"name": "note", "required": True}]
+    return log.missing_required(rows, template).select("o_orderkey", "missing")
 
 
 QUERIES["required_fields"] = required_fields

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiolake.plans import activity, building, contact_log, enrichment, exporting, flows, imports, location, places, records, upkeep
+from radiolake.plans import activity, building, contact_log, enrichment, exporting, flows, imports, location, places, records, rules, upkeep
 
-MODULES = [activity, contact_log, places, enrichment, building, flows, upkeep, exporting, location, imports, records]
+MODULES = [activity, contact_log, places, enrichment, building, flows, upkeep, exporting, location, imports, records, rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -38,10 +38,18 @@ def snapshot(tables: dict[str, DataFrame], path: str) -> None:
         df.write.json(f"{path}/{name}")
 
 
-def display_line(km: Column, degrees: Column, place: Column) -> Column:
-    """Miles, bearing and place, those that are known, with spaces between."""
-    miles = F.floor(km * F.lit(0.621371) + F.lit(0.5)).cast("long")
-    return F.concat_ws(" ", F.concat(miles.cast("string"), F.lit(" mi")), F.concat(degrees.cast("string"), F.lit("°")), F.nullif(F.trim(place), F.lit("")))
+def location_line(place: Column, km: Column, degrees: Column) -> Column:
+    """``Place (12mi / 95°)`` with as much of the brackets as is known; blank without a place."""
+    miles = F.format_number(F.floor(km * F.lit(0.621371) + F.lit(0.5)).cast("long"), 0)
+    inside = F.concat_ws(" / ", F.concat(miles, F.lit("mi")), F.concat(degrees.cast("string"), F.lit("°")))
+    named = F.nullif(place, F.lit(""))
+    return F.coalesce(F.when(inside == "", named).otherwise(F.concat(named, F.lit(" ("), inside, F.lit(")"))), F.lit(""))
+
+
+def operator_line(name: Column, license_class: Column) -> Column:
+    """``Name (Class)``, or the one that is known; each word of the class begins with a capital."""
+    named, words = F.nullif(name, F.lit("")), F.nullif(F.initcap(license_class), F.lit(""))
+    return F.coalesce(F.concat(named, F.lit(" ("), words, F.lit(")")), named, words, F.lit(""))
 
 
 def backup(df: DataFrame, base: str, slug: str, stamp: str) -> str:
