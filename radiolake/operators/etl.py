@@ -124,6 +124,12 @@ def pick_places(candidates: DataFrame, key: str) -> DataFrame:
     return found.select(key, F.coalesce("s.lat", "t.lat").alias("lat"), F.coalesce("s.lon", "t.lon").alias("lon"), F.coalesce("s.how", F.when(F.col("t").isNotNull(), F.lit("City_Centroid"))).alias("how"))
 
 
+def largest_member(rows: DataFrame, members: DataFrame, region: str, column: str) -> DataFrame:
+    """Rows without a place take the point of their region's largest member (``point``, ``area``, ``ident``)."""
+    largest = members.groupBy(region).agg(F.max_by("point", F.struct("area", "ident")).alias("__point"))
+    return rows.join(largest, region, "left").withColumn(column, F.coalesce(column, "__point")).drop("__point")
+
+
 #: Fixed value: kilometres that a place may be outside its postal area, whatever the area's size.
 POSTAL_FLOOR_KM = 5.0
 

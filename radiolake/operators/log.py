@@ -152,6 +152,11 @@ def missing_required(contacts: DataFrame, template: list[dict], fields: str = "f
     return contacts.withColumn("missing", F.when(F.col("deleted"), F.lit("")).otherwise(missing))
 
 
+def latest_of(contacts: DataFrame, key: str, columns: list[str], at: str = "qso_at", ident: str = "uuid") -> DataFrame:
+    """The named columns of each key's latest contact, which fill what a form remembers."""
+    return contacts.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(at, ident)).alias("c")).select(key, "c.*")
+
+
 def per_park(contacts: DataFrame, parks: str) -> DataFrame:
     """One contact for each park of a comma-separated list; a contact without parks stays as it is."""
     each = F.filter(F.transform(F.split(F.coalesce(F.col(parks), F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")

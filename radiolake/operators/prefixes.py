@@ -11,6 +11,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 DIGITS, LETTERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ATTRIBUTES = ["territory", "continent", "cq", "itu", "dxcc"]
@@ -61,13 +62,24 @@ def prefix_part(call: Column) -> Column:
     return F.when(second.isNull(), first).when(second.rlike("^[0-9]$"), moved).when(F.length(second) <= F.length(first), second).otherwise(first)
 
 
-def resolve(calls: DataFrame, masks: DataFrame, call: str = "call") -> DataFrame:
-    """Each distinct call with its best entry's attributes: the deepest, then the widest mask, then the last in order.
+def hits(calls: DataFrame, masks: DataFrame, call: str = "call") -> DataFrame:
+    """Each distinct call with every mask that takes it: ``call`` and the mask's columns.
 
     Calls meet masks by their first one or two characters, then by pattern; calls that no mask takes are left out.
     """
     asked = calls.select(call).distinct().withColumn("__part", prefix_part(F.upper(call)))
     stems = asked.withColumn("stem", F.explode(F.array_distinct(F.array(F.substring("__part", 1, 1), F.substring("__part", 1, 2)))))
-    hits = stems.join(masks, "stem").where(F.regexp_like("__part", F.col("pattern")))
+    return stems.join(masks, "stem").where(F.regexp_like("__part", F.col("pattern"))).drop("__part", "stem", "pattern")
+
+
+def resolve(calls: DataFrame, masks: DataFrame, call: str = "call") -> DataFrame:
+    """Each distinct call with its best entry's attributes: the deepest, then the widest mask, then the last in order."""
     best = F.max_by(F.struct("entry", *ATTRIBUTES), F.struct("depth", "width", "entry"))
-    return hits.groupBy(call).agg(best.alias("b")).select(call, "b.*")
+    return hits(calls, masks, call).groupBy(call).agg(best.alias("b")).select(call, "b.*")
+
+
+def resolve_all(calls: DataFrame, masks: DataFrame, call: str = "call") -> DataFrame:
+    """Each distinct call with all its entries' attributes and their ``place``, the best one first; an entry once."""
+    each = hits(calls, masks, call).groupBy(call, "depth", "entry", *ATTRIBUTES).agg(F.max("width").alias("width"))
+    place = F.row_number().over(Window.partitionBy(call).orderBy(F.desc("depth"), F.desc("width"), F.desc("entry")))
+    return each.select(call, place.alias("place"), "entry", *ATTRIBUTES)

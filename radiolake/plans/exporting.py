@@ -16,14 +16,14 @@ QUERIES, SQL = {}, {}
 
 
 def submission_adif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = contacts(spark, sf_dir).withColumn("fields", F.create_map(F.lit("class"), F.concat(F.lit("3"), F.col("band")))).withColumn("theirs", F.when(F.col("uuid") % 4 == 0, F.concat(F.lit("US-"), F.col("band"))))
-    value = lambda n: exports.submission_value(n, {"power": ""}, {"power": "QRP", "station": "K7X"}, rows.columns, F.col("fields"))
-    tags = [adif.tag(n.upper(), value(n)) for n in ("station", "mode", "class", "power", "nothing")] + exports.park_tags(F.lit(None).cast("string"), F.col("theirs"))
-    return rows.select("uuid", F.array_join(F.filter(F.array(*tags), lambda t: t != ""), " ").alias("record"))
+    """Records in the parks' format, by the format's own builder: prompts, the event, columns, custom fields, park tags."""
+    rows = contacts(spark, sf_dir).withColumn("fields", F.create_map(F.lit("class"), F.concat(F.lit("3"), F.col("band")))).withColumn("their_park", F.when(F.col("uuid") % 4 == 0, F.concat(F.lit("US-"), F.col("band"))))
+    order = ["station", "mode", "class", "power", "nothing", "my_park", "their_park"]
+    return rows.select("uuid", exports.FORMATS["pota"]["build"](rows, order, {"power": ""}, {"power": "QRP", "station": "K7X", "my_park": "US-9"}).alias("record"))
 
 
 QUERIES["submission_adif"] = submission_adif
-SQL["submission_adif"] = f"""WITH {CONTACTS} SELECT uuid, '<STATION:3>K7X <MODE:' || length(mode) || '>' || mode || ' <CLASS:2>3' || band || CASE WHEN uuid % 4 = 0 THEN ' <SIG:4>POTA <SIG_INFO:4>US-' || band || ' <POTA_REF:4>US-' || band ELSE '' END AS record FROM contacts"""
+SQL["submission_adif"] = f"""WITH {CONTACTS} SELECT uuid, '<STATION:3>K7X <MODE:' || length(mode) || '>' || mode || ' <CLASS:2>3' || band || ' <MY_SIG:4>POTA <MY_SIG_INFO:4>US-9 <MY_POTA_REF:4>US-9' || CASE WHEN uuid % 4 = 0 THEN ' <SIG:4>POTA <SIG_INFO:4>US-' || band || ' <POTA_REF:4>US-' || band ELSE '' END || ' <EOR>' AS record FROM contacts"""
 
 QUERIES["export_name"] = lambda spark, sf_dir: exports.first_day(contacts(spark, sf_dir).select(F.when(F.col("uuid") % 5 != 0, F.date_format("qso_at", "yyyy-MM-dd HH:mm:ss")).otherwise("soon").alias("at")), "at", "log")
 SQL["export_name"] = f"WITH {CONTACTS} SELECT 'log-' || strftime(min(qso_at), '%Y%m%d') || '.adi' AS file_name FROM contacts WHERE uuid % 5 <> 0"
@@ -60,21 +60,14 @@ SQL["autofill"] = """SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN upper(s
   CASE WHEN c_custkey % 5 <> 0 THEN 'Land' END AS country, 'CN87' AS gridsquare, CAST(NULL AS VARCHAR) AS county, CAST(c_custkey % 3 AS VARCHAR) AS distance, CASE WHEN c_custkey % 2 = 0 THEN '6' END AS itu_zone, CAST(NULL AS VARCHAR) AS cq_zone FROM customer"""
 
 
-def latest_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to remember of each call: mode and band of its latest contact."""
-    called = contacts(spark, sf_dir)
-    return called.groupBy("operator").agg(F.max_by(F.struct("uuid", "mode", "band"), F.struct("qso_at", "uuid")).alias("c")).select("operator", "c.*")
-
-
-QUERIES["latest_contact"] = latest_contact
+QUERIES["latest_contact"] = lambda spark, sf_dir: log.latest_of(contacts(spark, sf_dir), "operator", ["uuid", "mode", "band"])
 SQL["latest_contact"] = f"""WITH {CONTACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY operator ORDER BY qso_at DESC, uuid DESC) AS r FROM contacts) SELECT operator, uuid, mode, band FROM r WHERE r = 1"""
 
 
 def province_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows without coordinates take the point of their region's largest member."""
     rows = points(spark, sf_dir).withColumn("place", F.when(F.col("c_custkey") % 4 != 0, F.format_string("%d,%d", F.floor("lat"), F.floor("lon"))))
-    largest = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.max_by("s_name", F.struct("s_acctbal", "s_suppkey")).alias("fallback"))
-    return rows.join(largest, "c_nationkey", "left").select("c_custkey", F.coalesce("place", "fallback").alias("place"))
+    members = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_name").alias("point"), F.col("s_acctbal").alias("area"), F.col("s_suppkey").alias("ident"))
+    return etl.largest_member(rows, members, "c_nationkey", "place").select("c_custkey", "place")
 
 
 QUERIES["province_fallback"] = province_fallback

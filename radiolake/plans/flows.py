@@ -91,5 +91,9 @@ m(entry, depth, width, pattern) AS (VALUES {", ".join(map(str, _MASKS))}), a(ent
 h AS (SELECT call, arg_max(m.entry, (depth, width, m.entry)) AS entry FROM d JOIN m ON regexp_matches(part, pattern) GROUP BY call)
 SELECT call, CAST(entry AS INTEGER) AS entry, territory, continent, CAST(cq AS VARCHAR) AS cq, CAST(itu AS VARCHAR) AS itu, CAST(dxcc AS VARCHAR) AS dxcc FROM h JOIN a USING (entry)"""
 
+QUERIES["call_parser_all"] = lambda spark, sf_dir: prefixes.resolve_all(table(spark, sf_dir, "customer").select(F.expr(_CALL).alias("call")), prefixes.index(spark, PREFIXES)).select("call", "place", "entry", "territory", "cq")
+SQL["call_parser_all"] = SQL["call_parser"][: SQL["call_parser"].index("h AS")] + """h AS (SELECT DISTINCT call, m.entry, depth, max(width) AS width FROM d JOIN m ON regexp_matches(part, pattern) GROUP BY call, m.entry, depth)
+SELECT call, CAST(row_number() OVER (PARTITION BY call ORDER BY depth DESC, width DESC, entry DESC) AS INTEGER) AS place, CAST(entry AS INTEGER) AS entry, territory, CAST(cq AS VARCHAR) AS cq FROM h JOIN a USING (entry)"""
+
 QUERIES["accent_fold"] = lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.md5(names.strip_accents(F.coalesce("text", F.lit(""))).cast("binary")).alias("plain_md5"))
 SQL["accent_fold"] = "SELECT doc_id, md5(strip_accents(coalesce(text, ''))) AS plain_md5 FROM documents"
