@@ -110,7 +110,7 @@ SQL["file_manifest"] = "SELECT 'T' || n_nationkey AS tag, CAST(n_nationkey * 10
 def file_prefix_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prefix list with an entry for each nation below one for its region, and lines of other kinds."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    rest = "|||NA|5|291||||X#|"
+    rest = "|NA|5|291||||X#|"
     top = region.select((F.col("r_regionkey") * 1000).alias("n"), F.concat(F.lit("0100|180|-360|"), "r_name", F.lit("|R|4|"), F.col("r_regionkey").cast("string"), F.lit(rest)).alias("value"))
     below = nation.select((F.col("n_regionkey") * 1000 + 1 + F.col("n_nationkey")).alias("n"), F.concat(F.when(F.col("n_nationkey") % 2 == 0, "L").otherwise(""), F.lit("0201|1|2|"), "n_name", F.lit("|N|"), (F.col("n_nationkey") + 1).cast("string"), F.lit("||OC|6|||||M@|")).alias("value"))
     skipped = region.select((F.col("r_regionkey") * 1000 + 900).alias("n"), F.lit("0402|1|2|skip|X|1|2|||||||Z|").alias("value"))

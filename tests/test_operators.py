@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from radiolake.functions import geo, places, scalars
-from radiolake.operators import etl, forms, log, lookup, prefixes, search, spatial, stats
+from radiolake.operators import etl, forms, location, log, lookup, prefixes, search, spatial, stats
 from radiolake.sources import activity, adif, dumps, exports
 from radiolake.streaming import jobs
 
@@ -256,3 +256,38 @@ def test_small_drivers_rules(spark, tmp_path):
     assert dumps.parks(spark, str(tmp_path / "parks.csv"), 1).first()["grid"] == "CN87"
     (tmp_path / "fd.csv").write_bytes("Call used,Club\nk1ab;w\u00d82x,Caf\u00e9\n".replace(";", " ").encode("cp1252"))
     assert rows(activity.field_day(spark, str(tmp_path / "fd.csv"), 2024)) == [("K1AB", 2024), ("W02X", 2024)]
+
+
+def test_overrides_by_precedence(spark):
+    """The first kind of entry that can be resolved counts; one that can't changes nothing and leaves the next its turn."""
+    square = lambda lat, lon, d=3.0: [[(lat - d, lon - d), (lat - d, lon + d), (lat + d, lon + d), (lat + d, lon - d), (lat - d, lon - d)]]
+    at = {"HI": (21.3, -157.8, "PAC", 31, 110), "ME": (44.3, -68.2, "ME", 5, 291), "TX": (32.8, -97.0, "NTX", 4, 291), "CT": (41.7, -72.7, "CT", 5, 291)}
+    rows_ = [(i, lon - 3, lon + 3, lat - 3, lat + 3, square(lat, lon), f"{state} county", state, section, cq, cq + 1, f"Land {dxcc}", dxcc) for i, (state, (lat, lon, section, cq, dxcc)) in enumerate(at.items())]
+    parts = spark.createDataFrame(rows_, "part int, minx double, maxx double, miny double, maxy double, rings array<array<struct<lat:double,lon:double>>>, county string, state string, section string, cq_zone int, itu_zone int, country string, dxcc int")
+    layers = {n: location.Layer(parts, [F.col("part")], location.FROM_LAYER[n]) for n in location.FROM_LAYER}
+    parks = spark.createDataFrame([("US-0001", "Acadia", 44.3, -68.2), ("US-0002", "Nowhere", 0.0, 0.0), ("US-0003", "", 21.3, -157.8)], "reference string, name string, latitude double, longitude double")
+    sections = spark.createDataFrame([("NTX", 32.8, -97.0)], "code string, lat double, lon double")
+    states = spark.createDataFrame([("HI", 21.3, -157.8), ("TX", 31.0, -98.0)], "code string, lat double, lon double")
+    one = spark.createDataFrame([("HI", "PAC")], "state string, section string")
+    entries = {
+        "none": {}, "coords": {"latitude": "21.3", "longitude": "-157.8"}, "park": {"park": " us-0001,US-9"}, "section": {"section": "ntx"}, "one": {"state": "Hawaii"}, "split": {"state": "TX"}, "grid": {"grid": "bl11ab"},
+        "all": {"latitude": "21.3", "longitude": "-157.8", "park": "US-0001", "section": "NTX", "state": "TX", "grid": "BL11"}, "park first": {"park": "US-0001", "section": "NTX"}, "section first": {"section": "NTX", "state": "HI"}, "same": {"state": "CT"},
+        "no section": {"section": "ZZZ"}, "next": {"section": "ZZZ", "state": "HI"}, "emptied": {"latitude": "", "longitude": "", "state": "HI"}, "half": {"latitude": "21.3", "state": "HI"}, "no park": {"park": "US-0002", "state": "HI"}, "far": {"latitude": "95", "longitude": "5"},
+    }
+    names = ["latitude", "longitude", "park", "section", "state", "grid"]
+    records = spark.createDataFrame(
+        [(k, 41.7148, -72.7273, "FN31", "CT", "CT", "Capitol", "United States", 291, None, 8, *[v.get(n) for n in names]) for k, v in entries.items()],
+        "key string, latitude double, longitude double, gridsquare string, state string, section string, county string, country string, dxcc int, cq_zone int, itu_zone int, " + ", ".join(f"typed_{n} string" for n in names),
+    )
+    got = {r["key"]: r for r in location.postprocess(records, "key", layers, parks, sections, states, one, (45.5152, -122.6784)).collect()}
+    field = lambda k, *fs: tuple(got[k][f] for f in fs)
+    assert field("none", "state", "county", "gridsquare", "cq_zone", "itu_zone", "pota_park", "override") == ("CT", "Capitol", "FN31", 5, 8, None, None)
+    assert field("coords", "state", "dxcc", "cq_zone", "gridsquare", "section") == ("HI", 110, 31, "BL11", "PAC") and got["coords"]["distance"] != got["none"]["distance"]
+    assert field("park", "state", "county", "pota_park", "latitude") == ("ME", "ME county", "Acadia", 44.3)
+    assert field("section", "section", "state", "gridsquare", "county", "cq_zone") == ("NTX", "TX", None, None, 4)
+    assert field("one", "state", "section", "cq_zone", "county") == ("HI", "PAC", 31, None) and field("split", "state", "section") == ("TX", None)
+    assert field("grid", "gridsquare", "cq_zone", "state", "section", "county") == ("BL11", 31, None, None, None)
+    assert field("all", "state", "pota_park", "override") == ("HI", None, "coordinates") and field("park first", "state") == ("ME",) and field("section first", "state", "section") == ("TX", "NTX")
+    assert field("same", "county", "gridsquare", "override") == field("no section", "county", "gridsquare", "override") == ("Capitol", "FN31", None)
+    assert all(field(k, "state", "override") == ("HI", "state") for k in ("next", "emptied", "half", "no park"))
+    assert field("far", "latitude", "state", "gridsquare", "dxcc", "distance") == (95.0, None, None, None, None)
