@@ -91,10 +91,12 @@ def band_mode_pivot(contacts: DataFrame, modes: list[str]) -> DataFrame:
 def histogram(contacts: DataFrame, seconds: int) -> DataFrame:
     """Contacts and hourly rate in bins of fixed width from the first to the last one, empty bins included.
 
-    Bins start at whole multiples of the width since 1970. The bins come from the counts' ends, not from the contacts.
+    Bins start at whole multiples of the width since 1970 and come from the counts' ends, not from the contacts. Times
+    farther from the median than OUTLIER_DAYS are typing errors and are left out, so the number of bins has a bound.
     """
-    bins = contacts.where("qso_at IS NOT NULL").select(F.floor(F.unix_seconds(F.col("qso_at").cast("timestamp")) / seconds).alias("bin"))
-    counted = bins.groupBy("bin").agg(F.count("*").alias("n"))
+    at = F.col("qso_at").cast("timestamp")
+    near = contacts.where("qso_at IS NOT NULL").where(F.abs(F.unix_millis(at) - upper_median(contacts).scalar()) <= OUTLIER_DAYS * 86_400_000)
+    counted = near.select(F.floor(F.unix_seconds(at) / seconds).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
     every = counted.agg(F.min("bin").alias("a"), F.max("bin").alias("z")).select(F.explode(F.expr("sequence(a, z)")).alias("bin"))
     n = F.coalesce("n", F.lit(0)).cast("long")
     return every.join(counted, "bin", "left").select((F.col("bin") * seconds).alias("bin_start"), n.alias("n"), rounded(n * F.lit(3600.0 / seconds)).alias("rate"))
