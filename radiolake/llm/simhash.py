@@ -258,16 +258,61 @@ def links(distinct: DataFrame, distance: int = 4, segments: int | None = None) -
                 a, b = _links(*sides, distance)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    # Blocks of one group: all of its top nodes, some numbers each, and only pairs near enough on the bits both share.
-    tops = cut.select("choice", "value", "block", "pattern", "mask")
-    several = tops.groupBy("choice", "value").agg(F.count("*").alias("m")).where("m > 1").select("choice", "value")
-    tops = tops.join(several, ["choice", "value"], "left_semi")
-    other = tops.select("choice", "value", *[F.col(c).alias(f"{c}2") for c in ("block", "pattern", "mask")])
-    apart = F.bit_count(F.col("pattern").bitwiseXOR(F.col("pattern2")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask2")))
-    pairs = tops.join(other, ["choice", "value"]).where((F.col("block") < F.col("block2")) & (apart <= distance)).select("block", "block2")
-    within = cut.where("n > 1").select("fps", F.lit(None).cast("binary").alias("fps2")).repartition(F.xxhash64("fps"))
+    def found(pairs: DataFrame) -> DataFrame:
+        return pairs.mapInArrow(search, "a long, b long").distinct()
+
+    group = ["choice", "value"]
+    within = staged(found(cut.where("n > 1").select("fps", F.lit(None).cast("binary").alias("fps2")).repartition(F.xxhash64("fps"))))
+    several = staged(cut.groupBy(*group).agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1"))
+    # A group that fits a block is in several only where a partition ends, so all its blocks meet: by their top nodes
+    # first, and only pairs near enough on the bits that both share.
+    tops = cut.select(*group, "block", "pattern", "mask").join(several.where(F.col("all") <= BLOCK).select(*group), group, "left_semi")
+    other = tops.select(*group, *[F.col(c).alias(f"{c}2") for c in ("block", "pattern", "mask")])
+    pairs = tops.join(other, group).where((F.col("block") < F.col("block2")) & (_apart() <= distance)).select("block", "block2")
     across = pairs.join(cut.select("block", "fps"), "block").join(cut.select(F.col("block").alias("block2"), F.col("fps").alias("fps2")), "block2").select("fps", "fps2")
-    return within.unionByName(across).mapInArrow(search, "a long, b long").distinct()
+    out = within.unionByName(found(across))
+    large = several.where(F.col("all") > BLOCK).select(*group)
+    return out if large.isEmpty() else out.unionByName(found(_stray_pairs(cut, large, within, distance)))
+
+
+def _apart() -> Column:
+    """Bits in which two top nodes differ among those that both share."""
+    return F.bit_count(F.col("pattern").bitwiseXOR(F.col("pattern2")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask2")))
+
+
+def _stray_pairs(cut: DataFrame, large: DataFrame, within: DataFrame, distance: int) -> DataFrame:
+    """Pairs of blocks (``fps``, ``fps2``) of the large groups: what lies outside a group's largest piece, and each of its blocks.
+
+    Pieces are the components that the links within blocks make, so a large group of near copies, which is one piece but
+    for a few strays, costs as much as its size and not as its square.
+    """
+    group = ["choice", "value"]
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                fps = np.frombuffer(batch.column(2)[i].as_py(), "<i8")
+                key = [pa.array(np.full(len(fps), batch.column(c)[i].as_py()), t) for c, t in ((0, pa.int32()), (1, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*key, pa.array(fps)], names=["choice", "value", "fp"])
+
+    blocks_of = staged(cut.join(large, group, "left_semi"))
+    members = blocks_of.select(*group, "fps").mapInArrow(opened, "choice int, value long, fp long")
+    pieces = components(within).select(F.col("node").alias("fp"), "root")
+    mine = staged(members.join(pieces, "fp", "left").select(*group, "fp", F.coalesce("root", "fp").alias("piece")))
+    counts = mine.groupBy(*group, "piece").agg(F.count("*").alias("n"))
+    main = counts.groupBy(*group).agg(F.max_by("piece", F.struct("n", "piece")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    lots = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
+    strays = mine.join(main, group).where(F.col("piece") != F.col("main")).withColumn("lot", F.pmod(F.xxhash64("fp"), lots))
+    all_and, all_or = F.bit_and("fp"), F.bit_or("fp")
+    packed = staged(strays.groupBy(*group, "lot").agg(F.collect_list("fp").alias("fps"), all_and.alias("pattern2"), F.bitwise_not(all_and.bitwiseXOR(all_or)).alias("mask2")))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed_fps = [x.values.to_numpy().tobytes() for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed_fps, pa.binary()), batch.column(1)], names=["fps", "fps2"])
+
+    met = packed.join(blocks_of.select(*group, "pattern", "mask", F.col("fps").alias("fps2")), group).where(_apart() <= distance)
+    return met.select("fps", "fps2").mapInArrow(joined, "fps binary, fps2 binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
