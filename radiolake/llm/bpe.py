@@ -27,11 +27,11 @@ from radiolake.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Token pairs that a worker remembers at most, and what their keys are multiplied by to find their places.
-PAIRS, HASH = 1 << 21, np.int64(-7046029254386353131)
+PAIRS, HASH = 1 << 20, np.int64(-7046029254386353131)
 #: Stands between pieces that are searched together; UTF-8 hasn't this byte.
 APART = b"\xff"
 #: Bytes of text that are encoded together, and rows that are decoded together.
-BATCH_BYTES, DECODE_ROWS = 6_000_000, 1_000
+BATCH_BYTES, DECODE_ROWS = 4_000_000, 1_000
 
 
 def token_bytes(path: str) -> dict[int, bytes]:
@@ -263,6 +263,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
                 ids, counts = bpe.encode(batch.column(1)[some])
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[some], pa.ListArray.from_arrays(ends, ids)], names=["key", "ids"])
+                pa.default_memory_pool().release_unused()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
