@@ -68,15 +68,17 @@ def street_variants(street: Column) -> Column:
     tidy = lambda c: F.trim(F.regexp_replace(c, " +", " "))
     plain = tidy(F.regexp_replace(plain, f"\\b(?:{any_of(UNITS)}|STE(?= {number}\\b))\\b(?: {number}\\b)?", ""))
     plain = F.trim(F.regexp_replace(plain, f"(?:(?:^| ){any_of(ROUTES)}[0-9]*)+$", ""))
-    saint = F.regexp_replace(F.regexp_replace(plain, "\\bSAINTE\\b", "STE"), "\\bSAINT\\b", "ST")
-    keys = []
-    for base in (plain, saint):
-        for leading in (0, 1, 2):
-            named = F.trim(F.regexp_replace(base, f"^(?:{number}(?: |$)){{0,{leading}}}", "")) if leading else base
-            for kept in (named, tidy(F.regexp_replace(named, f"\\b(?:{any_of(STREET_TYPES)}|{any_of(DIRECTIONS)})\\b", ""))):
-                short = F.regexp_replace(kept, f"^([^ ]+(?: [^ ]+)*?)(?: {number})+$", "$1")
-                keys.append(F.replace(F.regexp_replace(short, "\\b([A-Z0-9]{4,})S\\b", "$1"), F.lit(" "), F.lit("")))
-    return F.array_sort(F.array_distinct(F.filter(F.array(*keys), lambda k: k != "")))
+    # each step gives several texts, of which equal ones go on once; a lambda's text is computed once
+    each = lambda texts, use: F.array_distinct(F.flatten(F.transform(texts, lambda t: F.array(*use(t)))))
+    saint = lambda t: F.regexp_replace(F.regexp_replace(t, "\\bSAINTE\\b", "STE"), "\\bSAINT\\b", "ST")
+    named = lambda t, n: F.trim(F.regexp_replace(t, f"^(?:{number}(?: |$)){{0,{n}}}", ""))
+    typeless = lambda t: tidy(F.regexp_replace(t, f"\\b(?:{any_of(STREET_TYPES)}|{any_of(DIRECTIONS)})\\b", ""))
+    short = lambda t: F.regexp_replace(t, f"^([^ ]+(?: [^ ]+)*?)(?: {number})+$", "$1")
+    key = lambda t: F.replace(F.regexp_replace(short(t), "\\b([A-Z0-9]{4,})S\\b", "$1"), F.lit(" "), F.lit(""))
+    texts = each(F.array(plain), lambda t: (t, saint(t)))
+    texts = each(texts, lambda t: (t, named(t, 1), named(t, 2)))
+    texts = each(texts, lambda t: (t, typeless(t)))
+    return F.array_sort(F.filter(each(texts, lambda t: (key(t),)), lambda k: k != ""))
 
 
 def same_street(a: Column, b: Column) -> Column:

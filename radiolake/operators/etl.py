@@ -113,9 +113,10 @@ def pick_places(candidates: DataFrame, key: str) -> DataFrame:
     is one aggregation over the candidates, so a key may have any number.
     """
     name, province, kind = places.title_parts(F.col("title"))
-    rows = candidates.withColumns({"__name": name, "__province": province, "__kind": kind, "__wanted": places.street_variants(F.col("street")), "__found": places.street_variants(name), "__town": places.place_key(F.col("city"))})
+    rows = candidates.withColumns({"__name": name, "__province": province, "__kind": kind, "__town": places.place_key(F.col("city"))})
     usable = F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.col("province").isNull() | (F.lower("province") == F.lower("__province")))
-    is_street = usable & F.col("type").rlike("(Street|Address)$") & F.arrays_overlap("__wanted", "__found")
+    # names are compared only where the rest is right
+    is_street = F.when(usable & F.col("type").rlike("(Street|Address)$"), places.same_street(F.col("street"), F.col("__name"))).otherwise(False)
     is_town = usable & F.endswith("type", F.lit("Geoname")) & ~F.col("__kind").isin(*places.TOO_LARGE) & (F.col("__town") != "") & (places.place_key(F.col("__name")) == F.col("__town"))
     precise = F.when(F.col("qualifier") == "INTERPOLATED_POSITION", "Street").otherwise("Street_Approx")
     street = F.min(F.when(is_street, F.struct("position", "lat", "lon", precise.alias("how"))))
