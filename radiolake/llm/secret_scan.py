@@ -124,7 +124,8 @@ def candidates(text: Column) -> Column:
 
         def by_encoding(t: Column) -> Column:
             p = F.when(encoding(t) == "hex", battery(t, ALPHABETS["hex"])).when(encoding(t) == "base32", battery(t, ALPHABETS["base32"])).when(encoding(t) == "base64", battery(t, ALPHABETS["base64"]))
-            return F.floor(-10 * F.log10(F.greatest(p, F.lit(10 ** (-FINEST / 10))))).cast("int")
+            # greatest() passes over nulls, but a token without an encoding is no candidate
+            return let(p, lambda x: F.when(x.isNotNull(), F.floor(-10 * F.log10(F.greatest(x, F.lit(10 ** (-FINEST / 10))))).cast("int")))
 
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.floor(F.log2(s["size"])).cast("int").alias("stratum"), let(token, by_encoding).alias("bin"))
 
