@@ -17,6 +17,7 @@ bands of their shingles' minima, searches each group with the same index and ver
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -375,6 +376,24 @@ COPY_WORDS, COPY_BITS = 6, 104
 WORD_BLOCK, COPY_BLOCK, COPY_SHINGLES = 4096, 256, 1 << 19
 #: Rows up to which a side of keys is broadcast, counted before; beyond, the join is shuffled.
 BROADCAST_KEYS = 500_000
+#: A large group with more lots of strays than this is dealt anew, by so many choices of so many of the minima. A pair at
+#: exactly 0.8 shares none of these choices with a probability of (1 - 0.8**8)**80, or 4 in 10 million.
+MANY_LOTS, CHOICES, CHOSEN = 16, 80, 8
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What near copies are: how texts become sets, the similarity asked for, and the fingerprint that is compared first.
+
+    ``sets`` gives each text's sorted distinct hashes; ``words`` a set's fingerprint (uint64) from it and its minima;
+    ``near`` yields pairs of places in two arrays of fingerprints, one row for each word, that may be near copies: all
+    pairs that are, but for a stated share, and each at most once.
+    """
+
+    jaccard: tuple[int, int]
+    sets: Callable[[pa.Array], list[np.ndarray]]
+    words: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    near: Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
 def shingle_set(text: str | None, width: int = COPY_SHINGLE) -> np.ndarray:
@@ -408,14 +427,19 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One number for each band of a set's minima."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of each of ``BANDS * MINIMA`` hash functions over a set."""
     rng = np.random.default_rng(SEED)
     factor, shift = rng.integers(0, 2**64, (2, BANDS * MINIMA), np.uint64)
     factor |= np.uint64(1)
     least = np.full(BANDS * MINIMA, ~np.uint64(0))
     for at in range(0, len(hashes), 1 << 12):  # bounded memory, however long the text
         least = np.minimum(least, (factor[:, None] * hashes[None, at : at + (1 << 12)] + shift[:, None]).min(axis=1))
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """One number for each band of a set's minima."""
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, MINIMA))], np.uint64)
 
 
@@ -424,39 +448,41 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
-def _marked(docs: DataFrame, kind: str) -> DataFrame:
-    """``id``, ``node``, ``size`` (shingles), ``words`` (the fingerprint's bytes) and ``bands`` of the rows (id, text)."""
+def similar(docs: DataFrame, kind: str, rule: Rule) -> DataFrame:
+    """``id``, ``node``, ``size`` (shingles), ``words`` (the fingerprint's bytes), ``bands`` and ``low`` (the minima's lowest bytes) of the rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+                sets = rule.sets(batch.column(1))
                 node = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
-                keys = np.concatenate([bands(s) for s in sets]).view(np.int64)
+                least = [minima(s) for s in sets]
+                keys = np.concatenate([bands(x) for x in least]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys))
-                words = pa.array([set_words(s).tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), words, lists], names=["id", "node", "size", "words", "bands"])
+                words = pa.array([rule.words(s, x).tobytes() for s, x in zip(sets, least, strict=True)], pa.binary())
+                low = pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), words, lists, low], names=["id", "node", "size", "words", "bands", "low"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, node long, size long, words binary, bands array<long>")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, node long, size long, words binary, bands array<long>, low binary")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """``node`` and ``hashes`` (the set's bytes) of the rows' ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                sets = [shingle_set(t.as_py()) for t in whole.column(0).slice(at, 256)]
+                sets = rule.sets(whole.column(0).slice(at, 256))
                 node = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
 
     return docs.select("text").mapInArrow(run, "node long, hashes binary")
 
 
-def near_copies(a: np.ndarray, b: np.ndarray) -> bool:
+def near_copies(a: np.ndarray, b: np.ndarray, jaccard: tuple[int, int] = COPY_JACCARD) -> bool:
     """Whether two sorted sets have the Jaccard similarity of near copies."""
-    over, under = COPY_JACCARD
+    over, under = jaccard
     most, both = min(len(a), len(b)), len(a) + len(b)
     if (over + under) * most < over * both:
         return False
@@ -472,20 +498,20 @@ def _in_gray_order(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return rows.take(pa.array(order)), np.ascontiguousarray(words[:, order])
 
 
-def _met(rows: pa.Table) -> list[pa.RecordBatch]:
+def _met(rows: pa.Table, rule: Rule) -> list[pa.RecordBatch]:
     """The rows of a block (value, choice, node, size, words) that are near another one's fingerprint."""
     rows, words = _in_gray_order(rows)
     near = np.zeros(rows.num_rows, bool)
-    for q, found in GrayIndex(words).search(words, COPY_BITS):
+    for q, found in rule.near(words, words):
         apart = q != found
         near[q[apart]] = near[found[apart]] = True
     return rows.filter(pa.array(near)).select(["value", "choice", "node", "size"]).to_batches()
 
 
-def _joined(rows: pa.Table) -> list[pa.RecordBatch]:
+def _joined(rows: pa.Table, rule: Rule) -> list[pa.RecordBatch]:
     """Links (a, b) among a block's rows, or from its strays to its others, that join pieces.
 
-    Columns: node, piece, stray, words, hashes. The index finds sets that are near in all words; those of different
+    Columns: node, piece, stray, words, hashes. The rule finds sets whose fingerprints are near; those of different
     pieces are compared exactly, until a set's piece has all that it is near to.
     """
     rows, words = _in_gray_order(rows)
@@ -499,7 +525,7 @@ def _joined(rows: pa.Table) -> list[pa.RecordBatch]:
     a, b = [], []
     if not len(right) or (label == label[0]).all():
         return []
-    for q, found in GrayIndex(words[:, right]).search(words[:, left], COPY_BITS):
+    for q, found in rule.near(words[:, left], words[:, right]):
         q, found = left[q], right[found]
         if not strays:
             q, found = q[found > q], found[found > q]
@@ -511,7 +537,7 @@ def _joined(rows: pa.Table) -> list[pa.RecordBatch]:
             i, others = int(q[mine[0]]), found[mine]
             while len(others := others[label[others] != label[i]]):
                 j, others = int(others[0]), others[1:]
-                if near_copies(opened(i), opened(j)):
+                if near_copies(opened(i), opened(j), rule.jaccard):
                     label[label == label[j]] = label[i]
                     a.append(node[i])
                     b.append(node[j])
@@ -561,67 +587,114 @@ def _parts(rows: str = "rows", size: str = "shingles") -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col(rows) / COPY_BLOCK), F.ceil(F.col(size) / COPY_SHINGLES)).cast("int")
 
 
-def _block_links(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+def _block_links(dealt: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Links of the blocks (value, i, j) of rows (node, piece, stray); the sets join them here."""
     rows = dealt.join(sets, "node").select("value", "i", "j", "node", "piece", "stray", "words", "hashes")
-    return in_blocks(rows, ["value", "i", "j"], _joined, "a long, b long")
+    return in_blocks(rows, ["value", "i", "j"], lambda table: _joined(table, rule), "a long, b long")
 
 
-def near_rows(nodes: DataFrame) -> DataFrame:
+def _near_within(rows: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The rows (value, choice, node, size) that have another one's fingerprint near in their group; all of groups beyond a block."""
+    groups = staged(rows.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = rows.join(_bounded(groups), "value")
+    small = shared.where(F.col("n") <= WORD_BLOCK).drop("n").join(nodes.select("node", "words"), "node")
+    met = in_blocks(small.select("value", "choice", "node", "size", "words"), ["value"], lambda table: _met(table, rule), "value long, choice int, node long, size long")
+    return met.unionByName(shared.where(F.col("n") > WORD_BLOCK).drop("n").select(*met.columns))
+
+
+def near_rows(nodes: DataFrame, rule: Rule) -> DataFrame:
     """``value``, ``choice``, ``node`` and ``size`` of the nodes in each band's group in which another fingerprint is near.
 
     A band's value is a hash that holds the band's number, so it names the group. Of groups beyond a block of
     fingerprints, which are dealt into several, all nodes stay.
     """
-    each = nodes.select("node", "size", F.posexplode("bands").alias("choice", "value"))
-    groups = staged(each.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = each.join(_bounded(groups), "value")
-    small = shared.where(F.col("n") <= WORD_BLOCK).drop("n").join(nodes.select("node", "words"), "node")
-    met = in_blocks(small.select("value", "choice", "node", "size", "words"), ["value"], _met, "value long, choice int, node long, size long")
-    return met.unionByName(shared.where(F.col("n") > WORD_BLOCK).drop("n").select(*met.columns))
+    return _near_within(nodes.select("node", "size", F.posexplode("bands").alias("choice", "value")), nodes, rule)
+
+
+def _dealt_anew(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (value, node, size) of large mixed groups, once for each of ``CHOICES`` choices of minima within their group."""
+    columns = np.stack([np.random.default_rng((SEED, k)).choice(BANDS * MINIMA, CHOSEN, replace=False) for k in range(CHOICES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                low = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BANDS * MINIMA)
+                key = batch.column(0).to_numpy().view(np.uint64)[:, None] + np.arange(CHOICES, dtype=np.uint64)
+                key = mixed(mixed(key, 1) ^ np.ascontiguousarray(low[:, columns]).view("<u8")[:, :, 0], 2)
+                each = pa.array(np.repeat(np.arange(batch.num_rows), CHOICES))
+                choice = pa.array(np.tile(np.arange(CHOICES, dtype=np.int32), batch.num_rows))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), choice, batch.column(1).take(each), batch.column(2).take(each)], names=["value", "choice", "node", "size"])
 
+    return rows.select("value", "node", "size").join(nodes.select("node", "low"), "node").select("value", "node", "size", "low").mapInArrow(run, "value long, choice int, node long, size long")
 
-def copy_links(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+
+def copy_links(keyed: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) that span the components of near copies among the nodes.
 
     Sets with an equal band form a group, and those with a near fingerprint in their group are verified. Groups are
-    dealt into blocks of bounded size, and each block is searched by its index. The first bands join most copies to
+    dealt into blocks of bounded size, and each block is searched by its fingerprints. The first bands join most copies to
     pieces, so of the other bands only groups of several pieces are dealt. Where a group is more than one block and
     more than one piece, all its sets outside its largest piece (its strays) meet all of its blocks, each two blocks in
     a task. So a large group of near copies costs as much as its size, and only what differs from it is compared with
-    all of it.
+    all of it. A large group of unlike sets, which only share a passage, has too many strays for that: it is dealt anew
+    by choices of its sets' minima, which unlike sets don't share, so its cost is in proportion to its size too.
     """
-    rows = staged(near_rows(nodes))
+    rows = staged(near_rows(nodes, rule))
     wanted = staged(nodes.join(_bounded(staged(rows.select("node").distinct())), "node", "left_semi").select("id", "node", "words"))
     texts = keyed.join(_bounded(wanted.select("id")), "id", "left_semi")
-    sets = staged(_sets(texts).join(wanted.select("node", "words"), "node").dropDuplicates(["node"]))
+    sets = staged(_sets(texts, rule).join(wanted.select("node", "words"), "node").dropDuplicates(["node"]))
 
-    many = [F.count("*").alias("rows"), F.sum("size").alias("shingles"), F.min("piece").alias("low"), F.max("piece").alias("high")]
     links = pieces = None
     for lot in (F.col("choice") < FIRST_BANDS, F.col("choice") >= FIRST_BANDS):
-        mine = _in_pieces(rows.where(lot), pieces)
-        several = mine.groupBy("value").agg(*many).where("low < high").select("value", _parts().alias("parts"))
-        part = F.pmod(F.xxhash64("node", "choice"), "parts").cast("int")
-        dealt = mine.join(several, "value").select("value", part.alias("i"), F.lit(0).alias("j"), "node", "piece", F.lit(False).alias("stray"))
-        found = staged(_block_links(dealt, sets))
+        found = staged(_block_links(_dealt(_in_pieces(rows.where(lot), pieces)), sets, rule))
         links = found if links is None else links.unionByName(found)
         pieces = staged(components(links))
 
-    mine = _in_pieces(rows, pieces)
-    large = staged(mine.groupBy("value").agg(*many).where("low < high").withColumn("parts", _parts()).where("parts > 1").select("value", "parts"))
-    if large.isEmpty():
+    mine = _large(_in_pieces(rows, pieces))
+    if mine is None:
         return links
+    links = links.unionByName(staged(_block_links(_stray_blocks(mine.where(F.col("lots") <= MANY_LOTS)), sets, rule)))
+    mixed_groups = mine.where(F.col("lots") > MANY_LOTS)
+    if mixed_groups.isEmpty():
+        return links
+    anew = staged(_near_within(_dealt_anew(mixed_groups, nodes), nodes, rule))
+    links = links.unionByName(staged(_block_links(_dealt(_in_pieces(anew, staged(components(links)))), sets, rule)))
+    mine = _large(_in_pieces(anew, staged(components(links))))
+    return links if mine is None else links.unionByName(staged(_block_links(_stray_blocks(mine), sets, rule)))
+
+
+def _counted(mine: DataFrame) -> DataFrame:
+    """Groups of several pieces, with the number of blocks that they are dealt into."""
+    many = [F.count("*").alias("rows"), F.sum("size").alias("shingles"), F.min("piece").alias("least"), F.max("piece").alias("most")]
+    return mine.groupBy("value").agg(*many).where("least < most").select("value", _parts().alias("parts"))
+
+
+def _dealt(mine: DataFrame) -> DataFrame:
+    """The rows of groups of several pieces, each in one of its group's blocks."""
+    part = F.pmod(F.xxhash64("node", "choice"), "parts").cast("int")
+    return mine.join(_counted(mine), "value").select("value", part.alias("i"), F.lit(0).alias("j"), "node", "piece", F.lit(False).alias("stray"))
+
+
+def _large(mine: DataFrame) -> DataFrame | None:
+    """The rows of groups of several pieces and several blocks, marked as strays or not, with the number of lots of strays; None if there are none."""
+    large = staged(_counted(mine).where("parts > 1"))
+    if large.isEmpty():
+        return None
     mine = staged(mine.join(large, "value"))
     counts = mine.groupBy("value", "piece").agg(F.count("*").alias("n"))
     main = counts.groupBy("value").agg(F.max_by("piece", F.struct("n", "piece")).alias("main"))
     mine = mine.join(main, "value").withColumn("stray", F.col("piece") != F.col("main"))
     strays = mine.where("stray").groupBy("value").agg(F.count("*").alias("rows"), F.sum("size").alias("shingles")).select("value", _parts().alias("lots"))
-    mine = staged(mine.join(strays, "value"))
+    return staged(mine.join(strays, "value"))
+
+
+def _stray_blocks(mine: DataFrame) -> DataFrame:
+    """Each lot of a group's strays with each of the group's blocks."""
     part, lot = F.pmod(F.xxhash64("node"), "parts").cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), "lots").cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     others = mine.select("value", part.alias("i"), upto("lots").alias("j"), "node", "piece", F.lit(False).alias("stray"))
-    dealt = others.unionByName(mine.where("stray").select("value", upto("parts").alias("i"), lot.alias("j"), "node", "piece", "stray"))
-    return links.unionByName(staged(_block_links(dealt, sets)))
+    return others.unionByName(mine.where("stray").select("value", upto("parts").alias("i"), lot.alias("j"), "node", "piece", "stray"))
 
 
 def _in_pieces(rows: DataFrame, pieces: DataFrame | None) -> DataFrame:
@@ -631,6 +704,14 @@ def _in_pieces(rows: DataFrame, pieces: DataFrame | None) -> DataFrame:
     return rows.join(pieces, "node", "left").withColumn("piece", F.coalesce("root", "node")).drop("root")
 
 
+def _gray_near(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return GrayIndex(right).search(left, COPY_BITS)
+
+
+#: Near copies by their sets of five-word shingles, compared by their SimHash words in the Gray-order index.
+COPIES = Rule(COPY_JACCARD, lambda texts: [shingle_set(t.as_py()) for t in texts], lambda hashes, least: set_words(hashes), _gray_near)
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest doc_id, with all its columns.
 
@@ -643,9 +724,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     ident = [F.col("doc_id").isNull().alias("anonymous"), F.coalesce("doc_id", F.xxhash64("text")).alias("ident"), F.xxhash64("text").alias("tie")]
     keyed = docs.select(F.struct(*ident).alias("id"), "text")
     kind = keyed.schema["id"].dataType.simpleString()
-    marked = staged(_marked(keyed, kind))
-    nodes = staged(marked.groupBy("node").agg(*[F.min(c).alias(c) for c in ("id", "size", "words", "bands")]))
-    roots = staged(components(copy_links(keyed, nodes)))
+    marked = staged(similar(keyed, kind, COPIES))
+    nodes = staged(marked.groupBy("node").agg(*[F.min(c).alias(c) for c in ("id", "size", "words", "bands", "low")]))
+    roots = staged(components(copy_links(keyed, nodes, COPIES)))
     rooted = staged(nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")))
     kept = staged(rooted.groupBy("root").agg(F.min("id").alias("id")))
     ids = marked.groupBy("id").agg(F.count("*").alias("n"))
