@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiolake.llm import bpe, license_scan, media, minhash, mixing, periodic_runs, quality_classifier, quality_rules, secret_scan, simhash, token_files, toxicity
+from radiolake.llm import bpe, license_scan, media, minhash, mixing, periodic_runs, quality_classifier, quality_rules, secret_scan, simhash, spelling, token_files, toxicity
 
-MODULES = [quality_rules, bpe, mixing, secret_scan, simhash, token_files, toxicity, quality_classifier, media, license_scan, periodic_runs, minhash]
+MODULES = [quality_rules, bpe, mixing, secret_scan, simhash, token_files, toxicity, quality_classifier, media, license_scan, periodic_runs, minhash, spelling]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

