@@ -127,17 +127,27 @@ def import_new(incoming: DataFrame, existing: DataFrame, position: str) -> DataF
     return matched(first, known, on, "left_anti").select(*incoming.columns)
 
 
+#: White space in the log's sense: ASCII's, the no-break spaces, Unicode's separators and the byte-order mark.
+WHITE = "[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+
+
+def trimmed(c: Column) -> Column:
+    """The value without white space of any kind at its ends; null is empty."""
+    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), f"^{WHITE}+|{WHITE}+\\z", "")
+
+
 def blank(c: Column) -> Column:
-    return F.coalesce(F.trim(c), F.lit("")) == ""
+    return trimmed(c) == ""
 
 
 def validate(contacts: DataFrame, required: list[str], patterns: dict[str, str]) -> DataFrame:
     """Adds ``errors``: the required columns that are blank and the others that don't match their pattern as a whole.
 
-    A blank value isn't held against its pattern. Messages are joined by semicolons; an empty string is no error.
+    Values are trimmed before both tests, and a blank one isn't held against its pattern. Messages are joined by
+    semicolons; an empty string is no error.
     """
     missing = [F.when(blank(F.col(c)), F.lit(f"{c} is required")) for c in required]
-    wrong = [F.when(~blank(F.col(c)) & ~F.col(c).rlike(f"^(?:{p})$"), F.lit(f"{c} is not valid")) for c, p in patterns.items()]
+    wrong = [F.when(~blank(F.col(c)) & ~trimmed(F.col(c)).rlike(f"^(?:{p})\\z"), F.lit(f"{c} is not valid")) for c, p in patterns.items()]
     return contacts.withColumn("errors", F.concat_ws("; ", *missing, *wrong))
 
 

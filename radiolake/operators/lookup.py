@@ -11,23 +11,21 @@ from radiolake.functions import scalars
 def chain(calls: DataFrame, sources: list[tuple[str, DataFrame]], key: str) -> DataFrame:
     """Each call's record from the first source that has it, with ``source``; calls that none has keep null.
 
-    Calls are looked up once each. A source sees only what the ones before it haven't resolved. ``error`` is the first
-    source's that failed on a call (its column ``error``, where it has one), and only if none resolved it.
+    Calls are looked up once each, in one join for each source. ``error`` is the first source's that failed on a call (its
+    column ``error``, where it has one), and only if none resolved it. Of several rows of a source with one key those
+    without an error come first, then the smallest in the order of their fields; a source's null keys are left out.
     """
     fields = [c for c in sources[0][1].columns if c not in (key, "error")]
-    left, resolved, failed = calls.select(key).distinct(), None, None
+    out, hits, errors = calls.select(key).distinct(), [], []
     for place, (name, source) in enumerate(sources):
-        joined = left.join(source.withColumn("__hit", F.lit(True)), key, "left")
         error = F.col("error") if "error" in source.columns else F.lit(None).cast("string")
-        hit = F.coalesce("__hit", F.lit(False)) & error.isNull()
-        got = joined.where(hit).select(key, *fields, F.lit(name).alias("source"))
-        wrong = joined.where(error.isNotNull()).select(key, F.struct(F.lit(place).alias("place"), error.alias("error")).alias("e"))
-        resolved = got if resolved is None else resolved.unionByName(got)
-        failed = wrong if failed is None else failed.unionByName(wrong)
-        left = joined.where(~hit).select(key)
-    first = failed.groupBy(key).agg(F.min("e").alias("e"))
-    out = resolved.unionByName(left.select(key, *[F.lit(None).cast(resolved.schema[c].dataType).alias(c) for c in [*fields, "source"]]))
-    return out.join(first, key, "left").select(key, *fields, "source", F.when(F.col("source").isNull(), F.col("e.error")).alias("error"))
+        one = F.min(F.struct(error.isNotNull().alias("__failed"), *fields, error.alias("__error"))).alias(f"__{place}")
+        out = out.join(source.where(F.col(key).isNotNull()).groupBy(key).agg(one), key, "left")
+        found = F.col(f"__{place}")
+        hits.append(F.when(~found["__failed"], F.struct(*[found[c].alias(c) for c in fields], F.lit(name).alias("source"))))
+        errors.append(found["__error"])
+    hit = F.coalesce(*hits)
+    return out.select(key, hit.alias("__hit"), F.coalesce(*errors).alias("__error")).select(key, *[F.col(f"__hit.{c}").alias(c) for c in [*fields, "source"]], F.when(F.col("__hit").isNull(), F.col("__error")).alias("error"))
 
 
 def override(record: dict[str, Column], branches: list[tuple[Column, dict[str, Column]]]) -> list[Column]:

@@ -127,10 +127,11 @@ SELECT uuid, remote_callsign, band, mode FROM i WHERE r = 1 AND NOT EXISTS (SELE
 
 
 def contact_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that are white space only, and calls and zones with white space around them."""
     rows = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("uuid"),
-        F.when(F.col("o_orderkey") % 13 == 0, F.lit(" ")).otherwise(F.concat(F.lit("K"), F.col("o_custkey").cast("string"))).alias("call"),
-        (F.col("o_custkey") % 60).cast("string").alias("cq_zone"),
+        F.when(F.col("o_orderkey") % 13 == 0, F.lit("\t\u00a0 ")).otherwise(F.concat(F.lit("\u2003K"), F.col("o_custkey").cast("string"), F.lit("\n"))).alias("call"),
+        F.concat(F.lit(" "), (F.col("o_custkey") % 60).cast("string"), F.lit("\t")).alias("cq_zone"),
     )
     return log.validate(rows, ["call"], {"call": "K[0-9]{1,3}", "cq_zone": "[1-9]|[1-3][0-9]|40"}).select("uuid", "errors")
 

@@ -1,4 +1,4 @@
-"""Streams over ``events`` and ``conversations``, run to the end of what is there; prefix and place names."""
+"""Streams over ``events`` and ``conversations``, run to the end of what is there; place names."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolake.functions import places as names
-from radiolake.operators import prefixes
 from radiolake.plans.tables import table
 from radiolake.shared import shared_dir
 from radiolake.streaming import jobs
@@ -58,42 +57,5 @@ def stream_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["stream_chat"] = stream_chat
 SQL["stream_chat"] = "SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY conv_id, role"
 
-#: A made-up prefix list with every kind of mask; a real one is a parameter of :func:`prefixes.index`.
-PREFIXES = [
-    {"id": 1, "parent": None, "masks": ["K", "W", "A[A-L]"], "territory": "Northland", "continent": "NA", "cq": 4, "itu": 8, "dxcc": 901},
-    {"id": 2, "parent": 1, "masks": ["K#6", "[KW]6", "K@6"], "territory": "Northland West", "cq": 3, "itu": 6},
-    {"id": 3, "parent": 1, "masks": ["KH6.", "KH7"], "territory": "Far Isles", "continent": "OC", "cq": 31, "itu": 61, "dxcc": 910},
-    {"id": 4, "parent": None, "masks": ["EA", "E[B-H]"], "territory": "Southland", "continent": "EU", "cq": 14, "itu": 37, "dxcc": 930},
-    {"id": 5, "parent": 4, "masks": ["EA8", "E?8"], "territory": "South Isles", "continent": "AF", "cq": 33, "itu": 36, "dxcc": 931},
-    {"id": 6, "parent": None, "masks": ["2@", "G"], "territory": "Midland", "continent": "EU", "cq": 14, "itu": 27, "dxcc": 940},
-]
-_STARTS = ["K6", "W1", "KH6", "EA8/W1", "EA5", "G4", "2E0", "K1", "ZZ9", "EC8", "AK6"]
-_ENDS = ["A", "BC", "X/P", "A/6", "XYZ/MM"]
-_CALL = "CASE c_custkey % 11 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_STARTS)) + " END || CASE c_custkey % 5 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_ENDS)) + " END"
-
-
-def call_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = table(spark, sf_dir, "customer").select(F.expr(_CALL).alias("call"))
-    return prefixes.resolve(calls, prefixes.index(spark, PREFIXES))
-
-
-QUERIES["call_parser"] = call_parser
-#: The same list as patterns: entry, depth, width, pattern; and each entry's attributes with those of its parents.
-_MASKS = [
-    (1, 1, 1, "^K"), (1, 1, 1, "^W"), (1, 1, 2, "^A[A-L]"), (2, 2, 3, "^K[0-9]6"), (2, 2, 2, "^[KW]6"), (2, 2, 3, "^K[A-Z]6"), (3, 2, 3, "^KH6([0-9]|$)"), (3, 2, 3, "^KH7"),
-    (4, 1, 2, "^EA"), (4, 1, 2, "^E[B-H]"), (5, 2, 3, "^EA8"), (5, 2, 3, "^E[A-Z0-9]8"), (6, 1, 2, "^2[A-Z]"), (6, 1, 1, "^G"),
-]
-_ATTRIBUTES = [(1, "Northland", "NA", 4, 8, 901), (2, "Northland West", "NA", 3, 6, 901), (3, "Far Isles", "OC", 31, 61, 910), (4, "Southland", "EU", 14, 37, 930), (5, "South Isles", "AF", 33, 36, 931), (6, "Midland", "EU", 14, 27, 940)]
-_OWN_DIGIT = "'^([A-Z]*|[0-9][A-Z]+)[0-9]'"
-SQL["call_parser"] = f"""WITH c AS (SELECT DISTINCT {_CALL} AS call FROM customer), p AS (SELECT call, list_filter(string_split(upper(call), '/'), lambda x: x NOT IN ('', 'P', 'M', 'MM', 'QRP', 'ANT')) AS l FROM c),
-d AS (SELECT call, CASE WHEN l[2] IS NULL THEN l[1] WHEN regexp_full_match(l[2], '[0-9]') THEN regexp_extract(l[1], {_OWN_DIGIT}, 1) || l[2] || regexp_replace(l[1], {_OWN_DIGIT}, '') WHEN length(l[2]) <= length(l[1]) THEN l[2] ELSE l[1] END AS part FROM p),
-m(entry, depth, width, pattern) AS (VALUES {", ".join(map(str, _MASKS))}), a(entry, territory, continent, cq, itu, dxcc) AS (VALUES {", ".join(map(str, _ATTRIBUTES))}),
-h AS (SELECT call, arg_max(m.entry, (depth, width, m.entry)) AS entry FROM d JOIN m ON regexp_matches(part, pattern) GROUP BY call)
-SELECT call, CAST(entry AS INTEGER) AS entry, territory, continent, CAST(cq AS VARCHAR) AS cq, CAST(itu AS VARCHAR) AS itu, CAST(dxcc AS VARCHAR) AS dxcc FROM h JOIN a USING (entry)"""
-
-QUERIES["call_parser_all"] = lambda spark, sf_dir: prefixes.resolve_all(table(spark, sf_dir, "customer").select(F.expr(_CALL).alias("call")), prefixes.index(spark, PREFIXES)).select("call", "place", "entry", "territory", "cq")
-SQL["call_parser_all"] = SQL["call_parser"][: SQL["call_parser"].index("h AS")] + """h AS (SELECT DISTINCT call, m.entry, depth, max(width) AS width FROM d JOIN m ON regexp_matches(part, pattern) GROUP BY call, m.entry, depth)
-SELECT call, CAST(row_number() OVER (PARTITION BY call ORDER BY depth DESC, width DESC, entry DESC) AS INTEGER) AS place, CAST(entry AS INTEGER) AS entry, territory, CAST(cq AS VARCHAR) AS cq FROM h JOIN a USING (entry)"""
-
 QUERIES["accent_fold"] = lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.md5(names.strip_accents(F.coalesce("text", F.lit(""))).cast("binary")).alias("plain_md5"))
 SQL["accent_fold"] = "SELECT doc_id, md5(strip_accents(coalesce(text, ''))) AS plain_md5 FROM documents"

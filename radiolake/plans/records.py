@@ -40,10 +40,10 @@ SQL["contact_check"] = f"""SELECT o_orderkey, error, CASE WHEN error IS NULL THE
 FROM orders JOIN (VALUES {_QUOTED}) v(k, error) ON k = o_orderkey % {len(_BODIES)}"""
 
 _VALUES = {
-    "itu_zone": ["8", "91", "08", ""], "cq_zone": ["40", "41", "0", "5"], "continent": ["NA", "na", "XX", ""], "gridsquare": ["CN87", "CN8", "SN87", "cn87"], "distance": ["79", "123456", "-1", "0"],
-    "state": ["OR", "DX", "ZZ", "or"], "section": ["EMA", "MX", "ZZZ", "WWA"], "rst_sent": ["599", "-13", "609", "5"], "rst_received": ["+05", "100", "59", "x"], "frequency": ["14.250", "0.136", "014.250", "14.25"],
+    "itu_zone": [" 8\t", "91", "08", "\u00a0"], "cq_zone": ["40", "41", "0", "5"], "continent": ["NA", "na", "XX", ""], "gridsquare": ["CN87", "CN8", "SN87", "cn87"], "distance": ["79", "123456", "-1", "0"],
+    "state": ["OR", "DX", "ZZ", "or"], "section": ["EMA", "MX", "ZZZ", "WWA"], "rst_sent": ["599", "-13", "609", "5"], "rst_received": ["+05", "100", "59", "x"], "frequency": [" 14.250 ", "0.136\n", "014.250", "\t"],
 }
-_VALID = {"itu_zone": "1001", "cq_zone": "1001", "continent": "1001", "gridsquare": "1000", "distance": "1001", "state": "1100", "section": "1101", "rst_sent": "1101", "rst_received": "1010", "frequency": "1100"}
+_VALID = {"itu_zone": "1001", "cq_zone": "1001", "continent": "1001", "gridsquare": "1000", "distance": "1001", "state": "1100", "section": "1101", "rst_sent": "1101", "rst_received": "1010", "frequency": "1101"}
 
 
 def pattern_check(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def prefix_list(spark: SparkSession, path: str) -> DataFrame:
     hexadecimal = lambda at: F.conv(F.substring(code, at, 2), 16, 10).cast("int")
     cell = lambda i: F.nullif(F.try_element_at("c", F.lit(i)), F.lit(""))
     places = {"lon": 2, "lat": 3, "territory": 4, "prefix": 5, "cq": 6, "itu": 7, "continent": 8, "tz": 9, "dxcc": 10, "province": 11, "mask": 14}
-    entries = cells.where(F.size("c") > 1).select("n", hexadecimal(1).alias("kind"), hexadecimal(3).alias("level"), *[cell(i).alias(n) for n, i in places.items()])
+    entries = cells.where(F.size("c") > 3).select("n", hexadecimal(1).alias("kind"), hexadecimal(3).alias("level"), *[cell(i).alias(n) for n, i in places.items()])
     kept = entries.where(F.col("kind").isin(*PREFIX_KINDS)).withColumn("id", F.row_number().over(Window.orderBy("n"))).drop("n")
     return parents(kept, 15)
 

@@ -97,11 +97,46 @@ def test_chain_keeps_the_first_error_only_for_misses(spark):
     assert rows(lookup.chain(calls, [("one", one), ("two", two)], "call")) == [("A", "one", "one", None), ("B", "two", "two", None), ("C", None, None, "down")]
 
 
-def test_prefixes(spark):
-    entries = [{"id": 1, "parent": None, "masks": ["K", "W"], "territory": "N", "cq": 4}, {"id": 2, "parent": 1, "masks": ["KH6."], "territory": "I"}]
-    calls = spark.createDataFrame([("K1AB",), ("KH6X",), ("KH6",), ("KH67A",), ("ZZ1",), ("W1A/KH6",)], "call string")
-    got = {r["call"]: (r["territory"], r["cq"]) for r in prefixes.resolve(calls, prefixes.index(spark, entries)).collect()}
-    assert got == {"K1AB": ("N", "4"), "KH6X": ("N", "4"), "KH6": ("I", "4"), "KH67A": ("I", "4"), "W1A/KH6": ("I", "4")}
+def test_chain_takes_one_row_of_a_repeated_key(spark):
+    calls = spark.createDataFrame([("A",), ("B",), (None,)], "call string")
+    one = spark.createDataFrame([("A", "z", None), ("A", "b", None), ("B", None, "down"), ("B", "x", None), (None, "n", None)], "call string, name string, error string")
+    assert rows(lookup.chain(calls, [("one", one)], "call")) == [("A", "b", "one", None), ("B", "x", "one", None), (None, None, None, None)]
+
+
+def test_white_space_is_trimmed_before_a_contact_is_judged(spark):
+    given = [(" 14.250 ", "K1"), ("\t", "\t"), ("14.25\n0", "\u00a0K1\u2003"), (None, None)]
+    df = log.validate(spark.createDataFrame(given, "frequency string, call string"), ["call"], {"frequency": "\\d+\\.\\d{3}", "call": "K1"})
+    assert [r["errors"] for r in df.collect()] == ["", "call is required", "frequency is not valid", "call is required"]
+
+
+def prefix_list(spark, tmp_path, lines):
+    (tmp_path / "list").write_text("a\nb\nc\n" + "\n".join(lines))
+    return dumps.prefix_list(spark, str(tmp_path / "list"))
+
+
+def test_prefix_tree(spark, tmp_path):
+    """Entities by filled and begun masks, what is below only by filled ones, attributes, the last hit first."""
+    lines = [
+        "0100|-234|9540|England|G|14|27|EU|0|223||||G,M,2E|",
+        "0201|||Club|||||||||||",
+        "0201|-200|9500|County|G|||||||||G4[A-C]|",
+        "0202|||Harbour||||||||||G4AB|",
+        "0100|-2700|5040|Canary Is.|EA8|33|36|AF|0|029||||E[A-H]8|",
+        "0100|0|-16200|Antarctica|CE9|13|74|AN||013||||CE9|",
+        "0100|900|900|Twin|T|1|1|EU|0|77||||T#.,TA12|",
+    ]
+    entries = prefix_list(spark, tmp_path, lines)
+    names = ["G4ABC", " g4zz ", "EA8/W1AW", "123ABC", "X", "ZZZZZZ", None, "G4ABC/MM", "K1AB/ANT", "T1", "T1A", "TA", "TA1", "TA1/P", "TA13", "G4ABC/QRP/B"]
+    calls = spark.createDataFrame([(c,) for c in [*names, "G4ABC"]], "call string")
+    got = {r["call"]: r for r in prefixes.resolve(calls, entries).collect()}
+    assert set(got) == {"G4ABC", " g4zz ", "EA8/W1AW", "K1AB/ANT", "T1", "TA", "TA1", "TA1/P", "G4ABC/QRP/B"}
+    england = got["G4ABC"]
+    assert (england["territory"], england["province"], england["attributes"], england["dxcc"], england["cq"]) == ("England", "County", ["Harbour"], "223", "14")
+    assert (england["lat"], england["lon"]) == (9500 / 180, -200 / 180) and got[" g4zz "]["province"] is None
+    assert (got["EA8/W1AW"]["territory"], got["EA8/W1AW"]["dxcc"]) == ("Canary Is.", "029") and got["K1AB/ANT"]["territory"] == "Antarctica"
+    assert prefixes.resolve_all(calls, entries.limit(0)).count() == prefixes.resolve_all(calls.limit(0), entries).count() == 0
+    miles = {r["call"]: r["miles"] for r in prefixes.distances(prefixes.resolve(calls, entries), F.lit(5040 / 180), F.lit(-15.0)).collect()}
+    assert miles["EA8/W1AW"] == 0 and miles["K1AB/ANT"] > 8000
 
 
 def test_adif_reads_odd_files(spark):
