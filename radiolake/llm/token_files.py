@@ -41,6 +41,9 @@ FILE_IDS, PACK_IDS = 1_000_000, 64 * BLOCK_IDS
 BATCH_BYTES, TOGETHER = 6_000_000, 5_000
 #: Bytes of texts of a range of keys, and files up to which their first places are broadcast (three numbers each).
 RANGE_BYTES, BROADCAST_FILES = 32_000_000, 100_000
+#: Ranges at most, whatever the corpus: their ends are a list on the driver and in each task. Beyond RANGE_BYTES times this, ranges grow;
+#: each is sorted on disk, and a file of it is as small as any other.
+MOST_RANGES = 20_000
 
 
 # --- Simple-8b ------------------------------------------------------------------------------------------------------
@@ -303,13 +306,13 @@ def write_files(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     ``keys`` and the file's ``content``. Null keys come first; rows of equal keys are ordered by their text's hash. A
     null text is empty and has the end id alone. Texts are encoded where they are read, and the ids, a fraction of
     their size, are dealt by range of the key; the ranges come from the keys alone, as many as the texts' size asks
-    for. A file is closed after FILE_IDS ids.
+    for, up to MOST_RANGES. A file is closed after FILE_IDS ids.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
     keys = staged(rows.select("key", "tie", F.octet_length("text").cast("long").alias("bytes")))
-    n = max(1, -(-(keys.agg(F.sum("bytes")).first()[0] or 0) // RANGE_BYTES))
+    n = min(MOST_RANGES, max(1, -(-(keys.agg(F.sum("bytes")).first()[0] or 0) // RANGE_BYTES)))
     ends = range_ends(keys, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
