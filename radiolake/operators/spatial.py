@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from radiolake.functions import geo
+from radiolake.functions import rings as polygons
+from radiolake.shared import ranked, staged
 
 #: Degrees of a grid cell.
 CELL = 5.0
@@ -83,25 +90,108 @@ def nearest_key(rows: DataFrame, known: DataFrame, group: str, number: str, iden
     return rows.select(ident, group, number).join(near.select(group, number, best["p"].alias(position)), [group, number]).where(F.col(position).isNotNull())
 
 
+#: Degrees beyond which no part of the map is farther.
+FARTHEST = 512.0
+
+
+def _boxed(parts: DataFrame) -> DataFrame:
+    """Adds each part's box, from its rings."""
+    ends = lambda f, field: f(F.transform(F.flatten("rings"), lambda p: p[field]))
+    return parts.withColumns({"minx": ends(F.array_min, "lon"), "maxx": ends(F.array_max, "lon"), "miny": ends(F.array_min, "lat"), "maxy": ends(F.array_max, "lat")})
+
+
+def nearest_part(points: DataFrame, parts: DataFrame, key: str, name: str, position: str, group: str | None = None, reach: float | None = None, cell: float = CELL) -> DataFrame:
+    """For each point the part that holds it, else the nearest one, else null; of its own group, if ``group`` names one.
+
+    Of several that hold it the last by position wins; of equally near ones the first. ``reach`` is the farthest distance in
+    degrees; None: no limit. Points of one place are looked up once.
+
+    Parts meet points by grid cells. What no part holds is looked for in growing circles: with each part's box widened
+    by the circle's radius, and cells as large, so that a box is in few of them. The distance to a box is a lower bound, so a part within the
+    radius that is found is the nearest one, and only those that find none go on to twice the radius: few points and few
+    rounds, as a radius is soon as wide as the map.
+    """
+    groups = [group] if group else []
+    known = staged(_boxed(parts.select(*groups, name, position, "rings")).withColumn("__part", F.monotonically_increasing_id()))
+    boxes, rings = known.select(*groups, "__part", "minx", "maxx", "miny", "maxy"), known.select("__part", name, position, "rings")
+    place = [*groups, "lat", "lon"]
+    asked = points.where(geo.valid(F.col("lat"), F.col("lon"))).select(*place).distinct()
+    asked = staged(asked.join(known.select(*groups).distinct(), groups, "left_semi") if groups else asked)
+
+    def met(left: DataFrame, far: float) -> DataFrame:
+        """The points with the parts within a distance and that distance, ``d``."""
+        size = max(cell, far)
+        wide = boxes.withColumn("cy", F.explode(_cells(F.col("miny") - far, F.col("maxy") + far, size))).withColumn("cx", F.explode(_cells(F.col("minx") - far, F.col("maxx") + far, size)))
+        here = left.withColumns({"cy": F.floor(F.col("lat") / size), "cx": F.floor(F.col("lon") / size)})
+        off = lambda low, at, high: F.greatest(F.col(low) - F.col(at), F.col(at) - F.col(high), F.lit(0.0))
+        near = here.join(wide, [*groups, "cy", "cx"]).where(F.hypot(off("minx", "lon", "maxx"), off("miny", "lat", "maxy")) <= far)
+        return near.select(*place, "__part").join(rings, "__part").withColumn("d", geo.distance(F.col("rings"), F.col("lat"), F.col("lon"))).where(F.col("d") <= far)
+
+    found = [staged(met(asked, 0.0).groupBy(*place).agg(F.max_by(name, position).alias(name)))]
+    left = staged(asked.join(found[0], place, "left_anti"))
+    far = cell if reach is None else reach
+    while (reach is None or len(found) == 1) and far <= FARTHEST and not left.isEmpty():
+        found.append(staged(met(left, far).groupBy(*place).agg(F.min_by(name, F.struct("d", position)).alias(name))))
+        left, far = staged(left.join(found[-1], place, "left_anti")), 2 * far
+    return points.select(key, *place).join(reduce(DataFrame.unionByName, found), place, "left").select(key, name)
+
+
 def county_of(points: DataFrame, parts: DataFrame, key: str, group: str, name: str, position: str, reach: float | None = 0.5) -> DataFrame:
-    """For each point the part of its own group that holds it, else the nearest one within ``reach`` degrees, else null.
+    """For each point the part of its own group that holds it, else the nearest one within ``reach`` degrees, else null."""
+    return nearest_part(points, parts, key, name, position, group, reach)
+
+
+def in_area_order(parts: DataFrame, key: str, ties: list[str], first: Column | None = None) -> DataFrame:
+    """``key``, ``ties``, ``area`` (square degrees, all parts) and ``id`` from 1: smaller features first, so that an enclave is
+    asked before what is around it; ``first`` (a condition) comes before all others, and equal areas go by ``ties``.
 
-    Of several that hold it the last by position wins; of equally near ones the first. A group's parts are few, its
-    points many: points are the side that may be split, and each meets only its group. ``reach`` None: no limit.
+    The order is dealt by range, so no task holds all features.
     """
-    placed = points.where(geo.valid(F.col("lat"), F.col("lon")))
-    met = placed.select(key, group, "lat", "lon").join(parts.select(group, name, position, "rings"), group).withColumn("d", geo.distance(F.col("rings"), F.col("lat"), F.col("lon")))
-    near = met if reach is None else met.where(F.col("d") <= reach)
-    order = F.struct("d", F.when(F.col("d") == 0, -F.col(position)).otherwise(F.col(position)).alias("p"))
-    best = near.groupBy(key).agg(F.min_by(name, order).alias(name))
-    return points.select(key).join(best, key, "left")
+    ahead = F.lit(True) if first is None else F.coalesce(first, F.lit(False))
+    sized = parts.groupBy(key, *ties).agg(F.sum(polygons.area(F.col("rings"))).alias("area"), F.bool_or(ahead).alias("__first"))
+    ids = ranked(sized, F.desc("__first"), F.round("area", 9), *ties, F.col(key), name="id")
+    return ids.select(key, *ties, "area", (F.col("id") + 1).alias("id"))
+
+
+def _met_boxes(parts: DataFrame, key: str, columns: list[str], cell: float) -> DataFrame:
+    """Pairs of different features' parts whose boxes share an area, each once: in the cell of the corner where it begins."""
+    box = ["minx", "maxx", "miny", "maxy"]
+    gridded = parts.select(key, *columns, *box).withColumn("cy", F.explode(_cells(F.col("miny"), F.col("maxy"), cell))).withColumn("cx", F.explode(_cells(F.col("minx"), F.col("maxx"), cell)))
+    other = gridded.select("cy", "cx", *[F.col(c).alias(f"{c}2") for c in (key, *columns, *box)])
+    here = (F.col("cy") == F.floor(F.greatest("miny", "miny2") / cell)) & (F.col("cx") == F.floor(F.greatest("minx", "minx2") / cell))
+    wide = F.least("maxx", "maxx2") - F.greatest("minx", "minx2")
+    high = F.least("maxy", "maxy2") - F.greatest("miny", "miny2")
+    met = gridded.join(other, ["cy", "cx"]).where((F.col(key) < F.col(f"{key}2")) & here).withColumns({"wide": wide, "high": high})
+    return met.where("wide > 0 AND high > 0")
+
+
+def polygon_overlaps(parts: DataFrame, key: str, least: float = 1e-7, cell: float = CELL) -> DataFrame:
+    """Pairs of different features (``key`` and ``key2``) that share more than ``least`` square degrees, with the exact ``area``.
+
+    ``parts`` has ``key`` and ``rings``; parts of one feature don't overlap each other. Boxes meet by cells, rings are joined only to pairs of
+    boxes that share an area, and each such pair's area is worked out by itself, so a crowded cell may be split.
+    """
+    known = staged(_boxed(parts.select(key, "rings")).withColumn("__part", F.monotonically_increasing_id()))
+    met = _met_boxes(known, key, ["__part"], cell).select(key, f"{key}2", "__part", "__part2")
+    rings = known.select("__part", "rings")
+    pairs = met.join(rings, "__part").join(rings.select(F.col("__part").alias("__part2"), F.col("rings").alias("rings2")), "__part2").select(key, f"{key}2", "rings", "rings2")
+
+    def opened(polygon: pa.ListScalar) -> list[np.ndarray]:
+        lists = polygon.values
+        flat, ends = lists.flatten(), lists.offsets.to_numpy()
+        points = np.stack([flat.field("lon").to_numpy(zero_copy_only=False), flat.field("lat").to_numpy(zero_copy_only=False)], axis=1)
+        return np.split(points, (ends - ends[0])[1:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            areas = [polygons.shared_area(opened(a), opened(b)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(areas, pa.float64())], names=["a", "b", "area"])
+
+    kind = parts.schema[key].dataType.simpleString()
+    each = pairs.mapInArrow(run, f"a {kind}, b {kind}, area double")
+    return each.groupBy(F.col("a").alias(key), F.col("b").alias(f"{key}2")).agg(F.sum("area").alias("area")).where(F.col("area") > least)
 
 
 def overlaps(parts: DataFrame, key: str, cell: float = CELL) -> DataFrame:
     """Pairs of different features whose parts' boxes share an area, met through the grid cells of both."""
-    gridded = parts.withColumn("cy", F.explode(_cells(F.col("miny"), F.col("maxy"), cell))).withColumn("cx", F.explode(_cells(F.col("minx"), F.col("maxx"), cell)))
-    other = gridded.select("cy", "cx", *[F.col(c).alias(f"{c}2") for c in (key, "minx", "maxx", "miny", "maxy")])
-    wide = F.least("maxx", "maxx2") - F.greatest("minx", "minx2")
-    high = F.least("maxy", "maxy2") - F.greatest("miny", "miny2")
-    met = gridded.join(other, ["cy", "cx"]).where(F.col(key) < F.col(f"{key}2")).withColumns({"wide": wide, "high": high}).where("wide > 0 AND high > 0")
-    return met.groupBy(key, f"{key}2").agg(F.max(F.col("wide") * F.col("high")).alias("area"))
+    return _met_boxes(parts, key, [], cell).groupBy(key, f"{key}2").agg(F.max(F.col("wide") * F.col("high")).alias("area"))

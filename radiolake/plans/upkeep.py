@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from radiolake.functions import scalars
 from radiolake.operators import etl, forms, spatial
@@ -91,10 +90,6 @@ QUERIES["pick_candidates"] = pick_candidates
 SQL["pick_candidates"] = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'R') DESC, l_linenumber, l_partkey, l_quantity, l_returnflag) AS r FROM lineitem WHERE l_quantity > 25)
 SELECT o.l_orderkey, r.l_partkey, r.l_linenumber FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN r ON o.l_orderkey = r.l_orderkey AND r.r = 1"""
 
-QUERIES["area_order"] = lambda spark, sf_dir: table(spark, sf_dir, "nation").select("n_name", F.row_number().over(Window.orderBy(F.length("n_name"), "n_name")).cast("long").alias("id"))
-SQL["area_order"] = "SELECT n_name, row_number() OVER (ORDER BY length(n_name), n_name) AS id FROM nation"
-
-
 def _county_parts(spark: SparkSession) -> DataFrame:
     return region_parts(spark).select((F.col("feature") % 2).alias("state"), F.concat(F.lit("c"), F.col("part").cast("string")).alias("county"), F.col("part").alias("position"), "rings")
 
@@ -109,6 +104,17 @@ b AS (SELECT c_custkey, arg_min('c' || part, (CASE WHEN inside THEN 0.0 ELSE d E
 SELECT p.c_custkey, county FROM pts p LEFT JOIN b USING (c_custkey)"""
 
 
+def county_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All divisions, however far; points that only stand for their whole province are left out."""
+    placed = points(spark, sf_dir).where("c_custkey % 9 <> 0")
+    parts = _county_parts(spark).where("position > 0")
+    return spatial.nearest_part(placed, parts, "c_custkey", "county", "position")
+
+
+QUERIES["county_nearest"] = county_nearest
+SQL["county_nearest"] = SQL["county_snap"].replace("ON e.state = c_custkey % 2", "ON e.part > 0").replace("WHERE inside OR d <= 4.0 ", "").replace("FROM pts p LEFT JOIN b USING (c_custkey)", "FROM pts p LEFT JOIN b USING (c_custkey) WHERE c_custkey % 9 <> 0")
+
+
 def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes around customers' points whose areas meet."""
     boxes = points(spark, sf_dir).select("c_custkey", (F.col("lon") - 1.5).alias("minx"), (F.col("lon") + 1.5).alias("maxx"), (F.col("lat") - 0.5).alias("miny"), (F.col("lat") + 0.5).alias("maxy"))
