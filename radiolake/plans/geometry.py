@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import struct
+
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolake.functions import rings
 from radiolake.operators import spatial
 from radiolake.plans.tables import table
+from radiolake.shared import shared_dir
+from radiolake.sources import shapefile
 
 QUERIES, SQL = {}, {}
 
@@ -111,3 +116,51 @@ QUERIES["date_line"] = date_line
 SQL["date_line"] = """WITH b AS (SELECT c_custkey, (CASE WHEN c_custkey % 2 = 0 THEN 160 + c_custkey % 37 ELSE -203 + c_custkey % 37 END)::DOUBLE AS x FROM customer),
 t AS (SELECT c_custkey, x, greatest(x + s, -180) AS minx, least(x + 4 + s, 180) AS maxx, greatest(0, least(x + 3 + s, 180) - greatest(x + 1 + s, -180)) AS hole FROM b, (VALUES (0), (-360), (360)) v(s))
 SELECT c_custkey, minx, maxx, (maxx - minx) * 4 - hole * 2 AS area FROM t WHERE maxx > minx"""
+
+
+# --- shapefiles -----------------------------------------------------------------------------------------------------
+
+
+def write_layer(path: str, rows: list[tuple[dict[str, str], list[list[tuple[float, float]]] | None]], encoding: str = "latin-1") -> None:
+    """A layer's three files from attributes and rings of (x, y), as other programs write them; for small layers, such as fixtures."""
+    widths = {n: max(len(r[0][n].encode(encoding)) for r in rows) for n in rows[0][0]}
+    shp, shx = b"", b""
+    for i, (_, shape) in enumerate(rows):
+        if shape is None:
+            content = struct.pack("<i", 0)
+        else:
+            points = [p for r in shape for p in r]
+            box = (min(p[0] for p in points), min(p[1] for p in points), max(p[0] for p in points), max(p[1] for p in points))
+            first = [sum(len(r) for r in shape[:k]) for k in range(len(shape))]
+            content = struct.pack("<i4d2i", 5, *box, len(shape), len(points)) + struct.pack(f"<{len(first)}i", *first) + b"".join(struct.pack("<2d", *p) for p in points)
+        shx += struct.pack(">2i", (100 + len(shp)) // 2, len(content) // 2)
+        shp += struct.pack(">2i", i + 1, len(content) // 2) + content
+    head = lambda body: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8) + body
+    described = b"".join(n.encode().ljust(11, b"\0") + b"C" + bytes(4) + bytes([w, 0]) + bytes(14) for n, w in widths.items())
+    record = b"".join(b" " + b"".join(r[0][n].encode(encoding).ljust(w) for n, w in widths.items()) for r in rows)
+    dbf = struct.pack("<4B IHH", 3, 124, 1, 1, len(rows), 33 + len(described), 1 + sum(widths.values())) + bytes(20) + described + b"\r" + record + b"\x1a"
+    system, place = fs.FileSystem.from_uri(path)
+    system.create_dir(place.rpartition("/")[0])
+    for kind, data in (("shp", head(shp)), ("shx", head(shx)), ("dbf", dbf)):
+        with system.open_output_stream(f"{place}.{kind}") as out:
+            out.write(data)
+
+
+def file_shapefile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer of the 25 nations, four records a task: squares with a hole, every third with a second part, one without a shape."""
+    square_of = lambda x, y, s: [(x, y), (x, y + s), (x + s, y + s), (x + s, y), (x, y)]
+    rows = []
+    for k, name in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect():
+        shape = [square_of(k, 0.0, 3.0 + k), square_of(k + 1.0, 1.0, 1.0)[::-1]] + ([square_of(k + 100.0, 10.0, 2.0)] if k % 3 == 0 else [])
+        rows.append(({"KEY": str(k), "NAME": name + "é", "EMPTY": ""}, None if k == 7 else shape))
+    path = f"{shared_dir(spark)}/layer"
+    write_layer(path, rows)
+    read = shapefile.layer(spark, f"{path}.shp", ["NAME", "KEY", "EMPTY"], "latin-1", 4)
+    areas = F.aggregate(F.transform("parts", rings.area), F.lit(0.0), lambda a, b: a + b)
+    known = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("KEY"), "n_regionkey")
+    return read.join(known, "KEY").select(F.col("KEY").cast("int").alias("key"), "n_regionkey", F.col("NAME").alias("name"), F.col("EMPTY").alias("blank"), "record", F.size("parts").alias("n_parts"), F.size(F.expr("parts[0]")).alias("n_rings"), areas.alias("area"))
+
+
+QUERIES["file_shapefile"] = file_shapefile
+SQL["file_shapefile"] = """SELECT CAST(n_nationkey AS INTEGER) AS key, n_regionkey, n_name || 'é' AS name, CAST(NULL AS VARCHAR) AS blank, CAST(n_nationkey AS BIGINT) AS record, CASE WHEN n_nationkey % 3 = 0 THEN 2 ELSE 1 END AS n_parts, 2 AS n_rings,
+  (3 + n_nationkey) ** 2 - 1.0 + CASE WHEN n_nationkey % 3 = 0 THEN 4 ELSE 0 END AS area FROM nation WHERE n_nationkey <> 7"""
