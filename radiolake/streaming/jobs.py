@@ -1,28 +1,29 @@
-"""Streaming jobs over change logs. Each keeps its result as a table in a folder given by the caller.
+"""Streaming jobs over change logs, with keyed state.
 
-The table is cut into buckets by its key. A micro-batch reads the buckets that its rows fall into, folds its rows in and
-writes these buckets anew; a row for each of them, written last, says which batch wrote the bucket that counts. So the
-state outlives the query: a query that starts again on the same folder, or a batch that runs again after a failure,
-goes on from the newest buckets of earlier batches, and folding is idempotent, so it gives the same table.
+What a job knows of each key is a value in the state store: a batch reads and writes the keys of its rows and nothing
+else, and the store's checkpoint survives a restart. What changes is appended to a log in a folder given by the caller, a folder
+for each batch, so a batch that runs again replaces what it wrote. The result is the last version of each key. A long log is
+settled when a job starts: its last versions become a snapshot, and what the snapshot holds is removed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from radiolake.operators import log
+#: Folders of batches beyond which a log is settled when its job starts.
+SETTLE = 32
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-#: Buckets of a table. A batch collects at most so many numbers.
-BUCKETS = 32
 
-
-def existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def existing(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """The Parquet table at a path; an empty one if nothing has been written there."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -32,49 +33,104 @@ def existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-class Table:
-    """A table in buckets by its keys, each as the last batch left it."""
+class Versions:
+    """A log of rows' versions in folders by batch, and the last version of each key."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str]):
-        self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
-
-    def bucket(self):
-        return F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int")
-
-    def paths(self, before: int | None = None, buckets: list[int] | None = None) -> list[str]:
-        """Where the newest of the buckets (all by default) are, from batches before a number."""
-        rows = existing(self.spark, f"{self.path}/written", "batch long, bucket int")
-        rows = rows if before is None else rows.where(F.col("batch") < before)
-        rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
-        newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()
-        return [f"{self.path}/batch-{r['batch']:08d}/bucket={r['bucket']}" for r in newest]
-
-    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        found = self.paths(before, buckets)
-        return self.spark.read.schema(self.schema).parquet(*found) if found else self.spark.createDataFrame([], self.schema)
-
-    def fold_in(self, rows: DataFrame, batch: int, fold: Callable[[DataFrame], DataFrame]) -> None:
-        """Writes anew the buckets that the rows fall into: ``fold`` of what they had and the rows."""
-        rows = rows.persist()  # a batch is read for its buckets and for its rows
-        buckets = [r[0] for r in rows.select(self.bucket()).distinct().collect()]
-        if not buckets:
-            return
-        new = fold(self.read(batch, buckets).unionByName(rows)).withColumn("bucket", self.bucket())
-        new.repartition(len(buckets), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch-{batch:08d}")
-        written = self.spark.createDataFrame([(batch, b) for b in buckets], "batch long, bucket int")
-        written.coalesce(1).write.mode("append").parquet(f"{self.path}/written")
-        rows.unpersist()
-
-
-def folding(stream: DataFrame, path: str, keys: list[str], fold: Callable[[DataFrame], DataFrame], mode: str = "append") -> tuple[StreamingQuery, Table]:
-    """Runs a stream to the end of what is there; after each batch the table is ``fold(old rows and new rows)``.
-
-    ``fold`` must give one row for each key, from that key's rows only.
-    """
-    table = Table(stream.sparkSession, f"{path}/table", stream.schema, keys)
-    write = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, number: table.fold_in(batch, number, fold))
-    query = write.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    return query, table
+        self.spark, self.path, self.keys = spark, path, keys
+        self.schema = schema
+
+    def _numbers(self, kind: str) -> list[int]:
+        """Numbers of the folders that are complete, smallest first."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(folder):
+            return []
+        marks = system.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/*/_SUCCESS"))
+        return sorted(int(m.getPath().getParent().getName()) for m in marks)
+
+    def _remove(self, kind: str, numbers: list[int]) -> None:
+        for n in numbers:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{n}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch/{batch}")
+
+    def read(self) -> DataFrame:
+        """The last version of each key: what the newest snapshot and the batches after it hold."""
+        snapshot = max(self._numbers("snapshot"), default=-1)
+        later = [n for n in self._numbers("batch") if n > snapshot]
+        parts = [self.spark.read.schema(self.schema).parquet(f"{self.path}/batch/{n}").withColumn("__batch", F.lit(n)) for n in later]
+        if snapshot >= 0:
+            parts.append(self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshot/{snapshot}").withColumn("__batch", F.lit(snapshot)))
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        return whole.groupBy(*self.keys).agg(F.max_by(F.struct(*self.schema.names), "__batch").alias("s")).select("s.*")
+
+    def settle(self, most: int = SETTLE) -> None:
+        """Makes a snapshot of a log of more than ``most`` batches and removes what it holds; a stop in between costs nothing."""
+        batches = self._numbers("batch")
+        if len(batches) > most:
+            self.read().write.mode("overwrite").parquet(f"{self.path}/snapshot/{batches[-1]}")
+        snapshots = self._numbers("snapshot")
+        if snapshots:
+            self._remove("batch", [n for n in batches if n <= snapshots[-1]])
+            self._remove("snapshot", snapshots[:-1])
+
+
+@contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session's settings changed for a while; a query keeps those that it started with."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run(rows: DataFrame, path: str, keys: list[str], mode: str = "update") -> Versions:
+    """Runs a stream of versions to the end of what is there and logs them; returns the log."""
+    versions = Versions(rows.sparkSession, f"{path}/log", rows.schema, keys)
+    versions.settle()
+    with configured(rows.sparkSession, STORE):
+        write = rows.writeStream.outputMode(mode).foreachBatch(lambda batch, number: versions.append(batch, number))
+        query = write.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return versions
+
+
+class KeyedFold(StatefulProcessor):
+    """Keeps a row for each key: ``keep`` of the row so far (None at first) and each new one. Rows that change are put out."""
+
+    def __init__(self, schema: T.StructType, keep: Callable[[Any, Any], tuple]):
+        self.schema, self.keep = schema, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.row = handle.getValueState("row", self.schema)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        before = now = self.row.get()
+        for row in rows:
+            now = tuple(row) if now is None else self.keep(now, tuple(row))
+        if now != before:
+            self.row.update(tuple(now))
+            yield Row(**dict(zip(self.schema.names, now, strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+def folding(stream: DataFrame, path: str, keys: list[str], keep: Callable[[Any, Any], tuple]) -> DataFrame:
+    """The rows that :class:`KeyedFold` keeps of a stream, one for each key; null keys are one key."""
+    kept = stream.groupBy(*keys).transformWithState(KeyedFold(stream.schema, keep), stream.schema, "Update", "None")
+    return run(kept, path, keys).read()
 
 
 def upserts(changes: DataFrame, path: str) -> DataFrame:
@@ -85,35 +141,63 @@ def upserts(changes: DataFrame, path: str) -> DataFrame:
     is carried as ``born_seq``.
     """
     marked = changes.withColumn("born_seq", F.col("arrival_seq"))
+    at = {c: i for i, c in enumerate(marked.columns)}
+    edited, arrived, born, created = (at[c] for c in ("last_edited", "arrival_seq", "born_seq", "created_at"))
 
-    def fold(rows: DataFrame) -> DataFrame:
-        others = [c for c in rows.columns if c not in ("uuid", "created_at", "born_seq")]
-        folded = rows.groupBy("uuid").agg(
-            F.max_by(F.struct(*others), F.struct("last_edited", "arrival_seq")).alias("s"),
-            F.min(F.struct("born_seq", "created_at")).alias("b"),
-        )
-        return folded.select("uuid", "b.created_at", "b.born_seq", "s.*").select(*rows.columns)
+    def keep(old: tuple, new: tuple) -> tuple:
+        later = lambda r: tuple((r[i] is not None, r[i]) for i in (edited, arrived))
+        first = min(old, new, key=lambda r: tuple((r[i] is None, r[i]) for i in (born, created)))
+        won = list(max(old, new, key=later))
+        won[born], won[created] = first[born], first[created]
+        return tuple(won)
 
-    query, table = folding(marked, path, ["uuid"], fold)
-    query.awaitTermination()
-    return table.read().drop("born_seq")
+    return folding(marked, path, ["uuid"], keep).drop("born_seq")
+
+
+class Heard(StatefulProcessor):
+    """The last heartbeat of a client, and a timer at its time: it fires when the watermark, that many seconds behind, has passed it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at timestamp, ms long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        newest = max(((r["ms"], r["at"]) for r in rows))
+        before = self.last.get()
+        if before is None or newest[0] > before[1]:
+            if before is not None:
+                self.handle.deleteTimer(before[1])
+            self.last.update((newest[1], newest[0]))
+            self.handle.registerTimer(newest[0])
+            yield Row(client=key[0], at=newest[1], present=True)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        at = self.last.get()[0]
+        self.last.clear()
+        yield Row(client=key[0], at=at, present=False)
+
+    def close(self) -> None:
+        pass
 
 
 def presence(heartbeats: DataFrame, path: str, seconds: int = 120) -> DataFrame:
-    """Clients heard within so many seconds of the last heartbeat of all; a timer's eviction instead of a message's."""
-    query, table = folding(heartbeats, path, ["client"], lambda rows: rows.groupBy("client").agg(F.max("at").alias("at")))
-    query.awaitTermination()
-    latest = table.read()
-    now = latest.agg(F.max("at")).scalar()
-    return latest.where(F.col("at") >= now - F.make_dt_interval(secs=F.lit(seconds)))
+    """Clients heard within so many seconds of the last heartbeat of all.
+
+    Each client's state is its last heartbeat, with a timer that evicts it once the stream's time is more than that many seconds
+    ahead; heartbeats that come later than that change nothing. Heartbeats without a time are left out. Times count in milliseconds.
+    """
+    timed = heartbeats.where("at IS NOT NULL").withWatermark("at", f"{1000 * seconds + 1} milliseconds").withColumn("ms", F.unix_millis("at"))
+    schema = T.StructType([heartbeats.schema["client"], heartbeats.schema["at"], T.StructField("present", T.BooleanType())])
+    heard = timed.groupBy("client").transformWithState(Heard(), schema, "Update", "EventTime")
+    return run(heard, path, ["client"]).read().where("present").drop("present")
 
 
 def chat(messages: DataFrame, path: str, key: list[str], arrival: str) -> DataFrame:
     """The history: of messages with one key the first to arrive. What was cleared at some arrival stays away."""
-    query, table = folding(messages, path, key, lambda rows: log.first_arrivals(rows, key, arrival).select(*rows.columns))
-    query.awaitTermination()
+    at = messages.columns.index(arrival)
+    history = folding(messages, path, key, lambda old, new: min(old, new, key=lambda r: (r[at] is None, r[at])))
     cleared = existing(messages.sparkSession, f"{path}/cleared", "upto long").agg(F.max("upto")).first()[0]
-    return table.read() if cleared is None else table.read().where(F.col(arrival) > cleared)
+    return history if cleared is None else history.where(F.col(arrival) > cleared)
 
 
 def clear_chat(spark: SparkSession, path: str, upto: int) -> None:
@@ -128,9 +212,7 @@ def tumbling(contacts: DataFrame, path: str, width: str, lateness: str = "1 hour
     """
     counted = contacts.withWatermark("at", lateness).groupBy(F.window("at", width)).agg(F.count("*").alias("n"))
     rows = counted.select(F.col("window.start").alias("start"), "n")
-    query, table = folding(rows, path, ["start"], lambda both: both.groupBy("start").agg(F.max("n").alias("n")), "update")
-    query.awaitTermination()
-    return table.read()
+    return run(rows, path, ["start"]).read()
 
 
 def change_gated(spark: SparkSession, path: str, latest: int, write: Callable[[], None]) -> bool:
