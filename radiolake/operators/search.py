@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,6 +25,49 @@ def matches(calls: DataFrame, terms: DataFrame, call: str = "call", term: str =
     return stems.join(asked, "stem").where(F.startswith("suffix", F.col(term))).drop("stem", "suffix").dropDuplicates([term, call])
 
 
+def _suffixes(calls: DataFrame, call: str) -> DataFrame:
+    """``suffix``, ``at`` (where it begins) and ``call`` for each suffix of each distinct callsign."""
+    each = calls.select(F.col(call).alias("call")).where(F.length(call) > 0).distinct()
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("call")), lambda i: F.substring(F.col("call"), i, F.length("call")))).alias("at", "suffix")
+    return each.select("call", at).select("suffix", (F.col("at") + 1).alias("at"), "call")
+
+
+def write_index(calls: DataFrame, path: str, call: str = "call", number: int = 0) -> None:
+    """A stored index of all suffixes, sorted and cut by range, so that a term is a range that the files' statistics bound.
+
+    An increment of another ``number`` stands beside the ones before it.
+    """
+    suffixes = _suffixes(calls, call)
+    suffixes.repartitionByRange("suffix", "call").sortWithinPartitions("suffix", "call").write.mode("overwrite").parquet(f"{path}/increment={number}")
+
+
+def extend_index(calls: DataFrame, path: str, call: str = "call") -> int:
+    """Adds the callsigns that the index doesn't have as an increment; its number. Calls that it has cost one look at each."""
+    index = calls.sparkSession.read.parquet(path)
+    number = (index.agg(F.max("increment")).first()[0] or 0) + 1
+    new = calls.join(index.where("at = 1").select(F.col("call").alias(call)), call, "left_anti")
+    write_index(new, path, call, number)
+    return number
+
+
+def in_index(spark: SparkSession, path: str, terms: list[str], term: str = "term") -> DataFrame:
+    """Pairs of a term and a callsign that contains it, by a stored index; empty terms have none, repeated ones count once.
+
+    The terms are those of a search, so they are a list: each is a filter that reaches the scan, and files and row groups
+    of other ranges aren't read. A callsign counts where it holds the term first, so nothing is shuffled to tell pairs apart, and a
+    short term is as many tasks' work as its range has files.
+    """
+    asked = sorted({t for t in terms if t})
+    index = spark.read.parquet(path)
+    if not asked:
+        return index.select(F.lit("").alias(term), "call").limit(0)
+    hit = F.lit(False)
+    for t in asked:
+        hit = hit | F.startswith("suffix", F.lit(t))
+    found = F.filter(F.array(*map(F.lit, asked)), lambda t: F.startswith("suffix", t) & (F.instr(F.col("call"), t) == F.col("at")))
+    return index.where(hit).select(F.explode(found).alias(term), "call")
+
+
 def top_matches(found: DataFrame, order: list[Column], k: int, call: str = "call", term: str = "term") -> DataFrame:
     """The best ``k`` matches of each term: the exact one first, then by ``order``, then by name; and if more exist."""
     w = Window.partitionBy(term).orderBy(F.col(call) != F.col(term), *order, F.col(call))

@@ -10,6 +10,7 @@ from radiolake.operators import lookup, search, stats
 from radiolake.plans.activity import CONTACTS, contacts
 from radiolake.plans.places import POINTS, points
 from radiolake.plans.tables import table
+from radiolake.shared import shared_dir
 
 QUERIES, SQL = {}, {}
 
@@ -105,11 +106,14 @@ _DATED = ("fd_last_year", "wfd_last_year", "pota_hunter_qsos", "pota_activations
 
 
 def partial_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven sources, each with its own order and limit, for several terms at once."""
+    """Seven sources, each with its own order and limit, for several terms at once, through a stored index and its increment."""
     calls = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("call")).agg(*[F.expr(e).alias(n) for n, e in _KNOWN.items()])
     counted = sum((F.col(c).isNotNull().cast("int") for c in _DATED), F.col("clublog") + F.col("scp"))
-    terms = spark.createDataFrame([(t,) for t in _TERMS], "term string")
-    return search.by_source(search.matches(calls.withColumn("source_count", counted), terms))
+    known = calls.withColumn("source_count", counted)
+    path = shared_dir(spark)
+    search.write_index(known.where("length(call) % 2 = 0"), path)
+    search.extend_index(known, path)
+    return search.by_source(search.in_index(spark, path, _TERMS).join(known, "call"))
 
 
 QUERIES["partial_search_topk"] = partial_search

@@ -1,7 +1,11 @@
 """Physical plans: what must reach the scan, and what must not appear."""
 
+import glob
+
+import pyarrow.parquet as pq
 import pytest
 
+from radiolake.operators import search
 from radiolake.plans import registry
 
 QUERIES = registry.queries()
@@ -23,6 +27,24 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderpriority:string>" in plan(QUERIES["value_breakdown"](spark, sf_dir))
 
 
+def test_terms_are_ranges_of_the_stored_index(spark, tmp_path, request):
+    """A term reaches the scan, and an index sorted by suffix has few row groups that its statistics let through."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these calls are too few for several files
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    calls = spark.range(4000).selectExpr("concat('K', id % 10, chr(65 + id % 26), id) AS call")
+    path = f"file://{tmp_path}/index"
+    search.write_index(calls.where("call < 'K5'"), path)
+    assert search.extend_index(calls, path) == 1
+    found = search.in_index(spark, path, ["7Z", "K", "", "K", "zz"])
+    assert "StringStartsWith(suffix,7Z)" in plan(found) and "Exchange" not in plan(found)
+    want = search.matches(calls, spark.createDataFrame([("7Z",), ("K",), ("zz",)], "term string")).select("term", "call")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    files = {f: pq.read_metadata(f).row_group(0).column(0).statistics for f in glob.glob(f"{tmp_path}/index/increment=0/*.parquet")}
+    ends = sorted((s.min, s.max) for s in files.values())
+    assert len(ends) > 1 and all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+    assert search.in_index(spark, path, [""]).count() == 0
+
+
 def test_no_window_over_all_contacts(spark, sf_dir):
     for name in ("sliding_hour_max", "lww_fold", "accumulate_merge", "band_mode_cube"):
         assert "SinglePartition" not in plan(QUERIES[name](spark, sf_dir)), name
