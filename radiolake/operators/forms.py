@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from radiolake.functions import scalars
+from radiolake.operators.log import matched
 
 
 def merged_entry(fields: dict[str, list[Column]]) -> list[Column]:
@@ -65,9 +66,23 @@ def one_event(rows: DataFrame, cached: str, column: str = "event") -> DataFrame:
     return rows.where(~F.col(column).eqNullSafe(F.lit(cached))).groupBy(column).agg(F.count("*").alias("n"))
 
 
-def unanswered(prompts: list[dict], answers: dict[str, str]) -> list[str]:
-    """Required prompts of an export that are left blank. A prompt isn't required unless it says so."""
-    return [p["name"] for p in prompts if p.get("required", False) and not answers.get(p["name"], "").strip()]
+#: What a prompt of an export is unless it says otherwise.
+PROMPT = {"required": False, "max_length": 20}
+
+
+def unanswered(prompts: list[dict], answers: DataFrame, by: str) -> DataFrame:
+    """What keeps each export (``by``) from being written: ``name`` of a prompt and ``problem``, required and blank, or too long.
+
+    Every export has the same prompts, with the defaults of PROMPT where they say nothing; ``answers`` has ``by``, ``name`` and ``answer``. An answer is
+    trimmed; one that isn't there is blank. A null ``by`` is an export like any other.
+    """
+    told = [PROMPT | p for p in prompts]
+    asked = F.array(*[F.struct(F.lit(p["name"]).alias("name"), F.lit(p["required"]).alias("required"), F.lit(p["max_length"]).alias("most")) for p in told])
+    every = answers.select(by).distinct().select(by, F.explode(asked).alias("p")).select(by, "p.*")
+    given = answers.groupBy(by, "name").agg(F.max(F.trim("answer")).alias("answer"))
+    answer = F.coalesce("answer", F.lit(""))
+    problem = F.when(F.col("required") & (answer == ""), "missing").when(F.length(answer) > F.col("most"), "too long")
+    return matched(every, given, [by, "name"], "left").withColumn("problem", problem).where("problem IS NOT NULL").select(by, "name", "problem")
 
 
 def corrected(rows: DataFrame, key: str, column: str, corrections: list[tuple]) -> DataFrame:

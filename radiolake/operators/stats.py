@@ -6,13 +6,15 @@ before it ranks, so that a hot operator costs one row for each value rather than
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from radiolake.functions.scalars import lookup
 from radiolake.operators.log import matched
-from radiolake.shared import ranked
+from radiolake.shared import ranked, staged
 
 
 def rounded(x: Column) -> Column:
@@ -95,8 +97,8 @@ def histogram(contacts: DataFrame, seconds: int) -> DataFrame:
     farther from the median than OUTLIER_DAYS are typing errors and are left out, so the number of bins has a bound.
     """
     at = F.col("qso_at").cast("timestamp")
-    near = contacts.where("qso_at IS NOT NULL").where(F.abs(F.unix_millis(at) - upper_median(contacts).scalar()) <= OUTLIER_DAYS * 86_400_000)
-    counted = near.select(F.floor(F.unix_seconds(at) / seconds).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    near = contacts.where("qso_at IS NOT NULL").where(F.abs(F.unix_millis(at) - _middle(contacts)) <= OUTLIER_DAYS * 86_400_000)
+    counted = staged(near.select(F.floor(F.unix_seconds(at) / seconds).alias("bin")).groupBy("bin").agg(F.count("*").alias("n")))
     every = counted.agg(F.min("bin").alias("a"), F.max("bin").alias("z")).select(F.explode(F.expr("sequence(a, z)")).alias("bin"))
     n = F.coalesce("n", F.lit(0)).cast("long")
     return every.join(counted, "bin", "left").select((F.col("bin") * seconds).alias("bin_start"), n.alias("n"), rounded(n * F.lit(3600.0 / seconds)).alias("rate"))
@@ -109,7 +111,7 @@ def upper_median(contacts: DataFrame) -> DataFrame:
     """
     ms = F.floor(F.unix_micros(F.col("qso_at").cast("timestamp")) / 1000).cast("long")
     timed = contacts.where("qso_at IS NOT NULL").select(ms.alias("ms")).withColumn("hour", F.floor(F.col("ms") / 3600000))
-    hours = timed.groupBy("hour").agg(F.count("*").alias("n"))
+    hours = staged(timed.groupBy("hour").agg(F.count("*").alias("n")))
     upto = F.sum("n").over(Window.orderBy("hour"))
     middle = hours.agg(F.floor(F.sum("n") / 2)).scalar()
     placed = hours.select("hour", upto.alias("upto"), F.col("n").alias("here")).withColumn("k", middle)
@@ -125,6 +127,12 @@ def without_outliers(contacts: DataFrame, days: int) -> DataFrame:
     return near.groupBy("median_ms").agg(F.count("*").alias("kept"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
 
 
+def _middle(contacts: DataFrame) -> Column:
+    """The median time in ms as a constant, so that what is held against it reads the contacts once."""
+    found = upper_median(contacts).first()
+    return F.lit(found and found[0]).cast("long")
+
+
 #: Fixed values of the rate graph: widths of bins in minutes, bins that a graph may have, days around the median.
 BIN_MINUTES, MOST_BINS, OUTLIER_DAYS = (5, 10, 15, 30, 60, 120, 240, 360, 720, 1440), 50, 30
 
@@ -139,17 +147,17 @@ def rate_graph(contacts: DataFrame) -> DataFrame:
     """
     ms = F.floor(F.unix_micros(F.col("qso_at").cast("timestamp")) / 1000).cast("long")
     timed = contacts.where("qso_at IS NOT NULL").select(ms.alias("ms"), F.coalesce(F.nullif("mode", F.lit("")), F.lit("Unknown")).alias("mode"))
-    kept = timed.where(F.abs(F.col("ms") - upper_median(contacts).scalar()) <= OUTLIER_DAYS * 86_400_000)
-    ends = kept.agg(F.min("ms").alias("a"), F.max("ms").alias("z"))
-    fits = [F.when(F.ceil((F.col("z") - F.col("a")) / (m * 60_000)) <= MOST_BINS, F.lit(m)) for m in BIN_MINUTES]
-    width = ends.select(F.coalesce(*fits, F.lit(BIN_MINUTES[-1])).alias("w")).scalar()
-    binned = kept.withColumn("minutes", width).withColumn("bin", F.floor(F.col("ms") / (F.col("minutes") * 60_000)))
-    counted = binned.groupBy("minutes", "bin", "mode").agg(F.count("*").alias("n"))
+    kept = timed.where(F.abs(F.col("ms") - _middle(contacts)) <= OUTLIER_DAYS * 86_400_000)
+    # one pass over the contacts: a row for each minute and mode, of which all that follows is made
+    by_minute = staged(kept.groupBy(F.floor(F.col("ms") / 60_000).alias("minute"), "mode").agg(F.count("*").alias("n"), F.min("ms").alias("a"), F.max("ms").alias("z")))
+    first, last = by_minute.agg(F.min("a"), F.max("z")).first()
+    width = next((m for m in BIN_MINUTES if first is not None and math.ceil((last - first) / (m * 60_000)) <= MOST_BINS), BIN_MINUTES[-1])
+    counted = by_minute.withColumn("minutes", F.lit(width)).groupBy("minutes", F.floor(F.col("minute") / width).alias("bin"), "mode").agg(F.sum("n").alias("n"))
     bins = counted.groupBy("minutes", "bin").agg(F.sum("n").alias("all"))
     every = bins.groupBy("minutes").agg(F.min("bin").alias("a"), F.max("bin").alias("z")).select("minutes", F.explode(F.sequence("a", "z")).alias("bin"))
     full = every.join(bins, ["minutes", "bin"], "left").join(counted, ["minutes", "bin"], "left")
     rate = (F.coalesce("all", F.lit(0)) * 60 / F.col("minutes")).alias("rate")
-    top = F.greatest(F.lit(1.0), bins.agg(F.max(F.col("all") * 60 / F.col("minutes"))).scalar())
+    top = F.greatest(F.lit(1.0), F.lit(bins.agg(F.max(F.col("all") * 60 / F.col("minutes"))).first()[0]).cast("double"))
     power = F.pow(F.lit(10.0), F.floor(F.log10("__top")))
     step = F.when(F.col("__top") <= power, power).when(F.col("__top") <= 2 * power, 2 * power).when(F.col("__top") <= 5 * power, 5 * power).otherwise(10 * power)
     out = full.select((F.col("bin") * F.col("minutes") * 60).alias("bin_start"), "minutes", "mode", F.coalesce("n", F.lit(0)).cast("long").alias("n"), rate)

@@ -75,3 +75,30 @@ r AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS position, a, CAST
 s AS (SELECT l_orderkey, arg_min(lat, (position, lat, lon)) AS lat, arg_min(lon, (position, lat, lon)) AS lon, arg_min(CASE WHEN a = 0 THEN 'Street' ELSE 'Street_Approx' END, (position, lat, lon)) AS how FROM r WHERE usable AND is_street GROUP BY l_orderkey),
 t AS (SELECT l_orderkey, arg_min(lat, (NOT populated, position, lat, lon)) AS lat, arg_min(lon, (NOT populated, position, lat, lon)) AS lon FROM r WHERE usable AND is_town GROUP BY l_orderkey)
 SELECT o.l_orderkey, coalesce(s.lat, t.lat) AS lat, coalesce(s.lon, t.lon) AS lon, coalesce(s.how, CASE WHEN t.lat IS NOT NULL THEN 'City_Centroid' END) AS how FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN s USING (l_orderkey) LEFT JOIN t USING (l_orderkey)"""
+
+
+# --- prompts, purged caches, blanked fields -------------------------------------------------------------------------
+
+_PROMPTS = [{"name": "power", "required": True}, {"name": "note", "max_length": 5}, {"name": "club"}]
+
+
+def export_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's answers to an export's prompts: its first lines' status, priority and comment."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    name = F.element_at(F.array(*[F.lit(p["name"]) for p in _PROMPTS]), F.col("l_linenumber").cast("int"))
+    answer = F.when(F.col("l_partkey") % 4 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.repeat(F.lit("x"), (F.col("l_partkey") % 26).cast("int"))))
+    return forms.unanswered(_PROMPTS, lines.select("l_orderkey", name.alias("name"), answer.alias("answer")), "l_orderkey")
+
+
+QUERIES["export_prompts"] = export_prompts
+SQL["export_prompts"] = """WITH p(k, name, required, most) AS (VALUES (1, 'power', true, 20), (2, 'note', false, 5), (3, 'club', false, 20)),
+a AS (SELECT l_orderkey, l_linenumber AS k, max(CASE WHEN l_partkey % 4 = 0 THEN 0 ELSE l_partkey % 26 END) AS n FROM lineitem GROUP BY ALL),
+o AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber <= 3)
+SELECT o.l_orderkey, name, CASE WHEN required AND coalesce(n, 0) = 0 THEN 'missing' ELSE 'too long' END AS problem FROM o CROSS JOIN p LEFT JOIN a ON a.l_orderkey = o.l_orderkey AND a.k = p.k WHERE (required AND coalesce(n, 0) = 0) OR n > most"""
+
+QUERIES["cache_live"] = lambda spark, sf_dir: forms.cache_live(table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey") * 1000).alias("expires_ms")), 50_000).select("o_orderkey")
+SQL["cache_live"] = "SELECT o_orderkey FROM orders WHERE o_orderkey % 11 <> 0 AND o_custkey > 50"
+QUERIES["blanked_fields"] = lambda spark, sf_dir: scalars.blanked(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), ["c_name", "c_acctbal"])
+SQL["blanked_fields"] = "SELECT c_custkey, CAST(NULL AS VARCHAR) AS c_name, CAST(NULL AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer"
+QUERIES["without_controls"] = lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.md5(scalars.without_controls(F.concat(F.coalesce("text", F.lit("")), F.lit("\u200b\x07\n x\x85y\u00ad"))).cast("binary")).alias("plain_md5"))
+SQL["without_controls"] = "SELECT doc_id, md5(regexp_replace(coalesce(text, '') || chr(8203) || chr(7) || chr(10) || ' x' || chr(133) || 'y' || chr(173), '[\\p{Cc}\\p{Cf}]+', ' ', 'g')) AS plain_md5 FROM documents"

@@ -55,9 +55,19 @@ def log_uploads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def club_log(spark: SparkSession, path: str) -> DataFrame:
-    """A document keyed by callsign, cut at an underscore; who is in it counts, with or without a last date."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<lastqso:string>>")).alias("k", "v"))
-    return folded(rows, F.split_part("k", F.lit("_"), F.lit(1)), F.col("v.lastqso"))
+    """A document keyed by callsign, cut at an underscore; who is in it counts, with or without a last date.
+
+    Entries are flat objects, so Spark's reader splits the document after them, wherever a task's part of the file begins, and a document of any
+    size is many tasks' work. An entry that isn't of that form raises.
+    """
+    pieces = spark.read.option("lineSep", "},").text(path)
+    entry = F.regexp_extract_all("value", F.lit('"(?:[^"\\\\]|\\\\.)*"\\s*:\\s*\\{[^{}]*'), F.lit(0))
+    read = F.from_json(F.concat(F.lit("{"), F.col("entry"), F.lit("}}")), "map<string,struct<lastqso:string>>")
+    left = F.regexp_replace("value", '"(?:[^"\\\\]|\\\\.)*"\\s*:\\s*\\{[^{}]*', "")
+    odd = F.raise_error(F.concat(F.lit("not an entry of a keyed document: "), F.substring("value", 1, 80)))
+    rows = pieces.select(F.explode(F.when(left.rlike("^[\\s{},]*$"), entry).otherwise(odd)).alias("entry"))
+    known = rows.select(F.explode(F.coalesce(read, F.raise_error(F.concat(F.lit("not an entry of a keyed document: "), F.substring("entry", 1, 80))))).alias("k", "v"))
+    return folded(known, F.split_part("k", F.lit("_"), F.lit(1)), F.col("v.lastqso"))
 
 
 def check_partial(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Readers of activity lists on small files."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from radiolake.operators import forms, spatial
@@ -52,3 +55,23 @@ def test_county_of_snaps_only_within_reach(spark):
     got = spatial.county_of(points, parts, "id", "state", "county", "position")
     assert rows(got) == [(1, "y"), (2, "x"), (3, None), (4, None), (5, None)]
     assert rows(spatial.county_of(points.where("id = 3"), parts, "id", "state", "county", "position", None).select(F.col("county"))) == [("x",)]
+
+
+def test_a_keyed_document_is_many_tasks_work(spark, tmp_path, request):
+    """The same rows from a document cut at any byte, on one line or many; entries of another form raise."""
+    entries = {f"K{i}AB_{i % 3}": ({"lastqso": f"2024-01-{1 + i % 28:02d} 10:00:00", "n": "\u00e9" * (i % 7)} if i % 2 else {}) for i in range(400)}
+    entries['W1"X'] = {"lastqso": "soon"}
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/one.json").write_text(json.dumps(entries))
+    (tmp_path / "b.json").write_text(json.dumps(entries, indent=1, ensure_ascii=False), encoding="utf-8")
+    want = {f"K{i}AB": f"2024-01-{1 + i % 28:02d}" if i % 2 else None for i in range(400)}
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.files.maxPartitionBytes"))
+    for size in (997, 1 << 27):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        for path in (tmp_path / "a", tmp_path / "b.json"):
+            got = {r["call"]: r["value"] for r in activity.club_log(spark, str(path)).collect()}
+            assert {k: v and v[:10] for k, v in got.items() if k.startswith("K")} == want
+        assert (spark.read.option("lineSep", "},").text(str(tmp_path / "a")).rdd.getNumPartitions() > 3) == (size < 1000)
+    (tmp_path / "c.json").write_text('{"K1":{"a":[{"b":1}]}}')
+    with pytest.raises(Exception, match="not an entry"):
+        activity.club_log(spark, str(tmp_path / "c.json")).collect()

@@ -279,7 +279,8 @@ def test_sources_in_their_orders(spark):
 
 
 def test_small_drivers_rules(spark, tmp_path):
-    assert forms.unanswered([{"name": "power", "required": True}, {"name": "note"}], {"power": " "}) == ["power"]
+    answers = spark.createDataFrame([("a", "power", " "), ("b", "power", "5 W"), ("b", "note", "n" * 21), (None, "power", "1")], "export string, name string, answer string")
+    assert rows(forms.unanswered([{"name": "power", "required": True}, {"name": "note"}], answers, "export")) == [("a", "power", "missing"), ("b", "note", "too long")]
     assert exports.backup(spark.range(3), f"file://{tmp_path}", "log", "20240601").endswith("log-20240601")
     with pytest.raises(Exception, match="already exists"):
         exports.backup(spark.range(3), f"file://{tmp_path}", "log", "20240601")
