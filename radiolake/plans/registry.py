@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiolake.plans import activity, building, contact_log, enrichment, exporting, files, flows, geometry, imports, location, parsing, places, records, rules, upkeep
+from radiolake.plans import activity, building, builds, contact_log, enrichment, exporting, files, flows, geometry, imports, location, parsing, places, records, rules, upkeep
 
-MODULES = [activity, contact_log, places, enrichment, building, flows, upkeep, exporting, location, imports, records, rules, files, parsing, geometry]
+MODULES = [activity, contact_log, places, enrichment, building, flows, upkeep, exporting, location, imports, records, rules, files, parsing, geometry, builds]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
