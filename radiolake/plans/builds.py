@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolake.operators import builds, search
+from radiolake.plans.activity import CONTACTS, contacts
 from radiolake.plans.places import REGIONS
 from radiolake.plans.tables import table
 from radiolake.shared import shared_dir
+from radiolake.sources import exports
+from radiolake.streaming import jobs
 
 QUERIES, SQL = {}, {}
 
@@ -84,8 +87,8 @@ QUERIES["call_index_build"] = lambda spark, sf_dir: _call_index(spark, sf_dir, s
 _CALLS = """o AS (SELECT o_custkey AS k, max(day(o_orderdate)) FILTER (WHERE o_orderstatus = 'F') AS fd, strftime(max(o_orderdate) FILTER (WHERE o_orderstatus = 'O'), '%Y-%m-%d') AS lotw, count(*) FILTER (WHERE o_orderstatus = 'P') > 0 AS scp,
   count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS n FROM orders GROUP BY o_custkey), g AS (SELECT *, k % 3 <> 0 AND (fd IS NOT NULL OR lotw IS NOT NULL OR scp) AS one, fd IS NOT NULL OR n > 0 AS two FROM o)"""
 SQL["call_index_build"] = f"""WITH {_CALLS}, r AS (SELECT 'K' || k || 'AB' AS call, CASE WHEN k % 2 = 0 THEN fd + 3 WHEN k % 3 <> 0 THEN fd ELSE fd - 3 END AS fd_last_year, nullif(n, 0) AS pota_hunter_qsos, CASE WHEN k % 3 <> 0 THEN lotw END AS lotw_last_upload,
-  CASE WHEN k % 3 <> 0 AND scp THEN 1 ELSE 0 END AS scp, CASE WHEN one THEN '2024-01-01' ELSE '2024-02-01' END AS first_seen, CASE WHEN two THEN '2024-02-01' ELSE '2024-01-01' END AS last_seen FROM g WHERE one OR two)
-SELECT *, (fd_last_year IS NOT NULL)::INT + (pota_hunter_qsos IS NOT NULL)::INT + (lotw_last_upload IS NOT NULL)::INT + scp AS source_count FROM r"""
+  CAST(CASE WHEN k % 3 <> 0 AND scp THEN 1 ELSE 0 END AS BIGINT) AS scp, CASE WHEN one THEN '2024-01-01' ELSE '2024-02-01' END AS first_seen, CASE WHEN two THEN '2024-02-01' ELSE '2024-01-01' END AS last_seen FROM g WHERE one OR two)
+SELECT *, CAST((fd_last_year IS NOT NULL)::INT + (pota_hunter_qsos IS NOT NULL)::INT + (lotw_last_upload IS NOT NULL)::INT + scp AS INTEGER) AS source_count FROM r"""
 
 
 def call_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,3 +100,56 @@ def call_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["call_index_search"] = call_index_search
 SQL["call_index_search"] = f"""WITH {_CALLS} SELECT term, 'K' || k || 'AB' AS call FROM g, (VALUES ('1A'), ('77'), ('K2')) t(term) WHERE (one OR two) AND contains('K' || k || 'AB', term)"""
+
+# --- submissions and copies --------------------------------------------------------------------------------------------
+
+_CONFIG = {"fields": ["remote_callsign", "qso_at", "band", "mode", "class", "my_park", "station_callsign", "their_park", "section"], "tags": {"class": "CLASS"}, "mode_map": {"click": "CW", "view": "PH"}, "bands": ["4", "2"]}
+_PROMPTS, _META = {"my_park": "US-9", "my_class": "3A"}, {"station_callsign": "K7X"}
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    park = F.when(F.col("uuid") % 4 == 0, F.concat(F.lit("US-"), F.col("band"))).otherwise(" ")
+    fields = F.create_map(F.lit("class"), F.concat(F.lit("3"), F.col("band")), F.lit("their_park"), park)
+    return contacts(spark, sf_dir).withColumns({"fields": fields, "remote_callsign": F.concat(F.lit(" W"), F.col("operator").cast("string"))})
+
+
+def submission_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each contact's record in the two formats that have records, and both files' names."""
+    rows = _entries(spark, sf_dir)
+    made = {f: exports.FORMATS[f]["build"](rows, _CONFIG, _PROMPTS, _META).select("uuid", F.col("record").alias(f"{f}_record")) for f in ("adif", "pota")}
+    name = lambda f: exports.FORMATS[f]["file_name"](rows, _PROMPTS, _META).scalar()
+    return made["adif"].join(made["pota"], "uuid").select("*", name("adif").alias("adif_file"), name("pota").alias("pota_file"))
+
+
+QUERIES["submission_formats"] = submission_formats
+_HEAD = """'<CALL:' || length('W' || operator) || '>W' || operator || ' <QSO_DATE:8>' || strftime(qso_at, '%Y%m%d') || ' <TIME_ON:6>' || strftime(qso_at, '%H%M%S') || ' <BAND:1>' || band || CASE mode WHEN 'click' THEN ' <MODE:2>CW' WHEN 'view' THEN ' <MODE:2>PH' ELSE '' END || ' <CLASS:2>3' || band"""
+SQL["submission_formats"] = f"""WITH {CONTACTS} SELECT uuid, {_HEAD} || ' <APP_RADIOLAKE_MY_PARK:4>US-9 <STATION_CALLSIGN:3>K7X' || CASE WHEN uuid % 4 = 0 THEN ' <APP_RADIOLAKE_THEIR_PARK:4>US-' || band ELSE '' END || ' <EOR>' AS adif_record,
+  {_HEAD} || ' <MY_SIG:4>POTA <MY_SIG_INFO:4>US-9 <MY_POTA_REF:4>US-9 <STATION_CALLSIGN:3>K7X' || CASE WHEN uuid % 4 = 0 THEN ' <SIG:4>POTA <SIG_INFO:4>US-' || band || ' <POTA_REF:4>US-' || band ELSE '' END || ' <EOR>' AS pota_record,
+  'K7X-' || (SELECT year(min(qso_at)) FROM contacts) || '.adi' AS adif_file, 'K7X@US-9-' || (SELECT strftime(min(qso_at), '%Y%m%d') FROM contacts) || '.adi' AS pota_file FROM contacts"""
+
+
+def submission_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, form = _entries(spark, sf_dir), exports.FORMATS["dupesheet"]
+    return form["build"](rows, _CONFIG, _PROMPTS, _META).groupBy("band_rank", "band", "mode", "kind", "line").agg(F.count("*").alias("n")).withColumn("file_name", form["file_name"](rows, _PROMPTS, _META).scalar())
+
+
+QUERIES["submission_sheet"] = submission_sheet
+SQL["submission_sheet"] = f"""WITH {CONTACTS}, c AS (SELECT CAST(CASE band WHEN '4' THEN 1 WHEN '2' THEN 2 ELSE 3 END AS INTEGER) AS band_rank, band, CASE mode WHEN 'click' THEN 'CW' ELSE 'PH' END AS mode, 'W' || operator AS call FROM contacts WHERE mode IN ('click', 'view')),
+l AS (SELECT 0 AS band_rank, '' AS band, '' AS mode, 0 AS kind, 'Call Used: K7X  Class: 3A  ARRL Section: ' AS line, 1 AS n UNION ALL SELECT DISTINCT band_rank, band, mode, 0, band || ' ' || mode, 1 FROM c
+  UNION ALL SELECT band_rank, band, mode, 1, call, count(*) FROM c GROUP BY ALL UNION ALL SELECT band_rank, band, mode, 2, 'Total: ' || count(*), 1 FROM c GROUP BY ALL)
+SELECT *, (SELECT year(min(qso_at)) FROM contacts) || '-FD-K7X.dup' AS file_name FROM l"""
+
+
+def gated_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of a log that grows by operator: a tick without a newer contact copies nothing. Rows of each copy."""
+    rows, path = contacts(spark, sf_dir).withColumn("at", F.unix_micros(F.col("qso_at").cast("timestamp"))), shared_dir(spark)
+    for tick, seen in enumerate([rows.where("operator % 3 = 0"), rows.where("operator % 3 = 0"), rows]):
+        latest = seen.agg(F.max("at")).first()[0]
+        if latest is not None:
+            jobs.change_gated(spark, path, latest, lambda seen=seen, tick=tick: exports.backup(seen, f"{path}/copies", "log", f"tick={tick}"))
+    return spark.read.option("recursiveFileLookup", True).schema(rows.schema).parquet(f"{path}/copies").groupBy("operator").agg(F.count("*").alias("n"))
+
+
+QUERIES["gated_backup"] = gated_backup
+SQL["gated_backup"] = f"""WITH {CONTACTS} SELECT operator, count(*) * CASE WHEN operator % 3 = 0 AND (SELECT max(qso_at) FROM contacts) <> (SELECT max(qso_at) FROM contacts WHERE operator % 3 = 0) THEN 2 ELSE 1 END AS n FROM contacts
+WHERE operator % 3 = 0 OR (SELECT max(qso_at) FROM contacts) <> (SELECT max(qso_at) FROM contacts WHERE operator % 3 = 0) GROUP BY operator"""

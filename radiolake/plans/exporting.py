@@ -19,7 +19,7 @@ def submission_adif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in the parks' format, by the format's own builder: prompts, the event, columns, custom fields, park tags."""
     rows = contacts(spark, sf_dir).withColumn("fields", F.create_map(F.lit("class"), F.concat(F.lit("3"), F.col("band")))).withColumn("their_park", F.when(F.col("uuid") % 4 == 0, F.concat(F.lit("US-"), F.col("band"))))
     order = ["station", "mode", "class", "power", "nothing", "my_park", "their_park"]
-    return rows.select("uuid", exports.FORMATS["pota"]["build"](rows, order, {"power": ""}, {"power": "QRP", "station": "K7X", "my_park": "US-9"}).alias("record"))
+    return rows.select("uuid", exports.pota_line(rows, order, {"power": ""}, {"power": "QRP", "station": "K7X", "my_park": "US-9"}).alias("record"))
 
 
 QUERIES["submission_adif"] = submission_adif
