@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -160,35 +162,56 @@ def area(rings: Column) -> Column:
 
 #: Pairs of a slab and an edge, or of two edges, that are worked on at once.
 AT_ONCE = 1 << 20
+#: Edges of pairs of polygons that are worked on at once, but at least one pair's.
+EDGES_AT_ONCE = 1 << 16
+POLYGON = pa.list_(pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())])))
 
 
-def edges(rings: list[np.ndarray]) -> np.ndarray:
-    """(x1, y1, x2, y2) of all edges that aren't vertical, from west to east; ``rings`` are closed arrays of (x, y)."""
-    found = [np.concatenate([r[:-1], r[1:]], axis=1) for r in rings if len(r) > 1]
-    e = np.concatenate(found) if found else np.zeros((0, 4))
-    e = e[e[:, 0] != e[:, 2]]
-    return np.where((e[:, 0] > e[:, 2])[:, None], e[:, [2, 3, 0, 1]], e)
+def edges(polygons: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(x1, y1, x2, y2) of all edges that aren't vertical, from west to east, and the number of the polygon that each is of, in order."""
+    lists = pc.list_flatten(polygons)
+    ring, polygon = pc.list_parent_indices(lists).to_numpy(), pc.list_parent_indices(polygons).to_numpy()
+    points = pc.list_flatten(lists)
+    x, y = (points.field(f).to_numpy(zero_copy_only=False).astype(float) for f in ("lon", "lat"))
+    known = np.isfinite(x) & np.isfinite(y)
+    kept = np.flatnonzero((ring[1:] == ring[:-1]) & (x[1:] != x[:-1]) & known[1:] & known[:-1])
+    e = np.stack([x[kept], y[kept], x[kept + 1], y[kept + 1]], axis=1)
+    return np.where((e[:, 0] > e[:, 2])[:, None], e[:, [2, 3, 0, 1]], e), polygon[ring[kept]]
 
 
-def crossings(e: np.ndarray) -> np.ndarray:
-    """Where (x) two edges cross. Edges meet in strips of the width of a usual edge, so only near ones are compared."""
+def _ranges(counts: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def crossings(e: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where (x) two edges of one group cross, and the group; ``of`` has each edge's.
+
+    Edges meet in strips of the width of the group's mean edge, so only near ones are compared.
+    """
     if len(e) < 2:
-        return np.zeros(0)
-    low, high = e[:, 0].min(), e[:, 2].max()
-    width = max((high - low) / (4 * len(e)), float(np.median(e[:, 2] - e[:, 0])), 1e-12)
-    first, last = np.floor((e[:, 0] - low) / width).astype(np.int64), np.floor((e[:, 2] - low) / width).astype(np.int64)
+        return np.zeros(0), of[:0]
+    groups, of = np.unique(of, return_inverse=True)
+    low, high = np.full(len(groups), np.inf), np.full(len(groups), -np.inf)
+    np.minimum.at(low, of, e[:, 0])
+    np.maximum.at(high, of, e[:, 2])
+    size = np.bincount(of)
+    width = np.maximum(np.maximum((high - low) / (4 * size), np.bincount(of, e[:, 2] - e[:, 0]) / size), 1e-12)
+    strips = np.floor((high - low) / width).astype(np.int64) + 1
+    base = (np.cumsum(strips) - strips)[of]
+    first, last = (np.floor((e[:, i] - low[of]) / width[of]).astype(np.int64) for i in (0, 2))
     count = last - first + 1
     edge = np.repeat(np.arange(len(e)), count)
-    strip = first[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(count) - count, count)
+    strip = (base + first)[edge] + _ranges(count)
     order = np.argsort(strip, kind="stable")
     edge, strip = edge[order], strip[order]
     after = np.searchsorted(strip, strip, "right") - np.arange(len(strip)) - 1  # later edges of the same strip
-    out, at, ends = [], 0, np.cumsum(after)
+    out, whose, at, ends = [], [], 0, np.cumsum(after)
     while at < len(edge):
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
         mine = np.arange(at, upto)
         i = np.repeat(mine, after[mine])
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[mine]) - after[mine], after[mine])
+        j = i + 1 + _ranges(after[mine])
         a, b = e[edge[i]], e[edge[j]]
         near = (np.minimum(a[:, 1], a[:, 3]) <= np.maximum(b[:, 1], b[:, 3])) & (np.minimum(b[:, 1], b[:, 3]) <= np.maximum(a[:, 1], a[:, 3]))
         a, b = a[near], b[near]
@@ -196,44 +219,80 @@ def crossings(e: np.ndarray) -> np.ndarray:
         steeper = slope(a) - slope(b)
         with np.errstate(divide="ignore", invalid="ignore"):
             x = a[:, 0] + (b[:, 1] + slope(b) * (a[:, 0] - b[:, 0]) - a[:, 1]) / steeper
-        out.append(x[np.isfinite(x) & (x > np.maximum(a[:, 0], b[:, 0])) & (x < np.minimum(a[:, 2], b[:, 2]))])
+        hit = np.isfinite(x) & (x > np.maximum(a[:, 0], b[:, 0])) & (x < np.minimum(a[:, 2], b[:, 2]))
+        out.append(x[hit])
+        whose.append(of[edge[i[near][hit]]])
         at = upto
-    return np.concatenate(out)
+    return np.concatenate(out), groups[np.concatenate(whose)]
 
 
-def shared_area(a: list[np.ndarray], b: list[np.ndarray]) -> float:
-    """The exact area inside both polygons, each a list of closed rings under the even-odd rule.
+def shared_areas(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The exact area inside both polygons of each pair; ``a`` and ``b`` are arrays of polygons, lists of closed rings under the even-odd rule.
 
     Between two neighbouring corners or crossings, in the order of x, no two edges cross, so what both share is
     trapezoids there: their width times their height in the middle. Only edges within both outlines' range of x count.
+    Pairs are worked on together, as each has few edges; one with many is worked on in parts.
     """
-    a, b = edges(a), edges(b)
-    if not len(a) or not len(b):
-        return 0.0
-    low, high = max(a[:, 0].min(), b[:, 0].min()), min(a[:, 2].max(), b[:, 2].max())
-    if low >= high:
-        return 0.0
-    a, b = (e[(e[:, 2] > low) & (e[:, 0] < high)] for e in (a, b))
-    e = np.concatenate([a, b])
-    stops = np.unique(np.clip(np.concatenate([e[:, 0], e[:, 2], crossings(e), [low, high]]), low, high))
+    (ea, of_a), (eb, of_b) = edges(a), edges(b)
+    ends = np.cumsum(np.bincount(of_a, minlength=len(a)) + np.bincount(of_b, minlength=len(b)))
+    out, at = [], 0
+    while at < len(a):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + EDGES_AT_ONCE, "right")))
+        (i, j), (k, m) = (np.searchsorted(of, [at, upto]) for of in (of_a, of_b))
+        out.append(_shared(np.concatenate([ea[i:j], eb[k:m]]), np.concatenate([of_a[i:j], of_b[k:m]]) - at, np.arange(j - i + m - k) < j - i, upto - at))
+        at = upto
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _shared(e: np.ndarray, of: np.ndarray, of_a: np.ndarray, pairs: int) -> np.ndarray:
+    """The shared area of each pair, from all edges, their pairs, and whether they are the first polygon's."""
+    low, high = np.full(pairs, -np.inf), np.full(pairs, np.inf)
+    for side in (of_a, ~of_a):
+        west, east = np.full(pairs, np.inf), np.full(pairs, -np.inf)
+        np.minimum.at(west, of[side], e[side, 0])
+        np.maximum.at(east, of[side], e[side, 2])
+        low, high = np.maximum(low, west), np.minimum(high, east)
+    kept = (low < high)[of] & (e[:, 2] > low[of]) & (e[:, 0] < high[of])
+    e, of, of_a = e[kept], of[kept], of_a[kept]
+    total = np.zeros(pairs)
+    if not len(e):
+        return total
+    met, whose = crossings(e, of)
+    # all stops by pair and x; edges know the numbers of those where they begin and end
+    x = np.concatenate([np.maximum(e[:, 0], low[of]), np.minimum(e[:, 2], high[of]), np.clip(met, low[whose], high[whose])])
+    pair = np.concatenate([of, of, whose])
+    order = np.lexsort((x, pair))
+    new = np.r_[True, (pair[order][1:] != pair[order][:-1]) | (x[order][1:] != x[order][:-1])]
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    stops, pair = x[order][new], pair[order][new]
+    first, last = number[: len(e)], number[len(e) : 2 * len(e)]
+    # what lies between two pairs is no slab: no edge is over it
     middle, wide = (stops[:-1] + stops[1:]) / 2, np.diff(stops)
-    first, last = np.searchsorted(stops, np.maximum(e[:, 0], low)), np.searchsorted(stops, np.minimum(e[:, 2], high))
-    total, at = 0.0, 0
     # edges over each slab, so that a part of the slabs is worked on at once
     over = np.cumsum(np.bincount(first, minlength=len(stops)) - np.bincount(last, minlength=len(stops)))[:-1]
-    ends = np.cumsum(over)
+    at, ends = 0, np.cumsum(over)
     while at < len(middle):
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
         own = np.flatnonzero((first < upto) & (last > at))
         begin, stop = np.maximum(first[own], at), np.minimum(last[own], upto)
         count = stop - begin
         edge = np.repeat(own, count)
-        slab = np.repeat(begin, count) + np.arange(len(edge)) - np.repeat(np.cumsum(count) - count, count)
+        slab = np.repeat(begin, count) + _ranges(count)
         y = e[edge, 1] + (e[edge, 3] - e[edge, 1]) * (middle[slab] - e[edge, 0]) / (e[edge, 2] - e[edge, 0])
         order = np.lexsort((y, slab))
-        slab, y, of_a = slab[order], y[order], edge[order] < len(a)
-        both = (np.cumsum(of_a) % 2 == 1) & (np.cumsum(~of_a) % 2 == 1)
-        height = np.where(both[:-1], np.diff(y), 0.0)
-        total += float((height * wide[slab[:-1]]).sum())
+        slab, y, mine = slab[order], y[order], of_a[edge][order]
+        # crossed so far in the slab, of either polygon
+        begun = np.searchsorted(slab, slab)
+        inside = lambda m: (np.cumsum(m) - (np.cumsum(m) - m)[begun]) % 2 == 1
+        both = inside(mine)[:-1] & inside(~mine)[:-1] & (slab[1:] == slab[:-1])
+        height = np.where(both, np.diff(y), 0.0)
+        total += np.bincount(pair[slab[:-1]], height * wide[slab[:-1]], minlength=pairs)
         at = upto
     return total
+
+
+def shared_area(a: list[np.ndarray], b: list[np.ndarray]) -> float:
+    """The same for one pair, each a list of closed arrays of (x, y)."""
+    one = lambda rings: pa.array([[[{"lat": y, "lon": x} for x, y in r] for r in rings]], POLYGON)
+    return float(shared_areas(one(a), one(b))[0])

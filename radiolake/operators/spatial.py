@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,45 +152,87 @@ def in_area_order(parts: DataFrame, key: str, ties: list[str], first: Column | N
     return ids.select(key, *ties, "area", (F.col("id") + 1).alias("id"))
 
 
-def _met_boxes(parts: DataFrame, key: str, columns: list[str], cell: float) -> DataFrame:
-    """Pairs of different features' parts whose boxes share an area, each once: in the cell of the corner where it begins."""
-    box = ["minx", "maxx", "miny", "maxy"]
-    gridded = parts.select(key, *columns, *box).withColumn("cy", F.explode(_cells(F.col("miny"), F.col("maxy"), cell))).withColumn("cx", F.explode(_cells(F.col("minx"), F.col("maxx"), cell)))
-    other = gridded.select("cy", "cx", *[F.col(c).alias(f"{c}2") for c in (key, *columns, *box)])
+#: A part's box.
+BOX = ["minx", "maxx", "miny", "maxy"]
+
+
+#: Members of a shape that are looked at together by :func:`_features`.
+MEMBERS = 1_000
+
+
+def _alike(parts: DataFrame, key: str, same: list[str]) -> DataFrame:
+    """Parts (``key``, ``same``, ``__part``) with ``__shape``, the first of the parts that are alike in ``same``, the number of ``__lots``
+    into which these are dealt and the part's own, and whether its feature has several parts."""
+    first = parts.groupBy(*same).agg(F.min("__part").alias("__shape"), F.ceil(F.count("*") / MEMBERS).alias("__lots"))
+    several = parts.groupBy(key).agg((F.count("*") > 1).alias("__several"))
+    named = parts.select(key, *same, "__part").join(first, same).join(several, key)
+    return named.select(key, "__part", "__shape", "__lots", F.pmod(F.xxhash64("__part"), F.col("__lots")).alias("__lot"), "__several")
+
+
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt over as many tasks as a shuffle has, for work that its bytes don't show."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _met_boxes(shapes: DataFrame, cell: float) -> DataFrame:
+    """Pairs of shapes (``__shape`` up to ``__shape2``) whose boxes share an area, each once: in the cell of the corner where it begins."""
+    gridded = shapes.select("__shape", "__lots", *BOX).withColumn("cy", F.explode(_cells(F.col("miny"), F.col("maxy"), cell))).withColumn("cx", F.explode(_cells(F.col("minx"), F.col("maxx"), cell)))
+    other = gridded.select("cy", "cx", *[F.col(c).alias(f"{c}2") for c in ("__shape", "__lots", *BOX)])
     here = (F.col("cy") == F.floor(F.greatest("miny", "miny2") / cell)) & (F.col("cx") == F.floor(F.greatest("minx", "minx2") / cell))
     wide = F.least("maxx", "maxx2") - F.greatest("minx", "minx2")
     high = F.least("maxy", "maxy2") - F.greatest("miny", "miny2")
-    met = gridded.join(other, ["cy", "cx"]).where((F.col(key) < F.col(f"{key}2")) & here).withColumns({"wide": wide, "high": high})
+    met = gridded.join(other, ["cy", "cx"]).where((F.col("__shape") <= F.col("__shape2")) & here).withColumns({"wide": wide, "high": high})
     return met.where("wide > 0 AND high > 0")
 
 
+def _features(met: DataFrame, members: DataFrame, key: str, total: Callable[[str], Column]) -> DataFrame:
+    """Pairs of different features (``key`` and ``key2``) from pairs of shapes with their ``area`` and the second's ``__lots2``.
+
+    A feature meets another's shape lot by lot, so a shape with many members is many tasks' work. Only where one of the features has
+    several parts, a pair's areas meet for their ``total``. All other pairs have one area and leave the join as they are, so they aren't shuffled.
+    """
+    a, b = F.col("__a"), F.col("__b")
+
+    def pairs(left: DataFrame, right: DataFrame, alike: Column) -> DataFrame:
+        """``alike``: which pairs of two members of one shape count."""
+        begun = met.join(left.select(F.col(key).alias("__a"), "__shape"), "__shape")
+        asked = _dealt(begun.withColumn("__lot", F.explode(F.sequence(F.lit(0), F.col("__lots2") - 1))), "__a", "__shape2", "__lot")
+        others = right.select(F.col(key).alias("__b"), F.col("__shape").alias("__shape2"), "__lot")
+        each = asked.join(others, ["__shape2", "__lot"]).where((a != b) & ((F.col("__shape") != F.col("__shape2")) | alike))
+        return each.select(F.least(a, b).alias(key), F.greatest(a, b).alias(f"{key}2"), "area")
+
+    several, single = members.where("__several"), members.where("NOT __several")
+    together = [pairs(several, several, a < b), pairs(several, single, F.lit(True)), pairs(single, several, F.lit(False))]
+    return pairs(single, single, a < b).unionByName(reduce(DataFrame.unionByName, together).groupBy(key, f"{key}2").agg(total("area").alias("area")))
+
+
 def polygon_overlaps(parts: DataFrame, key: str, least: float = 1e-7, cell: float = CELL) -> DataFrame:
     """Pairs of different features (``key`` and ``key2``) that share more than ``least`` square degrees, with the exact ``area``.
 
-    ``parts`` has ``key`` and ``rings``; parts of one feature don't overlap each other. Boxes meet by cells, rings are joined only to pairs of
-    boxes that share an area, and each such pair's area is worked out by itself, so a crowded cell may be split.
+    ``parts`` has ``key`` and ``rings``; parts of one feature don't overlap each other. Parts with equal rings are one shape. Boxes of shapes meet
+    by cells, rings are joined only to pairs whose boxes share an area, and pairs are dealt over all tasks, however few bytes
+    they have, before their areas are worked out, a batch together.
     """
-    known = staged(_boxed(parts.select(key, "rings")).withColumn("__part", F.monotonically_increasing_id()))
-    met = _met_boxes(known, key, ["__part"], cell).select(key, f"{key}2", "__part", "__part2")
-    rings = known.select("__part", "rings")
-    pairs = met.join(rings, "__part").join(rings.select(F.col("__part").alias("__part2"), F.col("rings").alias("rings2")), "__part2").select(key, f"{key}2", "rings", "rings2")
-
-    def opened(polygon: pa.ListScalar) -> list[np.ndarray]:
-        lists = polygon.values
-        flat, ends = lists.flatten(), lists.offsets.to_numpy()
-        points = np.stack([flat.field("lon").to_numpy(zero_copy_only=False), flat.field("lat").to_numpy(zero_copy_only=False)], axis=1)
-        return np.split(points, (ends - ends[0])[1:-1])
+    known = staged(_boxed(parts.select(key, "rings")).withColumns({"__part": F.monotonically_increasing_id(), "__digest": F.sha2(F.col("rings").cast("string"), 256)}))
+    members = staged(_alike(known, key, ["__digest"]))
+    shapes = known.join(members.where("__part = __shape").select("__part", "__shape", "__lots"), "__part")
+    met = _dealt(_met_boxes(shapes, cell).select("__shape", "__shape2", "__lots2"), "__shape", "__shape2")
+    rings = shapes.select("__shape", "rings")
+    pairs = met.join(rings, "__shape").join(rings.select(F.col("__shape").alias("__shape2"), F.col("rings").alias("rings2")), "__shape2").select("__shape", "__shape2", "__lots2", "rings", "rings2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            areas = [polygons.shared_area(opened(a), opened(b)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(areas, pa.float64())], names=["a", "b", "area"])
+            areas = pa.array(polygons.shared_areas(batch.column(3), batch.column(4)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], areas], names=["__shape", "__shape2", "__lots2", "area"])
 
-    kind = parts.schema[key].dataType.simpleString()
-    each = pairs.mapInArrow(run, f"a {kind}, b {kind}, area double")
-    return each.groupBy(F.col("a").alias(key), F.col("b").alias(f"{key}2")).agg(F.sum("area").alias("area")).where(F.col("area") > least)
+    sized = staged(pairs.mapInArrow(run, "__shape long, __shape2 long, __lots2 long, area double"))
+    return _features(sized, members, key, F.sum).where(F.col("area") > least)
 
 
 def overlaps(parts: DataFrame, key: str, cell: float = CELL) -> DataFrame:
-    """Pairs of different features whose parts' boxes share an area, met through the grid cells of both."""
-    return _met_boxes(parts, key, [], cell).groupBy(key, f"{key}2").agg(F.max(F.col("wide") * F.col("high")).alias("area"))
+    """Pairs of different features whose parts' boxes share an area, the largest such area; equal boxes meet through the grid cells once."""
+    known = staged(parts.select(key, *BOX).withColumn("__part", F.monotonically_increasing_id()))
+    members = staged(_alike(known, key, BOX))
+    shapes = known.join(members.where("__part = __shape").select("__part", "__shape", "__lots"), "__part")
+    met = staged(_met_boxes(shapes, cell).select("__shape", "__shape2", "__lots2", (F.col("wide") * F.col("high")).alias("area")))
+    return _features(met, members, key, F.max)

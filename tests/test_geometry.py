@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,36 @@ def test_overlaps_and_order_of_odd_polygons(spark):
     ids = spatial.in_area_order(parts, "key", [], F.col("key") == "b").collect()
     assert sorted((r["id"], r["key"], r["area"]) for r in ids) == [(1, "b", 20.0), (2, "d", 0.0), (3, "c", 1.0), (4, "a", 4.0)]
     assert spatial.polygon_overlaps(parts.limit(0), "key").count() == spatial.in_area_order(parts.limit(0), "key", []).count() == 0
+
+
+def test_areas_of_many_pairs_together(monkeypatch):
+    """Each pair's area, with odd polygons among them, is the one that it has by itself; also in small parts."""
+    rng = np.random.default_rng(5)
+    shapes = [[], [np.array(box(0, 0, 2), float)], [np.array([(0, 0), (2, 1), (1, 3)], float)], [np.array([(0, 0), (math.nan, 1), (1, 1), (0, 0)])], [star(rng, 40, 0, 0, 3), star(rng, 9, 0, 0, 0.8)], [star(rng, 25, 1, 0.5, 3)], [np.array(box(50, 0, 1), float)]]
+    pairs = [(a, b) for a in shapes for b in shapes]
+    array = lambda side: pa.array([[[{"lat": y, "lon": x} for x, y in r] for r in p[side]] for p in pairs], rings.POLYGON)
+    alone = [rings.shared_area(a, b) for a, b in pairs]
+    assert rings.shared_areas(array(0), array(1)) == pytest.approx(alone, abs=1e-12) and sum(a > 0 for a in alone) > 8
+    monkeypatch.setattr(rings, "AT_ONCE", 7)
+    monkeypatch.setattr(rings, "EDGES_AT_ONCE", 11)
+    assert rings.shared_areas(array(0), array(1)) == pytest.approx(alone, abs=1e-9)
+    assert len(rings.shared_areas(array(0)[:0], array(1)[:0])) == 0
+
+
+def test_overlaps_of_copies(spark, monkeypatch):
+    """Copies within and between features, shapes in several lots, features with several parts on either side: as by comparing all parts."""
+    monkeypatch.setattr(spatial, "MEMBERS", 3)
+    rng = np.random.default_rng(9)
+    made = [(f"k{int(rng.integers(25))}" if i % 2 else f"s{i}", float(rng.integers(3)), float(rng.integers(2))) for i in range(60)]
+    expected, largest = {}, {}
+    for i, (k, x, y) in enumerate(made):
+        for k2, x2, y2 in made[:i]:
+            area = max(0, 2 - abs(x - x2)) * max(0, 2 - abs(y - y2))
+            if k != k2 and area:
+                pair = (min(k, k2), max(k, k2))
+                expected[pair], largest[pair] = expected.get(pair, 0) + area, max(largest.get(pair, 0), area)
+    parts = spark.createDataFrame([(k, [struct(box(x, y, 2))], x, x + 2, y, y + 2) for k, x, y in made], f"key string, rings {RINGS}, minx double, maxx double, miny double, maxy double")
+    found = [tuple(r) for r in spatial.polygon_overlaps(parts, "key").collect()]
+    assert len(found) == len(expected) and {(a, b): area for a, b, area in found} == pytest.approx(expected)
+    boxes = [tuple(r) for r in spatial.overlaps(parts, "key").collect()]
+    assert len(boxes) == len(largest) and {(a, b): area for a, b, area in boxes} == largest
