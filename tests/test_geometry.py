@@ -157,3 +157,11 @@ def test_overlaps_of_copies(spark, monkeypatch):
     assert len(found) == len(expected) and {(a, b): area for a, b, area in found} == pytest.approx(expected)
     boxes = [tuple(r) for r in spatial.overlaps(parts, "key").collect()]
     assert len(boxes) == len(largest) and {(a, b): area for a, b, area in boxes} == largest
+
+
+def test_pairs_are_dealt_and_stay(spark):
+    """However few bytes pairs have, they are dealt before they are worked on, and only features of several parts meet for a total."""
+    parts = spark.range(50).selectExpr("concat('k', id) AS key", "id * 0.5D AS minx", "id * 0.5D + 3 AS maxx", "0D AS miny", "1D AS maxy")
+    text = spatial.overlaps(parts, "key")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    alone, together = text.split("HashAggregate", 1) if "HashAggregate" in text else text.split("SortAggregate", 1)
+    assert "REPARTITION_BY_NUM" in alone and "NOT __several" in alone and "NOT __several" in together
