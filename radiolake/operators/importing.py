@@ -75,12 +75,12 @@ def contacts(records: DataFrame, required: dict[str, str], modes: dict[str, str]
     )
 
 
-def tallies(records: DataFrame, required: dict[str, str], labels: dict[str, str], rows: DataFrame, new: DataFrame) -> DataFrame:
+def tallies(records: DataFrame, required: dict[str, str], labels: dict[str, str], new: DataFrame) -> DataFrame:
     """One row: all records, those that can't be used, usable ones that can't be stored and why, ones without operator or
-    initials, what isn't new, and what is imported. ``rows`` are the contacts and ``new`` those of them that are new."""
+    initials, what isn't new, and what is imported. ``new`` are the contacts that are new, of those that :func:`contacts` makes of the records."""
     counted = marked(records, required).agg(
         F.count("*").alias("total"), F.count_if(~F.col("usable")).alias("bad"),
-        F.count_if(F.col("usable") & (F.size("unmet") > 0)).alias("unsyncable"),
+        F.count_if(F.col("usable") & (F.size("unmet") > 0)).alias("unsyncable"), F.count_if(F.col("usable") & (F.size("unmet") == 0)).alias("__stored"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("usable"), F.col("unmet")))))), ",").alias("__unmet"),
         F.count_if(F.col("usable") & (identity("OPERATOR", LONGEST_CALL) == "")).alias("missing_operator"),
         F.count_if(F.col("usable") & (identity("N3FJP_INITIALS", LONGEST_INITIALS) == "")).alias("missing_initials"),
@@ -88,6 +88,5 @@ def tallies(records: DataFrame, required: dict[str, str], labels: dict[str, str]
     named = F.col("__unmet")
     for name, label in labels.items():
         named = F.regexp_replace(named, f"\\b{name}\\b", label)
-    stored = rows.agg(F.count("*")).scalar()
-    out = counted.withColumn("imported", new.agg(F.count("*")).scalar()).withColumn("dupes", stored - F.col("imported"))
+    out = counted.withColumn("imported", new.agg(F.count("*")).scalar()).withColumn("dupes", F.col("__stored") - F.col("imported"))
     return out.select("total", "bad", "unsyncable", named.alias("unsyncable_fields"), "missing_operator", "missing_initials", "dupes", "imported")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from radiolake.operators import importing, log
 from radiolake.plans.activity import CONTACTS, contacts
+from radiolake.shared import staged
 from radiolake.sources import adif
 
 QUERIES, SQL = {}, {}
@@ -32,7 +33,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _imported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    records = adif.parse(files(spark, sf_dir))
+    # read once, as the tallies and the import both need the records
+    records = staged(adif.parse(files(spark, sf_dir)))
     # calls are unique here, so they give the order of the records
     rows = importing.contacts(records, _REQUIRED, _MODES, _BANDS, (0, 1, -30), " w1aw ", "ab", True).withColumn("position", F.substring("remote_callsign", 2, 20).cast("long"))
     known = contacts(spark, sf_dir).where("uuid % 3 = 0").select(
@@ -53,7 +55,7 @@ SQL["import_flow"] = f"""WITH {CONTACTS} SELECT 'K' || uuid AS remote_callsign,
   CASE mode WHEN 'click' THEN 'CW' WHEN 'view' THEN 'Phone' ELSE 'Other' END AS mode, CASE WHEN uuid % 5 <> 0 THEN 'W' || operator ELSE 'W1AW' END AS operator, 'AB' AS initials, 'OR' AS state, 'CN87' AS gridsquare, 'ß <b> 😀' AS comment,
   CASE WHEN uuid % 4 = 0 THEN 'US-' || band ELSE 'NONE' END AS their_park FROM contacts WHERE {_USABLE} AND uuid % 11 <> 0 AND uuid % 3 <> 0"""
 
-QUERIES["import_tallies"] = lambda spark, sf_dir: (lambda parts: importing.tallies(parts[0], _REQUIRED, _LABELS, parts[1], parts[2]))(_imported(spark, sf_dir))
+QUERIES["import_tallies"] = lambda spark, sf_dir: (lambda parts: importing.tallies(parts[0], _REQUIRED, _LABELS, parts[2]))(_imported(spark, sf_dir))
 SQL["import_tallies"] = f"""WITH {CONTACTS} SELECT count(*) AS total, count(*) FILTER (WHERE NOT ({_USABLE})) AS bad, count(*) FILTER (WHERE {_USABLE} AND uuid % 11 = 0) AS unsyncable,
   CASE WHEN count(*) FILTER (WHERE {_USABLE} AND uuid % 11 = 0) > 0 THEN 'State' ELSE '' END AS unsyncable_fields, count(*) FILTER (WHERE {_USABLE} AND uuid % 5 = 0) AS missing_operator, count(*) FILTER (WHERE {_USABLE}) AS missing_initials,
   count(*) FILTER (WHERE {_USABLE} AND uuid % 11 <> 0 AND uuid % 3 = 0) AS dupes, count(*) FILTER (WHERE {_USABLE} AND uuid % 11 <> 0 AND uuid % 3 <> 0) AS imported FROM contacts"""

@@ -7,6 +7,7 @@ import pytest
 
 from radiolake.operators import search
 from radiolake.plans import registry
+from radiolake.sources import adif
 
 QUERIES = registry.queries()
 
@@ -48,3 +49,17 @@ def test_terms_are_ranges_of_the_stored_index(spark, tmp_path, request):
 def test_no_window_over_all_contacts(spark, sf_dir):
     for name in ("sliding_hour_max", "lww_fold", "accumulate_merge", "band_mode_cube"):
         assert "SinglePartition" not in plan(QUERIES[name](spark, sf_dir)), name
+
+
+def test_imported_records_are_read_once(spark, sf_dir):
+    """The tallies count records that are already read: no parser in their plan."""
+    text = plan(QUERIES["import_tallies"](spark, sf_dir))
+    assert "MapInArrow" not in text and "collect_list" not in text
+
+
+def test_data_in_units_are_taken_from_the_text():
+    """Lengths in UTF-16 units, over characters of two units and ending inside one: as by reading the text unit by unit."""
+    texts = ["<A:3>a😀<B:1>x", "<A:2>a😀<B:1>x", "<A:1>😀<B:2>é￿<C:9>😀😀", "<A:2>😀<a:0><EOR>", "<A:1>￿<B:3>😀<C:1>y"]
+    for text in texts:
+        assert adif.specifiers(text) == list(adif.by_units(adif.units(text)))
+    assert adif.specifiers(texts[0]) == [("A", "a😀"), ("B", "x")] and dict(adif.specifiers(texts[1]))["A"] == "a�"
