@@ -4,8 +4,9 @@ import glob
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from radiolake.operators import search
+from radiolake.operators import etl, search
 from radiolake.plans import registry
 from radiolake.sources import adif
 
@@ -63,3 +64,13 @@ def test_data_in_units_are_taken_from_the_text():
     for text in texts:
         assert adif.specifiers(text) == list(adif.by_units(adif.units(text)))
     assert adif.specifiers(texts[0]) == [("A", "a😀"), ("B", "x")] and dict(adif.specifiers(texts[1]))["A"] == "a�"
+
+
+def test_answers_texts_are_judged_once(spark):
+    """Names are compared once for each combination of texts, nulls among them, and not for each candidate."""
+    given = [(k, k % 7 + i, "ca.Street", "Main Street, Town, Ontario", "OTHER", 1.0 + i, 2.0, street, None, province) for i, (street, province) in enumerate([("MAIN ST", None), (None, None), ("MAIN ST", "Alberta"), ("MAIN AVE", "ontario")]) for k in range(i * 100, i * 100 + 20)]
+    candidates = spark.createDataFrame(given, "k int, position int, type string, title string, qualifier string, lat double, lon double, street string, city string, province string")
+    df = etl.pick_places(candidates.unionByName(candidates.withColumn("lat", F.lit(None).cast("double")).withColumn("position", F.lit(-1))), "k")
+    got = {r["k"]: (r["lat"], r["how"]) for r in df.collect()}
+    assert len(got) == 80 and {got[k] for k in range(20)} == {(1.0, "Street_Approx")} and {got[k] for k in range(100, 220) if k in got} == {(None, None)} and {got[k] for k in range(300, 320)} == {(4.0, "Street_Approx")}
+    assert "ArrowEvalPython" not in plan(df) and "RLIKE" not in plan(df) and "CartesianProduct" not in plan(df)
