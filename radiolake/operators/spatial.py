@@ -16,6 +16,8 @@ from radiolake.shared import ranked, staged
 
 #: Degrees of a grid cell.
 CELL = 5.0
+#: A part's box.
+BOX = ["minx", "maxx", "miny", "maxy"]
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -28,17 +30,21 @@ def region_of(points: DataFrame, parts: DataFrame, order: list[Column], key: str
     Each part's box is put into the grid cells that it touches, each point into its one cell, so the join is an
     equality; only what passes the box meets the part's rings, by the part's number, and the exact test. So rings are
     not copied into cells. A point outside the range of coordinates has no cell. A crowded cell has no group that must
-    meet in a task: the joins may be split, and the choice is a partial aggregation.
+    meet in a task: the joins may be split, and the choice is a partial aggregation. Parts are numbered in their order
+    before, so what is aggregated is one number, in a hash table with a row for each point, and hits aren't sorted.
     """
     here = points.where(geo.valid(F.col("lat"), F.col("lon"))).withColumn("lon", geo.west(F.col("lon")))
     here = here.select(F.col(key).alias("__key"), "lat", "lon", F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx"))
-    boxes = parts.select(F.col(part).alias("__part"), "minx", "maxx", "miny", "maxy")
+    named = parts.select(F.col(part).alias("__part"), F.struct(*attributes).alias("__attributes"), F.struct(*order).alias("__order"))
+    # numbers rise along the order; they have gaps, and are the same for all who read them
+    numbered = staged(named.orderBy("__order", "__part").select("__part", "__attributes", F.monotonically_increasing_id().alias("__number")))
+    boxes = parts.select(F.col(part).alias("__part"), *BOX).join(numbered.select("__part", "__number"), "__part")
     gridded = boxes.withColumn("cy", F.explode(_cells(F.col("miny"), F.col("maxy"), cell))).withColumn("cx", F.explode(_cells(F.col("minx"), F.col("maxx"), cell)))
     boxed = here.join(gridded, ["cy", "cx"]).where(F.col("lon").between(F.col("minx"), F.col("maxx")) & F.col("lat").between(F.col("miny"), F.col("maxy")))
-    rings = parts.select(F.col(part).alias("__of"), F.struct(*attributes).alias("__attributes"), F.struct(*order).alias("__order"), "rings")
-    met = boxed.select("__key", "lat", "lon", "__part").join(rings, F.col("__part") == F.col("__of"))
+    met = boxed.select("__key", "lat", "lon", "__part", "__number").join(parts.select(F.col(part).alias("__part"), "rings"), "__part")
     inside = met.where(geo.in_polygon(F.col("rings"), F.col("lat"), F.col("lon")))
-    return inside.groupBy(F.col("__key").alias(key)).agg(F.min_by("__attributes", "__order").alias("r")).select(key, "r.*")
+    first = inside.groupBy(F.col("__key").alias(key)).agg(F.min("__number").alias("__number"))
+    return first.join(numbered.select("__number", F.col("__attributes").alias("r")), "__number").select(key, "r.*")
 
 
 def anchors(members: DataFrame, key: str, ident: str) -> DataFrame:
@@ -152,10 +158,6 @@ def in_area_order(parts: DataFrame, key: str, ties: list[str], first: Column | N
     return ids.select(key, *ties, "area", (F.col("id") + 1).alias("id"))
 
 
-#: A part's box.
-BOX = ["minx", "maxx", "miny", "maxy"]
-
-
 #: Members of a shape that are looked at together by :func:`_features`.
 MEMBERS = 1_000
 

@@ -74,3 +74,10 @@ def test_answers_texts_are_judged_once(spark):
     got = {r["k"]: (r["lat"], r["how"]) for r in df.collect()}
     assert len(got) == 80 and {got[k] for k in range(20)} == {(1.0, "Street_Approx")} and {got[k] for k in range(100, 220) if k in got} == {(None, None)} and {got[k] for k in range(300, 320)} == {(4.0, "Street_Approx")}
     assert "ArrowEvalPython" not in plan(df) and "RLIKE" not in plan(df) and "CartesianProduct" not in plan(df)
+
+
+def test_regions_are_chosen_without_a_sort(spark, sf_dir):
+    """A point's hits meet as one number in a hash table: nothing that grows with the hits is sorted."""
+    for name in ("enclave_lookup", "spatial_join"):
+        text = plan(QUERIES[name](spark, sf_dir))
+        assert "SortAggregate" not in text and "ObjectHashAggregate" not in text and "min(__number" in text, name
