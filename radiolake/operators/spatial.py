@@ -187,25 +187,37 @@ def _met_boxes(shapes: DataFrame, cell: float) -> DataFrame:
     return met.where("wide > 0 AND high > 0")
 
 
+#: Pairs of features that one task makes, about: a file of some 100 MB.
+PAIRS = 4_000_000
+
+
 def _features(met: DataFrame, members: DataFrame, key: str, total: Callable[[str], Column]) -> DataFrame:
-    """Pairs of different features (``key`` and ``key2``) from pairs of shapes with their ``area`` and the second's ``__lots2``.
+    """Pairs of different features (``key`` and ``key2``) from pairs of shapes with both's ``__lots`` and their ``area``.
 
-    A feature meets another's shape lot by lot, so a shape with many members is many tasks' work. Only where one of the features has
-    several parts, a pair's areas meet for their ``total``. All other pairs have one area and leave the join as they are, so they aren't shuffled.
+    Lots meet lots, each a row with its members' keys, so no key of a shape with many members is one task's work. There are more pairs
+    than any table's bytes show, so they are counted from the lots' sizes, and lots are dealt over as many tasks as there are
+    ``PAIRS``: a task's work stays the same as tables grow. It makes its pairs from the two lists, without a join. Only where one
+    of the features has several parts, a pair's areas meet for their ``total``. All others have one area, so they aren't shuffled.
     """
     a, b = F.col("__a"), F.col("__b")
-
-    def pairs(left: DataFrame, right: DataFrame, alike: Column) -> DataFrame:
-        """``alike``: which pairs of two members of one shape count."""
-        begun = met.join(left.select(F.col(key).alias("__a"), "__shape"), "__shape")
-        asked = _dealt(begun.withColumn("__lot", F.explode(F.sequence(F.lit(0), F.col("__lots2") - 1))), "__a", "__shape2", "__lot")
-        others = right.select(F.col(key).alias("__b"), F.col("__shape").alias("__shape2"), "__lot")
-        each = asked.join(others, ["__shape2", "__lot"]).where((a != b) & ((F.col("__shape") != F.col("__shape2")) | alike))
-        return each.select(F.least(a, b).alias(key), F.greatest(a, b).alias(f"{key}2"), "area")
-
-    several, single = members.where("__several"), members.where("NOT __several")
-    together = [pairs(several, several, a < b), pairs(several, single, F.lit(True)), pairs(single, several, F.lit(False))]
-    return pairs(single, single, a < b).unionByName(reduce(DataFrame.unionByName, together).groupBy(key, f"{key}2").agg(total("area").alias("area")))
+    lots = staged(members.groupBy("__shape", "__lot", "__several").agg(F.collect_list(key).alias("__keys"), F.count(key).alias("__n")))
+    sizes = lots.groupBy("__shape", "__several").agg(F.sum("__n").alias("__n"))
+    second = lambda df: df.withColumnsRenamed({c: f"{c}2" for c in df.columns})
+    counted = met.join(sizes, "__shape").join(second(sizes), "__shape2").groupBy("__several", "__several2").agg(F.sum(F.col("__n") * F.col("__n2")).alias("pairs"))
+    tasks = {(r["__several"], r["__several2"]): -(-r["pairs"] // PAIRS) for r in counted.collect()}
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = met.withColumn("__lot", every("__lots")).withColumn("__lot2", every("__lots2"))
+
+    def pairs(left: bool, right: bool, alike: Column) -> DataFrame:
+        """Of members that have several parts or one, as ``left`` and ``right`` say; ``alike``: which pairs of two members of one shape count."""
+        of = lambda several: lots.where("__several" if several else "NOT __several").select("__shape", "__lot", "__keys")
+        both = asked.join(of(left), ["__shape", "__lot"]).join(second(of(right)), ["__shape2", "__lot2"])
+        dealt = both.repartition(max(1, tasks.get((left, right), 1)), "__shape", "__lot", "__shape2", "__lot2")
+        each = dealt.select("__shape", "__shape2", "area", "__keys2", F.explode("__keys").alias("__a")).select("__shape", "__shape2", "area", "__a", F.explode("__keys2").alias("__b"))
+        return each.where((a != b) & ((F.col("__shape") != F.col("__shape2")) | alike)).select(F.least(a, b).alias(key), F.greatest(a, b).alias(f"{key}2"), "area")
+
+    together = [pairs(True, True, a < b), pairs(True, False, F.lit(True)), pairs(False, True, F.lit(False))]
+    return pairs(False, False, a < b).unionByName(reduce(DataFrame.unionByName, together).groupBy(key, f"{key}2").agg(total("area").alias("area")))
 
 
 def polygon_overlaps(parts: DataFrame, key: str, least: float = 1e-7, cell: float = CELL) -> DataFrame:
@@ -218,16 +230,16 @@ def polygon_overlaps(parts: DataFrame, key: str, least: float = 1e-7, cell: floa
     known = staged(_boxed(parts.select(key, "rings")).withColumns({"__part": F.monotonically_increasing_id(), "__digest": F.sha2(F.col("rings").cast("string"), 256)}))
     members = staged(_alike(known, key, ["__digest"]))
     shapes = known.join(members.where("__part = __shape").select("__part", "__shape", "__lots"), "__part")
-    met = _dealt(_met_boxes(shapes, cell).select("__shape", "__shape2", "__lots2"), "__shape", "__shape2")
+    met = _dealt(_met_boxes(shapes, cell).select("__shape", "__shape2", "__lots", "__lots2"), "__shape", "__shape2")
     rings = shapes.select("__shape", "rings")
-    pairs = met.join(rings, "__shape").join(rings.select(F.col("__shape").alias("__shape2"), F.col("rings").alias("rings2")), "__shape2").select("__shape", "__shape2", "__lots2", "rings", "rings2")
+    pairs = met.join(rings, "__shape").join(rings.select(F.col("__shape").alias("__shape2"), F.col("rings").alias("rings2")), "__shape2").select("__shape", "__shape2", "__lots", "__lots2", "rings", "rings2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            areas = pa.array(polygons.shared_areas(batch.column(3), batch.column(4)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], areas], names=["__shape", "__shape2", "__lots2", "area"])
+            areas = pa.array(polygons.shared_areas(batch.column(4), batch.column(5)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], areas], names=["__shape", "__shape2", "__lots", "__lots2", "area"])
 
-    sized = staged(pairs.mapInArrow(run, "__shape long, __shape2 long, __lots2 long, area double"))
+    sized = staged(pairs.mapInArrow(run, "__shape long, __shape2 long, __lots long, __lots2 long, area double"))
     return _features(sized, members, key, F.sum).where(F.col("area") > least)
 
 
@@ -236,5 +248,5 @@ def overlaps(parts: DataFrame, key: str, cell: float = CELL) -> DataFrame:
     known = staged(parts.select(key, *BOX).withColumn("__part", F.monotonically_increasing_id()))
     members = staged(_alike(known, key, BOX))
     shapes = known.join(members.where("__part = __shape").select("__part", "__shape", "__lots"), "__part")
-    met = staged(_met_boxes(shapes, cell).select("__shape", "__shape2", "__lots2", (F.col("wide") * F.col("high")).alias("area")))
+    met = staged(_met_boxes(shapes, cell).select("__shape", "__shape2", "__lots", "__lots2", (F.col("wide") * F.col("high")).alias("area")))
     return _features(met, members, key, F.max)

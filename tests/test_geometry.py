@@ -165,3 +165,17 @@ def test_pairs_are_dealt_and_stay(spark):
     text = spatial.overlaps(parts, "key")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     alone, together = text.split("HashAggregate", 1) if "HashAggregate" in text else text.split("SortAggregate", 1)
     assert "REPARTITION_BY_NUM" in alone and "NOT __several" in alone and "NOT __several" in together
+
+
+def test_tasks_grow_with_the_pairs(spark, monkeypatch):
+    """Copies make many pairs of few bytes: no task makes many more than its share, and none is lost, whatever the shuffle's partitions."""
+    monkeypatch.setattr(spatial, "PAIRS", 50_000, raising=False)
+    monkeypatch.setattr(spatial, "MEMBERS", 50)
+    n = 1_000
+    alike = spark.range(n).selectExpr("id AS key", "0D AS minx", "3D AS maxx", "0D AS miny", "1D AS maxy")
+    beside = spark.range(n, 2 * n).selectExpr("id AS key", "1D AS minx", "4D AS maxx", "0D AS miny", "1D AS maxy")
+    got = spatial.overlaps(alike.unionByName(beside), "key").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_if(F.col("area") == 3).alias("same"), F.count_if(F.col("key") < F.col("key2")).alias("ordered"), F.sum(F.hash("key", "key2").cast("long")).alias("digest")).collect()
+    pairs = spark.range(2 * n).alias("a").join(spark.range(2 * n).alias("b"), F.expr("a.id < b.id")).select(F.sum(F.hash("a.id", "b.id").cast("long")))
+    total = lambda c: sum(r[c] for r in got)
+    assert total("n") == total("ordered") == n * (2 * n - 1) and total("same") == n * (n - 1) and total("digest") == pairs.first()[0]
+    assert max(r["n"] for r in got) < 3 * 50_000
